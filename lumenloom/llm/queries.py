@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import decontaminate
+from lumenloom.llm import decontaminate, simhash
 from lumenloom.llm.common import table
 
 
@@ -12,7 +12,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
 }
 
