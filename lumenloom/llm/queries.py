@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import decontaminate, simhash
+from lumenloom.llm import decontaminate, simhash, toxicity
 from lumenloom.llm.common import table
 
 
@@ -16,7 +16,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
 }
