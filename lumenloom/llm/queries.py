@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import decontaminate, simhash, toxicity
+from lumenloom.llm import decontaminate, pii, simhash, toxicity
 from lumenloom.llm.common import table
 
 
@@ -21,7 +21,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.flag(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_pii": op8_pii,
     "op10_toxicity": op10_toxicity,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
