@@ -36,24 +36,25 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def bounded_sample(rows: DataFrame, key: str, label: str, per_class: int, text: str, max_bytes: int, seed: int):
+def bounded_sample(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, per_class: int, max_bytes: int, seed: int):
     """At most per_class rows of each label in a fixed hash order, and at most max_bytes of text.
 
-    Only keys and lengths are ordered; texts are fetched for the chosen keys alone. Returns a
-    pandas frame with (key, label, text). This bounds what a fit on the driver can see.
+    labels has one row for each doc_id. Only keys and lengths are joined and ordered; texts are
+    fetched for the chosen keys alone. Returns a pandas frame (key, label, text): all that a fit on
+    the driver sees.
     """
-    spark = rows.sparkSession
-    sized = rows.select(key, F.col(label).cast("string").alias("label"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size")).where("label is not null")
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    spark = docs.sparkSession
+    sizes = docs.select(F.col(f"`{doc_id}`").alias("key"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).alias("size")).where("key is not null")
+    marks = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("string").alias("label")).where("label is not null")
+    sized = sizes.join(marks, "key").select("key", "label", "size")
     classes = [r[0] for r in sized.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect()]
-    chosen, left = [], max_bytes
+    chosen = []
     for name in classes:
-        budget = left // max(1, len(classes))
-        for r in sized.where(F.col("label") == name).orderBy(order, key).limit(per_class).collect():
+        budget = max_bytes // len(classes)
+        for r in sized.where(F.col("label") == name).orderBy(F.xxhash64(F.col("key").cast("string"), F.lit(seed)), "key").limit(per_class).collect():
             if r["size"] <= budget:
-                chosen.append((r[key], r["label"]))
+                chosen.append((r["key"], r["label"]))
                 budget -= r["size"]
-    if not chosen:
-        return spark.createDataFrame([], f"{key} long, label string, text string").toPandas()
-    picked = spark.createDataFrame(chosen, f"{key} long, label string")
-    return rows.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).select(key, "label", "text").toPandas().sort_values([key, "label", "text"], kind="stable").drop_duplicates([key]).reset_index(drop=True)
+    picked = spark.createDataFrame(chosen, "key long, label string")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "key")
+    return rows.select("key", "label", "text").toPandas().sort_values(["key", "label", "text"], kind="stable").drop_duplicates(["key"]).reset_index(drop=True)

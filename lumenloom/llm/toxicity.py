@@ -100,7 +100,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
         token_passage.append(passage + n_passages)
         passage_row.append(rows)
         n_passages += len(rows)
-    token, of_passage, of_row = np.array(tokens), np.concatenate(token_passage), np.concatenate(passage_row)
+    token, of_passage, of_row = np.array(tokens, np.int32), np.concatenate(token_passage).astype(np.int32), np.concatenate(passage_row).astype(np.int32)
+    del tokens, token_passage, passage_row
     buf = np.frombuffer(b" " + b" ".join(vocabulary) + b" " * 9, np.uint8)
     starts, _ = textkit.word_bounds(buf)
     owner, gram = [], []
@@ -120,7 +121,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
     owner = np.concatenate((np.arange(len(vocabulary)), owner))
     gram = np.concatenate((np.zeros(len(vocabulary), np.int64), gram + 1))
     order = np.argsort(owner, kind="stable")
-    owner, gram = owner[order], gram[order]
+    owner, gram = owner[order].astype(np.int32), gram[order].astype(np.int32)
     word_from = np.searchsorted(owner, np.arange(len(vocabulary)))
     by_gram = np.argsort(gram, kind="stable")
     gram_from = np.searchsorted(gram[by_gram], np.arange(len(used) + 1))
@@ -192,13 +193,12 @@ def scores(model: Model, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-(best + model.bias)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 1200, max_bytes: int = 24 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 900, max_bytes: int = 8 << 20) -> Model:
     """A model from the labelled rows outside the held-out fold; see the bounds above."""
     usable = labels.where((fold(F.col(doc_id)) != 2) & F.col(toxic).isin(0, 1)).groupBy(doc_id).agg(F.max(toxic).alias("toxic_label"))
     counts = {int(r["toxic_label"]): r["count"] for r in usable.groupBy("toxic_label").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    rows = docs.select(F.col(doc_id), F.col(text)).join(usable, doc_id)
-    sample = bounded_sample(rows, doc_id, "toxic_label", per_class, text, max_bytes, seed=10)
+    sample = bounded_sample(docs, usable, doc_id=doc_id, text=text, label="toxic_label", per_class=per_class, max_bytes=max_bytes, seed=10)
     texts, marks = sample["text"].fillna("").to_numpy(object), (sample["label"] == "1").to_numpy()
     aside = np.arange(len(texts)) % 4 == 3
     if min(marks[aside].sum(), (~marks[aside]).sum()) < CALIBRATION_ROWS:
