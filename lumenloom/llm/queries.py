@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import decontaminate, pii, simhash, toxicity
+from lumenloom.llm import decontaminate, pii, simhash, suffix_dedup, toxicity
 from lumenloom.llm.common import table
 
 
@@ -25,7 +25,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.flag(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op8_pii": op8_pii,
     "op10_toxicity": op10_toxicity,
     "op7_simhash": op7_simhash,
