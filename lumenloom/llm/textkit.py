@@ -121,3 +121,29 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     sums = np.add.reduceat(chars * _POWERS[flat & 0xFFFF], np.cumsum(lengths) - lengths)
     sums ^= sums >> np.uint64(29)
     return sums * MIX
+
+IDENTITY = np.arange(256, dtype=np.uint8)
+#: 0 for white space and control bytes, 1 for bytes of words, 2 for punctuation.
+BYTE_CLASS = np.where(WORD_BYTES != SPACE, 1, np.where(IDENTITY <= SPACE, 0, 2)).astype(np.uint8)
+BYTE_CLASS[0x7F] = 0
+
+
+def token_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every token: a run of word bytes, or of punctuation."""
+    kinds = np.concatenate(([0], BYTE_CLASS[buf], [0])).astype(np.int8)
+    change = np.flatnonzero(np.diff(kinds))
+    kind = kinds[change + 1]
+    starts = change[kind != 0]
+    ends = np.concatenate((change, [len(buf)]))[1:][kind != 0]
+    return starts, ends
+
+
+def token_grams(seg: Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of tokens and of neighbouring pairs, piece of each, number of tokens by piece)."""
+    starts, ends = token_bounds(seg.buf)
+    ones = word_hashes(seg.buf, starts, ends)
+    piece = np.searchsorted(seg.starts, starts, side="right") - 1
+    near = piece[1:] == piece[:-1]
+    pairs = (ones[:-1] * MIX + ones[1:])[near]
+    pairs = (pairs ^ (pairs >> np.uint64(31))) * MIX
+    return np.concatenate((ones, pairs)), np.concatenate((piece, piece[1:][near])), np.bincount(piece, minlength=len(seg.rows))
