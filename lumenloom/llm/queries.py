@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import decontaminate, pii, simhash, suffix_dedup, toxicity
+from lumenloom.llm import decontaminate, langid, licenses, mixing, pii, resample, simhash, suffix_dedup, toxicity
 from lumenloom.llm.common import table
 
 
@@ -30,7 +30,28 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 QUERIES = {
+    "op3_resample": op3_resample,
+    "op4_mixing": op4_mixing,
+    "op5_licenses": op5_licenses,
+    "op6_language": op6_language,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op8_pii": op8_pii,
     "op10_toxicity": op10_toxicity,
