@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lumenloom.llm.common import materialize
 from lumenloom.llm.induced import suffix_order
 
-GRAM = 16
+GRAM = 24
 SEGMENT = 1 << 20
 BUCKET_BYTES = 48 << 20
 HOT_CONTEXTS = 4096
@@ -94,10 +94,10 @@ def contexts_of(data: np.ndarray, pieces: list[tuple[int, int]], width: int) ->
     """(anchor, context hash, first start, number of starts) of the contexts in these byte ranges."""
     lengths = np.array([j - i for i, j in pieces])
     starts = np.cumsum(lengths) - lengths
-    buf = np.concatenate([data[i:j] for i, j in pieces] + [np.zeros(width + 32, np.uint8)])
+    buf = np.concatenate([data[i:j] for i, j in pieces] + [np.zeros(width + 40, np.uint8)])
     n = int(lengths.sum())
-    view = np.ndarray((n + width + 16,), "<u8", buf, 0, (1,))
-    grams = _mix(view[: n + width] * C1 ^ (view[8 : n + width + 8] * C3 + C2))
+    view = np.ndarray((n + width + 24,), "<u8", buf, 0, (1,))
+    grams = _mix(_mix(view[: n + width] * C1 ^ (view[8 : n + width + 8] * C3 + C2)) ^ view[16 : n + width + 16] * C3)
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     reach, size = width - GRAM + 1, 1
     while size * 2 <= reach:
