@@ -203,11 +203,12 @@ def _listing(buckets: int, width: int):
 
 def _resolving(buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(home(np.array([unpack(b, *RUNS)[0][0]]), buckets)[0]), COVERED, b) for b in group.loc[group["kind"] == COVERED, "payload"]]
+        sent = _unpack_all(group.loc[group["kind"] == COVERED, "payload"], *RUNS)
         columns = _unpack_all(group.loc[group["kind"] == OPEN, "payload"], *ASKS)
         (anchor, _, doc, at, times), _, least = _collapse(*columns)
         known = doc > least
-        rows += _spread(COVERED, home(doc[known], buckets), [doc[known], at[known], times[known]])
+        covered = [np.concatenate(c) for c in zip(sent, (doc[known], at[known], times[known]), strict=True)]
+        rows = list(_spread(COVERED, home(covered[0], buckets), covered))
         if len(anchor):
             head = np.flatnonzero(_first_of_equal(anchor))
             open_ = np.minimum.reduceat(least, head) != np.maximum.reduceat(least, head)
@@ -342,7 +343,7 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
         rows = rows.withColumn("key", F.col("doc_id"))
     else:
         rows = materialize(rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("key", F.monotonically_increasing_id()), "numbered")
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, (seen["size"] or 0) // BUCKET_BYTES + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, (seen["size"] or 0) // BUCKET_BYTES + 1)
     listed = rows.select("key", "text").mapInArrow(_listing(buckets, width), "bucket int, kind byte, payload binary")
     sent = "home int, kind byte, payload binary"
     resolved = materialize(listed.groupBy("bucket").applyInPandas(_resolving(buckets), sent), "resolved")
