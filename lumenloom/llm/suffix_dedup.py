@@ -33,7 +33,7 @@ from lumenloom.llm.induced import suffix_order
 
 GRAM = 24
 SEGMENT = 1 << 20
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 8 << 20
 HOT_CONTEXTS = 4096
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 COVERED, OPEN = 0, 1
@@ -191,7 +191,7 @@ def _listing(buckets: int, width: int):
                     held += end - begin
                     if filled >= SEGMENT:
                         flush()
-                        if held > 32 * SEGMENT:
+                        if held > 16 * SEGMENT:
                             yield send(found)
                             found, held = [], 0
             flush()
@@ -329,9 +329,11 @@ def _reporting(width: int, keep_bytes: bool):
     return run
 
 
-def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 50, keep_bytes: bool = False) -> DataFrame:
+def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 50, keep_bytes: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: row_key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts
-    and ends, byte offsets) and, if asked for, the kept bytes (they may end inside a character)."""
+    and ends, byte offsets) and, if asked for, the kept bytes (they may end inside a character).
+    bucket_bytes: text for which one task holds the records at a time; raise it with the memory of
+    the executors, as small buckets of a very large corpus make many small payloads."""
     spark = docs.sparkSession
     if not GRAM <= width <= 1 << 15:
         raise ValueError(f"width must lie between {GRAM} and {1 << 15}")
@@ -343,7 +345,7 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
         rows = rows.withColumn("key", F.col("doc_id"))
     else:
         rows = materialize(rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("key", F.monotonically_increasing_id()), "numbered")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, (seen["size"] or 0) // BUCKET_BYTES + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, (seen["size"] or 0) // bucket_bytes + 1)
     listed = rows.select("key", "text").mapInArrow(_listing(buckets, width), "bucket int, kind byte, payload binary")
     sent = "home int, kind byte, payload binary"
     resolved = materialize(listed.groupBy("bucket").applyInPandas(_resolving(buckets), sent), "resolved")
