@@ -98,7 +98,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     words) and `items` (ids as text)."""
     windows = benchmark_windows(benchmark, item_id, item_text, width)
     size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window") + 16 * F.size("items")), F.lit(0)).alias("b"), F.collect_set("n").alias("lengths")).first()
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words_of(F.col(text)).alias("words"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # A generator of one row: filters on later columns then can't move the split into a lambda.
+    found = docs.select(F.inline(F.array(F.struct(row.alias("row"), words_of(F.col(f"`{text}`")).alias("words")))))
     if size["n"] <= max_windows and size["b"] <= max_bytes:
         found = _hits_by_set(found, windows.collect())
     else:
@@ -122,7 +124,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **opt
 
 def drop(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, columns unchanged."""
-    return scan(docs, benchmark, **options).where(F.size("positions") == 0).select("row.*")
+    return scan(docs, benchmark, **options).select(F.inline(F.when(F.size("positions") == 0, F.array("row"))))
 
 
 def redact(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
