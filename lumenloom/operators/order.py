@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.operators.lineage import cut
+
 
 def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     """Adds the 0-based place of each row in a total order.
@@ -12,7 +14,7 @@ def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     Rows are sorted by ranges and written once; the sizes of the ranges, one number each, give the
     place at which each range begins.
     """
-    ranged = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
+    ranged = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     begins, total = [], 0
     for r in ranged.groupBy("_part").count().orderBy("_part").collect():
         begins.append((r["_part"], total))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions.numeric import lit
+from lumenloom.operators.lineage import cut
 from lumenloom.operators.order import numbered
 
 
@@ -34,13 +35,14 @@ def components(pixels: DataFrame, width: int) -> DataFrame:
     rows = pixels.withColumn("pixel", F.col("py") * width + F.col("px"))
     around = F.array(*[F.struct((F.col("py") + i).alias("py"), (F.col("px") + j).alias("px")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     seen = rows.select("py", "px", F.col("pixel").alias("to"))
-    links = rows.select("pixel", F.explode(around).alias("n")).select("pixel", "n.py", "n.px").join(seen, ["py", "px"]).select("pixel", "to").checkpoint()
-    labels = rows.select("pixel", F.col("pixel").alias("label")).checkpoint()
+    links = rows.select("pixel", F.explode(around).alias("n")).select("pixel", "n.py", "n.px").join(seen, ["py", "px"]).select("pixel", "to")
+    links = cut(links)
+    labels = rows.select("pixel", F.col("pixel").alias("label"))
     while True:
         low = links.join(labels.withColumnRenamed("pixel", "to"), "to").groupBy("pixel").agg(F.min("label").alias("low"))
         up = low.select(F.col("pixel").alias("low"), F.col("low").alias("root"))
         jumped = low.join(up, "low").select("pixel", F.col("root").alias("label"))
-        moved = jumped.join(labels.withColumnRenamed("label", "was"), "pixel").checkpoint()
+        moved = cut(jumped.join(labels.withColumnRenamed("label", "was"), "pixel"))
         labels = moved.select("pixel", "label")
         if moved.where("label <> was").limit(1).count() == 0:
             return rows.join(labels, "pixel").select("py", "px", "level", "label")

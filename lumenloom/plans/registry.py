@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry, hashing, motion, numeric, optics
 from lumenloom.functions.numeric import lit
-from lumenloom.operators import fields, frames, joins, order, rasters, validate
+from lumenloom.operators import assignment, fields, frames, joins, order, rasters, validate
 from lumenloom.plans import views
+from lumenloom.sources import packed, points
+from lumenloom.streaming import sequence
 from lumenloom.plans.views import table, with_views
 
 FLAGSHIP = "join_01_cheapest_source"
@@ -428,3 +430,49 @@ def sca_61_checksums(spark, sf_dir):
     inside = F.sum("byte_length").over(W.partitionBy("part").orderBy("doc_id")) - F.col("byte_length")
     return sized.withColumn("part", part).join(F.broadcast(base), "part").select("doc_id", "byte_length", "crc32", (inside + F.col("base")).alias("byte_offset"))
 
+
+
+# --- assignment, sources and sequences --------------------------------------------------------
+
+
+@query()
+def gen_12_assignment(spark, sf_dir):
+    """Every region's sites get atoms at least cost: as many problems as regions."""
+    sites = views.targets(spark, sf_dir).select("site_id", F.col("grp").cast("long").alias("problem"))
+    edges = _matrix(spark, sf_dir).join(F.broadcast(sites), "site_id")
+    return assignment.solve(edges.select("problem", F.col("site_id").alias("row"), F.col("atom_id").alias("col"), "cost")).select("problem", "row", "col", r6("cost").alias("cost"))
+
+
+@query("SELECT event_id AS key, CAST(1 AS BIGINT) AS id, CAST(json_extract(props, '$.k') AS DOUBLE) AS x, CAST(event_id % 100 AS DOUBLE) AS y, TRUE AS ok FROM events UNION ALL SELECT event_id, 7, -15e-1, CAST(json_extract(props, '$.k') AS DOUBLE), TRUE FROM events")
+def src_02_point_lists(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{"points": [['), k, F.lit(", "), (F.col("event_id") % 100).cast("string"), F.lit('], {"id": 7, "xUm": -1.5, "y": '), k, F.lit("}]}"))
+    return points.json_points(table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), text.alias("text")), "key", "text")
+
+
+@query("SELECT vec_id AS key, CAST(i AS INTEGER) AS site, CAST(i % 8 AS DOUBLE) AS x, CAST(i // 8 AS DOUBLE) AS y, CAST(NULL AS VARCHAR) AS error FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE embedding[i + 1] > 0")
+def src_01_occupied_lattice(spark, sf_dir):
+    sites = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct((i % 8).cast("double").alias("x"), F.floor(i / 8).cast("double").alias("y")))
+    flags = F.transform("embedding", lambda v: F.when(v > 0, 1).otherwise(0))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), sites.alias("sites"), flags.alias("occupied"))
+    return points.occupied_lattice(rows, "key", "sites", "occupied")
+
+
+@query(with_views("frames") + " SELECT frame, frame * 21600000000 AS time, trap_id, CASE WHEN trap_id % 5 = 0 THEN NULL ELSE trap_id + 1000 END AS atom_id, x, y, intensity, phase, CAST(trap_id % 8 AS BIGINT) AS flags, CAST(NULL AS VARCHAR) AS error FROM frames")
+def snk_03_packed_frames(spark, sf_dir):
+    """Trap frames through the packed format and back."""
+    f = views.trap_frames(spark, sf_dir)
+    traps = f.select("frame", (F.col("frame") * F.lit(21600000000)).alias("time"), "trap_id", F.when(F.col("trap_id") % 5 != 0, F.col("trap_id") + 1000).alias("atom_id"), "x", "y", "intensity", "phase", (F.col("trap_id") % 8).alias("flags"))
+    return packed.unpack_frames(packed.pack_frames(traps))
+
+
+@query(with_views("raster") + " SELECT CAST(0 AS BIGINT) AS image, CAST(y.i AS INTEGER) AS y, CAST(x.i AS INTEGER) AS x, CAST(coalesce(level % 256, 0) AS INTEGER) AS level FROM (SELECT unnest(range(0, (SELECT max(py) + 1 FROM raster))) AS i) y CROSS JOIN (SELECT unnest(range(0, (SELECT max(px) + 1 FROM raster))) AS i) x LEFT JOIN raster ON py = y.i AND px = x.i")
+def snk_07_bitmap(spark, sf_dir):
+    """An image of line counts as a bitmap and back."""
+    image = views.raster(spark, sf_dir).select(F.lit(0).cast("long").alias("image"), F.col("py").alias("y"), F.col("px").alias("x"), (F.col("level") % 256).alias("code"))
+    return packed.pixels(packed.bitmaps(image, "image"), "image")
+
+
+@query("SELECT min(event_id) AS lowest, max(event_id) AS highest, count(event_id) AS n, count(DISTINCT event_id) AS different, count(event_id) = count(DISTINCT event_id) AND max(event_id) - min(event_id) + 1 = count(event_id) AS complete FROM events")
+def stm_08_contiguous(spark, sf_dir):
+    return sequence.contiguous(table(spark, sf_dir, "events"), "event_id")
