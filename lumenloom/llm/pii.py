@@ -219,7 +219,8 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opt
         cut = [t if t is None else _cut(t, [(i, j, k) for k, i, j in seed_spans(t)] + [(o["start"], o["end"], o["kind"]) for o in (m if m is not None else ())]) for t, m in zip(texts, more, strict=True)]
         return pd.Series(cut, dtype=object)
 
-    places = found.join(extra, "row_key").select(F.col(doc_id).alias("_of"), F.col("text_hash").alias("_text"), "kind", "start", "end").distinct()
-    places = places.groupBy("_of", "_text").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_more"))
-    joined = docs.join(places, docs[doc_id].eqNullSafe(places["_of"]) & (F.xxhash64(column) == places["_text"]), "left")
-    return joined.withColumn(text, with_extra(column, F.col("_more"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    places = found.join(extra, "row_key").select(F.col(doc_id).alias("place_of"), F.col("text_hash").alias("place_text"), "kind", "start", "end").distinct()
+    places = places.groupBy("place_of", "place_text").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("of"), column.alias("body"))
+    joined = rows.join(places, F.col("of").eqNullSafe(F.col("place_of")) & (F.xxhash64("body") == F.col("place_text")), "left")
+    return joined.select(F.col("row").withField(f"`{text}`", with_extra(F.col("body"), F.col("more"))).alias("row")).select("row.*")

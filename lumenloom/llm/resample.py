@@ -51,7 +51,8 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id"
     ids = target_ids.select(F.col(doc_id).alias("target_id")).where("target_id is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    marked = docs.join(ids, F.col(f"`{doc_id}`") == F.col("target_id"), "left").select(F.col(f"`{text}`").alias("text"), F.col("target_id").isNotNull().alias("hit"))
+    bare = docs.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{text}`").alias("text"))
+    marked = bare.join(ids, F.col("of") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("hit"))
     counted = marked.mapInArrow(_counting, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     frame = counted.toPandas()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
