@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lumenloom.shared.dir", None)
     if named is None:
         named = f"file://{tempfile.mkdtemp(prefix='lumenloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set("lumenloom.shared.dir", named)
     return named.rstrip("/")
 
 
