@@ -89,3 +89,25 @@ def lookup(code: Column, pairs: list[tuple[int, float]]) -> Column:
         part = lerp(lit(v0), lit(v1), (code - lit(c0)) / lit(c1 - c0))
         value = F.when(code <= c1, part) if value is None else value.when(code <= c1, part)
     return value.otherwise(lit(pairs[-1][1])) if value is not None else lit(first)
+
+
+def step_at(waypoints: DataFrame, times: DataFrame, time: str = "t") -> DataFrame:
+    """Last waypoint at or before each time, the first for earlier times; with the point between it
+    and the next on a straight line."""
+    order = W.partitionBy("trajectory").orderBy("seq")
+    ends = [F.lead(c).over(order).alias(f"{c}_end") for c in ("x", "y", "arrival")]
+    parts = waypoints.select("*", (F.row_number().over(order) == 1).alias("first"), *ends)
+    after = F.col("first") | (F.col("arrival") <= F.col(time))
+    before = F.col("arrival_end").isNull() | (F.col(time) < F.col("arrival_end"))
+    on = (parts["trajectory"] == times["trajectory"]) & after & before
+    share = F.when(F.col("arrival_end").isNull() | (F.col(time) < F.col("arrival")), lit(0)).otherwise(F.try_divide(F.col(time) - F.col("arrival"), F.col("arrival_end") - F.col("arrival")))
+    at = [F.when(F.col(f"{c}_end").isNull(), F.col(c)).otherwise(lerp(F.col(c), F.col(f"{c}_end"), share)).alias(c) for c in ("x", "y")]
+    return times.join(parts, on).select(times["trajectory"], F.col(time), "seq", *at)
+
+
+def scatter(points: DataFrame, value: str) -> DataFrame:
+    """Values spread over the four cells around each point, by nearness: (cy, cx, total)."""
+    x0, y0 = F.floor("x").cast("long"), F.floor("y").cast("long")
+    fx, fy = F.col("x") - x0, F.col("y") - y0
+    cells = F.array(*[F.struct((y0 + j).alias("cy"), (x0 + i).alias("cx"), (F.col(value) * (fx if i else lit(1) - fx) * (fy if j else lit(1) - fy)).alias("part")) for j in (0, 1) for i in (0, 1)])
+    return points.select(F.explode(cells).alias("c")).groupBy("c.cy", "c.cx").agg(F.sum("c.part").alias("total"))

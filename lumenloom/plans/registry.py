@@ -476,3 +476,81 @@ def snk_07_bitmap(spark, sf_dir):
 @query("SELECT min(event_id) AS lowest, max(event_id) AS highest, count(event_id) AS n, count(DISTINCT event_id) AS different, count(event_id) = count(DISTINCT event_id) AND max(event_id) - min(event_id) + 1 = count(event_id) AS complete FROM events")
 def stm_08_contiguous(spark, sf_dir):
     return sequence.contiguous(table(spark, sf_dir, "events"), "event_id")
+
+
+# --- lookups, seeds and overlaps ------------------------------------------------------------
+
+TIMES = ", t AS (SELECT trajectory, CAST(unnest(range(500, max(arrival) + 1000, 750)) AS BIGINT) AS t FROM waypoints GROUP BY trajectory)"
+
+
+def _times(way: DataFrame) -> DataFrame:
+    span = way.groupBy("trajectory").agg(F.max("arrival").alias("last"))
+    return span.select("trajectory", F.explode(F.sequence(F.lit(500).cast("long"), F.col("last") + 999, F.lit(750).cast("long"))).alias("t"))
+
+
+@query(with_views("waypoints") + TIMES + ", s AS (SELECT *, lead(x) OVER w AS x_end, lead(y) OVER w AS y_end, lead(arrival) OVER w AS arrival_end FROM waypoints WINDOW w AS (PARTITION BY trajectory ORDER BY seq)), j AS (SELECT t.trajectory, t, seq, x, y, x_end, y_end, CASE WHEN arrival_end IS NULL OR t < arrival THEN 0e0 ELSE (t - arrival) / CAST(arrival_end - arrival AS DOUBLE) END AS q FROM t JOIN s ON t.trajectory = s.trajectory AND (seq = 1 OR arrival <= t) AND (arrival_end IS NULL OR t < arrival_end)) SELECT trajectory, t, seq, " + R("CASE WHEN x_end IS NULL THEN x ELSE x + (x_end - x) * q END") + " AS x, " + R("CASE WHEN y_end IS NULL THEN y ELSE y + (y_end - y) * q END") + " AS y FROM j")
+def join_17_step_and_line(spark, sf_dir):
+    way = views.waypoints(spark, sf_dir)
+    return joins.step_at(way, _times(way)).select("trajectory", "t", "seq", r6("x").alias("x"), r6("y").alias("y"))
+
+
+def _dirichlet(d: str) -> str:
+    below = f"(8e0 * sin(pi() * ({d}) / 64e0))"
+    return f"CASE WHEN abs{below} < 1e-12 THEN 1e0 ELSE abs(sin(pi() * 8e0 * ({d}) / 64e0) / {below}) END"
+
+
+@query(with_views("frames") + f", p AS (SELECT a.frame, (a.x - b.x) / 1e1 AS dx, (a.y - b.y) / 1e1 AS dy FROM frames a JOIN frames b ON a.frame = b.frame AND a.trap_id < b.trap_id WHERE a.trap_id % 10 = 0 AND b.trap_id % 10 = 0), c AS (SELECT frame, greatest(({_dirichlet('dx')}) * ({_dirichlet('dy')}), exp(-5e-1 * (dx * dx + dy * dy))) AS overlap FROM p) SELECT frame, {R('max(overlap)')} AS worst, count(*) FILTER (WHERE overlap >= 5e-1) AS n_close FROM c GROUP BY frame")
+def join_29_mode_overlap(spark, sf_dir):
+    f = views.trap_frames(spark, sf_dir).where("trap_id % 10 = 0")
+    a = f.select("frame", F.col("trap_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = f.select("frame", F.col("trap_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    dx, dy = (F.col("ax") - F.col("bx")) / lit(10), (F.col("ay") - F.col("by")) / lit(10)
+    overlap = F.greatest(optics.dirichlet(dx, lit(8), lit(64)) * optics.dirichlet(dy, lit(8), lit(64)), optics.gaussian_overlap(dx * dx + dy * dy))
+    pairs = a.join(b, "frame").where("a_id < b_id").select("frame", overlap.alias("overlap"))
+    return pairs.groupBy("frame").agg(r6(F.max("overlap")).alias("worst"), F.count_if(F.col("overlap") >= lit(0.5)).alias("n_close"))
+
+
+@query(with_views("atoms") + f" SELECT grp, {R('min(x) - 15e-1')} AS x_low, {R('max(x) + 15e-1')} AS x_high, {R('min(y) - 15e-1')} AS y_low, {R('max(y) + 15e-1')} AS y_high FROM atoms GROUP BY grp")
+def agg_07_bounds(spark, sf_dir):
+    pad = lit(1.5)
+    return views.atoms(spark, sf_dir).groupBy("grp").agg(r6(F.min("x") - pad).alias("x_low"), r6(F.max("x") + pad).alias("x_high"), r6(F.min("y") - pad).alias("y_low"), r6(F.max("y") + pad).alias("y_high"))
+
+
+@query(with_views("points") + ", e AS (SELECT * FROM (VALUES (1e1, 1e1, 5e2, 2e1), (5e2, 2e1, 4e2, 6e1), (4e2, 6e1, 2e2, 3e1), (2e2, 3e1, 1e1, 1e1)) AS t(ax, ay, bx, by_)) SELECT point_id, count(*) FILTER (WHERE (ay > y) <> (by_ > y) AND x < ax + (bx - ax) * ((y - ay) / (by_ - ay))) % 2 = 1 AS inside FROM points, e GROUP BY point_id")
+def sca_20_polygon(spark, sf_dir):
+    xs, ys = F.array(*map(lit, (10, 500, 400, 200))), F.array(*map(lit, (10, 20, 60, 30)))
+    return views.points(spark, sf_dir).select("point_id", geometry.in_polygon((F.col("x"), F.col("y")), xs, ys).alias("inside"))
+
+
+@query(with_views("raster") + f" SELECT px, py, level, {R('(px - 315e-1) * 2e1 / 63e0')} AS x_um, {R('(315e-1 - py) * 12e0 / 63e0')} AS y_um FROM raster")
+def sca_51_pixel_to_plane(spark, sf_dir):
+    return views.raster(spark, sf_dir).select("px", "py", "level", r6((F.col("px") - lit(31.5)) * lit(20) / lit(63)).alias("x_um"), r6((lit(31.5) - F.col("py")) * lit(12) / lit(63)).alias("y_um"))
+
+
+@query(with_views("points") + ", c AS (SELECT CAST(floor(y) AS BIGINT) + j AS cy, CAST(floor(x) AS BIGINT) + i AS cx, (point_id % 10 + 1) * (CASE WHEN i = 1 THEN x - floor(x) ELSE 1e0 - (x - floor(x)) END) * (CASE WHEN j = 1 THEN y - floor(y) ELSE 1e0 - (y - floor(y)) END) AS part FROM points, (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j)) SELECT cy, cx, floor(sum(part) * 1e5 + 5e-1 + 1e-4) / 1e5 AS total FROM c GROUP BY cy, cx")
+def num_13_scatter(spark, sf_dir):
+    p = views.points(spark, sf_dir).withColumn("v", (F.col("point_id") % 10 + 1).cast("double"))
+    return joins.scatter(p, "v").select("cy", "cx", (F.floor(F.col("total") * lit(1e5) + lit(0.5001)) / lit(1e5)).alias("total"))
+
+
+@query(with_views("waypoints") + ", a AS (SELECT trajectory, list_sort(list(arrival)) AS l FROM waypoints GROUP BY trajectory) SELECT a.trajectory, list_sort(list_distinct(list_concat(a.l, list_transform(b.l, lambda v: v + 500)))) AS breaks FROM a JOIN a b ON b.trajectory = a.trajectory + 1")
+def set_03_breakpoints(spark, sf_dir):
+    a = views.waypoints(spark, sf_dir).groupBy("trajectory").agg(F.collect_list("arrival").alias("l"))
+    b = a.select((F.col("trajectory") - 1).alias("trajectory"), F.transform("l", lambda v: v + 500).alias("m"))
+    return a.join(b, "trajectory").select("trajectory", F.array_sort(F.array_union("l", "m")).alias("breaks"))
+
+
+@query("SELECT vec_id, len(embedding) AS n, len(list_filter(range(2, 9), lambda i: embedding[i] < embedding[i - 1])) = 0 OR len(list_filter(range(2, 9), lambda i: embedding[i] > embedding[i - 1])) = 0 AS monotone FROM embeddings")
+def src_05_code_tables(spark, sf_dir):
+    text = F.array_join(F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double").cast("string")), "; ")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), text.alias("text"))
+    found = points.code_table(rows, "vec_id", "text").select("vec_id", "monotone")
+    return rows.select("vec_id", "n").join(found, "vec_id")
+
+
+@query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), s AS (SELECT c_custkey AS sample_id, (7919 * c_custkey + 13) % n AS stratum, n FROM customer, n) SELECT sample_id, stratum, CAST(floor(1e1 + 4e1 * stratum / greatest(n - 1, 1) + 5e-1) AS BIGINT) AS even_count, CAST(floor(exp(ln(2e3) * stratum / greatest(n - 1, 1)) + 5e-1) AS BIGINT) AS log_count FROM s")
+def gen_15_schedule(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    n = c.agg(F.count("*").alias("n"))
+    s = c.crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("sample_id"), F.pmod(F.col("c_custkey") * 7919 + 13, F.col("n")).alias("stratum"), F.greatest(F.col("n") - 1, F.lit(1)).alias("top"))
+    return s.select("sample_id", "stratum", F.floor(lit(10) + lit(40) * F.col("stratum") / F.col("top") + lit(0.5)).cast("long").alias("even_count"), F.floor(F.exp(F.ln(lit(2000)) * F.col("stratum") / F.col("top")) + lit(0.5)).cast("long").alias("log_count"))
