@@ -81,6 +81,18 @@ def _adam(params: list[np.ndarray], rate: float):
     return apply
 
 
+def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """Sums of rows[index] between neighbouring starts; no segment is empty, and only a block of
+    gathered rows is in memory at a time."""
+    out = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(index), block), side="left"))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)], strict=True):
+        if b > a:
+            i, j = int(starts[a]), int(starts[b]) if b < len(starts) else len(index)
+            out[a:b] = np.add.reduceat(rows[index[i:j]], starts[a:b] - i, axis=0)
+    return out
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24, seed: int = 7) -> Model:
     """Joint training of the n-gram vectors and the softmax.
 
@@ -106,8 +118,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
     starts, _ = textkit.word_bounds(buf)
     owner, gram = [], []
     for at, bucket in textkit.word_grams(buf, GRAMS, BITS):
-        owner.append(np.searchsorted(starts, at + 1, side="right") - 1)
-        gram.append(bucket)
+        owner.append((np.searchsorted(starts, at + 1, side="right") - 1).astype(np.int32))
+        gram.append(bucket.astype(np.int32))
     owner, gram = np.concatenate(owner), np.concatenate(gram)
     order = np.argsort(owner, kind="stable")
     owner, gram = owner[order], gram[order]
@@ -125,6 +137,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
     word_from = np.searchsorted(owner, np.arange(len(vocabulary)))
     by_gram = np.argsort(gram, kind="stable")
     gram_from = np.searchsorted(gram[by_gram], np.arange(len(used) + 1))
+    gram_owner = owner[by_gram]
+    del owner, by_gram, order
     # Passages with the label weights that bring the sample to the prior.
     positive = toxic[of_row].astype(np.float32)
     weight = np.where(toxic, prior / max(toxic.mean(), 1e-9), (1 - prior) / max(1 - toxic.mean(), 1e-9)).astype(np.float32)
@@ -132,6 +146,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
     passage_from = np.searchsorted(of_passage, np.arange(n_passages))
     by_token = np.argsort(token, kind="stable")
     token_from = np.searchsorted(token[by_token], np.arange(len(vocabulary)))
+    token_passage = of_passage[by_token]
+    del by_token
     total = np.maximum(np.add.reduceat(counts[token], passage_from), 1)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (len(used) + 1, DIM)).astype(np.float32)
@@ -140,8 +156,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
     bias = np.array([np.log(prior / (1 - prior))], np.float32)
     step = _adam([vectors, head, bias], 0.08)
     for epoch in range(epochs):
-        words = np.add.reduceat(vectors[gram], word_from, axis=0)
-        bags = np.add.reduceat(words[token], passage_from, axis=0) / total[:, None]
+        words = _sums(vectors, gram, word_from)
+        bags = _sums(words, token, passage_from) / total[:, None]
         logit = bags @ head + bias[0]
         if epoch < epochs // 3:
             share = weight[of_row] / per_row[of_row]
@@ -151,8 +167,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
             share = np.where(logit >= top[of_row], weight[of_row], 0)
         slope = (share * (1 / (1 + np.exp(-logit)) - positive) / len(texts)).astype(np.float32)
         at_bags = (slope / total)[:, None] * head
-        at_words = np.add.reduceat(at_bags[of_passage][by_token], token_from, axis=0)
-        at_vectors = np.add.reduceat(at_words[owner][by_gram], gram_from, axis=0) + 1e-7 * vectors
+        at_words = _sums(at_bags, token_passage, token_from)
+        at_vectors = _sums(at_words, gram_owner, gram_from) + 1e-7 * vectors
         at_vectors[0] = 0
         step([at_vectors, bags.T @ slope, np.array([slope.sum()], np.float32)])
     weights = np.zeros(1 << BITS, np.float32)
