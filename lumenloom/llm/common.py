@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -31,6 +32,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """In a Python worker: large arrays go back to the system when freed, instead of growing a heap
+    that the worker keeps over all its tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would otherwise rise with use
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; fold 2 is held out from every fit."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import give_back, materialize
 from lumenloom.llm.induced import suffix_order
 
 GRAM = 24
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 BUCKET_BYTES = 8 << 20
 HOT_CONTEXTS = 4096
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -163,6 +163,7 @@ def _listing(buckets: int, width: int):
             rows += _spread(OPEN, where, [anchor[ask], context[ask], doc[ask], at[ask], times[ask]])
             return _sent(rows)
 
+        give_back()
         found, held = [], 0
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -203,6 +204,7 @@ def _listing(buckets: int, width: int):
 
 def _resolving(buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         sent = _unpack_all(group.loc[group["kind"] == COVERED, "payload"], *RUNS)
         columns = _unpack_all(group.loc[group["kind"] == OPEN, "payload"], *ASKS)
         (anchor, _, doc, at, times), _, least = _collapse(*columns)
@@ -228,6 +230,7 @@ CUT = pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("at", pa.int64()),
 
 def _cutting(shards: int, width: int):
     def run(docs: pa.Table, asks: pa.Table) -> pa.Table:
+        give_back()
         mark, doc, at, times = _unpack_all(asks["payload"].to_pylist(), *OPENS)
         keys = docs["key"].to_numpy()
         out: list[tuple[int, int, int, bytes]] = []
@@ -278,6 +281,7 @@ def equal_strings(doc: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.
 
 def _sorting(buckets: int, width: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         doc, at = group["doc"].to_numpy(np.int64), group["at"].to_numpy(np.int64)
         if group["shard"].iloc[0] < 0:
             ones = np.ones(len(doc), np.uint16)
@@ -302,6 +306,7 @@ DONE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", p
 
 def _reporting(width: int, keep_bytes: bool):
     def run(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        give_back()
         doc, at, times = _unpack_all(runs["payload"].to_pylist(), *RUNS)
         order = np.lexsort((at, doc))
         doc, begin, end = doc[order], at[order], (at + times.astype(np.int64) + width - 1)[order]
