@@ -52,16 +52,16 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_topk": op2_topk,
     "op3_resample": op3_resample,
     "op4_mixing": op4_mixing,
     "op5_licenses": op5_licenses,
     "op6_language": op6_language,
-    "op1_suffix_dedup": op1_suffix_dedup,
-    "op8_pii": op8_pii,
-    "op10_toxicity": op10_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
