@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm import linear, textkit
-from lumenloom.llm.common import bounded_sample, fold
+from lumenloom.llm.common import bounded_sample, fold, give_back
 
 BUCKETS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -86,6 +86,7 @@ def identify(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str
 
     @F.pandas_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
     def predicted(texts: pd.Series) -> pd.DataFrame:
+        give_back()
         model = shipped.value
         plain = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool) & bool(model["names"])
         if not plain.any():

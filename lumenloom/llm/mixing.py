@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm import linear, textkit
-from lumenloom.llm.common import bounded_sample, materialize
+from lumenloom.llm.common import bounded_sample, give_back, materialize
 
 BUCKETS = 2048
 
@@ -56,6 +56,7 @@ def posteriors(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: st
 
     @F.pandas_udf("struct<n_tokens:long,posterior:array<double>>")
     def predicted(texts: pd.Series) -> pd.DataFrame:
+        give_back()
         model = shipped.value
         column = pa.array(texts, pa.large_string(), from_pandas=True)
         amount = np.zeros(len(texts), np.int64)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import give_back, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -118,6 +118,7 @@ OCCURRENCE = "array<struct<kind:int,start:int,end:int,seed:boolean,instance:stri
 def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     @F.pandas_udf(OCCURRENCE)
     def each(texts: pd.Series) -> pd.Series:
+        give_back()
         names = ("kind", "start", "end", "seed", "instance", "patterns")
         return pd.Series([[dict(zip(names, o, strict=True)) for o in occurrences(t)] for t in texts])
 
@@ -208,6 +209,7 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opt
 
     @F.pandas_udf("string")
     def plain(texts: pd.Series) -> pd.Series:
+        give_back()
         return texts.map(lambda t: t if t is None else _cut(t, [(i, j, k) for k, i, j in seed_spans(t)]))
 
     column = F.col(f"`{text}`")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import give_back, materialize
 from lumenloom.llm.components import connected_components, local_components
 
 SEED = 42
@@ -54,6 +54,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(text: Column) -> Column:
     @F.pandas_udf("long")
     def each(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
     return each(text)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm import textkit
-from lumenloom.llm.common import bounded_sample, fold
+from lumenloom.llm.common import bounded_sample, fold, give_back
 
 GRAMS = range(3, 7)
 BITS = 17
@@ -227,6 +227,7 @@ def _scorer(docs: DataFrame, model: Model):
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series(scores(Model(*shipped.value), pa.array(texts, pa.large_string(), from_pandas=True)))
 
     return scored
