@@ -120,7 +120,7 @@ def _spanning(prints: np.ndarray, first: np.ndarray, second: np.ndarray, radius:
     for at in range(0, len(first), 512):
         part = first[at : at + 512]
         q, m = tree.within(prints[part], radius)
-        label = label[local_components(len(prints), label[part[q]], label[second[m]])]
+        label = local_components(len(prints), label[part[q]], label[second[m]])[label]
     linked = np.flatnonzero(label != np.arange(len(prints)))
     return prints[linked], prints[label[linked]]
 

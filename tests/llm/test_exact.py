@@ -158,6 +158,36 @@ def test_links_reach_all_pairs(spark, shard_rows):
     assert len(set(zip(got, wanted.tolist()))) == len(set(got)) == len(set(wanted.tolist()))
 
 
+def drifting(seed, n):
+    """Chains of fingerprints that share their upper 16 bits, each 3 bits from one before it."""
+    rng = np.random.default_rng(seed)
+    fp = [int(v) for v in rng.integers(0, 1 << 48, n // 12, np.uint64)]
+    while len(fp) < n:
+        bits = rng.choice(48, 3, replace=False)
+        fp.append(fp[max(0, len(fp) - int(rng.integers(1, n // 4)))] ^ sum(1 << int(b) for b in bits))
+    return np.array(list(dict.fromkeys(fp)), np.uint64)[rng.permutation(len(set(fp)))] | np.uint64(0xABCD << 48)
+
+
+def chain_over_batches():
+    """A path of links whose ends meet in three batches of 512 queries; no other links."""
+    fp = np.random.default_rng(8).integers(0, 1 << 48, 1100, np.uint64)
+    for step, (a, b) in enumerate(zip((3, 700, 600, 5, 100, 1050, 1060), (700, 600, 5, 100, 1050, 1060, 2))):
+        fp[b] = fp[a] ^ np.uint64(7 << 3 * step)
+    return fp
+
+
+@pytest.mark.parametrize("chunks", [1, 2])
+@pytest.mark.parametrize("fp", [chain_over_batches(), *[drifting(seed, n) for seed, n in ((0, 1900), (0, 3500), (2, 3500))]])
+def test_spanning_links_of_a_busy_shard(fp, chunks):
+    first = np.arange(len(fp)) if chunks == 1 else np.arange(0, len(fp), 2)
+    second = first if chunks == 1 else np.arange(1, len(fp), 2)
+    q, m = np.nonzero(np.bitwise_count(fp[first][:, None] ^ fp[second][None, :]) <= 3)
+    wanted = local_components(len(fp), first[q], second[m])
+    at = {int(v): k for k, v in enumerate(fp)}
+    a, b = ([at[int(v)] for v in end] for end in simhash._spanning(fp, first, second, 3))
+    assert (local_components(len(fp), np.array(a, int), np.array(b, int)) == wanted).all()
+
+
 def test_groups_against_all_pairs(spark, sf_dir):
     found = simhash.groups(table(spark, sf_dir, "documents")).toPandas()
     fp = np.array([int(h, 16) for h in found["fingerprint"]], np.uint64)
