@@ -1,6 +1,7 @@
 """Operators that learn: accuracy on rows held out, optimality, and edge cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -121,6 +122,36 @@ def test_projected_steps_solve_least_squares(spark):
     assert np.abs((p * rate[:, None]).mean(axis=0) - list(wanted.values())).max() < 5e-3 and (rate >= 0).all()
 
 
+def test_mixing_meets_each_target(spark):
+    found = queries.op4_mixing(spark, SF).toPandas()
+    p, t, r = np.stack(found["posterior"]), found["n_tokens"].to_numpy(float), found["rate"].to_numpy()
+    got = (p * (t * r)[:, None]).sum(axis=0) / t.sum()
+    assert np.allclose(got, [mixing.TARGETS[n] for n in sorted(mixing.TARGETS)], rtol=2e-3, atol=0)
+
+
+@pytest.mark.parametrize("toxic, sharp", [(0.003, 8), (0.001, 8), (0.001, 1)])
+def test_rare_domains_meet_their_targets(spark, toxic, sharp):
+    rng = np.random.default_rng(5)
+    shares = [0.7, 0.3 - toxic, toxic]
+    logits = rng.normal(0, 1, (4000, 3)) + np.log(shares)
+    logits[np.arange(4000), np.repeat([0, 1, 2], [2800, 1200 - int(4000 * toxic), int(4000 * toxic)])] += sharp
+    p = linear.softmax(logits)
+    rows = spark.createDataFrame([(10, [float(v) for v in q]) for q in p], "n_tokens long, posterior array<double>")
+    rate, _ = mixing._replay(p, mixing.fit_rates(rows, ["good", "rough", "toxic"], mixing.TARGETS), 1.0)
+    assert (rate >= 0).all() and np.allclose((p * rate[:, None]).mean(axis=0), [0.92, 0.07, 0.01], rtol=2e-3, atol=0)
+
+
+def test_infeasible_targets_leave_the_least_residual(spark):
+    p = np.array([[0.8, 0.2], [0.9, 0.1]] * 20)
+    rows = spark.createDataFrame([(10, [float(v) for v in q]) for q in p], "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="residual"):
+        errors = mixing.fit_rates(rows, ["a", "b"], {"a": 0.5, "b": 0.5})
+    rate, _ = mixing._replay(p, errors, 1.0)
+    got = (p * rate[:, None]).mean(axis=0)
+    scale = 0.5 / 0.68
+    assert np.linalg.norm(got - 0.5) <= 1.02 * np.linalg.norm([0.8 * scale - 0.5, 0.2 * scale - 0.5])
+
+
 def test_mixing_edge_cases(spark):
     docs = cases.documents(spark)
     got = mixing.rates(docs, cases.labels(spark)).collect()
