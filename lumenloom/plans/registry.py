@@ -250,6 +250,12 @@ def join_21_frame_separation(spark, sf_dir):
     return frames.separation(dynamic).select("frame", r6("least").alias("least"), "n_pairs")
 
 
+@query()
+def join_21_all_frame_separation(spark, sf_dir):
+    """The least distance and the number of pairs over all traps of a frame."""
+    return frames.closest(views.trap_frames(spark, sf_dir)).select("frame", r6("least").alias("least"), "n_pairs")
+
+
 @query(with_views("frames") + " SELECT trap_id, list(frame ORDER BY frame) AS frames_seen, count(*) AS n FROM frames GROUP BY trap_id")
 def gen_02_pivot(spark, sf_dir):
     f = views.trap_frames(spark, sf_dir)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry, hashing, numeric
 from lumenloom.functions.numeric import lit
-from lumenloom.operators import assignment, joins, order, rasters, validate
+from lumenloom.operators import assignment, frames, joins, order, rasters, validate
+from lumenloom.plans import registry, views
 from lumenloom.sources import packed, points
 from lumenloom.streaming import sequence
 
@@ -132,3 +133,20 @@ def test_streaming_state_survives_replay(spark, tmp_path):
     run()
     got = {tuple(r) for r in spark.read.parquet(str(out)).collect()}
     assert got == {(1, 0, None), (1, 1, 1.0), (2, 0, None), (1, 2, 2.0), (2, 1, -1.0)}
+
+
+def test_closest_pairs_of_all_traps(spark):
+    rng = np.random.default_rng(4)
+    sets = [rng.random((60, 2)) * 100, rng.random((300, 2)) ** 8 * 100, np.array([[1.0, 2.0], [5.0, 5.0], [1.0, 2.0]]), np.array([[0.0, 0.0], [0.0, 7.0]]), np.array([[3.0, 3.0]])]
+    rows = [(k, n, float(x), float(y)) for k, s in enumerate(sets) for n, (x, y) in enumerate(s)]
+    got = {r.frame: (r.least, r.n_pairs) for r in frames.closest(spark.createDataFrame(rows, "frame long, trap_id long, x double, y double")).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for k, s in enumerate(sets[:4]):
+        d = np.sqrt(((s[:, None] - s[None]) ** 2).sum(axis=2))[np.triu_indices(len(s), 1)]
+        assert abs(got[k][0] - d.min()) < 1e-9 and got[k][1] == len(d)
+
+
+def test_separation_of_all_traps_of_the_tables(spark, sf_dir):
+    wanted = {r.frame: (r.least, r.n_pairs) for r in frames.separation(views.trap_frames(spark, sf_dir)).collect()}
+    got = {r.frame: (r.least, r.n_pairs) for r in registry.join_21_all_frame_separation(spark, sf_dir).collect()}
+    assert set(got) == set(wanted) and all(abs(got[k][0] - v[0]) < 1e-6 and got[k][1] == v[1] for k, v in wanted.items())
