@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenloom.functions.geometry import distance, distance_squared
+from lumenloom.functions.geometry import distance, distance_squared, segments_cross
 from lumenloom.functions.numeric import lerp, lit
 from lumenloom.functions import motion
 from lumenloom.operators.order import numbered
@@ -59,6 +59,26 @@ def segments(waypoints: DataFrame) -> DataFrame:
     return waypoints.select("*", *ends).where("arrival_end is not null")
 
 
+def crossings(parts: DataFrame, cell: float = 10.0) -> DataFrame:
+    """(a_id, b_id, first_conflict, n_conflicts) of all pairs of trajectories with segments of the
+    same seq that share a point; parts: trajectory, seq, x, y, x_end, y_end.
+
+    Segments meet in the grid cells that their bounding boxes have in common, and a pair is taken
+    in the lowest of these only, so that it comes once.
+    """
+    edge = lambda pick, c, more: F.floor((pick(c, f"{c}_end") + lit(more)) / lit(cell)).cast("long")
+    low = {c: edge(F.least, c, -1e-9) for c in "xy"}
+    high = {c: edge(F.greatest, c, 1e-9) for c in "xy"}
+    s = parts.select("trajectory", "seq", "x", "y", "x_end", "y_end", low["x"].alias("lx"), low["y"].alias("ly"), F.explode(F.sequence(low["x"], high["x"])).alias("cx"), F.sequence(low["y"], high["y"]).alias("cys"))
+    s = s.select("*", F.explode("cys").alias("cy")).drop("cys")
+    o = s.select("seq", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end", "lx", "ly")])
+    lowest = (F.col("cx") == F.greatest("lx", "o_lx")) & (F.col("cy") == F.greatest("ly", "o_ly"))
+    at = lambda p, e="": (F.col(f"{p}x{e}"), F.col(f"{p}y{e}"))
+    hit = segments_cross(at(""), at("", "_end"), at("o_"), at("o_", "_end"))
+    pairs = s.join(o, ["seq", "cx", "cy"]).where((F.col("trajectory") < F.col("o_trajectory")) & lowest).where(hit)
+    return pairs.groupBy(F.col("trajectory").alias("a_id"), F.col("o_trajectory").alias("b_id")).agg(F.min("seq").alias("first_conflict"), F.count("*").alias("n_conflicts"))
+
+
 def sample_at(waypoints: DataFrame, times: DataFrame, time: str = "t") -> DataFrame:
     """Position of every trajectory at the given times by minimum-jerk motion.
 

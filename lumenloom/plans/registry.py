@@ -210,6 +210,12 @@ def join_12_path_conflicts(spark, sf_dir):
     return pairs.where(hit).groupBy(F.col("trajectory").alias("a_id"), F.col("other").alias("b_id")).agg(F.min("seq").alias("first_conflict"), F.count("*").alias("n_conflicts"))
 
 
+@query()
+def join_12_all_path_conflicts(spark, sf_dir):
+    """First and number of crossings of simultaneous segments, for all pairs of trajectories."""
+    return joins.crossings(joins.segments(views.waypoints(spark, sf_dir)))
+
+
 # --- frames ---------------------------------------------------------------------------------
 
 
