@@ -560,6 +560,15 @@ def src_05_code_tables(spark, sf_dir):
     return rows.select("vec_id", "n").join(found, "vec_id")
 
 
+@query()
+def src_05_all_code_tables(spark, sf_dir):
+    """Code tables of whole vectors."""
+    text = F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), "; ")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), text.alias("text"))
+    found = points.code_table(rows, "vec_id", "text").select("vec_id", "monotone")
+    return rows.select("vec_id", "n").join(found, "vec_id")
+
+
 @query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), s AS (SELECT c_custkey AS sample_id, (7919 * c_custkey + 13) % n AS stratum, n FROM customer, n) SELECT sample_id, stratum, CAST(floor(1e1 + 4e1 * stratum / greatest(n - 1, 1) + 5e-1) AS BIGINT) AS even_count, CAST(floor(exp(ln(2e3) * stratum / greatest(n - 1, 1)) + 5e-1) AS BIGINT) AS log_count FROM s")
 def gen_15_schedule(spark, sf_dir):
     c = table(spark, sf_dir, "customer")

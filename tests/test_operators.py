@@ -161,3 +161,10 @@ def test_crossings_of_all_paths(spark, sf_dir):
     wanted = {tuple(r) for r in every.collect()}
     assert {tuple(r) for r in registry.join_12_all_path_conflicts(spark, sf_dir).collect()} == wanted
     assert any(b > a + 3 for a, b, *_ in wanted)
+
+
+def test_code_tables_of_whole_vectors(spark, tmp_path):
+    rise = [float(k) for k in range(64)]
+    spark.createDataFrame([(1, rise), (2, rise[:20] + rise[:44]), (3, rise[::-1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n, r.monotone) for r in registry.src_05_all_code_tables(spark, str(tmp_path)).collect()}
+    assert got == {1: (64, True), 2: (64, False), 3: (64, True)}
