@@ -1,9 +1,13 @@
 """License scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Units are the lines and paragraphs of a text and the text itself. A unit is compared only with
-templates that share a bigram with it and whose size lets the coefficient reach the threshold:
-2 min(a, b) / (a + b) bounds it, so sizes outside [t / (2 - t), (2 - t) / t] times a template's
-are skipped. Bigrams count with their multiplicity.
+Units are the lines and paragraphs of a text, the text itself, and windows of its words. A unit is
+compared only with templates that share a bigram with it and whose size lets the coefficient reach
+the threshold: 2 min(a, b) / (a + b) bounds it, so sizes outside [t / (2 - t), (2 - t) / t] times a
+template's are skipped. Bigrams count with their multiplicity. Windows have every size within these
+bounds and slide over the whole text; cutting a bigram at an end that isn't shared only raises the
+coefficient, so they start and end with shared ones. Of overlapping windows of one template the
+best stays, of several templates the one that shares the most bigrams; a window within a line,
+paragraph or text that matched the same template is not told again.
 
 Defined cases: null, empty and word-free texts match nothing; of equal coefficients the first
 template in the order of ids wins; repeated documents are scanned each; extra columns are ignored.
@@ -11,7 +15,9 @@ template in the order of ids wins; repeated documents are scanned each; extra co
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect
 from collections import Counter
 
 import pandas as pd
@@ -38,6 +44,13 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: The conditions above with the disclaimers that complete files add.
+TEMPLATES |= {
+    "bsd-2-clause-text": TEMPLATES["bsd-2-clause"] + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "isc-text": TEMPLATES["isc"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit-text": TEMPLATES["mit"] + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+}
+
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 
@@ -52,6 +65,18 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / total if total else 0.0
 
 
+def _apart(ranked: list[tuple]) -> list[tuple]:
+    """Of windows (.., .., first, last, ..) each that overlaps none before it."""
+    kept: list[tuple] = []
+    starts: list[int] = []
+    for w in ranked:
+        k = bisect(starts, w[2])
+        if (k == 0 or kept[k - 1][3] < w[2]) and (k == len(kept) or w[3] < kept[k][2]):
+            kept.insert(k, w)
+            starts.insert(k, w[2])
+    return kept
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.threshold = threshold
@@ -81,31 +106,87 @@ class Scanner:
                 best = (name, value)
         return best
 
-    def scan(self, text: str | None) -> list[tuple[str, float, str]]:
-        """(template, coefficient, unit) of every unit that matches; units are 'line 3' and so on."""
+    def _slide(self, name: str, at: list[int], pairs: list[tuple[str, str]]) -> list[tuple[float, int, int, int]]:
+        """(coefficient, shared, first, last bigram) of the best windows of a template, none overlapping;
+        at: places of its bigrams."""
+        n, wanted = self.sizes[name], self.templates[name]
+        low, high = self.bounds[name]
+        need, high = max(1, math.ceil(low - 1e-9)), high + 1e-9
+        found = []
+        for k in range(len(at) - need + 1):
+            first = at[k]
+            if at[k + need - 1] - first >= high:
+                continue
+            left, shared, best = {}, 0, None
+            for last in at[k:]:
+                size = last - first + 1
+                if size > high:
+                    break
+                pair = pairs[last]
+                more = left.get(pair, wanted[pair])
+                if more:
+                    left[pair] = more - 1
+                    shared += 1
+                    value = 2 * shared / (size + n)
+                    if value >= self.threshold and (best is None or value > best[0]):
+                        best = (value, shared, first, last)
+            if best:
+                found.append(best)
+        return _apart(sorted(found, key=lambda w: (-w[0], -w[1], w[2])))
+
+    def windows(self, words: list[str]) -> list[tuple[str, float, int, int]]:
+        """(template, coefficient, first, last word) of every window that matches."""
+        if self.firsts.isdisjoint(words):
+            return []
+        pairs = list(zip(words, words[1:]))
+        places: dict[str, list[int]] = {}
+        for k, pair in enumerate(pairs):
+            if pair in self.by_bigram:
+                for name in self.by_bigram[pair]:
+                    places.setdefault(name, []).append(k)
+        found = [(*w, name) for name, at in sorted(places.items()) for w in self._slide(name, at, pairs)]
+        kept = _apart(sorted(found, key=lambda w: (-w[1], -w[0], w[2], w[4])))
+        return [(name, value, first, last + 1) for value, _, first, last, name in sorted(kept, key=lambda w: w[2])]
+
+    def scan(self, text: str | None, windows: bool = False) -> list[tuple[str, float, str]]:
+        """(template, coefficient, unit) of every unit that matches; units are 'line 3', 'words 5-9' and so on."""
         if not text:
             return []
         lines = [_WORD.findall(line) for line in text.lower().split("\n")]
-        found = [(*hit, f"line {n}") for n, words in enumerate(lines, 1) if (hit := self.unit(words))]
+        everything = [w for words in lines for w in words]
+        found, told, start = [], [], 0
+        for n, words in enumerate(lines, 1):
+            if hit := self.unit(words):
+                found.append((*hit, f"line {n}"))
+                told.append((hit[0], start, start + len(words)))
+            start += len(words)
         if len(lines) > 1:
-            everything = [w for words in lines for w in words]
             if hit := self.unit(everything):
                 found.append((*hit, "text"))
+                told.append((hit[0], 0, len(everything)))
             if len(paragraphs := _PARAGRAPH.split(text.lower())) > 1:
+                start = 0
                 for n, paragraph in enumerate(paragraphs, 1):
-                    if "\n" in paragraph and (hit := self.unit(_WORD.findall(paragraph))):
+                    words = _WORD.findall(paragraph)
+                    if "\n" in paragraph and (hit := self.unit(words)):
                         found.append((*hit, f"paragraph {n}"))
+                        told.append((hit[0], start, start + len(words)))
+                    start += len(words)
+        for name, value, first, last in self.windows(everything) if windows else ():
+            if not any(name == t and low <= first and last < high for t, low, high in told):
+                found.append((name, value, f"words {first + 1}-{last + 1}"))
         return found
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, n_matches, license (the best), dice, matches (all)."""
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8, windows: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_matches, license (the best), dice, matches (all).
+    windows: notices beside other words count too, not just those that fill a line, paragraph or text."""
     given = TEMPLATES if templates is None else templates
 
     @F.pandas_udf("array<struct<license:string,dice:double,unit:string>>")
     def each(texts: pd.Series) -> pd.Series:
         scanner = Scanner(given, threshold)
-        return pd.Series([[{"license": n, "dice": d, "unit": u} for n, d, u in scanner.scan(t)] for t in texts])
+        return pd.Series([[{"license": n, "dice": d, "unit": u} for n, d, u in scanner.scan(t, windows)] for t in texts])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias(doc_id), each(F.col(f"`{text}`")).alias("matches"))
     ranked = F.array_sort(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("minus"), m["license"].alias("license"))))

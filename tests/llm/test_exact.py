@@ -336,6 +336,37 @@ def test_size_bounds_lose_no_template(words):
 # --- Gumbel top-k ---------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Copyright 2020 Foo Inc. All rights reserved.", "all-rights-reserved"),
+        ("// Released under the MIT License. See LICENSE for details.", "mit-line"),
+        ("Some prose about a cat that goes on for a while. " * 5 + "Licensed under the Apache License, Version 2.0.", "apache-2.0-line"),
+        ("# tool of Foo\n# Released under\n# the MIT License.\n# version 3\n", "mit-line"),
+        ("BSD 2-Clause License\n\nCopyright (c) 2020, Foo\n\n" + licenses.TEMPLATES["bsd-2-clause"].replace(": 1.", ":\n\n1.").replace(" 2. ", "\n\n2. ") + "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "bsd-2-clause"),
+    ],
+)
+def test_notices_beside_other_words(text, name):
+    assert name in {hit[0] for hit in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text, windows=True)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("a b c d".split()), min_size=2, max_size=30))
+def test_windows_against_all_windows(words):
+    scanner = licenses.Scanner({"t": "a b c d a b", "u": "c c d"}, 0.8)
+    best = {}
+    for name, wanted in scanner.templates.items():
+        values = [licenses.dice(licenses.bigrams(" ".join(words[i:j])), wanted) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        best[name] = max(values, default=0)
+    got = scanner.windows(words)
+    assert all(abs(licenses.dice(licenses.bigrams(" ".join(words[i : j + 1])), scanner.templates[n]) - v) < 1e-12 for n, v, i, j in got)
+    assert bool(got) == (max(best.values()) >= 0.8)
+    pairs = list(zip(words, words[1:]))
+    for name, wanted in scanner.templates.items():
+        at = [k for k, pair in enumerate(pairs) if pair in wanted]
+        assert max([w[0] for w in scanner._slide(name, at, pairs)], default=0) == (best[name] if best[name] >= 0.8 else 0)
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(8)
     values = np.concatenate([rng.normal(0, 1e3, 400), np.repeat(2.5, 50), [1e9, -1e9]])
