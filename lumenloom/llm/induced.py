@@ -6,7 +6,8 @@ induced. Induction extracts suffix tuples from a priority queue by (first charac
 entry) and enters their predecessors, first ascending for L, then descending for S suffixes. Each
 tuple carries its common prefix with the one before it: one more than the least value met in the
 queue since the last entry of the same character. The queue keeps a bounded number of tuples in
-memory and the rest in one temporary file for each character, so that a shard may exceed memory.
+memory and the rest in one temporary file for each character, but text, words and order of a shard are in memory as well, so a
+shard must fit.
 
 The names of the S* substrings are ranked by doubling: a text of bounded length has few of them.
 """
