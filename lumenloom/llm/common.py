@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where none is named."""
+    """The folder that the driver and all executors see. A local run may do without a named one; on a
+    cluster rows written to a machine's own disk would be lost, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lumenloom.shared.dir", None)
     if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lumenloom-')}"
         spark.conf.set("lumenloom.shared.dir", named)
     return named.rstrip("/")
@@ -51,25 +56,42 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, per_class: int, max_bytes: int, seed: int):
-    """At most per_class rows of each label in a fixed hash order, and at most max_bytes of text.
+#: Candidates looked at for each row that a class may give, so that long texts can be passed over.
+SPARE = 4
 
-    labels has one row for each doc_id. Only keys and lengths are joined and ordered; texts are
-    fetched for the chosen keys alone. Returns a pandas frame (key, label, text): all that a fit on
-    the driver sees.
+
+def bounded_sample(docs: DataFrame, labels: DataFrame | None, *, doc_id: str, text: str, label: str, per_class: int, max_bytes: int, seed: int):
+    """At most per_class rows of each label in a fixed hash order, within max_bytes of text.
+
+    Each class may use its equal part of max_bytes; a text above what is left of it is passed over for
+    one of the next rows (SPARE times per_class are looked at). A class none of whose candidates fits
+    gives the shortest of them, so that no class is missing. No class is left out, however many there are.
+
+    labels: one row for each doc_id; None: the label is a column of docs. Rows that repeat a doc_id
+    count once, with the least text. Only keys, labels and lengths are ordered, in one pass for all
+    classes, each partition keeping the first ones of a class; texts are fetched for the chosen keys
+    alone. Returns a pandas frame (key, label, text): all that a fit on the driver sees.
     """
     spark = docs.sparkSession
-    sizes = docs.select(F.col(f"`{doc_id}`").alias("key"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).alias("size")).where("key is not null")
-    marks = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("string").alias("label")).where("label is not null")
-    sized = sizes.join(marks, "key").select("key", "label", "size")
-    classes = [r[0] for r in sized.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect()]
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).alias("size")
+    sizes = docs.select(F.col(f"`{doc_id}`").alias("key"), size, *([F.col(f"`{label}`").cast("string").alias("label")] if labels is None else [])).where("key is not null")
+    if labels is not None:
+        sizes = sizes.join(labels.select(F.col(doc_id).alias("key"), F.col(label).cast("string").alias("label")), "key")
+    order = W.partitionBy("label").orderBy(F.xxhash64(F.col("key").cast("string"), F.lit(seed)), "key", F.desc("size"))
+    first = sizes.where("label is not null").withColumn("at", F.row_number().over(order)).where(F.col("at") <= SPARE * per_class)
+    ranked = first.groupBy("label", "key").agg(F.min("at").alias("at"), F.max("size").alias("size")).orderBy("label", "at").collect()
+    by_class: dict[str, list] = {}
+    for r in ranked:
+        by_class.setdefault(r["label"], []).append(r)
     chosen = []
-    for name in classes:
-        budget = max_bytes // len(classes)
-        for r in sized.where(F.col("label") == name).orderBy(F.xxhash64(F.col("key").cast("string"), F.lit(seed)), "key").limit(per_class).collect():
-            if r["size"] <= budget:
-                chosen.append((r["key"], r["label"]))
+    for name, rows in by_class.items():
+        budget, taken = max_bytes // len(by_class), []
+        for r in rows:
+            if r["size"] <= budget and len(taken) < per_class:
+                taken.append((r["key"], name))
                 budget -= r["size"]
+        chosen += taken or [(min(rows, key=lambda r: (r["size"], r["at"]))["key"], name)]
     picked = spark.createDataFrame(chosen, "key long, label string")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "key")
-    return rows.select("key", "label", "text").toPandas().sort_values(["key", "label", "text"], kind="stable").drop_duplicates(["key"]).reset_index(drop=True)
+    texts = docs.select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "key")
+    once = texts.groupBy("key", "label").agg(F.min("text").alias("text"))
+    return once.toPandas().sort_values(["key", "label"], kind="stable").reset_index(drop=True)

@@ -6,14 +6,13 @@ by its accuracy on rows set aside, and takes the least. Where the two least are
 flagged as ambiguous. The fit sees at most `per_class` rows of each language and `max_bytes` of
 text, outside the held-out fold; each also in a short excerpt, so that short texts are met.
 
-Defined cases: null text, or text without a letter, is `und` with score 0; a null or missing
+Defined cases: null text, or text without a letter (Unicode category L), is `und` with score 0; a null or missing
 language is never learned; with one language all texts with a letter get it; without any, `und`;
 a null doc_id is not held out; repeated documents are predicted each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import product
 
 import numpy as np
@@ -22,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm import linear, textkit
+from lumenloom.llm import linear
 from lumenloom.llm.common import bounded_sample, fold, give_back
 
 BUCKETS = 4096
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def codewords(classes: int, seed: int = 6) -> np.ndarray:
@@ -47,8 +45,8 @@ def codewords(classes: int, seed: int = 6) -> np.ndarray:
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = 400, max_bytes: int = 12 << 20) -> dict:
-    usable = docs.where((fold(F.col(doc_id)) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(doc_id).agg(F.min(lang).alias("known_lang"))
-    sample = bounded_sample(docs, usable, doc_id=doc_id, text=text, label="known_lang", per_class=per_class, max_bytes=max_bytes, seed=6)
+    known = docs.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{text}`").alias("body"), F.col(f"`{lang}`").alias("known")).where((fold(F.col("of")) != 2) & F.col("known").isNotNull() & F.col("body").isNotNull())
+    sample = bounded_sample(known, None, doc_id="of", text="body", label="known", per_class=per_class, max_bytes=max_bytes, seed=6).drop_duplicates(["key"])
     names = sorted(sample["label"].unique())
     code = codewords(len(names))
     model = {"names": names, "code": code, "weights": np.zeros((BUCKETS, code.shape[1]), np.float32), "bias": np.zeros(code.shape[1], np.float32), "trust": np.ones(code.shape[1])}
@@ -61,7 +59,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         words = t.split()
         at = int(rng.integers(0, max(1, len(words) - 8)))
         excerpts.append(" ".join(words[at : at + int(rng.integers(2, 9))]))
-    x = linear.matrix(texts + excerpts, linear.byte_grams, textkit.LETTER_BYTES, BUCKETS)
+    x = linear.matrix(texts + excerpts, linear.byte_grams, BUCKETS)
     bits = np.tile(code[np.searchsorted(names, sample["label"])] > 0, (2, 1)).astype(np.float32)
     aside = np.arange(len(x)) % 5 == 4
     weights, bias = linear.fit_binary(x[~aside], bits[~aside])
@@ -88,11 +86,11 @@ def identify(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str
     def predicted(texts: pd.Series) -> pd.DataFrame:
         give_back()
         model = shipped.value
-        plain = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool) & bool(model["names"])
+        plain = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool) & bool(model["names"])
         if not plain.any():
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "ambiguous": True})
         column = pa.array(texts.where(texts.notna(), ""), pa.large_string())
-        bits, _ = linear.applied(column, linear.byte_grams, textkit.LETTER_BYTES, model["weights"], model["bias"])
+        bits = linear.applied(linear.byte_grams(column, BUCKETS), len(texts), model["weights"], model["bias"])
         best, p, gap = decode(model, bits)
         names = np.array(model["names"], dtype=object)[best]
         return pd.DataFrame({"lang_pred": np.where(plain, names, "und"), "score": np.where(plain, p, 0.0), "ambiguous": ~plain | (gap < margin)})

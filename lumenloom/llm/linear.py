@@ -12,32 +12,44 @@ from lumenloom.llm import textkit
 BLOCK = 256
 
 
-def byte_grams(seg: textkit.Segment, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, bucket) of the byte 2-, 3- and 4-grams inside words."""
-    pieces, found = [], []
-    for at, bucket in textkit.word_grams(seg.buf, range(2, 5), buckets.bit_length() - 1):
-        real = (at < seg.size) & ((seg.buf[at] != textkit.SPACE) | (seg.buf[at + 1] != textkit.SPACE))
-        pieces.append(np.searchsorted(seg.starts, at[real], side="right") - 1)
-        found.append(bucket[real])
-    return np.concatenate(pieces), np.concatenate(found)
-
-
-def token_features(seg: textkit.Segment, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes, piece, _ = textkit.token_grams(seg)
-    return piece, (hashes >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
-
-
-def histograms(column: pa.Array, features: Callable, keep: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, counts) for blocks of texts; a row may come in several blocks if its text is long."""
-    for seg in textkit.segments(column, keep):
-        piece, bucket = features(seg, buckets)
-        order = np.argsort(piece, kind="stable")
-        piece, bucket = piece[order], bucket[order]
-        for low in range(0, len(seg.rows), BLOCK):
-            high = min(low + BLOCK, len(seg.rows))
-            i, j = np.searchsorted(piece, (low, high))
-            flat = np.bincount((piece[i:j] - low) * buckets + bucket[i:j], minlength=(high - low) * buckets)
-            yield seg.rows[low:high], flat.reshape(high - low, buckets)
+def byte_grams(column: pa.Array, buckets: int) -> Iterator[tuple[textkit.Segment, np.ndarray, np.ndarray]]:
+    """(segment, piece, bucket) of the byte 2-, 3- and 4-grams inside words of letters."""
+    for seg in textkit.segments(column, textkit.LETTER_BYTES):
+        pieces, found = [], []
+        for at, bucket in textkit.word_grams(seg.buf, range(2, 5), buckets.bit_length() - 1):
+            real = (at < seg.size) & ((seg.buf[at] != textkit.SPACE) | (seg.buf[at + 1] != textkit.SPACE))
+            pieces.append(np.searchsorted(seg.starts, at[real], side="right") - 1)
+            found.append(bucket[real])
+        yield seg, np.concatenate(pieces), np.concatenate(found)
+
+
+def token_features(column: pa.Array, buckets: int) -> Iterator[tuple[textkit.Segment, np.ndarray, np.ndarray]]:
+    """(segment, piece, bucket) of tokens and neighbouring pairs."""
+    for seg, hashes, piece, _ in textkit.token_grams(column):
+        yield seg, piece, (hashes >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+def histograms(features: Iterator[tuple[textkit.Segment, np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, counts) for blocks of texts; each row comes once, with the counts of its whole text."""
+    held_row, held = -1, None
+    for seg, piece, bucket in features:
+        rows = np.unique(seg.rows)
+        local = np.searchsorted(rows, seg.rows)[piece]
+        order = np.argsort(local, kind="stable")
+        local, bucket = local[order], bucket[order]
+        for low in range(0, len(rows), BLOCK):
+            high = min(low + BLOCK, len(rows))
+            i, j = np.searchsorted(local, (low, high))
+            counts = np.bincount((local[i:j] - low) * buckets + bucket[i:j], minlength=(high - low) * buckets).reshape(high - low, buckets)
+            if held is not None and held_row == rows[low]:
+                counts[0] += held
+            elif held is not None:
+                yield np.array([held_row]), held[None]
+            if high - low > 1:
+                yield rows[low : high - 1], counts[:-1]
+            held_row, held = rows[high - 1], counts[-1].copy()
+    if held is not None:
+        yield np.array([held_row]), held[None]
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -45,21 +57,19 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def matrix(texts: list[str], features: Callable, keep: np.ndarray, buckets: int) -> np.ndarray:
+def matrix(texts: list[str], features: Callable, buckets: int) -> np.ndarray:
     total = np.zeros((len(texts), buckets), np.float32)
-    for rows, counts in histograms(pa.array(texts, pa.large_string()), features, keep, buckets):
-        np.add.at(total, rows, counts)
-    return shares(total)
-
-
-def applied(column: pa.Array, features: Callable, keep: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of every text, and its number of features. Long texts average their pieces' vectors."""
-    logits, mass = np.zeros((len(column), weights.shape[1])), np.zeros(len(column))
-    for rows, counts in histograms(column, features, keep, len(weights)):
-        amount = counts.sum(axis=1)
-        np.add.at(logits, rows, (shares(counts) @ weights) * amount[:, None])
-        np.add.at(mass, rows, amount)
-    return logits / np.maximum(mass, 1)[:, None] + bias, mass
+    for rows, counts in histograms(features(pa.array(texts, pa.large_string()), buckets), buckets):
+        total[rows] = shares(counts)
+    return total
+
+
+def applied(features: Iterator[tuple[textkit.Segment, np.ndarray, np.ndarray]], n: int, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits of n whole texts."""
+    logits = np.zeros((n, weights.shape[1]))
+    for rows, counts in histograms(features, len(weights)):
+        logits[rows] = shares(counts) @ weights
+    return logits + bias
 
 
 def _descend(x: np.ndarray, outputs: int, slope_of: Callable, epochs: int, rate: float, ridge: float):

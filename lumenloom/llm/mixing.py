@@ -13,7 +13,7 @@ Defined cases: null and empty texts have no tokens, posterior of the empty text
 move no total); labels that name no document are ignored, several labels of one doc_id take the
 largest; without labels there is one domain and all rates are equal; targets are shares and are
 normalised, domains without a target get 0; repeated documents have a rate each; extra columns
-are ignored by `rates` and kept by `mix`.
+are ignored, but for those named in `carry`.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def train(docs: DataFrame, domains: DataFrame, *, doc_id: str = "doc_id", text:
     model = {"names": names, "weights": np.zeros((BUCKETS, len(names)), np.float32), "bias": np.zeros(len(names), np.float32)}
     if len(names) < 2:
         return model
-    x = linear.matrix(sample["text"].fillna("").tolist(), linear.token_features, textkit.IDENTITY, BUCKETS)
+    x = linear.matrix(sample["text"].fillna("").tolist(), linear.token_features, BUCKETS)
     index = np.searchsorted(names, sample["label"])
     weight = np.array([counts[n] for n in names])[index] / np.bincount(index)[index]
     weights, bias = linear.fit_softmax(x, index, len(names), weight)
@@ -64,21 +64,13 @@ def posteriors(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: st
         model = shipped.value
         column = pa.array(texts, pa.large_string(), from_pandas=True)
         amount = np.zeros(len(texts), np.int64)
-        logits, mass = np.zeros((len(texts), len(model["names"]))), np.zeros(len(texts))
-        for seg in textkit.segments(column, textkit.IDENTITY):
-            hashes, piece, tokens = textkit.token_grams(seg)
-            np.add.at(amount, seg.rows, tokens)
-            bucket = (hashes >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
-            order = np.argsort(piece, kind="stable")
-            piece, bucket = piece[order], bucket[order]
-            for low in range(0, len(seg.rows), linear.BLOCK):
-                high = min(low + linear.BLOCK, len(seg.rows))
-                i, j = np.searchsorted(piece, (low, high))
-                counts = np.bincount((piece[i:j] - low) * BUCKETS + bucket[i:j], minlength=(high - low) * BUCKETS).reshape(high - low, BUCKETS)
-                size = counts.sum(axis=1)
-                np.add.at(logits, seg.rows[low:high], (linear.shares(counts) @ model["weights"]) * size[:, None])
-                np.add.at(mass, seg.rows[low:high], size)
-        p = linear.softmax(logits / np.maximum(mass, 1)[:, None] + model["bias"])
+
+        def features() -> Iterator[tuple[textkit.Segment, np.ndarray, np.ndarray]]:
+            for seg, hashes, piece, tokens in textkit.token_grams(column):
+                np.add.at(amount, seg.rows, tokens)
+                yield seg, piece, (hashes >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+
+        p = linear.softmax(linear.applied(features(), len(texts), model["weights"], model["bias"]))
         return pd.DataFrame({"n_tokens": amount, "posterior": list(p)})
 
     rows = docs.select(F.col(f"`{doc_id}`").alias(doc_id), *[F.col(f"`{c}`") for c in carry], predicted(F.col(f"`{text}`")).alias("p"))

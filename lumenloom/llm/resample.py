@@ -20,46 +20,72 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lumenloom.llm import textkit
 from lumenloom.llm.common import materialize
 
 BUCKETS = 10_000
-BROADCAST_IDS = 2_000_000
+#: Rows of 64 slots that a broadcast set of target ids may have: 4 MB.
+SET_ROWS = 1 << 18
 
 
-def _buckets(seg: textkit.Segment) -> tuple[np.ndarray, np.ndarray]:
-    hashes, piece, _ = textkit.token_grams(seg)
-    return ((hashes >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), piece
+def _buckets(column: pa.Array) -> Iterator[tuple[textkit.Segment, np.ndarray, np.ndarray]]:
+    for seg, hashes, piece, _ in textkit.token_grams(column):
+        yield seg, ((hashes >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), piece
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros((2, BUCKETS), np.int64)
+    totals = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for seg in textkit.segments(batch.column(0), textkit.IDENTITY):
-            bucket, piece = _buckets(seg)
-            totals[0] += np.bincount(bucket, minlength=BUCKETS)
-            totals[1] += np.bincount(bucket[target[seg.rows[piece]]], minlength=BUCKETS)
-    yield pa.RecordBatch.from_pydict({"bucket": np.arange(BUCKETS), "raw": totals[0], "target": totals[1]})
+        for _, bucket, _ in _buckets(batch.column(0)):
+            totals += np.bincount(bucket, minlength=BUCKETS)
+    yield pa.RecordBatch.from_pydict({"bucket": np.arange(BUCKETS), "n": totals})
+
+
+def counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in all texts of a one-column table; one row for each bucket and
+    task is all that is shuffled."""
+    found = texts.mapInArrow(_counting, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(BUCKETS, np.int64)
+    total[found["bucket"]] = found["n"]
+    return total
+
+
+def _target_texts(docs: DataFrame, target_ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The texts of the target rows.
+
+    A set of slots, 64 in a row, is broadcast only if it has at most SET_ROWS rows (4 MB). Whole
+    numbers are their own slots while that fits, and no text is shuffled. Otherwise slots are hashes
+    into a set of the same bound, and texts that pass meet the ids in a join.
+    """
+    ids = target_ids.select(F.col(doc_id).alias("target_id")).where("target_id is not null").distinct()
+    bare = docs.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{text}`").alias("text")).where("of is not null")
+
+    def slots_of(slot: Column) -> DataFrame:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+        return ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+    def passing(slot: Column, words: DataFrame) -> DataFrame:
+        hit = F.call_function("shiftright", F.col("bits"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return bare.join(F.broadcast(words), F.shiftright(slot, 6) == F.col("word")).where(hit)
+
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        words = slots_of(F.col("target_id").cast("long"))
+        if words.count() <= SET_ROWS:
+            return passing(F.col("of").cast("long"), words).select("text")
+    hashed = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(64 * SET_ROWS))
+    return passing(hashed("of"), slots_of(hashed("target_id"))).join(ids, F.col("of") == F.col("target_id"), "left_semi").select("text")
 
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """log(target / raw) of each bucket, both smoothed, over all documents and all target rows."""
-    ids = target_ids.select(F.col(doc_id).alias("target_id")).where("target_id is not null").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    bare = docs.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{text}`").alias("text"))
-    marked = bare.join(ids, F.col("of") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("hit"))
-    counted = marked.mapInArrow(_counting, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    frame = counted.toPandas()
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    raw[frame["bucket"]] += frame["raw"].to_numpy()
-    target[frame["bucket"]] += frame["target"].to_numpy()
-    if not len(frame) or frame["target"].sum() == 0:
+    target = counts(_target_texts(docs, target_ids, doc_id, text))
+    if not target.any():
         return np.zeros(BUCKETS)
+    raw, target = counts(docs.select(F.col(f"`{text}`"))) + 1.0, target + 1.0
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -70,8 +96,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, *, doc_id: str = "doc_id", text:
     @F.pandas_udf("struct<n_grams:long,log_ratio:double>")
     def weigh(texts: pd.Series) -> pd.DataFrame:
         total, amount = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for seg in textkit.segments(pa.array(texts, pa.large_string(), from_pandas=True), textkit.IDENTITY):
-            bucket, piece = _buckets(seg)
+        for seg, bucket, piece in _buckets(pa.array(texts, pa.large_string(), from_pandas=True)):
             np.add.at(total, seg.rows, np.bincount(piece, shipped.value[bucket], minlength=len(seg.rows)))
             np.add.at(amount, seg.rows, np.bincount(piece, minlength=len(seg.rows)))
         return pd.DataFrame({"n_grams": amount, "log_ratio": total})

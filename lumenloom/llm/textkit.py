@@ -20,6 +20,10 @@ for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 #: As WORD_BYTES without digits.
 LETTER_BYTES = WORD_BYTES.copy()
 LETTER_BYTES[0x30:0x3A] = SPACE
+IDENTITY = np.arange(256, dtype=np.uint8)
+#: 0 for white space and control bytes, 1 for bytes of words, 2 for punctuation.
+BYTE_CLASS = np.where(WORD_BYTES != SPACE, 1, np.where(IDENTITY <= SPACE, 0, 2)).astype(np.uint8)
+BYTE_CLASS[0x7F] = 0
 
 
 @dataclass
@@ -46,11 +50,23 @@ def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
+def _cut(piece: np.ndarray) -> int:
+    """Where to cut a piece of a longer text: behind its last space, else between its last two
+    tokens; a token that fills the piece is cut at its end."""
+    kinds = BYTE_CLASS[piece]
+    gaps = np.flatnonzero(kinds == 0)
+    if len(gaps):
+        return int(gaps[-1]) + 1
+    changes = np.flatnonzero(kinds[1:] != kinds[:-1])
+    return int(changes[-1]) + 1 if len(changes) else len(piece)
+
+
 def segments(column: pa.Array | pa.ChunkedArray, keep: np.ndarray, lower: bool = True, limit: int = SEGMENT_BYTES) -> Iterator[Segment]:
     """All texts of the column, bytes mapped by `keep`, about `limit` bytes at a time.
 
-    A text above the limit comes in several pieces, cut behind a space where there is one, so that
-    memory doesn't follow the longest text; each piece names the row it belongs to.
+    A text above the limit comes in several pieces, cut between tokens, so that memory doesn't follow
+    the longest text; each piece names the row it belongs to, and pieces of a row stand together. A
+    token is at most `limit` bytes long: longer runs are several tokens.
     """
     if not len(column):
         return
@@ -70,8 +86,8 @@ def segments(column: pa.Array | pa.ChunkedArray, keep: np.ndarray, lower: bool =
         while first or i < j:
             first, end = False, min(j, i + limit)
             piece = keep[data[i:end]]
-            if end < j and len(gaps := np.flatnonzero(piece == SPACE)):
-                end = i + int(gaps[-1]) + 1
+            if end < j:
+                end = i + _cut(piece)
                 piece = piece[: end - i]
             if pieces and filled + len(piece) > limit:
                 yield emit()
@@ -122,11 +138,6 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     sums ^= sums >> np.uint64(29)
     return sums * MIX
 
-IDENTITY = np.arange(256, dtype=np.uint8)
-#: 0 for white space and control bytes, 1 for bytes of words, 2 for punctuation.
-BYTE_CLASS = np.where(WORD_BYTES != SPACE, 1, np.where(IDENTITY <= SPACE, 0, 2)).astype(np.uint8)
-BYTE_CLASS[0x7F] = 0
-
 
 def token_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every token: a run of word bytes, or of punctuation."""
@@ -138,12 +149,21 @@ def token_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def token_grams(seg: Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of tokens and of neighbouring pairs, piece of each, number of tokens by piece)."""
-    starts, ends = token_bounds(seg.buf)
-    ones = word_hashes(seg.buf, starts, ends)
-    piece = np.searchsorted(seg.starts, starts, side="right") - 1
-    near = piece[1:] == piece[:-1]
-    pairs = (ones[:-1] * MIX + ones[1:])[near]
-    pairs = (pairs ^ (pairs >> np.uint64(31))) * MIX
-    return np.concatenate((ones, pairs)), np.concatenate((piece, piece[1:][near])), np.bincount(piece, minlength=len(seg.rows))
+def token_grams(column: pa.Array | pa.ChunkedArray, limit: int = SEGMENT_BYTES) -> Iterator[tuple[Segment, np.ndarray, np.ndarray, np.ndarray]]:
+    """(segment, hashes of tokens and of neighbouring pairs, piece of each, number of tokens by piece)
+    of whole texts: a pair counts as well where a long text was cut between its tokens."""
+    last_row, last = -1, np.uint64(0)
+    for seg in segments(column, IDENTITY, limit=limit):
+        starts, ends = token_bounds(seg.buf)
+        ones = word_hashes(seg.buf, starts, ends)
+        piece = np.searchsorted(seg.starts, starts, side="right") - 1
+        amount = np.bincount(piece, minlength=len(seg.rows))
+        if len(ones):
+            row = seg.rows[piece]
+            before = np.concatenate(([last], ones[:-1]))
+            near = np.concatenate(([row[0] == last_row], row[1:] == row[:-1]))
+            pairs = (before * MIX + ones)[near]
+            pairs = (pairs ^ (pairs >> np.uint64(31))) * MIX
+            last_row, last = row[-1], ones[-1]
+            ones, piece = np.concatenate((ones, pairs)), np.concatenate((piece, piece[near]))
+        yield seg, ones, piece, amount

@@ -48,7 +48,7 @@ def test_toxicity_of_rows_with_known_words(spark):
     assert ((seen["predicted"] == 1) == (seen["toxic"] == 1)).mean() > 0.97
     aside = found[found["held_out"]]
     pairs = aside[aside["toxic"] == 1]["score"].to_numpy()[:, None] > aside[aside["toxic"] == 0]["score"].to_numpy()[None, :]
-    assert pairs.mean() > 0.6 and found["score"].between(0, 1).all()
+    assert pairs.mean() > 0.9 and found["score"].between(0, 1).all()
 
 
 def test_toxicity_learns_subwords():
@@ -171,7 +171,7 @@ def test_long_texts_come_in_pieces():
     parts = list(textkit.segments(pa.array([None, text, "", "x" * 3000], pa.large_string()), textkit.IDENTITY, limit=1000))
     assert len(whole) == 1 and len(parts) > 7
     assert sum(len(s.buf[: s.size].tobytes().split()) for s in parts) == 1500 + 3
-    x = linear.matrix([text], linear.token_features, textkit.IDENTITY, 256)
+    x = linear.matrix([text], linear.token_features, 256)
     assert abs((x**2).sum() - 1) < 1e-5
 
 
