@@ -1,11 +1,14 @@
 """Toxicity by subword-bag embeddings: averaged n-gram vectors feed a linear softmax.
 
-Words are seen as their character n-grams with boundary marks, hashed to a table of vectors; a
-passage of `PASSAGE` words is the average of its n-gram vectors, and a text is as toxic as its
-most toxic passage, so that one insult in a long text isn't averaged away. Table and softmax are
-trained jointly in numpy on a bounded sample of labelled rows: at most `per_class` rows of each
-label and `max_bytes` of text, whole texts. Misspelt and inflected forms share n-grams with known
-ones. Scoring folds the softmax into the table (one number an n-gram) and runs on the executors.
+Words are seen as their character n-grams with boundary marks, hashed to a table of vectors; a bag
+is the average of the n-gram vectors of a passage, and a softmax over two outputs (clean, toxic)
+reads it. Table and softmax are trained jointly in numpy on a bounded sample of labelled rows: at
+most `per_class` rows of each label and `max_bytes` of text, whole texts. Misspelt and inflected
+forms share n-grams with known ones. Scoring folds the softmax into the table (one number an n-gram)
+and runs on the executors.
+
+A departure from one average a text: bags are passages of `PASSAGE` words and a text is as toxic as
+its most toxic passage, as one insult in thousands of words is averaged away otherwise.
 
 Defined cases: null, empty and word-free texts get the score of an empty bag; a null doc_id is not
 held out and never used for a fit; without labelled rows of both kinds every score is the label
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm import textkit
 from lumenloom.llm.common import bounded_sample, fold, give_back
+from lumenloom.llm.linear import softmax
 
 GRAMS = range(3, 7)
 BITS = 17
@@ -32,8 +36,6 @@ DIM = 8
 PASSAGE = 3
 THRESHOLD = 0.3
 MIN_ROWS = 3
-#: For the digits 0 to 9.
-LOOKALIKE = np.frombuffer(b"oi eas t  ", np.uint8)
 CALIBRATION_ROWS = 20
 
 
@@ -43,27 +45,34 @@ class Model:
     bias: float
 
 
-def _unmask(buf: np.ndarray) -> None:
-    """Digits beside a letter become the letter they look like; other digits become spaces."""
-    digit = (buf >= 0x30) & (buf <= 0x39)
-    letter = ~digit & (buf != textkit.SPACE)
-    beside = np.zeros_like(letter)
-    beside[1:] |= letter[:-1]
-    beside[:-1] |= letter[1:]
-    buf[digit] = np.where(beside[digit], LOOKALIKE[buf[digit] - 0x30], textkit.SPACE)
+@dataclass
+class Passages:
+    """The passages of a segment: the first word of each, its row, and whether the first passage is
+    the rest of the last one of the segment before."""
+
+    seg: textkit.Segment
+    starts: np.ndarray
+    ends: np.ndarray
+    of_word: np.ndarray
+    first: np.ndarray
+    rows: np.ndarray
+    continues: bool
 
 
-def _passages(column: pa.Array) -> Iterator[tuple[textkit.Segment, np.ndarray, np.ndarray, np.ndarray]]:
-    """Segments with word starts, the passage of each word, and the row of each passage."""
+def _passages(column: pa.Array) -> Iterator[Passages]:
+    last_row, n_words = -1, 0
     for seg in textkit.segments(column, textkit.WORD_BYTES):
-        _unmask(seg.buf)
-        starts, _ = textkit.word_bounds(seg.buf)
-        piece = np.searchsorted(seg.starts, starts, side="right") - 1
-        first = np.searchsorted(starts, seg.starts, side="left")
-        number = (np.arange(len(starts)) - first[piece]) // PASSAGE
-        change = np.concatenate(([True], (np.diff(piece) != 0) | (np.diff(number) != 0)))[: len(starts)]
-        passage = np.cumsum(change) - 1
-        yield seg, starts, passage, seg.rows[piece[change]]
+        starts, ends = textkit.word_bounds(seg.buf)
+        if not len(starts):
+            continue
+        row = seg.rows[np.searchsorted(seg.starts, starts, side="right") - 1]
+        at = np.arange(len(starts))
+        begin = np.searchsorted(row, row, side="left")
+        number = at - begin + np.where(row == last_row, n_words, 0)
+        change = (number % PASSAGE == 0) | (at == begin)
+        first = np.flatnonzero(change)
+        yield Passages(seg, starts, ends, np.cumsum(change) - 1, first, row[first], bool(number[0] % PASSAGE))
+        last_row, n_words = int(row[-1]), int(number[-1]) + 1
 
 
 def _adam(params: list[np.ndarray], rate: float):
@@ -105,13 +114,14 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
     vocabulary: dict[bytes, int] = {}
     tokens, token_passage, passage_row = [], [], []
     n_passages = 0
-    for seg, starts, passage, rows in _passages(pa.array(texts, pa.large_string())):
-        raw = seg.buf.tobytes()
-        ends = textkit.word_bounds(seg.buf)[1]
-        tokens += [vocabulary.setdefault(raw[i:j], len(vocabulary)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        token_passage.append(passage + n_passages)
-        passage_row.append(rows)
-        n_passages += len(rows)
+    for p in _passages(pa.array(texts, pa.large_string())):
+        raw = p.seg.buf.tobytes()
+        tokens += [vocabulary.setdefault(raw[i:j], len(vocabulary)) for i, j in zip(p.starts.tolist(), p.ends.tolist(), strict=True)]
+        token_passage.append(p.of_word + n_passages - p.continues)
+        passage_row.append(p.rows[p.continues :])
+        n_passages += len(p.rows) - p.continues
+    if not n_passages:
+        return fit([], toxic, prior)
     token, of_passage, of_row = np.array(tokens, np.int32), np.concatenate(token_passage).astype(np.int32), np.concatenate(passage_row).astype(np.int32)
     del tokens, token_passage, passage_row
     buf = np.frombuffer(b" " + b" ".join(vocabulary) + b" " * 9, np.uint8)
@@ -152,28 +162,29 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, epochs: int = 24,
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (len(used) + 1, DIM)).astype(np.float32)
     vectors[0] = 0
-    head = rng.uniform(-1, 1, DIM).astype(np.float32)
-    bias = np.array([np.log(prior / (1 - prior))], np.float32)
+    head = rng.uniform(-1, 1, (DIM, 2)).astype(np.float32)
+    bias = np.log([1 - prior, prior]).astype(np.float32)
+    wanted = np.stack((1 - positive, positive), axis=1)
     step = _adam([vectors, head, bias], 0.08)
     for epoch in range(epochs):
         words = _sums(vectors, gram, word_from)
         bags = _sums(words, token, passage_from) / total[:, None]
-        logit = bags @ head + bias[0]
+        outputs = bags @ head + bias
+        logit = outputs[:, 1] - outputs[:, 0]
         if epoch < epochs // 3:
             share = weight[of_row] / per_row[of_row]
         else:
             top = np.full(len(texts), -np.inf, np.float32)
             np.maximum.at(top, of_row, logit)
             share = np.where(logit >= top[of_row], weight[of_row], 0)
-        slope = (share * (1 / (1 + np.exp(-logit)) - positive) / len(texts)).astype(np.float32)
-        at_bags = (slope / total)[:, None] * head
-        at_words = _sums(at_bags, token_passage, token_from)
+        slope = ((softmax(outputs) - wanted) * (share / len(texts))[:, None]).astype(np.float32)
+        at_words = _sums((slope / total[:, None]) @ head.T, token_passage, token_from)
         at_vectors = _sums(at_words, gram_owner, gram_from) + 1e-7 * vectors
         at_vectors[0] = 0
-        step([at_vectors, bags.T @ slope, np.array([slope.sum()], np.float32)])
+        step([at_vectors, bags.T @ slope, slope.sum(axis=0)])
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = vectors[1:] @ head
-    return Model(weights, float(bias[0]))
+    weights[used] = vectors[1:] @ (head[:, 1] - head[:, 0])
+    return Model(weights, float(bias[1] - bias[0]))
 
 
 def calibrate(model: Model, texts: list[str], toxic: np.ndarray, prior: float) -> Model:
@@ -194,17 +205,23 @@ def calibrate(model: Model, texts: list[str], toxic: np.ndarray, prior: float) -
 def scores(model: Model, column: pa.Array) -> np.ndarray:
     """The probability of the toxic class for every text of the column."""
     best = np.full(len(column), -np.inf)
-    for seg, starts, passage, rows in _passages(column):
-        if not len(starts):
-            continue
-        sums, counts = np.zeros(seg.size), np.zeros(seg.size)
-        for at, bucket in textkit.word_grams(seg.buf, GRAMS, BITS):
+    held = (0, 0.0, 0.0)  # row, sum and size of the last passage, which may go on
+    for p in _passages(column):
+        sums, sizes = np.zeros(p.seg.size), np.zeros(p.seg.size)
+        for at, bucket in textkit.word_grams(p.seg.buf, GRAMS, BITS):
             sums[at] += model.weights[bucket]
-            counts[at] += 1
-        change = np.concatenate(([True], np.diff(passage) != 0))
-        edges = np.maximum(starts[change] - 1, 0)
-        mean = np.add.reduceat(sums, edges) / np.maximum(np.add.reduceat(counts, edges), 1)
-        np.maximum.at(best, rows, mean)
+            sizes[at] += 1
+        edges = p.starts[p.first] - 1
+        total, size = np.add.reduceat(sums, edges), np.add.reduceat(sizes, edges)
+        if p.continues:
+            total[0] += held[1]
+            size[0] += held[2]
+        elif held[2]:
+            best[held[0]] = max(best[held[0]], held[1] / held[2])
+        np.maximum.at(best, p.rows[:-1], total[:-1] / np.maximum(size[:-1], 1))
+        held = (int(p.rows[-1]), float(total[-1]), float(size[-1]))
+    if held[2]:
+        best[held[0]] = max(best[held[0]], held[1] / held[2])
     best = np.where(np.isfinite(best), best, 0.0)
     return 1 / (1 + np.exp(-(best + model.bias)))
 
