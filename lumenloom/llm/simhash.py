@@ -1,12 +1,15 @@
 """SimHash near-duplicates: 64-bit fingerprints of 3-word shingles, linked by BK-trees.
 
-Fingerprints at a Hamming distance of at most 3 share some group of bit blocks exactly, so each
-distinct fingerprint goes to one shard for each group, and a shard is a BK-tree: children hang on
-the integer distance to their parent, and a search with radius r follows only the edges within r
-of the query's own distance. Shard trees grow with the corpus, so they are not broadcast to every
-executor; the shuffle brings each tree and its queries together. A shard above `shard_rows` is
-split into chunks, and each pair of chunks is a job of its own; within a job only a spanning forest
-of the links leaves the task, so groups of copies never become all their pairs.
+Fingerprints at a Hamming distance of at most 3 share some choice of bit blocks exactly, so each
+distinct fingerprint stands in one shard for each choice. A shard is a BK-tree of nodes that hold
+one fingerprint each: children hang on the integer distance to their parent, and a search with
+radius r follows only the edges within r of the query's own distance. A shard's key is as many bits
+of its blocks as leave about `tree_rows` fingerprints to a tree; when the blocks have no more bits,
+there are more and longer choices, so trees keep their size as the corpus grows. Trees together are
+all fingerprints, several times: a broadcast would bring them all through the driver, so the shuffle
+brings each tree and its queries together instead. A shard above `shard_rows` is split into chunks,
+and each pair of chunks is a tree and its queries of its own; only a spanning forest of the links
+leaves a task, so groups of copies never become all their pairs.
 
 Defined cases: null, empty and word-free texts have fingerprint zero and link like any other;
 texts under three words hash their whole sequence; repeated doc_ids keep a row each; rows with a
@@ -15,6 +18,7 @@ null doc_id get the component of their fingerprint; extra columns are ignored by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lumenloom.llm.common import give_back, materialize
 from lumenloom.llm.components import connected_components, local_components
@@ -30,7 +35,8 @@ from lumenloom.llm.components import connected_components, local_components
 SEED = 42
 SHINGLE_WORDS = 3
 BITS = 64
-LEAF = 48
+#: Rows of 64 slots that a broadcast set of ids may have: 4 MB.
+SET_ROWS = 1 << 18
 
 
 def fingerprint(text: str | None) -> int:
@@ -61,55 +67,46 @@ def fingerprints(text: Column) -> Column:
 
 
 class BKTree:
-    """A BK-tree over distinct fingerprints; up to LEAF of them share a leaf that is scanned."""
+    """A BK-tree over distinct fingerprints, one to a node."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.nodes: list[tuple[int, list[tuple[int, int]], np.ndarray | None]] = []
-        self.root = self._grow(np.arange(len(prints)))
-
-    def _grow(self, members: np.ndarray) -> int:
-        stack, self.nodes = [(members, None)], []
+        self.children: list[list[tuple[int, int]]] = [[] for _ in range(len(prints))]
+        stack = [np.arange(len(prints))]
         while stack:
-            rows, parent = stack.pop()
-            at = len(self.nodes)
-            if parent is not None:
-                self.nodes[parent[0]][1].append((parent[1], at))
-            if len(rows) <= LEAF:
-                self.nodes.append((-1, [], rows))
+            rows = stack.pop()
+            node, rest = int(rows[0]), rows[1:]
+            if not len(rest):
                 continue
-            pivot, rest = rows[0], rows[1:]
-            far = np.bitwise_count(self.prints[rest] ^ self.prints[pivot])
+            far = np.bitwise_count(self.prints[rest] ^ self.prints[node])
             order = np.argsort(far, kind="stable")
             rest, far = rest[order], far[order]
-            cuts = np.flatnonzero(np.diff(far)) + 1
-            self.nodes.append((int(pivot), [], None))
-            for group, edge in zip(np.split(rest, cuts), far[np.concatenate(([0], cuts))], strict=True):
-                stack.append((group, (at, int(edge))))
-        return 0
+            cuts = [0, *(np.flatnonzero(far[1:] != far[:-1]) + 1).tolist(), len(rest)]
+            for i, j in zip(cuts, cuts[1:]):
+                self.children[node].append((int(far[i]), int(rest[i])))
+                stack.append(rest[i:j])
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query index, member index) at most radius bits apart."""
-        found_q, found_m = [], []
-        stack = [(self.root, np.arange(len(queries)))]
+        """All (query index, member index) at most radius bits apart. Queries descend together: a node
+        is met once with those of them that its edges admit."""
+        found_q, found_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.visited = 0
+        stack = [(0, np.arange(len(queries)))]
         while stack:
             node, asked = stack.pop()
-            pivot, children, leaf = self.nodes[node]
-            if leaf is not None:
-                for at in range(0, len(asked), 4096):
-                    part = asked[at : at + 4096]
-                    q, m = np.nonzero(np.bitwise_count(queries[part][:, None] ^ self.prints[leaf][None, :]) <= radius)
-                    found_q.append(part[q])
-                    found_m.append(leaf[m])
-                continue
-            far = np.bitwise_count(queries[asked] ^ self.prints[pivot]).astype(np.int64)
-            hit = far <= radius
-            found_q.append(asked[hit])
-            found_m.append(np.full(int(hit.sum()), pivot))
-            for edge, child in children:
-                follow = asked[np.abs(far - edge) <= radius]
-                if len(follow):
-                    stack.append((child, follow))
+            self.visited += len(asked)
+            far = np.bitwise_count(queries[asked] ^ self.prints[node])
+            hit = asked[far <= radius]
+            if len(hit):
+                found_q.append(hit)
+                found_m.append(np.full(len(hit), node))
+            if self.children[node]:
+                order = np.argsort(far, kind="stable")
+                asked, far = asked[order], far[order]
+                for edge, child in self.children[node]:
+                    i, j = far.searchsorted((max(0, edge - radius), edge + radius + 1))
+                    if j > i:
+                        stack.append((child, asked[i:j]))
         return np.concatenate(found_q), np.concatenate(found_m)
 
 
@@ -130,24 +127,16 @@ def _link_jobs(radius: int):
         def jobs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             prints = rows["fp"].to_numpy(np.int64).view(np.uint64)
             changes = (rows[["key", "i", "j"]].to_numpy()[1:] != rows[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1)
-            starts = np.concatenate(([0], np.flatnonzero(changes) + 1, [len(rows)]))
-            sizes = np.diff(starts)
-            job = np.repeat(np.arange(len(sizes)), sizes)
-            is_small = sizes <= LEAF
+            starts = np.concatenate(([0], np.flatnonzero(changes) + 1, [len(rows)])).tolist()
+            side, left, right = (rows[c].to_numpy() for c in ("c", "i", "j"))
             a, b = [], []
-            for step in range(1, int(sizes[is_small].max(initial=0))):
-                near = np.flatnonzero((job[step:] == job[:-step]) & is_small[job[step:]])
-                near = near[np.bitwise_count(prints[near] ^ prints[near + step]) <= radius]
-                a.append(prints[near])
-                b.append(prints[near + step])
-            side = rows["c"].to_numpy()
-            left, right = rows["i"].to_numpy(), rows["j"].to_numpy()
-            for k in np.flatnonzero(~is_small):
-                at = np.arange(starts[k], starts[k + 1])
-                own = prints[at]
-                x, y = _spanning(own, np.flatnonzero(side[at] == left[at]), np.flatnonzero(side[at] == right[at]), radius)
-                a.append(x)
-                b.append(y)
+            for i, j in zip(starts, starts[1:]):
+                if j - i > 1:
+                    first, second = np.flatnonzero(side[i:j] == left[i:j]), np.flatnonzero(side[i:j] == right[i:j])
+                    if len(first) and len(second):
+                        x, y = _spanning(prints[i:j], first, second, radius)
+                        a.append(x)
+                        b.append(y)
             if a:
                 yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
@@ -167,26 +156,27 @@ def _link_jobs(radius: int):
     return run
 
 
-def block_keys(fp: Column, distinct: int, radius: int = 3) -> Column:
-    """Shard keys: every choice of the bit blocks that `radius` differing bits can leave equal.
-
-    More blocks make longer keys and so smaller shards; the number follows the corpus size.
-    """
-    blocks = radius + 1
-    while blocks < radius + 3 and distinct / 2 ** (BITS * (blocks - radius) // blocks) > 256:
+def block_keys(fp: Column, distinct: int, radius: int = 3, tree_rows: int = 512) -> Column:
+    """Shard keys: every choice of the bit blocks that `radius` differing bits can leave equal, cut to
+    the bits that leave about tree_rows of `distinct` fingerprints to a shard."""
+    blocks, need = radius + 1, max(0, math.ceil(math.log2(max(1, distinct) / tree_rows)))
+    while blocks < radius + 3 and BITS * (blocks - radius) // blocks < need:
         blocks += 1
+    if not need:
+        return F.array(F.struct(F.lit(0).alias("table"), F.lit(0).cast("long").alias("value")))
     edges = [round(BITS * k / blocks) for k in range(blocks + 1)]
     keys = []
     for n, kept in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in kept)
+        bits = [bit for k in kept for bit in range(edges[k], edges[k + 1])][:need]
+        mask = sum(1 << bit for bit in bits)
         signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
         keys.append(F.struct(F.lit(n).alias("table"), fp.bitwiseAND(F.lit(signed)).alias("value")))
     return F.array(*keys)
 
 
-def links(prints: DataFrame, radius: int = 3, shard_rows: int = 2048) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, shard_rows: int = 4096, tree_rows: int = 512) -> DataFrame:
     """(a, b) links whose components are those of all pairs within radius; prints: distinct fp."""
-    keys = prints.select("fp", F.explode(block_keys(F.col("fp"), prints.count(), radius)).alias("key")).select("fp", F.xxhash64("key.table", "key.value").alias("key"))
+    keys = prints.select("fp", F.explode(block_keys(F.col("fp"), prints.count(), radius, tree_rows)).alias("key")).select("fp", F.xxhash64("key.table", "key.value").alias("key"))
     busy = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / shard_rows).cast("int").alias("m"))
     rows = keys.join(busy, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     upper = F.transform(F.sequence("c", F.col("m") - 1), lambda j: F.struct(F.col("c").alias("i"), j.alias("j")))
@@ -215,12 +205,27 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radiu
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
     """One document of each component stays: that with the smallest doc_id, columns unchanged.
-    Rows without a doc_id can't be told apart and all stay."""
+    Rows without a doc_id can't be told apart and all stay.
+
+    The ids that go are broadcast as sets of 64 slots a row if that has at most SET_ROWS rows (4 MB,
+    whole numbers only); otherwise they meet the rows in a shuffle.
+    """
     found = classes(docs, doc_id=doc_id, text=text, radius=radius)
-    gone = found.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct()
-    ids = docs.select(doc_id).where(F.col(doc_id).isNotNull())
-    kept = docs.join(gone, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if ids.groupBy(doc_id).count().where("count > 1").limit(1).count():
-        nameless = kept.where(F.col(doc_id).isNull())
-        kept = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(nameless)
-    return kept
+    gone = materialize(found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gone")).distinct(), "gone")
+    ids = found.where(F.col(doc_id).isNotNull()).select(doc_id)
+    repeated = ids.groupBy(doc_id).count().where("count > 1").limit(1).count()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = docs.select(F.struct(*columns).alias("row")).select("row", F.col(f"row.`{doc_id}`").alias("of"))
+    kept = None
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        slot = F.col("gone").cast("long")
+        sets = gone.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        if sets.count() <= SET_ROWS:
+            of = F.col("of").cast("long")
+            bit = F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), of.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+            kept = row.join(F.broadcast(sets), F.shiftright(of, 6) == F.col("word"), "left").where(F.col("of").isNull() | (bit == 0)).select("row", "of")
+    if kept is None:
+        kept = row.join(gone, F.col("of") == F.col("gone"), "left_anti")
+    if repeated:
+        kept = kept.where("of is not null").dropDuplicates(["of"]).unionByName(kept.where("of is null"))
+    return kept.select("row.*")
