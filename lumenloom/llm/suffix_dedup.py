@@ -1,20 +1,24 @@
 """Removal of long byte strings that an earlier document holds, by distributed suffix sorting.
 
 Every string of `width` bytes owns one anchor, the least-hashed GRAM-byte string inside it, so equal
-strings meet wherever their anchors meet. A run of strings with the same anchor is a context.
-
-1. Map: each batch of documents lists its contexts; equal ones collapse to the smallest document,
-   the others are known to be covered. What remains travels as packed columns to buckets by anchor.
-2. Resolve: in a bucket equal contexts collapse again. An anchor whose different contexts lie in
-   different documents is open: equal strings may hide in them.
-3. The bytes of open contexts are cut from their documents and sorted in shards by the external
-   induced suffix sorter; runs of suffixes with a common prefix of `width` are equal strings.
-4. Documents meet their covered runs and report or drop them.
-
-Defined cases: null text is empty; matches never cross documents; rows that repeat a doc_id (or have
-none) count as further documents behind those before them in the order doc_id, text, nulls last;
-texts under `width` bytes lose nothing; no rows give no rows; extra columns are ignored. An anchor
-with very many open contexts is split by whole strings, so no group grows with the corpus.
+strings have equal anchors: anchors only say which shard sorts a string. A run of strings with the
+same anchor is a context. Which strings are equal is decided by the external induced suffix sorter.
+
+1. List: each batch of documents lists its contexts. Contexts of a batch with the same bytes are
+   pre-aggregated: the one of the smallest document speaks, those of larger ones are covered.
+2. Route: buckets of anchors tell which lie in different documents; all others can't repeat.
+3. Sort: the bytes of all contexts of these anchors go to shards, and each shard is a text on disk that
+   the external sorter orders; runs of suffixes with a common prefix of `width` are equal strings.
+4. Report: documents meet their covered runs and report or drop them.
+
+An anchor with very many contexts would be one hot key: such anchors are counted beforehand on a
+share of the documents (they only steer the routing, results don't depend on them; their number is
+bounded by the threshold) and all their strings are routed one by one, by their own hash.
+
+Defined cases: null text is empty; matches never cross documents; rows that repeat a doc_id are one
+number, so they take nothing from each other; rows without a doc_id come behind all others and take
+nothing from each other; texts under `width` bytes lose nothing; no rows give no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.common import give_back, materialize
-from lumenloom.llm.induced import suffix_order
+from lumenloom.llm.induced import MEMORY, Log, Scratch, Text, suffix_order
 
-GRAM = 24
+GRAM = 16
 SEGMENT = 1 << 19
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+#: Contexts of an anchor from which its strings are routed one by one; the share of documents counted.
 HOT_CONTEXTS = 4096
+HOT_SHARE = 64
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-COVERED, OPEN = 0, 1
+COVERED, OPEN, ASK = 0, 1, 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,16 +51,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length as byte planes, which compress well; read by unpack."""
-    parts = [np.int64(len(columns[0])).tobytes()]
-    for column in columns:
-        parts.append(column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes())
+    """Columns of one length as byte planes, which compress well; read by unpack. A column equal to the
+    one before it takes no space."""
+    same = [k > 0 and c.dtype == columns[k - 1].dtype and np.array_equal(c, columns[k - 1]) for k, c in enumerate(columns)]
+    parts = [np.int64(len(columns[0])).tobytes(), np.array(same, np.uint8).tobytes()]
+    for k, column in enumerate(columns):
+        if not same[k]:
+            parts.append(column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes())
     return b"".join(parts)
 
 
 def unpack(blob: bytes, *types) -> list[np.ndarray]:
-    n, at, found = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
-    for kind in types:
+    n, found = int(np.frombuffer(blob, np.int64, 1)[0]), []
+    same = np.frombuffer(blob, np.uint8, len(types), 8)
+    at = 8 + len(types)
+    for k, kind in enumerate(types):
+        if same[k]:
+            found.append(found[-1])
+            continue
         size = np.dtype(kind).itemsize
         found.append(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n))
         at += n * size
@@ -66,9 +80,9 @@ def _unpack_all(blobs, *types) -> list[np.ndarray]:
     return [np.concatenate(c) if parts else np.zeros(0, t) for c, t in zip(zip(*parts, strict=True) if parts else [()] * len(types), types, strict=True)]
 
 
-RUNS = (np.int64, np.int64, np.uint16)  # document, first start, number of starts
-ASKS = (np.uint64, np.uint64, *RUNS)  # anchor, context hash, ...
-OPENS = (np.uint64, *RUNS)
+#: A row is addressed by its key and compared by its number (the doc_id): equal columns as a rule.
+RUNS = (np.int64, np.int64, np.uint16)  # key, first start, number of starts
+ASKS = (np.uint64, np.int64, np.int64, np.int64, np.uint16)  # anchor, number, key, first start, number of starts
 
 
 def home(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -97,7 +111,7 @@ def contexts_of(data: np.ndarray, pieces: list[tuple[int, int]], width: int) ->
     buf = np.concatenate([data[i:j] for i, j in pieces] + [np.zeros(width + 40, np.uint8)])
     n = int(lengths.sum())
     view = np.ndarray((n + width + 24,), "<u8", buf, 0, (1,))
-    grams = _mix(_mix(view[: n + width] * C1 ^ (view[8 : n + width + 8] * C3 + C2)) ^ view[16 : n + width + 16] * C3)
+    grams = _mix(_mix(view[: n + width] * C1) ^ (view[8 : n + width + 8] * C3 + C2))
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     reach, size = width - GRAM + 1, 1
     while size * 2 <= reach:
@@ -115,7 +129,7 @@ def contexts_of(data: np.ndarray, pieces: list[tuple[int, int]], width: int) ->
     context = _mix(length.astype(np.uint64) * C1)
     for k in range(0, int(length.max(initial=0)), 8):
         context = _mix(context ^ view[begin + np.minimum(k, length - 8)] * C1)
-    return grams[anchor[first]] >> np.uint64(16), context, begin, times
+    return grams[anchor[first]] >> np.uint64(16) << np.uint64(1), context, begin, times
 
 
 def _first_of_equal(*columns: np.ndarray) -> np.ndarray:
@@ -125,13 +139,30 @@ def _first_of_equal(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], differ))[: len(columns[0])]
 
 
-def _collapse(anchor, context, doc, at, times):
-    """Sorted records, whether each begins a group of equal contexts, and its group's first document."""
-    order = np.lexsort((at, doc, context, anchor))
-    records = [c[order] for c in (anchor, context, doc, at, times)]
-    head = _first_of_equal(records[0], records[1])
-    least = records[2][head][np.cumsum(head) - 1] if len(order) else records[2]
-    return records, head, least
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the strings of one length (8 or more) at a and b are equal."""
+    view = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    equal, active, k = np.ones(len(a), bool), np.arange(len(a)), 0
+    while len(active):
+        at = np.minimum(k, length[active] - 8)
+        ok = view[a[active] + at] == view[b[active] + at]
+        equal[active[~ok]] = False
+        k += 8
+        active = active[ok & (length[active] > k)]
+    return equal
+
+
+def _collapse(data, width, anchor, context, number, key, at, place, times):
+    """Records without the covered ones, and the covered ones: of contexts with equal bytes only those
+    of the smallest number stay. place: where the context begins in data."""
+    order = np.lexsort((at, number, context, anchor))
+    anchor, context, number, key, at, place, times = (c[order] for c in (anchor, context, number, key, at, place, times))
+    twin = np.flatnonzero((anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]) & (times[1:] == times[:-1])) + 1
+    same = np.zeros(len(anchor), bool)
+    same[twin] = _equal_bytes(data, place[twin - 1], place[twin], times[twin].astype(np.int64) + width - 1)
+    least = number[~same][np.cumsum(~same) - 1] if len(order) else number
+    known = number > least
+    return [c[~known] for c in (anchor, number, key, at, times)], [c[known] for c in (key, at, times)]
 
 
 def _spread(kind: int, where: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
@@ -152,155 +183,271 @@ def _sent(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(SENT.types)], schema=SENT)
 
 
-def _listing(buckets: int, width: int):
+def _contexts_in(data: np.ndarray, spans: list[tuple[int, int]], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text of the list, anchor, context hash, first start in its text, place in data, number of
+    starts) of some texts at a time; long texts come in overlapping pieces."""
+    pieces, of, shift, filled = [], [], [], 0
+
+    def found() -> tuple[np.ndarray, ...]:
+        anchor, context, begin, times = contexts_of(data, pieces, width)
+        lengths = np.array([j - i for i, j in pieces])
+        starts = np.cumsum(lengths) - lengths
+        piece = np.searchsorted(starts, begin, side="right") - 1
+        inside = begin - starts[piece]
+        return np.array(of)[piece], anchor, context, inside + np.array(shift)[piece], inside + np.array(pieces)[piece, 0], times.astype(np.uint16)
+
+    for n, (i, j) in enumerate(spans):
+        for begin in range(i, j - width + 1, SEGMENT):
+            end = min(j, begin + SEGMENT + width - 1)
+            pieces.append((begin, end))
+            of.append(n)
+            shift.append(begin - i)
+            filled += end - begin
+            if filled >= SEGMENT:
+                yield found()
+                pieces, of, shift, filled = [], [], [], 0
+    if pieces:
+        yield found()
+
+
+def _batched(batch: pa.RecordBatch, width: int, amount: int = 16 * SEGMENT):
+    """(data, columns of _contexts_in) for about `amount` bytes of the texts of a batch at a time."""
+    data, offsets = _texts(batch.column(batch.schema.get_field_index("text")))
+    ends = offsets[1:]
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, offsets[low] + amount, side="right")))
+        spans = list(zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist(), strict=True))
+        parts = list(_contexts_in(data, spans, width))
+        if parts:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            columns[0] += low
+            yield data, columns
+        low = high
+
+
+def _counting(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(found: list) -> pa.RecordBatch:
-            (anchor, context, doc, at, times), _, least = _collapse(*[np.concatenate(c) for c in zip(*found, strict=True)])
-            known = doc > least
-            rows = list(_spread(COVERED, home(doc[known], buckets), [doc[known], at[known], times[known]]))
-            ask = ~known
-            where = (anchor[ask] * C1 >> np.uint64(32)).astype(np.int64) % buckets
-            rows += _spread(OPEN, where, [anchor[ask], context[ask], doc[ask], at[ask], times[ask]])
-            return _sent(rows)
+        for batch in batches:
+            for _, (row, anchor, context, *_) in _batched(batch, width):
+                order = np.lexsort((context, row, anchor))
+                once = _first_of_equal(anchor[order], row[order], context[order])
+                names, counts = np.unique(anchor[order][once], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"anchor": names.view(np.int64), "n": counts})
+
+    return run
 
+
+def _listing(buckets: int, width: int, hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        found, held = [], 0
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = _texts(batch.column(1))
-            pieces, of, shift, filled = [], [], [], 0
-
-            def flush() -> None:
-                nonlocal pieces, of, shift, filled
-                if not pieces:
-                    return
-                anchor, context, begin, times = contexts_of(data, pieces, width)  # noqa: B023
-                lengths = np.array([j - i for i, j in pieces])
-                starts = np.cumsum(lengths) - lengths
-                piece = np.searchsorted(starts, begin, side="right") - 1
-                doc = np.array(of, np.int64)[piece]
-                found.append((anchor, context, doc, begin - starts[piece] + np.array(shift)[piece], times.astype(np.uint16)))
-                pieces, of, shift, filled = [], [], [], 0
-
-            for key, i, j in zip(keys.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                for begin in range(i, j - width + 1, SEGMENT):
-                    end = min(j, begin + SEGMENT + width - 1)
-                    pieces.append((begin, end))
-                    of.append(key)
-                    shift.append(begin - i)
-                    filled += end - begin
-                    held += end - begin
-                    if filled >= SEGMENT:
-                        flush()
-                        if held > 16 * SEGMENT:
-                            yield send(found)
-                            found, held = [], 0
-            flush()
-        if found:
-            yield send(found)
+            keys, numbers = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "number"))
+            for data, (row, anchor, context, at, place, times) in _batched(batch, width):
+                (anchor, number, key, at, times), covered = _collapse(data, width, anchor, context, numbers[row], keys[row], at, place, times)
+                rows = list(_spread(COVERED, home(covered[0], buckets), covered))
+                busy = np.isin(anchor, hot.value)
+                rows += _spread(OPEN, home(key[busy], buckets), [anchor[busy] | np.uint64(1), number[busy], key[busy], at[busy], times[busy]])
+                ask = ~busy
+                where = (anchor[ask] * C1 >> np.uint64(32)).astype(np.int64) % buckets
+                rows += _spread(ASK, where, [anchor[ask], number[ask], key[ask], at[ask], times[ask]])
+                yield _sent(rows)
 
     return run
 
 
 def _resolving(buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Rows of kind ASK are for this bucket, all others on their way to the home of the same number."""
         give_back()
-        sent = _unpack_all(group.loc[group["kind"] == COVERED, "payload"], *RUNS)
-        columns = _unpack_all(group.loc[group["kind"] == OPEN, "payload"], *ASKS)
-        (anchor, _, doc, at, times), _, least = _collapse(*columns)
-        known = doc > least
-        covered = [np.concatenate(c) for c in zip(sent, (doc[known], at[known], times[known]), strict=True)]
-        rows = list(_spread(COVERED, home(covered[0], buckets), covered))
+        rows = [(int(g), int(k), p) for g, k, p in zip(group["bucket"], group["kind"], group["payload"], strict=True) if k != ASK]
+        columns = _unpack_all(group.loc[group["kind"] == ASK, "payload"], *ASKS)
+        order = np.argsort(columns[0], kind="stable")
+        anchor, number = columns[0][order], columns[1][order]
         if len(anchor):
             head = np.flatnonzero(_first_of_equal(anchor))
-            open_ = np.minimum.reduceat(least, head) != np.maximum.reduceat(least, head)
-            sizes = np.diff(np.concatenate((head, [len(anchor)])))
-            ask = np.repeat(open_, sizes) & ~known
-            # The lowest bit marks anchors with too many open contexts for one shard.
-            hot = np.repeat(np.add.reduceat(ask.astype(np.int64), head) > HOT_CONTEXTS, sizes)
-            mark = (anchor << np.uint64(1)) | hot
-            rows += _spread(OPEN, home(doc[ask], buckets), [mark[ask], doc[ask], at[ask], times[ask]])
+            shared = np.minimum.reduceat(number, head) != np.maximum.reduceat(number, head)
+            pick = order[np.repeat(shared, np.diff(np.append(head, len(anchor))))]
+            found = [c[pick] for c in columns]
+            rows += _spread(OPEN, home(found[2], buckets), found)
         return pd.DataFrame(rows, columns=["home", "kind", "payload"])
 
     return run
 
 
-CUT = pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+CUT = pa.schema([("shard", pa.int32()), ("number", pa.int64()), ("key", pa.int64()), ("at", pa.binary()), ("bytes", pa.binary())])
 
 
 def _cutting(shards: int, width: int):
     def run(docs: pa.Table, asks: pa.Table) -> pa.Table:
+        """The bytes of the open contexts; contexts of one row with the same bytes travel once."""
         give_back()
-        mark, doc, at, times = _unpack_all(asks["payload"].to_pylist(), *OPENS)
+        mark, number, key, at, times = _unpack_all(asks["payload"].to_pylist(), *ASKS)
         keys = docs["key"].to_numpy()
-        out: list[tuple[int, int, int, bytes]] = []
+        pieces: dict[tuple[int, int, int, bytes], list[int]] = {}
         if len(mark) and len(keys):
             data, offsets = _texts(docs["text"])
             sort = np.argsort(keys)
-            row = sort[np.searchsorted(keys[sort], doc)]
-            begin = offsets[row] + at
+            begin = offsets[sort[np.searchsorted(keys[sort], key)]] + at
             length = times.astype(np.int64) + width - 1
             raw = memoryview(data)
             shard = (_mix(mark >> np.uint64(1)) >> np.uint64(33)).astype(np.int64) % shards
-            least: dict[bytes, int] = {}
-            hot: list[tuple[int, int, bytes]] = []
-            for s, d, p, i, n, m in zip(shard.tolist(), doc.tolist(), at.tolist(), begin.tolist(), length.tolist(), (mark & np.uint64(1)).tolist(), strict=True):
+            for s, d, k, p, i, n, m in zip(shard.tolist(), number.tolist(), key.tolist(), at.tolist(), begin.tolist(), length.tolist(), (mark & np.uint64(1)).tolist(), strict=True):
                 if not m:
-                    out.append((s, d, p, bytes(raw[i : i + n])))
+                    pieces.setdefault((s, d, k, bytes(raw[i : i + n])), []).append(p)
                     continue
-                for k in range(n - width + 1):
-                    string = bytes(raw[i + k : i + k + width])
-                    hot.append((d, p + k, string))
-                    least[string] = min(d, least.get(string, d))
-            for d, p, string in hot:
-                # Of equal strings in one group, the smallest document speaks; a negative shard says: covered.
-                to = int.from_bytes(hashlib.blake2b(string, digest_size=4).digest(), "little") % shards
-                out.append((to, d, p, string) if least[string] == d else (-1 - int(home(np.array([d]), shards)[0]), d, p, b""))
-        columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+                for step in range(n - width + 1):
+                    string = bytes(raw[i + step : i + step + width])
+                    to = int.from_bytes(hashlib.blake2b(string, digest_size=4).digest(), "little") % shards
+                    pieces.setdefault((to, d, k, string), []).append(p + step)
+        rows = [(*name[:3], np.array(starts, np.int64).tobytes(), name[3]) for name, starts in pieces.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(CUT)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, CUT.types, strict=True)], schema=CUT)
 
     return run
 
 
-def equal_strings(doc: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, offset) of every string of `width` bytes that also starts in a piece of a smaller doc."""
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(int((sizes + 1).sum()), np.uint16)
-    flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
-    of = np.repeat(np.arange(len(pieces)), sizes)
-    text[np.arange(len(flat)) + of] = flat
-    order, common = suffix_order(text, width)
-    head = common < width
-    run = np.cumsum(head) - 1
-    piece = np.searchsorted(starts, order, side="right") - 1
-    least = np.minimum.reduceat(doc[piece], np.flatnonzero(head))
-    covered = doc[piece] > least[run]
-    return piece[covered], order[covered] - starts[piece[covered]]
-
-
-def _sorting(buckets: int, width: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+def equal_strings(number, starts, text: Text, width: int, scratch: Scratch, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(piece, offset) of every string of `width` bytes that also starts in a piece of a smaller number.
+
+    starts: where the pieces begin in text. The order is read once as it is made, keeping the strings
+    that have an equal one and the least number of each run, and once more to compare.
+    """
+    kept = Log(scratch, [("at", np.int64), ("piece", np.int64), ("head", np.bool_)])
+    least = Log(scratch, [("number", np.int64)])
+    running, follows = None, False  # the least number of the run at hand; whether it goes on
+    for at, common in suffix_order(text, width, memory):
+        goes_on = common >= width
+        head = ~np.append(follows, goes_on[:-1])
+        follows = bool(goes_on[-1])
+        several = goes_on | ~head
+        if not several.any():
+            continue
+        rows = np.empty(int(several.sum()), kept.kind)
+        rows["at"], rows["head"] = at[several], head[several]
+        rows["piece"] = np.searchsorted(starts, rows["at"], side="right") - 1
+        kept.add(rows)
+        own = number[rows["piece"]]
+        first = np.flatnonzero(rows["head"])
+        edges = first if len(first) and not first[0] else np.append(0, first)
+        low = np.minimum.reduceat(own, edges)
+        if len(edges) > len(first):
+            low[0] = min(low[0], running)
+        elif running is not None:
+            least.add(np.array([(running,)], least.kind))
+        done = np.empty(len(low) - 1, least.kind)
+        done["number"] = low[:-1]
+        least.add(done)
+        running = int(low[-1])
+    if running is not None:
+        least.add(np.array([(running,)], least.kind))
+    run = -1
+    for rows in kept.blocks():
+        of = run + np.cumsum(rows["head"])
+        low = least.read(int(of[0]), int(of[-1]) + 1)["number"][of - of[0]]
+        run = int(of[-1])
+        covered = number[rows["piece"]] > low
+        if covered.any():
+            piece = rows["piece"][covered]
+            yield piece, rows["at"][covered] - starts[piece]
+
+
+def _sorting(buckets: int, width: int, memory: int):
+    def sort(shard: Shard) -> Iterator[pa.RecordBatch]:
+        text, number, key, starts, first_at, ats = shard.closed()
+        for piece, offset in equal_strings(number, starts, text, width, shard.scratch, memory):
+            lo, count = first_at[piece], first_at[piece + 1] - first_at[piece]
+            pick = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
+            where, start = np.repeat(key[piece], count), ats[pick] + np.repeat(offset, count)
+            order = np.lexsort((start, where))
+            where, start = where[order], start[order]
+            new = np.flatnonzero(_runs_of(where, start))
+            times = np.diff(np.append(new, len(where)))
+            rows = list(_spread(COVERED, home(where[new], buckets), [where[new], start[new], times.astype(np.uint16)]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(FOUND.types)], schema=FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a partition stand in the order of shards; a shard is gathered on disk."""
         give_back()
-        doc, at = group["doc"].to_numpy(np.int64), group["at"].to_numpy(np.int64)
-        if group["shard"].iloc[0] < 0:
-            ones = np.ones(len(doc), np.uint16)
-            return pd.DataFrame(list(_spread(COVERED, home(doc, buckets), [doc, at, ones])), columns=["home", "kind", "payload"])
-        # Equal contexts of one document are sorted once.
-        distinct: dict[tuple[int, bytes], int] = {}
-        same = np.fromiter((distinct.setdefault(pair, len(distinct)) for pair in zip(doc.tolist(), group["bytes"], strict=True)), np.int64, len(doc))
-        piece, offset = equal_strings(np.array([d for d, _ in distinct]), [b for _, b in distinct], width)
-        order = np.argsort(piece, kind="stable")
-        piece, offset = piece[order], offset[order]
-        lo, hi = np.searchsorted(piece, same, "left"), np.searchsorted(piece, same, "right")
-        count = hi - lo
-        pick = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
-        where, start = np.repeat(doc, count), np.repeat(at, count) + offset[pick]
-        return pd.DataFrame(list(_spread(COVERED, home(where, buckets), [where, start, np.ones(len(where), np.uint16)])), columns=["home", "kind", "payload"])
+        now, shard = None, None
+        try:
+            for batch in batches:
+                names = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if j > i:
+                        if now is not None and names[i] != now:
+                            yield from sort(shard)
+                            shard.scratch.close()
+                            shard = None
+                        now, shard = names[i], shard or Shard(memory, width)
+                        shard.add(batch.slice(i, j - i))
+            if shard is not None:
+                yield from sort(shard)
+        finally:
+            if shard is not None:
+                shard.scratch.close()
 
     return run
 
 
+FOUND = pa.schema([("home", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
+
+
+def _runs_of(where: np.ndarray, start: np.ndarray, most: int = 60_000) -> np.ndarray:
+    """Where runs of neighbouring starts of one row begin; none is longer than `most`."""
+    new = np.append(True, (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1))
+    at = np.arange(len(where))
+    return new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0)
+
+
+class Shard:
+    """The pieces of a shard, one behind the other in files: symbols are bytes + 1, 0 ends a piece."""
+
+    def __init__(self, memory: int, width: int):
+        self.scratch = Scratch(memory)
+        self.symbols = Log(self.scratch, ">u2")
+        self.pieces = Log(self.scratch, [("number", np.int64), ("key", np.int64), ("start", np.int64), ("first", np.int64)])
+        self.ats = Log(self.scratch, np.int64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        data, offsets = _texts(batch.column(4))
+        ats, at_offsets = _texts(batch.column(3))
+        lengths = np.diff(offsets)
+        symbols = np.zeros(int(lengths.sum()) + len(lengths), ">u2")
+        piece = np.repeat(np.arange(len(lengths)), lengths)
+        symbols[np.arange(len(piece)) + piece] = data[offsets[0] : offsets[-1]].astype(np.uint16) + 1
+        rows = np.empty(len(lengths), self.pieces.kind)
+        rows["number"], rows["key"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        rows["start"] = len(self.symbols) + offsets[:-1] - offsets[0] + np.arange(len(lengths))
+        rows["first"] = len(self.ats) + (at_offsets[:-1] - at_offsets[0]) // 8
+        self.symbols.add(symbols)
+        self.pieces.add(rows)
+        self.ats.add(ats[at_offsets[0] : at_offsets[-1]].copy().view(np.int64))
+
+    def closed(self):
+        n = len(self.symbols)
+        symbols = Text.room(self.scratch, n, 256)
+        at = 0
+        for block in self.symbols.blocks():
+            symbols[at : at + len(block)] = block
+            at += len(block)
+        columns = [self.scratch.array(len(self.pieces) + 1, np.int64) for _ in range(4)]
+        at = 0
+        for block in self.pieces.blocks():
+            for column, name in zip(columns, ("number", "key", "start", "first")):
+                column[at : at + len(block)] = block[name]
+            at += len(block)
+        number, key, starts, first = columns
+        first[at] = len(self.ats)
+        ats = self.scratch.array(len(self.ats), np.int64)
+        at = 0
+        for block in self.ats.blocks():
+            ats[at : at + len(block)] = block
+            at += len(block)
+        return Text(symbols, n), number, key, starts[:-1], first, ats
+
+
 DONE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
@@ -334,14 +481,28 @@ def _reporting(width: int, keep_bytes: bool):
     return run
 
 
-def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 50, keep_bytes: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _hot_anchors(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    """Anchors with very many contexts, by a count on a share of the documents (all of a small table).
+
+    The threshold grows with the corpus, so that at most some 2^21 anchors can pass.
+    """
+    share = HOT_SHARE if size > HOT_SHARE << 20 else 1
+    most = max(HOT_CONTEXTS, size // (width - GRAM) >> 20)
+    part = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(share)) == 0).select("key", "text")
+    counts = part.mapInArrow(_counting(width), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(1, most // share)).select("anchor").toPandas()["anchor"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 50, keep_bytes: bool = False, bucket_bytes: int = BUCKET_BYTES, memory: int = MEMORY) -> DataFrame:
     """One row per document: row_key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts
     and ends, byte offsets) and, if asked for, the kept bytes (they may end inside a character).
     bucket_bytes: text for which one task holds the records at a time; raise it with the memory of
-    the executors, as small buckets of a very large corpus make many small payloads."""
+    the executors, as small buckets of a very large corpus make many small payloads. memory: what
+    the sorter of a shard keeps in memory, however large the shard is."""
     spark = docs.sparkSession
-    if not GRAM <= width <= 1 << 15:
-        raise ValueError(f"width must lie between {GRAM} and {1 << 15}")
+    if not GRAM <= width <= 255:
+        raise ValueError(f"width must lie between {GRAM} and 255")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
     seen = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("size")).first()
@@ -349,15 +510,19 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
     if unique:
         rows = rows.withColumn("key", F.col("doc_id"))
     else:
-        rows = materialize(rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("key", F.monotonically_increasing_id()), "numbered")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, (seen["size"] or 0) // bucket_bytes + 1)
-    listed = rows.select("key", "text").mapInArrow(_listing(buckets, width), "bucket int, kind byte, payload binary")
+        rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    rows = rows.withColumn("number", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    size = seen["size"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, size // bucket_bytes + 1)
+    hot = spark.sparkContext.broadcast(_hot_anchors(rows, size, width))
+    listed = rows.select("key", "number", "text").mapInArrow(_listing(buckets, width, hot), "bucket int, kind byte, payload binary")
     sent = "home int, kind byte, payload binary"
     resolved = materialize(listed.groupBy("bucket").applyInPandas(_resolving(buckets), sent), "resolved")
     at_home = rows.select("key", "doc_id", "text", _home_column(F.col("key"), buckets).alias("home")).groupBy("home")
     asked = resolved.where(F.col("kind") == OPEN).groupBy("home")
-    cut = at_home.cogroup(asked).applyInArrow(_cutting(buckets, width), "shard int, doc long, at long, bytes binary")
-    ordered = cut.groupBy("shard").applyInPandas(_sorting(buckets, width), sent)
+    cut = at_home.cogroup(asked).applyInArrow(_cutting(buckets, width), "shard int, number long, key long, at binary, bytes binary")
+    dealt = cut.repartition(buckets, "shard").sortWithinPartitions("shard")
+    ordered = dealt.mapInArrow(_sorting(buckets, width, memory), sent)
     covered = resolved.where(F.col("kind") == COVERED).unionAll(ordered).groupBy("home")
     done = "row_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
     return at_home.cogroup(covered).applyInArrow(_reporting(width, keep_bytes), done)

@@ -10,10 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenloom.llm import decontaminate, licenses, mtree, pii, queries, resample, simhash, suffix_dedup
+from lumenloom.llm import decontaminate, induced, licenses, mtree, pii, queries, resample, simhash, suffix_dedup
 from lumenloom.llm.common import table
 from lumenloom.llm.components import connected_components, local_components
-from lumenloom.llm.induced import suffix_order
 from tests.llm import cases
 from tests.oracle import same
 
@@ -39,27 +38,59 @@ def brute_order(text, cap):
     return order, common
 
 
+def sorted_text(text, cap, memory):
+    room = induced.Text.room(induced.Scratch(1 << 20), len(text), int(max(text)))
+    room[: len(text)] = text
+    order, common = [], []
+    for at, shared in induced.suffix_order(induced.Text(room, len(text)), cap, memory):
+        order += at.tolist()
+        common += shared.tolist()
+    return order[::-1], common[::-1]
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=25), min_size=1, max_size=6), st.sampled_from([3, 10, 50]), st.sampled_from([3, 10**6]))
-def test_induced_order_and_prefixes(pieces, cap, in_memory):
-    text = np.array([c for p in pieces for c in (*p, 0)], np.uint16)
-    order, common = suffix_order(text, cap, in_memory)
-    assert (order.tolist(), common.tolist()) == brute_order(text, cap)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=25), min_size=1, max_size=6), st.sampled_from([3, 10, 50]), st.sampled_from([1 << 8, 1 << 11, 1 << 26]), st.sampled_from([1, 11_000]))
+def test_induced_order_and_prefixes(pieces, cap, memory, scale):
+    text = np.array([c * scale for p in pieces for c in (*p, 0)])
+    assert sorted_text(text, cap, memory) == brute_order(text, cap)
+
+
+def test_induced_sorting_of_a_shard_above_its_memory(monkeypatch):
+    """A text of some 60 times the memory bound: recursion, queues and results go through files."""
+    rng = np.random.default_rng(3)
+    syllable = [rng.integers(1, 20, int(n)).tolist() for n in rng.integers(2, 6, 40)]
+    text = np.array([c for _ in range(300) for c in (*[c for k in rng.integers(0, 40, 25) for c in syllable[k]], 0)])
+    depth, levels, files = [0], [0], []
+    ordered, path = induced._ordered, induced.Scratch.path
+
+    def counted(*args):
+        depth[0] += 1
+        levels[0] = max(levels[0], depth[0])
+        yield from ordered(*args)
+        depth[0] -= 1
+
+    monkeypatch.setattr(induced, "_ordered", counted)
+    monkeypatch.setattr(induced.Scratch, "path", lambda self: files.append(path(self)) or files[-1])
+    memory = 1 << 10
+    assert text.size * 2 > 40 * memory
+    assert sorted_text(text, 50, memory) == brute_order(text, 50)
+    assert levels[0] > 1 and len(files) > 100
 
 
 def brute_repeats(rows, width):
+    """rows: (number, bytes), in the order of the answer; equal numbers take nothing from each other."""
     first = {}
-    for key, b in rows:
+    for number, b in rows:
         for p in range(len(b) - width + 1):
-            first[b[p : p + width]] = min(key, first.get(b[p : p + width], key))
-    out = {}
-    for key, b in rows:
+            first[b[p : p + width]] = min(number, first.get(b[p : p + width], number))
+    out = []
+    for number, b in rows:
         gone = np.zeros(len(b) + 1, bool)
         for p in range(len(b) - width + 1):
-            if first[b[p : p + width]] < key:
+            if first[b[p : p + width]] < number:
                 gone[p : p + width] = True
         kept = bytes(c for c, g in zip(b, gone) if not g)
-        out[key] = (len(b), int(gone.sum()), int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest())
+        out.append((len(b), int(gone.sum()), int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -76,24 +107,25 @@ def test_repeats_of_planted_passages(spark, monkeypatch):
         i = int(rng.integers(0, 70))
         rows.append((k, (own + passage[i : i + int(rng.integers(30, 120))] + own[:60] + b"z" * int(rng.integers(0, 80))).decode()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    wanted = brute_repeats([(k, t.encode()) for k, t in rows], 50)
+    wanted = dict(enumerate(brute_repeats([(k, t.encode()) for k, t in rows], 50)))
     assert repeats(df) == wanted
-    assert repeats(df, bucket_bytes=1 << 10) == wanted
-    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 1)  # all open anchors are split by whole strings
+    assert repeats(df, bucket_bytes=1 << 10, memory=1 << 11) == wanted
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 1)  # the strings of all anchors are routed one by one
     assert repeats(df) == wanted
 
 
 def test_repeats_of_the_smallest_tables(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    assert repeats(docs) == brute_repeats([(r.doc_id, (r.text or "").encode()) for r in docs.collect()], 50)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    assert repeats(docs) == dict(zip([r[0] for r in rows], brute_repeats(rows, 50)))
 
 
 def test_repeats_edge_cases(spark):
     got = suffix_dedup.report(cases.documents(spark)).collect()
     assert len(got) == len(cases.ROWS)
-    ordered = sorted(cases.ROWS, key=lambda r: (r[0] is None, r[0], r[1] or ""))
-    wanted = brute_repeats([(k, (r[1] or "").encode()) for k, r in enumerate(ordered)], 50)
-    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got) == sorted(v[:3] for v in wanted.values())
+    wanted = brute_repeats([((1 << 63) - 1 if r[0] is None else r[0], (r[1] or "").encode()) for r in cases.ROWS], 50)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got) == sorted(v[:3] for v in wanted)
+    assert [r.n_removed for r in got if r.doc_id == 7] == [0, 0]
     assert suffix_dedup.report(cases.empty(spark)).count() == 0
     assert suffix_dedup.remove(cases.documents(spark)).count() == len(cases.ROWS)
 
