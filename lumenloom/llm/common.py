@@ -68,17 +68,21 @@ def bounded_sample(docs: DataFrame, labels: DataFrame | None, *, doc_id: str, te
     gives the shortest of them, so that no class is missing. No class is left out, however many there are.
 
     labels: one row for each doc_id; None: the label is a column of docs. Rows that repeat a doc_id
-    count once, with the least text. Only keys, labels and lengths are ordered, in one pass for all
-    classes, each partition keeping the first ones of a class; texts are fetched for the chosen keys
-    alone. Returns a pandas frame (key, label, text): all that a fit on the driver sees.
+    count once, with the least text. Keys, labels and lengths are read once and written; a bound on
+    the hash leaves a number of them for each class that doesn't grow with the corpus; texts are fetched
+    for the chosen keys alone. Returns a pandas frame (key, label, text): all that a fit on the driver sees.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).alias("size")
     sizes = docs.select(F.col(f"`{doc_id}`").alias("key"), size, *([F.col(f"`{label}`").cast("string").alias("label")] if labels is None else [])).where("key is not null")
     if labels is not None:
         sizes = sizes.join(labels.select(F.col(doc_id).alias("key"), F.col(label).cast("string").alias("label")), "key")
-    order = W.partitionBy("label").orderBy(F.xxhash64(F.col("key").cast("string"), F.lit(seed)), "key", F.desc("size"))
-    first = sizes.where("label is not null").withColumn("at", F.row_number().over(order)).where(F.col("at") <= SPARE * per_class)
+    sizes = materialize(sizes.where("label is not null").withColumn("hash", F.xxhash64(F.col("key").cast("string"), F.lit(seed))), "sizes")
+    # Of a large class only the rows below a hash bound, some twice as many as needed, reach the window.
+    share = F.least(F.lit(1.0), F.lit(2.0 * SPARE * per_class + 100) / F.col("count"))
+    near = sizes.join(sizes.groupBy("label").count(), "label").where(F.col("hash") / F.lit(2.0**64) + F.lit(0.5) <= share)
+    order = W.partitionBy("label").orderBy("hash", "key", F.desc("size"))
+    first = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SPARE * per_class)
     ranked = first.groupBy("label", "key").agg(F.min("at").alias("at"), F.max("size").alias("size")).orderBy("label", "at").collect()
     by_class: dict[str, list] = {}
     for r in ranked:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenloom.llm import decontaminate, induced, licenses, mtree, pii, queries, resample, simhash, suffix_dedup
-from lumenloom.llm.common import table
+from lumenloom.llm.common import materialize, table
 from lumenloom.llm.components import connected_components, local_components
 from tests.llm import cases
 from tests.oracle import same
@@ -141,7 +141,7 @@ def test_topk_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (100, [inf, 1.0]), (5, [-0.001, 2.0]), (6, [1.0]), (150, []), (None, [3.0, 3.0]), (1, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("score", F.lit(1))
-    for shape in ({}, {"shard_rows": 2, "block_rows": 1}):
+    for shape in ({}, {"shard_rows": 2}, {"shard_rows": 1, "most_shards": 2}):
         got = {}
         for r in mtree.top_k(df, k=3, **shape).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -161,6 +161,23 @@ def test_tree_search_is_exact():
         assert tree.search(rows[own], 7, ids, own) == [(-s, i, m) for s, i, m in wanted]
 
 
+def test_shards_are_built_once_and_pruned(spark, monkeypatch):
+    """Clustered vectors: exact results, and queries that visit few of the shards."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (12, 8))
+    vectors = centres[rng.integers(0, 12, 1500)] + rng.normal(0, 0.02, (1500, 8))
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = []
+    monkeypatch.setattr(mtree, "materialize", lambda d, label: (lambda m: asked.append(m.count()) or m if label == "asked" else m)(materialize(d, label)))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mtree.top_k(df, shard_rows=60).collect()}
+    ints = np.floor(256 * vectors).astype(np.int64)
+    for q in range(0, 1500, 50):
+        scores = ints @ ints[q]
+        best = sorted((-s, m) for m, s in enumerate(scores.tolist()) if m != q)[:5]
+        assert [got[q, n] for n in range(1, 6)] == [(m, -s) for s, m in best]
+    assert len(asked) == 2 and asked[0] == 60 and asked[1] < 30 * 23 / 2
+
+
 # --- near-duplicates ------------------------------------------------------------------------
 
 
