@@ -51,6 +51,17 @@ TEMPLATES |= {
     "mit-text": TEMPLATES["mit"] + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
 }
 
+#: Further notices and short licences.
+TEMPLATES |= {
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd-3-clause-text": TEMPLATES["bsd-2-clause"] + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + TEMPLATES["bsd-2-clause-text"].removeprefix(TEMPLATES["bsd-2-clause"]),
+    "bsl-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 
@@ -83,7 +94,7 @@ class Scanner:
         self.templates = {name: bigrams(text) for name, text in sorted(templates.items())}
         self.sizes = {name: b.total() for name, b in self.templates.items()}
         reach = threshold / (2 - threshold)
-        self.bounds = {name: (n * reach, n / reach) for name, n in self.sizes.items()}
+        self.bounds = {name: (n * reach - 1e-9, n / reach + 1e-9) for name, n in self.sizes.items()}
         self.least = min((lo for lo, _ in self.bounds.values()), default=1)
         self.most = max((hi for _, hi in self.bounds.values()), default=0)
         self.by_bigram: dict[tuple[str, str], list[str]] = {}

@@ -200,3 +200,181 @@ def test_pipeline_stages_by_hand(spark):
         assert not pii.seed_spans(r.text)
     assert ids[5] == ids[4] == ids[3] and mixed.where("rate < 0").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == mixed.count()
+
+
+# --- the same results by plain loops ----------------------------------------------------------
+
+TEXTS = ["The quick brown fox; the quick-brown fox!", None, "", "Übermäßig schön, über 12 Maße.", "a", "### ### token token\ntoken"]
+
+
+def plain_tokens(text):
+    """Runs of word bytes or of punctuation, as byte strings."""
+    import re
+
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20\x7f]+", (text or "").lower().encode())
+
+
+def plain_buckets(text, bits=None, modulo=None):
+    """Buckets of tokens and pairs by an own statement of the hashes in whole numbers."""
+    m, mix, powers = (1 << 64) - 1, 0x9E3779B97F4A7C15, [1]
+    hashes = []
+    for token in plain_tokens(text):
+        while len(powers) < len(token):
+            powers.append(powers[-1] * mix & m)
+        total = sum((c + 1) * p for c, p in zip(token, powers)) & m
+        hashes.append((total ^ total >> 29) * mix & m)
+    pairs = [(a * mix + b) & m for a, b in zip(hashes, hashes[1:])]
+    every = hashes + [(p ^ p >> 31) * mix & m for p in pairs]
+    return [h >> 64 - bits if bits else (h >> 20) % modulo for h in every], len(hashes)
+
+
+def test_resampling_counts_and_ratios_by_hand(spark):
+    from collections import Counter
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    target = spark.createDataFrame([(0,), (3,), (99,), (None,)], "doc_id long")
+    raw, good = Counter(), Counter()
+    for k, t in enumerate(TEXTS):
+        found = plain_buckets(t, modulo=resample.BUCKETS)[0]
+        raw.update(found)
+        good.update(found if k in (0, 3) else [])
+    n = resample.BUCKETS
+    wanted = np.array([np.log((good[b] + 1) / (good.total() + n)) - np.log((raw[b] + 1) / (raw.total() + n)) for b in range(n)])
+    for limit in (1 << 18, 0):
+        resample.SET_ROWS, before = max(limit, 1), resample.SET_ROWS
+        try:
+            named = docs.withColumn("doc_id", F.col("doc_id").cast("long" if limit else "string"))
+            got = resample.log_ratios(named, target.withColumn("doc_id", F.col("doc_id").cast("long" if limit else "string")))
+        finally:
+            resample.SET_ROWS = before
+        assert np.allclose(got, wanted)
+    rows = {r.doc_id: (r.n_grams, r.log_ratio) for r in resample.scored(docs, wanted).collect()}
+    for k, t in enumerate(TEXTS):
+        found = plain_buckets(t, modulo=n)[0]
+        assert rows[k][0] == len(found) and abs(rows[k][1] - wanted[found].sum()) < 1e-9
+
+
+def test_posteriors_by_hand(spark):
+    rng = np.random.default_rng(0)
+    bits = mixing.BUCKETS.bit_length() - 1
+    model = {"names": ["a", "b"], "weights": rng.normal(0, 3, (mixing.BUCKETS, 2)).astype(np.float32), "bias": np.array([0.1, -0.2], np.float32)}
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for r in mixing.posteriors(docs, model).collect():
+        found, tokens = plain_buckets(TEXTS[r.doc_id], bits=bits)
+        share = np.sqrt(np.bincount(found, minlength=mixing.BUCKETS) / max(1, len(found)))
+        z = np.exp(share @ model["weights"] + model["bias"])
+        assert r.n_tokens == tokens and np.allclose(r.posterior, z / z.sum(), atol=1e-5)
+
+
+def test_rates_against_a_direct_solve(spark):
+    """The residual of an infeasible problem is that of least squares over all rates of 0 or more."""
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet([6, 2, 1], 30)
+    rows = spark.createDataFrame([(10, [float(v) for v in q]) for q in p], "n_tokens long, posterior array<double>")
+    wanted = np.array([0.2, 0.3, 0.5])
+    with pytest.warns(UserWarning):
+        step = mixing.fit_rates(rows, ["a", "b", "c"], dict(zip("abc", wanted)))
+    rate, _ = mixing._replay(p, step, 1.0)
+    a, r = p.T / 30, np.ones(30)
+    for _ in range(200_000):
+        r = np.maximum(0, r - 25 * a.T @ (a @ r - wanted))
+    assert np.linalg.norm(a @ rate - wanted) <= 1.02 * np.linalg.norm(a @ r - wanted) + 1e-9
+
+
+def test_language_scores_by_hand(spark):
+    rng = np.random.default_rng(5)
+    code = langid.codewords(3)
+    model = {"names": ["de", "en", "fr"], "code": code, "weights": rng.normal(0, 5, (langid.BUCKETS, code.shape[1])).astype(np.float32), "bias": rng.normal(0, 1, code.shape[1]).astype(np.float32), "trust": rng.uniform(0.5, 1.5, code.shape[1])}
+    texts = [*TEXTS, "²½①Ⅷ", "12 ½ x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    for k, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert got[k] == ("und", 0.0)
+            continue
+        found = []
+        for word in "".join(chr(c) if 0x61 <= c <= 0x7A or c >= 0x80 else " " for c in t.lower().encode()).split():
+            padded = b" " + word.encode("latin-1") + b" "
+            for n in (2, 3, 4):
+                for i in range(len(padded) - n + 1):
+                    gram = int.from_bytes(padded[i : i + n], "little")
+                    found.append((gram + n) * 0x9E3779B97F4A7C15 % (1 << 64) >> 52)
+        share = np.sqrt(np.bincount(found, minlength=langid.BUCKETS) / max(1, len(found)))
+        z = share @ model["weights"] + model["bias"]
+        loss = np.array([(np.log1p(np.exp(-z * word)) * model["trust"]).sum() for word in code])
+        p = np.exp(loss.min() - loss)
+        assert got[k][0] == model["names"][loss.argmin()] and abs(got[k][1] - (p / p.sum()).max()) < 1e-4
+
+
+def test_toxicity_scores_by_hand():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    model = toxicity.Model(rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -0.3)
+    texts = [*TEXTS, "eins zwei drei vier fünf sechs sieben"]
+    got = toxicity.scores(model, pa.array(texts, pa.large_string()))
+    for t, score in zip(texts, got):
+        words = "".join(chr(c) if 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 or c >= 0x80 else " " for c in (t or "").lower().encode()).split()
+        best = []
+        for at in range(0, len(words), toxicity.PASSAGE):
+            bag = []
+            for word in words[at : at + toxicity.PASSAGE]:
+                padded = b" " + word.encode("latin-1") + b" "
+                for n in toxicity.GRAMS:
+                    bag += [(int.from_bytes(padded[i : i + n], "little") + n) * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - toxicity.BITS for i in range(len(padded) - n + 1)]
+            best.append(model.weights[bag].mean() if bag else 0.0)
+        assert abs(score - 1 / (1 + np.exp(-(max(best, default=0) + model.bias)))) < 1e-5
+
+
+# --- no caps, no cuts -------------------------------------------------------------------------
+
+
+def test_no_class_of_a_sample_is_left_out(spark):
+    from lumenloom.llm.common import bounded_sample
+
+    rows = [(k, "x" * 50, f"l{k}") for k in range(300)] + [(1000 + k, "y" * 90_000, "long") for k in range(20)] + [(5000, "z" * 70_000, "long")] + [(1, "w" * 9, "l1")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = bounded_sample(df, None, doc_id="doc_id", text="text", label="label", per_class=4, max_bytes=60_000, seed=1)
+    assert set(got["label"]) == {f"l{k}" for k in range(300)} | {"long"} and got["key"].is_unique
+    assert got[got["label"] == "long"]["text"].str.len().tolist() == [70_000]
+
+
+def test_long_texts_lose_no_pair_and_no_passage(monkeypatch):
+    import pyarrow as pa
+
+    from lumenloom.llm import textkit
+
+    text = "wort und Satz, ### " * 300 + "x" * 900
+    column = pa.array(["a b", text, None, "c d e"], pa.large_string())
+    model = toxicity.Model(np.random.default_rng(1).normal(0, 1, 1 << toxicity.BITS).astype(np.float32), 0.0)
+
+    def seen(limit):
+        monkeypatch.setattr(textkit.segments, "__defaults__", (True, limit))
+        grams = [[] for _ in range(4)]
+        for seg, hashes, piece, _ in textkit.token_grams(column, limit):
+            for row, h in zip(seg.rows[piece].tolist(), hashes.tolist()):
+                grams[row].append(h)
+        return [sorted(g) for g in grams], toxicity.scores(model, column).tolist()
+
+    whole, parts = seen(1 << 20), seen(1000)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns in every stage; empty tables."""
+    cases.labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "never seen words of a test that is nowhere else at all"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = ("source", "n_chars")
+    for docs in (cases.documents(spark), cases.empty(spark)):
+        docs = docs.withColumn("source", F.lit("web")).withColumn("n_chars", F.length("text").cast("long"))
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = materialize(stage(spark, docs, str(tmp_path)), name)
+            if name != "mixing":
+                assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+                docs = out
+            assert set(columns) - {"n_chars"} <= set(out.columns) and out.count() <= n
+            n = out.count()
+        if n:
+            ids = [r.doc_id for r in docs.select("doc_id").collect()]
+            assert None in ids and len(ids) == len(set(ids))
