@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written once by checkpoint(); the folder is spark.checkpoint.dir, a local one only if unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenloom-"))
-    return df.checkpoint()
+    """df written once as a table in spark.checkpoint.dir and read again; only a local run may do without
+    a named folder, as a machine's own disk is not seen by the others."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lumenloom.shared.dir", None)
+    if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='lumenloom-')}"
+        spark.conf.set("lumenloom.shared.dir", named)
+    path = f"{named.rstrip('/')}/lumenloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
