@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: Fixed value: edges of at least this cost are forbidden.
 FORBIDDEN = 5e29
@@ -50,9 +52,13 @@ def least_cost(cost: np.ndarray) -> np.ndarray | None:
 def solve(edges: DataFrame) -> DataFrame:
     """edges (problem, row, col, cost) -> (problem, row, col, cost) of the chosen edges.
 
-    Missing edges are forbidden; infeasible problems give one row with null row and col. A problem
-    is one instrument's matrix and bounded by it; problems run side by side.
+    Missing edges are forbidden; infeasible problems give one row with null row and col. Of the edges of
+    a row only the cheapest count, as many as the problem has rows: others are never needed for the
+    least total. So a group holds at most the square of its rows, whatever the number of columns.
     """
+    sizes = edges.groupBy("problem").agg(F.countDistinct("row").alias("rows"))
+    order = W.partitionBy("problem", "row").orderBy("cost", "col")
+    near = edges.withColumn("place", F.row_number().over(order)).join(sizes, "problem").where(F.col("place") <= F.col("rows")).drop("place", "rows")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.unique(group["row"]), np.unique(group["col"])
@@ -64,4 +70,4 @@ def solve(edges: DataFrame) -> DataFrame:
             return pd.DataFrame({"problem": [problem], "row": pd.array([None], "Int64"), "col": pd.array([None], "Int64"), "cost": [None]})
         return pd.DataFrame({"problem": problem, "row": rows, "col": cols[match], "cost": cost[np.arange(len(rows)), match]})
 
-    return edges.groupBy("problem").applyInPandas(one, "problem long, row long, col long, cost double")
+    return near.groupBy("problem").applyInPandas(one, "problem long, row long, col long, cost double")

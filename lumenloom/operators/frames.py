@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenloom.functions.numeric import angular_distance, lit, safe_ratio
+from lumenloom.functions.optics import dirichlet, gaussian_overlap
+from lumenloom.operators.lineage import cut
+from lumenloom.operators.order import running
 
 
 def metrics(frames: DataFrame) -> DataFrame:
@@ -65,17 +68,9 @@ HEADER_BYTES, TRAP_BYTES = 16, 45
 
 
 def byte_index(frames: DataFrame) -> DataFrame:
-    """Per frame its length and exclusive running offset.
-
-    The running sum is taken within ranges of frames and shifted by the sum of the ranges before,
-    so that no task sees all frames.
-    """
+    """Per frame its length and exclusive running offset."""
     sizes = frames.groupBy("frame").agg((F.count("*") * TRAP_BYTES + HEADER_BYTES).alias("byte_length"))
-    part = F.floor(F.col("frame") / 4096)
-    totals = sizes.groupBy(part.alias("part")).agg(F.sum("byte_length").alias("total"))
-    before = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("base"))
-    inside = F.sum("byte_length").over(W.partitionBy("part").orderBy("frame")) - F.col("byte_length")
-    return sizes.withColumn("part", part).join(F.broadcast(before), "part").select("frame", "byte_length", (inside + F.col("base")).alias("byte_offset"))
+    return running(sizes, ["frame"], "byte_length", "byte_offset").select("frame", "byte_length", "byte_offset")
 
 
 def separation(frames: DataFrame) -> DataFrame:
@@ -114,8 +109,31 @@ def closest(frames: DataFrame, levels: int = 40) -> DataFrame:
     return counts.join(least, "frame").select("frame", "least", F.expr("n * (n - 1) div 2").alias("n_pairs"))
 
 
-def trap_phase(trap_id, seed: int = 7):
-    """A phase in [-pi, pi) for each trap and seed."""
-    from lumenloom.functions.hashing import mix32, unit32
+def _overlap_of(pairs: DataFrame, scale: float, active: int, extent: int) -> DataFrame:
+    dx, dy = (F.col("ax") - F.col("bx")) / lit(scale), (F.col("ay") - F.col("by")) / lit(scale)
+    both = dirichlet(dx, lit(active), lit(extent)) * dirichlet(dy, lit(active), lit(extent))
+    overlap = F.floor(F.greatest(both, gaussian_overlap(dx * dx + dy * dy)) * lit(1e6) + lit(0.5)) / lit(1e6)
+    return pairs.select("frame", "a_id", "b_id", overlap.alias("overlap"))
+
 
-    return unit32(mix32(trap_id * 2654435 + seed)) * lit(2 * math.pi) - lit(math.pi)
+def mode_overlap(frames: DataFrame, *, scale: float, active: int, extent: int, limit: float = 0.98) -> DataFrame:
+    """Per frame of at least two traps: worst (overlap to six digits), its pair of smallest ids, n_close.
+
+    Pairs of at least `limit` lie within a cell's reach of each other, so they meet on grid cells of
+    the frame. A frame without any has its traps so far apart that few fit into the field: only there
+    all pairs are formed.
+    """
+    # Below this offset in one direction the product of both factors can reach the limit.
+    reach = scale * extent / math.pi * math.sqrt(6 * 1.2 * (1 - limit) / (active * active - 1) + 0.01 * (1 - limit))
+    reach = max(reach, scale * math.sqrt(-2 * math.log(limit)) * 1.01)
+    side = {s: frames.select("frame", F.col("trap_id").alias(f"{s}_id"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for s in "ab"}
+    cell = lambda c: F.floor(F.col(c) / lit(reach)).cast("long")
+    a = side["a"].withColumn("cx", cell("ax")).withColumn("cy", cell("ay"))
+    around = F.array(*[F.struct((cell("bx") + i).alias("cx"), (cell("by") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = side["b"].select("*", F.explode(around).alias("c")).select("frame", "b_id", "bx", "by", "c.cx", "c.cy")
+    near = cut(_overlap_of(a.join(b, ["frame", "cx", "cy"]).where("a_id < b_id"), scale, active, extent).where(F.col("overlap") >= lit(limit)))
+    sparse = frames.groupBy("frame").agg(F.count("*").alias("n")).where("n > 1").join(near.select("frame").distinct(), "frame", "left_anti").select("frame")
+    rest = _overlap_of(side["a"].join(sparse, "frame").join(side["b"], "frame").where("a_id < b_id"), scale, active, extent)
+    first = F.max(F.struct("overlap", (-F.col("a_id")).alias("a"), (-F.col("b_id")).alias("b"))).alias("m")
+    found = near.unionByName(rest).groupBy("frame").agg(first, F.count_if(F.col("overlap") >= lit(limit)).alias("n_close"))
+    return found.select("frame", F.col("m.overlap").alias("worst"), (-F.col("m.a")).alias("a_id"), (-F.col("m.b")).alias("b_id"), "n_close")

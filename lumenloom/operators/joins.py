@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions.geometry import distance, distance_squared, segments_cross
 from lumenloom.functions.numeric import lerp, lit
 from lumenloom.functions import motion
+from lumenloom.operators.lineage import cut
 from lumenloom.operators.order import numbered
 
 
@@ -52,6 +53,35 @@ def cheapest_source(matrix: DataFrame) -> DataFrame:
     return best.select("site_id", F.col("b.atom_id").alias("atom_id"), F.col("b.cost").alias("cost"))
 
 
+def cheapest_nearby(atoms: DataFrame, targets: DataFrame, *, stay: float = 0.25, group_penalty: float = 4.0, reach: float = 8.0) -> DataFrame:
+    """As cheapest_source of the cost matrix, without the matrix: (site_id, atom_id, cost).
+
+    The nearest atom costs at most its squared distance and the penalty, so no atom farther than the
+    root of that can be cheaper. Sites and atoms meet on grid cells; sites whose bound is beyond the
+    cells' reach go on with twice the reach.
+    """
+    sites = targets.where("required").select("site_id", "x", "y", F.col("grp").alias("t_grp"))
+    movable = atoms.where("movable").select("atom_id", "x", "y", "grp")
+    extent = movable.select("x", "y").unionAll(sites.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    widest = max(extent[0] or 0.0, extent[1] or 0.0) * 2
+    done, left = None, sites
+    while True:
+        near = near_pairs(left, movable, "site_id", "atom_id", reach).withColumnsRenamed({"a_id": "site_id", "b_id": "atom_id"})
+        pairs = near.join(left.select("site_id", "t_grp", F.col("x").alias("tx"), F.col("y").alias("ty")), "site_id").join(movable, "atom_id")
+        d2 = distance_squared((F.col("x"), F.col("y")), (F.col("tx"), F.col("ty")))
+        base = d2 + F.when(F.col("grp") != F.col("t_grp"), lit(group_penalty)).otherwise(lit(0))
+        cost = F.when(d2 <= lit(stay * stay), base * lit(0.001)).otherwise(base)
+        best = pairs.groupBy("site_id").agg(F.min(d2).alias("d2"), F.min(F.struct(cost.alias("cost"), "atom_id")).alias("b"))
+        best = cut(best.where(F.lit(reach > widest) | (F.col("d2") + lit(group_penalty) <= lit(reach * reach))).select("site_id", F.col("b.atom_id").alias("atom_id"), F.col("b.cost").alias("cost")))
+        done = best if done is None else done.unionByName(best)
+        if reach > widest:
+            return done
+        left = cut(left.join(best.select("site_id"), "site_id", "left_anti"))
+        if left.limit(1).count() == 0:
+            return done
+        reach *= 2
+
+
 def segments(waypoints: DataFrame) -> DataFrame:
     """Consecutive waypoints of a trajectory as segments with start and end."""
     order = W.partitionBy("trajectory").orderBy("seq")
@@ -59,9 +89,9 @@ def segments(waypoints: DataFrame) -> DataFrame:
     return waypoints.select("*", *ends).where("arrival_end is not null")
 
 
-def crossings(parts: DataFrame, cell: float = 10.0) -> DataFrame:
-    """(a_id, b_id, first_conflict, n_conflicts) of all pairs of trajectories with segments of the
-    same seq that share a point; parts: trajectory, seq, x, y, x_end, y_end.
+def crossings(parts: DataFrame, plane: str = "instrument", cell: float = 10.0) -> DataFrame:
+    """(a_id, b_id, first_conflict, n_conflicts) of all pairs of trajectories of one plane with segments
+    of the same seq that share a point; parts: trajectory, plane, seq, x, y, x_end, y_end.
 
     Segments meet in the grid cells that their bounding boxes have in common, and a pair is taken
     in the lowest of these only, so that it comes once.
@@ -69,27 +99,35 @@ def crossings(parts: DataFrame, cell: float = 10.0) -> DataFrame:
     edge = lambda pick, c, more: F.floor((pick(c, f"{c}_end") + lit(more)) / lit(cell)).cast("long")
     low = {c: edge(F.least, c, -1e-9) for c in "xy"}
     high = {c: edge(F.greatest, c, 1e-9) for c in "xy"}
-    s = parts.select("trajectory", "seq", "x", "y", "x_end", "y_end", low["x"].alias("lx"), low["y"].alias("ly"), F.explode(F.sequence(low["x"], high["x"])).alias("cx"), F.sequence(low["y"], high["y"]).alias("cys"))
+    s = parts.select("trajectory", plane, "seq", "x", "y", "x_end", "y_end", low["x"].alias("lx"), low["y"].alias("ly"), F.explode(F.sequence(low["x"], high["x"])).alias("cx"), F.sequence(low["y"], high["y"]).alias("cys"))
     s = s.select("*", F.explode("cys").alias("cy")).drop("cys")
-    o = s.select("seq", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end", "lx", "ly")])
+    o = s.select(plane, "seq", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end", "lx", "ly")])
     lowest = (F.col("cx") == F.greatest("lx", "o_lx")) & (F.col("cy") == F.greatest("ly", "o_ly"))
     at = lambda p, e="": (F.col(f"{p}x{e}"), F.col(f"{p}y{e}"))
     hit = segments_cross(at(""), at("", "_end"), at("o_"), at("o_", "_end"))
-    pairs = s.join(o, ["seq", "cx", "cy"]).where((F.col("trajectory") < F.col("o_trajectory")) & lowest).where(hit)
+    pairs = s.join(o, [plane, "seq", "cx", "cy"]).where((F.col("trajectory") < F.col("o_trajectory")) & lowest).where(hit)
     return pairs.groupBy(F.col("trajectory").alias("a_id"), F.col("o_trajectory").alias("b_id")).agg(F.min("seq").alias("first_conflict"), F.count("*").alias("n_conflicts"))
 
 
+def _last_before(parts: DataFrame, times: DataFrame, time: str, columns: list[str], inclusive: bool) -> DataFrame:
+    """(trajectory, time, part): the last of the parts that begin before each time, or at it."""
+    given = parts.select("trajectory", F.col("arrival").alias("_t"), F.lit(0 if inclusive else 1).alias("_rank"), F.struct(*columns).alias("part"))
+    asked = times.select("trajectory", F.col(time).alias("_t"), F.lit(1 if inclusive else 0).alias("_rank"), F.lit(None).cast(given.schema["part"].dataType).alias("part"))
+    order = W.partitionBy("trajectory").orderBy("_t", "_rank", F.col("part.seq")).rowsBetween(W.unboundedPreceding, 0)
+    found = given.unionByName(asked).select("trajectory", "_t", "_rank", F.last("part", ignorenulls=True).over(order).alias("part"))
+    return found.where(F.col("_rank") == (1 if inclusive else 0)).select("trajectory", F.col("_t").alias(time), "part")
+
+
 def sample_at(waypoints: DataFrame, times: DataFrame, time: str = "t") -> DataFrame:
     """Position of every trajectory at the given times by minimum-jerk motion.
 
     A time equal to a waypoint belongs to the earlier segment: start < t <= end. times has the
-    columns trajectory and `time`.
+    columns trajectory and `time`. Segments and times are one ordered stream for each trajectory.
     """
-    parts = segments(waypoints)
-    on = (parts["trajectory"] == times["trajectory"]) & (parts["arrival"] < times[time]) & (times[time] <= parts["arrival_end"])
-    share = (F.col(time) - F.col("arrival")) / (F.col("arrival_end") - F.col("arrival"))
-    q = motion.progress(share)
-    return times.join(parts, on).select(times["trajectory"], F.col(time), lerp(F.col("x"), F.col("x_end"), q).alias("x"), lerp(F.col("y"), F.col("y_end"), q).alias("y"))
+    columns = ["seq", "x", "y", "arrival", "x_end", "y_end", "arrival_end"]
+    found = _last_before(segments(waypoints), times, time, columns, inclusive=False).select("trajectory", time, "part.*").where(F.col(time) <= F.col("arrival_end"))
+    q = motion.progress((F.col(time) - F.col("arrival")) / (F.col("arrival_end") - F.col("arrival")))
+    return found.select("trajectory", time, lerp(F.col("x"), F.col("x_end"), q).alias("x"), lerp(F.col("y"), F.col("y_end"), q).alias("y"))
 
 
 def free_ids(wanted: DataFrame, taken: DataFrame, key: str, other: str) -> DataFrame:
@@ -116,13 +154,13 @@ def step_at(waypoints: DataFrame, times: DataFrame, time: str = "t") -> DataFram
     and the next on a straight line."""
     order = W.partitionBy("trajectory").orderBy("seq")
     ends = [F.lead(c).over(order).alias(f"{c}_end") for c in ("x", "y", "arrival")]
-    parts = waypoints.select("*", (F.row_number().over(order) == 1).alias("first"), *ends)
-    after = F.col("first") | (F.col("arrival") <= F.col(time))
-    before = F.col("arrival_end").isNull() | (F.col(time) < F.col("arrival_end"))
-    on = (parts["trajectory"] == times["trajectory"]) & after & before
+    parts = waypoints.select("*", *ends)
+    columns = ["seq", "x", "y", "arrival", "x_end", "y_end", "arrival_end"]
+    first = parts.groupBy("trajectory").agg(F.min_by(F.struct(*columns), "seq").alias("first"))
+    found = _last_before(parts, times, time, columns, inclusive=True).join(first, "trajectory").select("trajectory", time, F.coalesce("part", "first").alias("part")).select("trajectory", time, "part.*")
     share = F.when(F.col("arrival_end").isNull() | (F.col(time) < F.col("arrival")), lit(0)).otherwise(F.try_divide(F.col(time) - F.col("arrival"), F.col("arrival_end") - F.col("arrival")))
     at = [F.when(F.col(f"{c}_end").isNull(), F.col(c)).otherwise(lerp(F.col(c), F.col(f"{c}_end"), share)).alias(c) for c in ("x", "y")]
-    return times.join(parts, on).select(times["trajectory"], F.col(time), "seq", *at)
+    return found.select("trajectory", time, "seq", *at)
 
 
 def scatter(points: DataFrame, value: str) -> DataFrame:

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenloom.operators.lineage import cut
 
 
+def _begins(ranged: DataFrame, amount: Column) -> DataFrame:
+    """(_part, _base): what stands before each range; one number for a range reaches the driver."""
+    begins, total = [], 0
+    for r in ranged.groupBy("_part").agg(amount.alias("n")).orderBy("_part").collect():
+        begins.append((r["_part"], total))
+        total += r["n"] or 0
+    return F.broadcast(ranged.sparkSession.createDataFrame(begins, "_part int, _base long"))
+
+
 def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     """Adds the 0-based place of each row in a total order.
 
@@ -15,9 +25,12 @@ def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     place at which each range begins.
     """
     ranged = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    begins, total = [], 0
-    for r in ranged.groupBy("_part").count().orderBy("_part").collect():
-        begins.append((r["_part"], total))
-        total += r["count"]
-    base = df.sparkSession.createDataFrame(begins, "_part int, _base long")
-    return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
+    return ranged.join(_begins(ranged, F.count("*")), "_part").withColumn(name, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
+
+
+def running(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Adds the sum of a whole-number column over all rows before each in a total order, ranges as in
+    `numbered`: a window sees one range only."""
+    ranged = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(_begins(ranged, F.sum(value)), "_part").withColumn(name, (inside + F.col("_base")).cast("long")).drop("_part", "_base")

@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions.numeric import lit
 
-#: The codes of violations.
-CODES = ("INVALID_ARGUMENT", "DUPLICATE_ID", "OUT_OF_BOUNDS", "INSUFFICIENT_ATOMS", "INVALID_TARGET_GEOMETRY", "INITIAL_SEPARATION", "PATH_COLLISION", "ILLEGAL_LIFECYCLE", "QUALITY_GATE")
-
-U32 = 4294967295
-
-
 def finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < lit(float("inf")))
 
@@ -50,3 +44,26 @@ def enough(atoms: DataFrame, targets: DataFrame) -> DataFrame:
     need = targets.agg(F.count_if("required").alias("required"))
     have = atoms.agg(F.count_if("movable").alias("available"))
     return need.crossJoin(have).withColumn("accepted", F.col("available") >= F.col("required"))
+
+
+def sample_gates(margin: float = 2e-5) -> dict[str, tuple[str, Column]]:
+    """name -> (reason, condition) of rows (traps, told, phase, converged, flags), in order."""
+    bad = F.array(F.lit("ZERO_TARGET_OUTPUT"), F.lit("NUMERIC_ERROR"))
+    return {
+        "count_ok": ("TRAP_COUNT", F.size("traps") == F.col("told")),
+        "unique_traps": ("DUPLICATE_TRAP", F.size(F.array_distinct("traps")) == F.size("traps")),
+        "phase_ok": ("PHASE", F.abs("phase") <= F.pi() + lit(margin)),
+        "converged_ok": ("NOT_CONVERGED", F.col("converged")),
+        "flags_ok": ("FLAGGED", F.size(F.array_intersect("flags", bad)) == 0),
+    }
+
+
+def first_rejection(gates: dict[str, tuple[str, Column]]) -> Column:
+    """The reason of the first gate that is not met, null if all are; null counts as not met."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for reason, ok in gates.values()])
+
+
+def all_finite(text: Column) -> Column:
+    """Whether a JSON text is readable and none of its numbers, at any depth, is NaN or infinite."""
+    odd = F.regexp_count(F.regexp_replace(text, r'"([^"\\\\]|\\\\.)*"', '""'), F.lit("NaN|Infinity"))
+    return F.coalesce((odd == 0) & F.try_parse_json(text).isNotNull(), F.lit(False))

@@ -1,14 +1,11 @@
 """All registered queries of the engine with their DuckDB counterparts.
 
-A query is named after the operators it covers. Floating results are rounded to six digits by
-floor(v * 1e6 + 0.5) / 1e6 on both sides.
+A query is named after the operators it covers. Further ones stand in the modules imported at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,47 +13,11 @@ from lumenloom.functions import geometry, hashing, motion, numeric, optics
 from lumenloom.functions.numeric import lit
 from lumenloom.operators import assignment, fields, frames, joins, order, rasters, validate
 from lumenloom.plans import views
+from lumenloom.plans.catalog import FLAGSHIP, ORACLES, QUERIES, R, WRAP, query, r6, r9  # noqa: F401
 from lumenloom.sources import packed, points
 from lumenloom.streaming import sequence
 from lumenloom.plans.views import table, with_views
 
-FLAGSHIP = "join_01_cheapest_source"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(v: Column | str) -> Column:
-    v = F.col(v) if isinstance(v, str) else v
-    return F.floor(v * lit(1e6) + lit(0.5)) / lit(1e6)
-
-
-def r9(v: Column | str) -> Column:
-    v = F.col(v) if isinstance(v, str) else v
-    return F.floor(v * lit(1e9) + lit(0.5)) / lit(1e9)
-
-
-def R(v: str) -> str:
-    return f"floor(({v}) * 1e6 + 5e-1) / 1e6"
-
-
-def WRAP(v: str) -> str:
-    """wrap_phase in SQL: fmod of a nonnegative amount, then half-open at the low end."""
-    m = f"(({v}) + pi() - 2e0 * pi() * floor((({v}) + pi()) / (2e0 * pi())) - pi())"
-    return f"CASE WHEN {m} <= -pi() THEN pi() ELSE {m} END"
-
-
 MATRIX = """, m AS (SELECT atom_id, site_id, CASE WHEN d2 <= 625e-4 THEN (d2 + p) * 1e-3 ELSE d2 + p END AS cost FROM (
     SELECT a.atom_id, t.site_id, (a.x - t.x) * (a.x - t.x) + (a.y - t.y) * (a.y - t.y) AS d2, CASE WHEN a.grp <> t.grp THEN 4e0 ELSE 0e0 END AS p
     FROM atoms a, targets t WHERE a.movable AND t.required))"""
@@ -76,7 +37,8 @@ def join_01_cost_matrix(spark, sf_dir):
 
 @query(with_views("atoms", "targets") + MATRIX + f" SELECT site_id, atom_id, {R('cost')} AS cost FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY cost, atom_id) AS r FROM m) WHERE r = 1")
 def join_01_cheapest_source(spark, sf_dir):
-    return joins.cheapest_source(_matrix(spark, sf_dir)).select("site_id", "atom_id", r6("cost").alias("cost"))
+    best = joins.cheapest_nearby(views.atoms(spark, sf_dir), views.targets(spark, sf_dir))
+    return best.select("site_id", "atom_id", r6("cost").alias("cost"))
 
 
 @query(with_views("atoms", "targets") + MATRIX + f", b AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY cost, atom_id) AS r FROM m WHERE cost < 2e2) SELECT count(*) AS n_sites, count(DISTINCT atom_id) AS n_atoms, {R('sum(cost)')} AS total FROM b WHERE r = 1")
@@ -198,21 +160,9 @@ def win_07_time_shift(spark, sf_dir):
     return moved.unionByName(added)
 
 
-@query(with_views("waypoints") + SEGMENTS + ", q AS (SELECT a.trajectory AS a_id, b.trajectory AS b_id, a.seq, a.x AS ax, a.y AS ay, a.x_end AS bx, a.y_end AS by_, b.x AS cx, b.y AS cy, b.x_end AS dx, b.y_end AS dy FROM s a JOIN s b ON a.seq = b.seq AND b.trajectory > a.trajectory AND b.trajectory <= a.trajectory + 3), o AS (SELECT *, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS o1, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS o3, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS o4 FROM q), c AS (SELECT *, (o1 * o2 < 0 AND o3 * o4 < 0) OR (abs(o1) <= 1e-10 AND cx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND cy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o2) <= 1e-10 AND dx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND dy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o3) <= 1e-10 AND ax BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND ay BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) OR (abs(o4) <= 1e-10 AND bx BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND by_ BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) AS hit FROM o) SELECT a_id, b_id, min(seq) AS first_conflict, count(*) AS n_conflicts FROM c WHERE hit GROUP BY a_id, b_id")
+@query(with_views("waypoints") + SEGMENTS + ", q AS (SELECT a.trajectory AS a_id, b.trajectory AS b_id, a.seq, a.x AS ax, a.y AS ay, a.x_end AS bx, a.y_end AS by_, b.x AS cx, b.y AS cy, b.x_end AS dx, b.y_end AS dy FROM s a JOIN s b ON a.instrument = b.instrument AND a.seq = b.seq AND b.trajectory > a.trajectory), o AS (SELECT *, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS o1, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS o3, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS o4 FROM q), c AS (SELECT *, (o1 * o2 < 0 AND o3 * o4 < 0) OR (abs(o1) <= 1e-10 AND cx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND cy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o2) <= 1e-10 AND dx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND dy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o3) <= 1e-10 AND ax BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND ay BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) OR (abs(o4) <= 1e-10 AND bx BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND by_ BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) AS hit FROM o) SELECT a_id, b_id, min(seq) AS first_conflict, count(*) AS n_conflicts FROM c WHERE hit GROUP BY a_id, b_id")
 def join_12_path_conflicts(spark, sf_dir):
-    """First and number of crossings of simultaneous segments, for neighbouring trajectories."""
-    s = joins.segments(views.waypoints(spark, sf_dir)).select("trajectory", "seq", "x", "y", "x_end", "y_end")
-    near = s.select("*", F.explode(F.sequence(F.col("trajectory") + 1, F.col("trajectory") + 3)).alias("other"))
-    b = s.select(F.col("trajectory").alias("other"), "seq", *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "x_end", "y_end")])
-    pairs = near.join(b, ["other", "seq"])
-    at = lambda p, e="": (F.col(f"{p}x{e}"), F.col(f"{p}y{e}"))
-    hit = geometry.segments_cross(at(""), at("", "_end"), at("o_"), at("o_", "_end"))
-    return pairs.where(hit).groupBy(F.col("trajectory").alias("a_id"), F.col("other").alias("b_id")).agg(F.min("seq").alias("first_conflict"), F.count("*").alias("n_conflicts"))
-
-
-@query()
-def join_12_all_path_conflicts(spark, sf_dir):
-    """First and number of crossings of simultaneous segments, for all pairs of trajectories."""
+    """First and number of crossings of simultaneous segments, for all pairs of trajectories of a plane."""
     return joins.crossings(joins.segments(views.waypoints(spark, sf_dir)))
 
 
@@ -250,14 +200,8 @@ def snk_06_byte_index(spark, sf_dir):
     return frames.byte_index(views.trap_frames(spark, sf_dir))
 
 
-@query(with_views("frames") + f" SELECT a.frame, {R('min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)))')} AS least, count(*) AS n_pairs FROM frames a JOIN frames b ON a.frame = b.frame AND a.trap_id < b.trap_id WHERE a.trap_id % 10 = 0 AND b.trap_id % 10 = 0 GROUP BY a.frame")
+@query(with_views("frames") + f" SELECT a.frame, {R('min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)))')} AS least, count(*) AS n_pairs FROM frames a JOIN frames b ON a.frame = b.frame AND a.trap_id < b.trap_id GROUP BY a.frame")
 def join_21_frame_separation(spark, sf_dir):
-    dynamic = views.trap_frames(spark, sf_dir).where("trap_id % 10 = 0")
-    return frames.separation(dynamic).select("frame", r6("least").alias("least"), "n_pairs")
-
-
-@query()
-def join_21_all_frame_separation(spark, sf_dir):
     """The least distance and the number of pairs over all traps of a frame."""
     return frames.closest(views.trap_frames(spark, sf_dir)).select("frame", r6("least").alias("least"), "n_pairs")
 
@@ -432,16 +376,18 @@ def sca_63_digests(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("value"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS byte_length, CAST(coalesce(sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM documents")
+def snk_05_descriptors(spark, sf_dir):
+    """Size of every whole text and its running place in a concatenated file."""
+    return sca_61_checksums(spark, sf_dir).drop("crc32")
+
+
 @query()
 def sca_61_checksums(spark, sf_dir):
     """crc32 and size of every whole text with its running place in a concatenated file."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
     sized = d.select("doc_id", F.length("bytes").cast("long").alias("byte_length"), F.crc32("bytes").alias("crc32"))
-    part = F.floor(F.col("doc_id") / 4096)
-    base = sized.groupBy(part.alias("part")).agg(F.sum("byte_length").alias("total")).select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("base"))
-    inside = F.sum("byte_length").over(W.partitionBy("part").orderBy("doc_id")) - F.col("byte_length")
-    return sized.withColumn("part", part).join(F.broadcast(base), "part").select("doc_id", "byte_length", "crc32", (inside + F.col("base")).alias("byte_offset"))
-
+    return order.running(sized, ["doc_id"], "byte_length", "byte_offset").select("doc_id", "byte_length", "crc32", "byte_offset")
 
 
 # --- assignment, sources and sequences --------------------------------------------------------
@@ -451,7 +397,7 @@ def sca_61_checksums(spark, sf_dir):
 def gen_12_assignment(spark, sf_dir):
     """Every region's sites get atoms at least cost: as many problems as regions."""
     sites = views.targets(spark, sf_dir).select("site_id", F.col("grp").cast("long").alias("problem"))
-    edges = _matrix(spark, sf_dir).join(F.broadcast(sites), "site_id")
+    edges = _matrix(spark, sf_dir).join(sites, "site_id")
     return assignment.solve(edges.select("problem", F.col("site_id").alias("row"), F.col("atom_id").alias("col"), "cost")).select("problem", "row", "col", r6("cost").alias("cost"))
 
 
@@ -478,11 +424,12 @@ def snk_03_packed_frames(spark, sf_dir):
     return packed.unpack_frames(packed.pack_frames(traps))
 
 
-@query(with_views("raster") + " SELECT CAST(0 AS BIGINT) AS image, CAST(y.i AS INTEGER) AS y, CAST(x.i AS INTEGER) AS x, CAST(coalesce(level % 256, 0) AS INTEGER) AS level FROM (SELECT unnest(range(0, (SELECT max(py) + 1 FROM raster))) AS i) y CROSS JOIN (SELECT unnest(range(0, (SELECT max(px) + 1 FROM raster))) AS i) x LEFT JOIN raster ON py = y.i AND px = x.i")
+@query("WITH r AS (SELECT l_suppkey // 64 AS image, CAST(l_suppkey % 64 AS INTEGER) AS py, CAST(l_partkey % 64 AS INTEGER) AS px, count(*) AS level FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT image, max(py) + 1 AS h, max(px) + 1 AS w FROM r GROUP BY image), p AS (SELECT image, CAST(i // w AS INTEGER) AS y, CAST(i % w AS INTEGER) AS x FROM s, LATERAL (SELECT unnest(range(0, h * w)) AS i)) SELECT p.image, y, x, CAST(coalesce(level % 256, 0) AS INTEGER) AS level FROM p LEFT JOIN r ON r.image = p.image AND py = y AND px = x")
 def snk_07_bitmap(spark, sf_dir):
-    """An image of line counts as a bitmap and back."""
-    image = views.raster(spark, sf_dir).select(F.lit(0).cast("long").alias("image"), F.col("py").alias("y"), F.col("px").alias("x"), (F.col("level") % 256).alias("code"))
-    return packed.pixels(packed.bitmaps(image, "image"), "image")
+    """Images of line counts, one for 64 suppliers, as bitmaps and back."""
+    key = (F.col("l_suppkey") / 64).cast("long").alias("image")
+    counts = table(spark, sf_dir, "lineitem").groupBy(key, (F.col("l_suppkey") % 64).cast("int").alias("y"), (F.col("l_partkey") % 64).cast("int").alias("x")).agg((F.count("*") % 256).alias("code"))
+    return packed.pixels(packed.bitmaps(counts, "image"), "image")
 
 
 @query("SELECT min(event_id) AS lowest, max(event_id) AS highest, count(event_id) AS n, count(DISTINCT event_id) AS different, count(event_id) = count(DISTINCT event_id) AND max(event_id) - min(event_id) + 1 = count(event_id) AS complete FROM events")
@@ -511,15 +458,10 @@ def _dirichlet(d: str) -> str:
     return f"CASE WHEN abs{below} < 1e-12 THEN 1e0 ELSE abs(sin(pi() * 8e0 * ({d}) / 64e0) / {below}) END"
 
 
-@query(with_views("frames") + f", p AS (SELECT a.frame, (a.x - b.x) / 1e1 AS dx, (a.y - b.y) / 1e1 AS dy FROM frames a JOIN frames b ON a.frame = b.frame AND a.trap_id < b.trap_id WHERE a.trap_id % 10 = 0 AND b.trap_id % 10 = 0), c AS (SELECT frame, greatest(({_dirichlet('dx')}) * ({_dirichlet('dy')}), exp(-5e-1 * (dx * dx + dy * dy))) AS overlap FROM p) SELECT frame, {R('max(overlap)')} AS worst, count(*) FILTER (WHERE overlap >= 5e-1) AS n_close FROM c GROUP BY frame")
+@query(with_views("frames") + f", p AS (SELECT a.frame, a.trap_id AS a_id, b.trap_id AS b_id, (a.x - b.x) / 1e1 AS dx, (a.y - b.y) / 1e1 AS dy FROM frames a JOIN frames b ON a.frame = b.frame AND a.trap_id < b.trap_id), c AS (SELECT *, {R(f'greatest(({_dirichlet("dx")}) * ({_dirichlet("dy")}), exp(-5e-1 * (dx * dx + dy * dy)))')} AS overlap FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY overlap DESC, a_id, b_id) AS r FROM c) SELECT frame, max(overlap) AS worst, CAST(max(CASE WHEN r = 1 THEN a_id END) AS BIGINT) AS a_id, CAST(max(CASE WHEN r = 1 THEN b_id END) AS BIGINT) AS b_id, count(*) FILTER (WHERE overlap >= 98e-2) AS n_close FROM r GROUP BY frame")
 def join_29_mode_overlap(spark, sf_dir):
-    f = views.trap_frames(spark, sf_dir).where("trap_id % 10 = 0")
-    a = f.select("frame", F.col("trap_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = f.select("frame", F.col("trap_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    dx, dy = (F.col("ax") - F.col("bx")) / lit(10), (F.col("ay") - F.col("by")) / lit(10)
-    overlap = F.greatest(optics.dirichlet(dx, lit(8), lit(64)) * optics.dirichlet(dy, lit(8), lit(64)), optics.gaussian_overlap(dx * dx + dy * dy))
-    pairs = a.join(b, "frame").where("a_id < b_id").select("frame", overlap.alias("overlap"))
-    return pairs.groupBy("frame").agg(r6(F.max("overlap")).alias("worst"), F.count_if(F.col("overlap") >= lit(0.5)).alias("n_close"))
+    """Over all traps of a frame: the largest mode overlap, its first pair, and the unresolved pairs."""
+    return frames.mode_overlap(views.trap_frames(spark, sf_dir), scale=10.0, active=8, extent=64)
 
 
 @query(with_views("atoms") + f" SELECT grp, {R('min(x) - 15e-1')} AS x_low, {R('max(x) + 15e-1')} AS x_high, {R('min(y) - 15e-1')} AS y_low, {R('max(y) + 15e-1')} AS y_high FROM atoms GROUP BY grp")
@@ -552,16 +494,8 @@ def set_03_breakpoints(spark, sf_dir):
     return a.join(b, "trajectory").select("trajectory", F.array_sort(F.array_union("l", "m")).alias("breaks"))
 
 
-@query("SELECT vec_id, len(embedding) AS n, len(list_filter(range(2, 9), lambda i: embedding[i] < embedding[i - 1])) = 0 OR len(list_filter(range(2, 9), lambda i: embedding[i] > embedding[i - 1])) = 0 AS monotone FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS n, len(list_filter(range(2, len(embedding) + 1), lambda i: embedding[i] < embedding[i - 1])) = 0 OR len(list_filter(range(2, len(embedding) + 1), lambda i: embedding[i] > embedding[i - 1])) = 0 AS monotone FROM embeddings")
 def src_05_code_tables(spark, sf_dir):
-    text = F.array_join(F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double").cast("string")), "; ")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), text.alias("text"))
-    found = points.code_table(rows, "vec_id", "text").select("vec_id", "monotone")
-    return rows.select("vec_id", "n").join(found, "vec_id")
-
-
-@query()
-def src_05_all_code_tables(spark, sf_dir):
     """Code tables of whole vectors."""
     text = F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), "; ")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), text.alias("text"))
@@ -575,3 +509,6 @@ def gen_15_schedule(spark, sf_dir):
     n = c.agg(F.count("*").alias("n"))
     s = c.crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("sample_id"), F.pmod(F.col("c_custkey") * 7919 + 13, F.col("n")).alias("stratum"), F.greatest(F.col("n") - 1, F.lit(1)).alias("top"))
     return s.select("sample_id", "stratum", F.floor(lit(10) + lit(40) * F.col("stratum") / F.col("top") + lit(0.5)).cast("long").alias("even_count"), F.floor(F.exp(F.ln(lit(2000)) * F.col("stratum") / F.col("top")) + lit(0.5)).cast("long").alias("log_count"))
+
+
+from lumenloom.plans import assembly, checks, codes, light, routes  # noqa: E402, F401

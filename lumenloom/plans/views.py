@@ -43,8 +43,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as the way of one atom; 64 atoms share the plane of an instrument, and atoms
+    of different instruments never meet."""
     order = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trajectory"), F.row_number().over(order).alias("seq"), ((_cents("o_totalprice") % 1000) / lit(10)).alias("x"), ((F.col("o_orderkey") * 7919 % 1000) / lit(10)).alias("y")).withColumn("arrival", F.col("seq") * F.lit(1000).cast("long"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trajectory"), F.floor(F.col("o_custkey") / 64).cast("long").alias("instrument"), F.row_number().over(order).alias("seq"), ((_cents("o_totalprice") % 1000) / lit(10)).alias("x"), ((F.col("o_orderkey") * 7919 % 1000) / lit(10)).alias("y")).withColumn("arrival", F.col("seq") * F.lit(1000).cast("long"))
 
 
 def trap_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +78,7 @@ SQL = {
         FROM nation WHERE n_nationkey < (SELECT floor(count(*) * 5e-1) FROM supplier))""",
     "points": """points AS (SELECT c_custkey AS point_id, 3e0 * (c_custkey % 256) + j AS x, 3e0 * floor(c_custkey / 256e0) + j AS y
         FROM (SELECT *, ((CAST(floor(c_acctbal * 1e2 + 5e-1) AS BIGINT) % 100 + 100) % 100) / 2e2 AS j FROM customer))""",
-    "waypoints": """waypoints AS (SELECT *, CAST(seq * 1000 AS BIGINT) AS arrival FROM (SELECT o_custkey AS trajectory, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS seq, (CAST(floor(o_totalprice * 1e2 + 5e-1) AS BIGINT) % 1000) / 1e1 AS x, (o_orderkey * 7919 % 1000) / 1e1 AS y FROM orders))""",
+    "waypoints": """waypoints AS (SELECT *, CAST(seq * 1000 AS BIGINT) AS arrival FROM (SELECT o_custkey AS trajectory, o_custkey // 64 AS instrument, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS seq, (CAST(floor(o_totalprice * 1e2 + 5e-1) AS BIGINT) % 1000) / 1e1 AS x, (o_orderkey * 7919 % 1000) / 1e1 AS y FROM orders))""",
     "frames": """frames AS (SELECT frame, trap_id, event_id, intensity, (event_id % 628) / 1e2 - 3e0 AS phase, (event_id * 31 % 1000) / 1e1 AS x, (event_id * 17 % 1000) / 1e1 AS y FROM (
         SELECT user_id AS trap_id, CAST(floor(epoch_us(ts) / 216e8) AS BIGINT) AS frame, event_id, abs(value) AS intensity, row_number() OVER (PARTITION BY user_id, floor(epoch_us(ts) / 216e8) ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)""",
     "fields": """fields AS (SELECT vec_id AS field_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS re FROM embeddings, (SELECT unnest(range(0, 64)) AS i))""",

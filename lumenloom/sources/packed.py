@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,3 +97,68 @@ def pixels(df: DataFrame, key: str, content: str = "bytes") -> DataFrame:
     rows = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
     at = F.col("begin") + (F.col("h") - 1 - F.col("y")) * (F.ceil(F.col("w") / 4) * 4).cast("int") + F.col("x")
     return rows.select(key, "y", "x", byte(at).alias("level"))
+
+
+#: Magic, version and little-endian layout of the header of a sample, and its size.
+SAMPLE_MAGIC, SAMPLE_VERSION = b"SLMD", 1
+SAMPLE_HEADER = np.dtype([("magic", "S4"), ("version", "<u2"), ("header", "<u2"), ("sample_id", "<u8"), ("traps", "<u4"), ("seed", "<u4"), ("crc32", "<u4"), ("width", "<u4"), ("height", "<u4"), ("positions", "<u4"), ("phases", "<u4"), ("ids", "<u4"), ("frame", "<u4"), ("metrics", "<u4"), ("flags", "<u4"), ("reserved", "<u4")])
+SAMPLE = "sample_id long, seed long, width int, height int, traps array<struct<x:float,y:float,phase:float,trap_id:long>>, codes array<int>, metrics string, error string"
+
+
+def pack_samples(samples: DataFrame) -> DataFrame:
+    """(sample_id, bytes): header, positions, phases, ids, frame and metrics of each sample."""
+
+    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            blobs = []
+            for r in batch.itertuples(index=False):
+                traps = list(r.traps)
+                xy = np.array([(t["x"], t["y"]) for t in traps], "<f4").reshape(len(traps), 2)
+                sections = [xy.tobytes(), np.array([t["phase"] for t in traps], "<f4").tobytes(), np.array([t["trap_id"] for t in traps], "<u4").tobytes(), np.asarray(r.codes, np.uint8).tobytes(), r.metrics.encode()]
+                head = np.array([(SAMPLE_MAGIC, SAMPLE_VERSION, SAMPLE_HEADER.itemsize, r.sample_id, len(traps), r.seed, zlib.crc32(sections[3]), r.width, r.height, *map(len, sections), 0, 0)], SAMPLE_HEADER)
+                blobs.append(head.tobytes() + b"".join(sections))
+            yield pd.DataFrame({"sample_id": batch["sample_id"], "bytes": blobs})
+
+    return samples.select("sample_id", "seed", "width", "height", "traps", "codes", "metrics").mapInPandas(one, "sample_id long, bytes binary")
+
+
+def _sample(blob: bytes) -> tuple:
+    """The columns of SAMPLE; an error names the first check that fails."""
+    bad = lambda why: (None,) * 7 + (why,)
+    if blob is None or len(blob) < SAMPLE_HEADER.itemsize:
+        return bad("SHORT")
+    h = np.frombuffer(blob, SAMPLE_HEADER, 1)[0]
+    n, sizes = int(h["traps"]), [int(h[k]) for k in ("positions", "phases", "ids", "frame", "metrics")]
+    if h["magic"] != SAMPLE_MAGIC or h["version"] != SAMPLE_VERSION or h["header"] != SAMPLE_HEADER.itemsize:
+        return bad("HEADER")
+    if h["flags"] or h["reserved"] or not n or sizes[:4] != [8 * n, 4 * n, 4 * n, int(h["width"]) * int(h["height"])] or not sizes[3]:
+        return bad("SECTIONS")
+    if len(blob) != SAMPLE_HEADER.itemsize + sum(sizes):
+        return bad("LENGTH")
+    cuts = np.cumsum([SAMPLE_HEADER.itemsize, *sizes]).tolist()
+    xy, phases, ids, frame, metrics = (blob[i:j] for i, j in zip(cuts, cuts[1:]))
+    if zlib.crc32(frame) != h["crc32"]:
+        return bad("CRC32")
+    try:
+        pairs = json.loads(metrics.decode(), object_pairs_hook=lambda p: p, parse_constant=lambda _: [][0])
+        if not isinstance(pairs, list) or len({k for k, _ in pairs}) != len(pairs):
+            return bad("METRICS")
+    except (ValueError, TypeError, IndexError):
+        return bad("METRICS")
+    traps = [{"x": x, "y": y, "phase": p, "trap_id": i} for (x, y), p, i in zip(np.frombuffer(xy, "<f4").reshape(n, 2).tolist(), np.frombuffer(phases, "<f4").tolist(), np.frombuffer(ids, "<u4").tolist())]
+    return int(h["sample_id"]), int(h["seed"]), int(h["width"]), int(h["height"]), traps, np.frombuffer(frame, np.uint8).tolist(), metrics.decode(), None
+
+
+def unpack_samples(df: DataFrame, content: str = "bytes") -> DataFrame:
+    """One row for each packed sample, its columns or the error: SHORT, HEADER, SECTIONS, LENGTH, CRC32
+    or METRICS (not one JSON object with different keys and finite numbers)."""
+    names = [c.split()[0] for c in ("sample_id long", "seed", "width", "height", "traps", "codes", "metrics", "error")]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            rows = pd.DataFrame([_sample(b) for b in batch[content]], columns=names)
+            for name in names[:4]:
+                rows[name] = rows[name].astype("Int64")
+            yield rows
+
+    return df.select(content).mapInPandas(read, SAMPLE)

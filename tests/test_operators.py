@@ -148,23 +148,23 @@ def test_closest_pairs_of_all_traps(spark):
 
 def test_separation_of_all_traps_of_the_tables(spark, sf_dir):
     wanted = {r.frame: (r.least, r.n_pairs) for r in frames.separation(views.trap_frames(spark, sf_dir)).collect()}
-    got = {r.frame: (r.least, r.n_pairs) for r in registry.join_21_all_frame_separation(spark, sf_dir).collect()}
+    got = {r.frame: (r.least, r.n_pairs) for r in registry.join_21_frame_separation(spark, sf_dir).collect()}
     assert set(got) == set(wanted) and all(abs(got[k][0] - v[0]) < 1e-6 and got[k][1] == v[1] for k, v in wanted.items())
 
 
 def test_crossings_of_all_paths(spark, sf_dir):
-    s = joins.segments(views.waypoints(spark, sf_dir)).select("trajectory", "seq", "x", "y", "x_end", "y_end")
-    o = s.toDF("o_trajectory", "seq", "o_x", "o_y", "o_x_end", "o_y_end")
+    s = joins.segments(views.waypoints(spark, sf_dir)).select("trajectory", "instrument", "seq", "x", "y", "x_end", "y_end")
+    o = s.toDF("o_trajectory", "instrument", "seq", "o_x", "o_y", "o_x_end", "o_y_end")
     at = lambda p, e="": (F.col(f"{p}x{e}"), F.col(f"{p}y{e}"))
     hit = geometry.segments_cross(at(""), at("", "_end"), at("o_"), at("o_", "_end"))
-    every = s.join(o, "seq").where("trajectory < o_trajectory").where(hit).groupBy("trajectory", "o_trajectory").agg(F.min("seq"), F.count("*"))
+    every = s.join(o, ["instrument", "seq"]).where("trajectory < o_trajectory").where(hit).groupBy("trajectory", "o_trajectory").agg(F.min("seq"), F.count("*"))
     wanted = {tuple(r) for r in every.collect()}
-    assert {tuple(r) for r in registry.join_12_all_path_conflicts(spark, sf_dir).collect()} == wanted
+    assert {tuple(r) for r in registry.join_12_path_conflicts(spark, sf_dir).collect()} == wanted
     assert any(b > a + 3 for a, b, *_ in wanted)
 
 
 def test_code_tables_of_whole_vectors(spark, tmp_path):
     rise = [float(k) for k in range(64)]
     spark.createDataFrame([(1, rise), (2, rise[:20] + rise[:44]), (3, rise[::-1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.vec_id: (r.n, r.monotone) for r in registry.src_05_all_code_tables(spark, str(tmp_path)).collect()}
+    got = {r.vec_id: (r.n, r.monotone) for r in registry.src_05_code_tables(spark, str(tmp_path)).collect()}
     assert got == {1: (64, True), 2: (64, False), 3: (64, True)}
