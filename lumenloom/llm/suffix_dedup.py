@@ -39,7 +39,7 @@ GRAM = 16
 SEGMENT = 1 << 19
 BUCKET_BYTES = 4 << 20
 #: Contexts of an anchor from which its strings are routed one by one; the share of documents counted.
-HOT_CONTEXTS = 4096
+HOT_CONTEXTS = 1 << 17
 HOT_SHARE = 64
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 COVERED, OPEN, ASK = 0, 1, 2
