@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +76,35 @@ def in_polygon(p: Point, xs: Column, ys: Column) -> Column:
 
     every = F.sequence(F.lit(0), n - 1)
     return F.exists(every, touched) | (F.size(F.filter(every, crossed)) % 2 == 1)
+
+
+def inside_corners(p: Point, corners: list[Point]) -> Column:
+    """in_polygon for a fixed list of corners."""
+    edges = list(zip(corners, (*corners[1:], corners[0])))
+    crossed = sum((F.when(((a[1] > p[1]) != (b[1] > p[1])) & (p[0] < a[0] + (b[0] - a[0]) * F.coalesce(F.try_divide(p[1] - a[1], b[1] - a[1]), lit(0))), 1).otherwise(0) for a, b in edges), F.lit(0))
+    return (crossed % 2 == 1) | (_least([point_to_segment(p, a, b) for a, b in edges]) <= lit(1e-10))
+
+
+def _least(values: list[Column]) -> Column:
+    return F.least(*values) if len(values) > 1 else values[0]
+
+
+def to_polygon(p: Point, corners: list[Point]) -> Column:
+    """Distance to a polygon of fixed corners, 0 inside."""
+    edges = zip(corners, (*corners[1:], corners[0]))
+    return F.when(inside_corners(p, corners), lit(0)).otherwise(_least([point_to_segment(p, a, b) for a, b in edges]))
+
+
+def segment_in_polygon(a: Point, b: Point, corners: list[Point], clearance: Column) -> Column:
+    """Whether a segment comes within the clearance of a polygon: an end lies inside, or an edge is near."""
+    edges = zip(corners, (*corners[1:], corners[0]))
+    return inside_corners(a, corners) | inside_corners(b, corners) | (_least([segment_to_segment(a, b, c, d) for c, d in edges]) <= clearance)
+
+
+def circle_corners(centre: Point, radius: Column, n: int = 32) -> Column:
+    angle = lambda i: lit(2 * math.pi * i / n)
+    return F.array(*[F.struct((centre[0] + F.cos(angle(i)) * radius).alias("x"), (centre[1] + F.sin(angle(i)) * radius).alias("y")) for i in range(n)])
+
+
+def box_corners(low: Point, high: Point) -> Column:
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((low[0], low[1]), (high[0], low[1]), (high[0], high[1]), (low[0], high[1]))])

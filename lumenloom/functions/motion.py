@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenloom.functions.numeric import lit, round_up, smoothstep5
+from lumenloom.functions.numeric import clamp, lit, round_up, smoothstep5
 
 
 def progress(t: Column) -> Column:
@@ -13,17 +13,26 @@ def progress(t: Column) -> Column:
 
 
 def speed(t: Column) -> Column:
+    t = clamp(t, lit(0), lit(1))
     return lit(30) * t * t * (t - 1) * (t - 1)
 
 
 def acceleration(t: Column) -> Column:
+    t = clamp(t, lit(0), lit(1))
     return lit(60) * t - lit(180) * t * t + lit(120) * t * t * t
 
 
 def jerk(t: Column) -> Column:
+    t = clamp(t, lit(0), lit(1))
     return lit(60) - lit(360) * t + lit(360) * t * t
 
 
+def largest_step(length: Column, frames: Column) -> Column:
+    """The largest part of a segment that a frame takes."""
+    step = lambda i: progress((i + 1) / frames) - progress(i / frames)
+    return length * F.array_max(F.transform(F.sequence(F.lit(0), frames - 1), step))
+
+
 #: Peaks of the unit minimum-jerk profile for speed, acceleration and jerk.
 PEAK_SPEED, PEAK_ACCELERATION, PEAK_JERK = 1.875, 5.774, 60.0
 
@@ -34,12 +43,16 @@ def segment_duration(length: Column, v: Column, a: Column, j: Column, period: Co
     return round_up(needed, period)
 
 
-def ramp_frames(change: Column, per_frame: Column) -> Column:
-    return F.ceil(lit(PEAK_SPEED) * F.abs(change) / per_frame)
+def ramp_duration(change: Column, most: Column, period: Column, minimum: Column) -> Column:
+    """Whole periods that a smooth change of intensity needs when a frame may change it by `most`."""
+    return F.greatest(period, round_up(minimum, period), F.ceil(lit(PEAK_SPEED) * F.abs(change) / most) * period)
 
 
-def intensity(t: Column, start: Column, end: Column, idle: Column, moving: Column, ramp: Column) -> Column:
-    """Idle level, smooth rise before the motion, moving level, smooth return behind it."""
-    rise = idle + (moving - idle) * smoothstep5((t - (start - ramp)) / ramp)
-    fall = moving + (idle - moving) * smoothstep5((t - end) / ramp)
-    return F.when(t <= start - ramp, idle).when(t < start, rise).when(t <= end, moving).when(t < end + ramp, fall).otherwise(idle)
+def intensity(t: Column, begin: Column, end: Column, initial: Column, moving: Column, final: Column, rise: Column, settle: Column, release: Column | None = None) -> Column:
+    """Initial level, smooth rise before the motion, moving level, smooth settling behind it to the final
+    level; with `release`, that level then fades in so long a time."""
+    up = initial + (moving - initial) * smoothstep5((t - (begin - rise)) / rise)
+    down = moving + (final - moving) * smoothstep5((t - end) / settle)
+    if release is not None:
+        down = down * (lit(1) - F.coalesce(smoothstep5((t - (end + settle)) / release), lit(0)))
+    return F.when(t < begin - rise, initial).when(t < begin, up).when(t <= end, moving).otherwise(down)

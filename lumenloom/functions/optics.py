@@ -61,3 +61,20 @@ def quantize(phase: Column, codes: int = 256) -> Column:
 
 def dequantize(code: Column, codes: int = 256) -> Column:
     return code / lit(codes - 1) * lit(2 * math.pi) - lit(math.pi)
+
+
+def turned_frequency(p: tuple[Column, Column], origin: tuple[Column, Column], scale: Column, angle: float) -> tuple[Column, Column]:
+    """A place in the plane as frequency of a grid that is scaled and turned; the grid's y points down."""
+    x, y, c, s = p[0] * scale, p[1] * scale, lit(math.cos(angle)), lit(math.sin(angle))
+    return origin[0] + c * x - s * y, origin[1] - s * x - c * y
+
+
+def nearest_entry(v: Column, entries: Column) -> Column:
+    """Index of the array entry nearest to v, the lowest of equal ones."""
+    apart = F.transform(entries, lambda e, i: F.struct(F.abs(e - v).alias("d"), i.alias("i")))
+    return F.array_min(apart)["i"]
+
+
+def phase_tolerance(tolerance: Column, codes: int) -> Column:
+    """The phase error that a number of codes allows: a step and a half, at least 0.001."""
+    return F.greatest(tolerance, lit(1e-3), lit(3 * math.pi / codes))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions.numeric import angular_distance, lit, safe_ratio
 from lumenloom.functions.optics import dirichlet, gaussian_overlap
 from lumenloom.operators.lineage import cut
-from lumenloom.operators.order import running
+from lumenloom.operators.order import previous, running
 
 
 def metrics(frames: DataFrame) -> DataFrame:
@@ -21,16 +21,31 @@ def metrics(frames: DataFrame) -> DataFrame:
     return found.withColumn("variation", F.when(F.col("mean") > 0, F.try_divide("std", "mean")).otherwise(lit(0))).withColumn("least_share", F.when(F.col("mean") > 0, F.try_divide("least", "mean")).otherwise(lit(1)))
 
 
-def gates(found: DataFrame, *, variation: float | None = None, least_share: float | None = None) -> DataFrame:
+def gates(found: DataFrame, *, variation: float | None = None, least_share: float | None = None, min_efficiency: float | None = None, max_ghost: float | None = None, max_phase_error: float | None = None, max_phase_change: float | None = None, max_code_change: float | None = None) -> DataFrame:
     """accepted: all gates that are set are met."""
+    upper = {"variation": variation, "ghost": max_ghost, "phase_error": max_phase_error, "phase_change": max_phase_change, "code_change": max_code_change}
+    lower = {"least_share": least_share, "efficiency": min_efficiency}
     ok = F.lit(True)
-    if variation is not None:
-        ok = ok & (F.col("variation") <= lit(variation))
-    if least_share is not None:
-        ok = ok & (F.col("least_share") >= lit(least_share))
+    for column, limit in upper.items():
+        ok = ok & (F.col(column) <= lit(limit)) if limit is not None else ok
+    for column, limit in lower.items():
+        ok = ok & (F.col(column) >= lit(limit)) if limit is not None else ok
     return found.withColumn("accepted", ok)
 
 
+def qualities(frames: DataFrame, *, code_factor: float) -> DataFrame:
+    """Per frame: phase_error against wanted_phase, efficiency (target power over that and one unit of
+    background a trap), ghost (the strongest trap of no target), least_share, and the least intensity
+    over the mean that is expected in the transition from the frame before."""
+    ghost = F.max(F.when(F.col("trap_id") % 3 == 0, F.col("intensity")))
+    found = frames.groupBy("frame").agg(F.avg("intensity").alias("mean"), F.min("intensity").alias("least"), F.max(angular_distance(F.col("phase"), F.col("wanted_phase"))).alias("phase_error"), (F.sum("intensity") / (F.sum("intensity") + F.count("*"))).alias("efficiency"), ghost.alias("ghost"))
+    found = found.withColumn("least_share", F.when(F.col("mean") > 0, F.try_divide("least", "mean")).otherwise(lit(0)))
+    before = previous(found.select("frame", "least_share"), "frame", "least_share", "before").select("frame", "before")
+    both = found.join(before, "frame")
+    least = F.when(F.col("before").isNull(), F.col("least_share")).otherwise(F.least("least_share", "before", F.col("least_share") * lit(code_factor)))
+    return both.withColumn("transition_minimum", F.greatest(lit(0), F.least(lit(1), least)))
+
+
 def lifecycle(frames: DataFrame) -> DataFrame:
     """Per trap and frame: births, gaps and the steps in place, phase and intensity."""
     order = W.partitionBy("trap_id").orderBy("frame")

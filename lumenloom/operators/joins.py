@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenloom.functions.geometry import distance, distance_squared, segments_cross
+from lumenloom.functions.geometry import distance, distance_squared, point_to_segment, segment_to_segment, segments_cross
 from lumenloom.functions.numeric import lerp, lit
 from lumenloom.functions import motion
 from lumenloom.operators.lineage import cut
@@ -169,3 +169,41 @@ def scatter(points: DataFrame, value: str) -> DataFrame:
     fx, fy = F.col("x") - x0, F.col("y") - y0
     cells = F.array(*[F.struct((y0 + j).alias("cy"), (x0 + i).alias("cx"), (F.col(value) * (fx if i else lit(1) - fx) * (fy if j else lit(1) - fy)).alias("part")) for j in (0, 1) for i in (0, 1)])
     return points.select(F.explode(cells).alias("c")).groupBy("c.cy", "c.cx").agg(F.sum("c.part").alias("total"))
+
+
+def segments_near(parts: DataFrame, points: DataFrame, key: list[str], reach: float) -> DataFrame:
+    """The keys of segments (x, y, x_end, y_end) nearer than reach to any of the points (x, y).
+
+    A segment stands in the cells of its bounding box, widened by reach; a point in its own cell.
+    """
+    size = lit(max(reach * 4, 1e-9))
+    low = {c: F.floor((F.least(c, f"{c}_end") - lit(reach)) / size).cast("long") for c in "xy"}
+    high = {c: F.floor((F.greatest(c, f"{c}_end") + lit(reach)) / size).cast("long") for c in "xy"}
+    s = parts.select(*key, "x", "y", "x_end", "y_end", F.explode(F.sequence(low["x"], high["x"])).alias("cx"), F.sequence(low["y"], high["y"]).alias("cys"))
+    s = s.select("*", F.explode("cys").alias("cy")).drop("cys")
+    p = points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / size).cast("long").alias("cx"), F.floor(F.col("y") / size).cast("long").alias("cy"))
+    d = point_to_segment((F.col("px"), F.col("py")), (F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end")))
+    return s.join(p, ["cx", "cy"]).where(d < lit(reach - 1e-9)).select(*key).distinct()
+
+
+def conflicts(parts: DataFrame, *, plane: str = "instrument", minimum: float, margin: float, sigmas: float) -> DataFrame:
+    """(a_id, b_id, tick, kind): the first tick at which two paths of a plane are nearer than minimum +
+    margin + sigmas * (both sigma), and how: vertex, edge (they change places), near-edge.
+
+    A plane holds the few paths of one instrument, so pairs come from an equi-join on plane and tick.
+    """
+    side = {s: parts.select(plane, "seq", *[F.col(c).alias(f"{s}_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end", "sigma")]) for s in "ab"}
+    pairs = side["a"].join(side["b"], [plane, "seq"]).where("a_trajectory < b_trajectory")
+    at = lambda s, e="": (F.col(f"{s}_x{e}"), F.col(f"{s}_y{e}"))
+    limit = lit(minimum) + lit(margin) + lit(sigmas) * (F.col("a_sigma") + F.col("b_sigma")) - lit(1e-9)
+    swapped = (distance(at("a"), at("b", "_end")) < limit) & (distance(at("a", "_end"), at("b")) < limit)
+    kind = F.when(distance(at("a"), at("b")) < limit, "vertex").when(swapped, "edge").when(segment_to_segment(at("a"), at("a", "_end"), at("b"), at("b", "_end")) < limit, "near-edge")
+    met = pairs.select(F.col("a_trajectory").alias("a_id"), F.col("b_trajectory").alias("b_id"), F.struct(F.col("seq").alias("tick"), kind.alias("kind")).alias("m")).where("m.kind is not null")
+    return met.groupBy("a_id", "b_id").agg(F.min("m").alias("m")).select("a_id", "b_id", "m.tick", "m.kind")
+
+
+def common_end(waypoints: DataFrame, plane: str) -> DataFrame:
+    """(trajectory, seq, x, y, arrival): one more waypoint for each path that ends before its plane."""
+    last = waypoints.groupBy("trajectory", plane).agg(F.max(F.struct("seq", "x", "y", "arrival")).alias("l"))
+    final = waypoints.groupBy(plane).agg(F.max("arrival").alias("final"))
+    return last.join(final, plane).where("l.arrival < final").select("trajectory", (F.col("l.seq") + 1).alias("seq"), "l.x", "l.y", F.col("final").alias("arrival"))

@@ -34,3 +34,11 @@ def running(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     ranged = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
     inside = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return ranged.join(_begins(ranged, F.sum(value)), "_part").withColumn(name, (inside + F.col("_base")).cast("long")).drop("_part", "_base")
+
+
+def previous(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Adds the value of the row before in the order of a unique key, null for the first: rows meet by
+    their places, no window sees all of them."""
+    placed = numbered(df, [key], "_place")
+    before = placed.select((F.col("_place") + 1).alias("_place"), F.col(value).alias(name))
+    return placed.join(before, "_place", "left").drop("_place")

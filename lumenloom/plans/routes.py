@@ -1 +1,196 @@
-"""."""
+"""Regions, clearances, conflicts between paths, lattices, selections along paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lumenloom.functions import geometry, motion
+from lumenloom.functions.numeric import lit
+from lumenloom.operators import graphs, joins, paths
+from lumenloom.plans import views
+from lumenloom.plans.catalog import R, query, r6
+from lumenloom.plans.views import table, with_views
+
+SEGMENTS = """, s AS (SELECT * FROM (SELECT *, lead(x) OVER w AS x_end, lead(y) OVER w AS y_end, lead(arrival) OVER w AS arrival_end FROM waypoints WINDOW w AS (PARTITION BY trajectory ORDER BY seq)) WHERE arrival_end IS NOT NULL)"""
+#: A polygon of the plane: corners in order.
+CORNERS = ((10.0, 10.0), (90.0, 20.0), (60.0, 50.0), (20.0, 40.0))
+
+
+def _to_segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    """Distance of a point and a segment in SQL."""
+    dx, dy = f"(({bx}) - ({ax}))", f"(({by}) - ({ay}))"
+    t = f"CASE WHEN {dx} * {dx} + {dy} * {dy} > 0 THEN greatest(0e0, least(1e0, ((({px}) - ({ax})) * {dx} + (({py}) - ({ay})) * {dy}) / ({dx} * {dx} + {dy} * {dy}))) ELSE 0e0 END"
+    return f"sqrt((({px}) - (({ax}) + {dx} * ({t}))) ** 2 + (({py}) - (({ay}) + {dy} * ({t}))) ** 2)"
+
+
+def _cross(a: str, b: str, c: str, d: str) -> str:
+    """Whether two segments share a point, in SQL; arguments: 'x, y' pairs."""
+    p = {k: v.split(", ") for k, v in zip("abcd", (a, b, c, d))}
+    o = lambda i, j, k: f"((({p[j][0]}) - ({p[i][0]})) * (({p[k][1]}) - ({p[i][1]})) - (({p[j][1]}) - ({p[i][1]})) * (({p[k][0]}) - ({p[i][0]})))"
+    on = lambda i, j, k: f"(abs({o(i, j, k)}) <= 1e-10 AND ({p[k][0]}) BETWEEN least({p[i][0]}, {p[j][0]}) - 1e-10 AND greatest({p[i][0]}, {p[j][0]}) + 1e-10 AND ({p[k][1]}) BETWEEN least({p[i][1]}, {p[j][1]}) - 1e-10 AND greatest({p[i][1]}, {p[j][1]}) + 1e-10)"
+    return f"(({o('a', 'b', 'c')} * {o('a', 'b', 'd')} < 0 AND {o('c', 'd', 'a')} * {o('c', 'd', 'b')} < 0) OR {on('a', 'b', 'c')} OR {on('a', 'b', 'd')} OR {on('c', 'd', 'a')} OR {on('c', 'd', 'b')})"
+
+
+def _between(a: str, b: str, c: str, d: str) -> str:
+    """Distance of two segments in SQL."""
+    q = [v.split(", ") for v in (a, b, c, d)]
+    ends = [_to_segment(*q[0], *q[2], *q[3]), _to_segment(*q[1], *q[2], *q[3]), _to_segment(*q[2], *q[0], *q[1]), _to_segment(*q[3], *q[0], *q[1])]
+    return f"CASE WHEN {_cross(a, b, c, d)} THEN 0e0 ELSE least({', '.join(ends)}) END"
+
+
+def _edges() -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    return list(zip(CORNERS, (*CORNERS[1:], CORNERS[0])))
+
+
+def _number(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+EDGE_DISTANCES = "least(" + ", ".join(_to_segment("x", "y", *map(_number, (*a, *b))) for a, b in _edges()) + ")"
+INSIDE = "((" + " + ".join(f"CASE WHEN ({_number(a[1])} > y) <> ({_number(b[1])} > y) AND x < {_number(a[0])} + ({_number(b[0])} - {_number(a[0])}) * ((y - {_number(a[1])}) / ({_number(b[1])} - {_number(a[1])})) THEN 1 ELSE 0 END" for a, b in _edges()) + f") % 2 = 1 OR {EDGE_DISTANCES} <= 1e-10)"
+
+
+@query(with_views("waypoints") + f" SELECT trajectory, seq, {R(f'CASE WHEN {INSIDE} THEN 0e0 ELSE {EDGE_DISTANCES} END')} AS distance, CASE WHEN {INSIDE} THEN 0e0 ELSE {EDGE_DISTANCES} END <= 3e0 AS forbidden FROM waypoints")
+def sca_22_polygon_distance(spark, sf_dir):
+    """Distance of waypoints to a polygon, 0 inside, and whether they are within its clearance."""
+    polygon = [(lit(x), lit(y)) for x, y in CORNERS]
+    d = geometry.to_polygon((F.col("x"), F.col("y")), polygon)
+    return views.waypoints(spark, sf_dir).select("trajectory", "seq", r6(d).alias("distance"), (d <= lit(3)).alias("forbidden"))
+
+
+EDGE_HITS = " OR ".join(f"{_between('x, y', 'x_end, y_end', ', '.join(map(_number, a)), ', '.join(map(_number, b)))} <= 2e0" for a, b in _edges())
+ENDS_IN = f"({INSIDE}) OR ({INSIDE.replace('x <', 'x_end <').replace('> y)', '> y_end)').replace('((y -', '((y_end -').replace('((x) -', '((x_end) -').replace('((y) -', '((y_end) -')})"
+
+
+@query(with_views("waypoints") + SEGMENTS + f", h AS (SELECT trajectory, seq, {_to_segment('5e1', '7e1', 'x', 'y', 'x_end', 'y_end')} <= 8e0 AS in_circle, {ENDS_IN} OR {EDGE_HITS} AS in_polygon FROM s) SELECT trajectory, count(*) AS n_segments, count(*) FILTER (WHERE in_circle) AS n_circle, count(*) FILTER (WHERE in_polygon) AS n_polygon, bool_or(in_circle OR in_polygon) AS blocked FROM h GROUP BY trajectory")
+def sca_24_paths_in_regions(spark, sf_dir):
+    """Segments of every path that hit a circle or a polygon with clearance, and whether any does."""
+    s = joins.segments(views.waypoints(spark, sf_dir))
+    a, b = (F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end"))
+    circle = geometry.point_to_segment((lit(50), lit(70)), a, b) <= lit(8)
+    polygon = geometry.segment_in_polygon(a, b, [(lit(x), lit(y)) for x, y in CORNERS], lit(2))
+    h = s.select("trajectory", circle.alias("in_circle"), polygon.alias("in_polygon"))
+    return h.groupBy("trajectory").agg(F.count("*").alias("n_segments"), F.count_if("in_circle").alias("n_circle"), F.count_if("in_polygon").alias("n_polygon"), F.bool_or(F.col("in_circle") | F.col("in_polygon")).alias("blocked"))
+
+
+@query(f"SELECT p_partkey, CAST(i AS INTEGER) AS corner, {R('p_size + cos(i / 32e0 * 2e0 * pi()) * 2e0')} AS x, {R('1e0 + sin(i / 32e0 * 2e0 * pi()) * 2e0')} AS y FROM part, (SELECT unnest(range(0, 32)) AS i) WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, CAST(i AS INTEGER), CASE WHEN i IN (0, 3) THEN 0e0 ELSE p_size * 1e0 END, CASE WHEN i < 2 THEN 0e0 ELSE 5e0 END FROM part, (SELECT unnest(range(0, 4)) AS i) WHERE p_partkey % 2 = 1")
+def sca_21_region_corners(spark, sf_dir):
+    """Circles as 32 corners, boxes as 4."""
+    n = F.col("p_size").cast("double")
+    corners = F.when(F.col("p_partkey") % 2 == 0, geometry.circle_corners((n, lit(1)), lit(2))).otherwise(geometry.box_corners((lit(0), lit(0)), (n, lit(5))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(corners).alias("corner", "c")).select("p_partkey", "corner", r6("c.x").alias("x"), r6("c.y").alias("y"))
+
+
+@query(with_views("waypoints", "atoms") + SEGMENTS + f", t AS (SELECT s.trajectory, s.seq, min({_to_segment('a.x', 'a.y', 's.x', 's.y', 's.x_end', 's.y_end')}) AS d FROM s, atoms a WHERE NOT a.movable GROUP BY s.trajectory, s.seq) SELECT trajectory, count(*) FILTER (WHERE d < 15e-1 - 1e-9) AS n_touching, count(*) FILTER (WHERE d < 15e-1 - 1e-9) = 0 AS clear FROM t GROUP BY trajectory")
+def join_14_static_clearance(spark, sf_dir):
+    """Segments of a path nearer to a static atom than the clearance; segments and atoms meet on cells."""
+    s = joins.segments(views.waypoints(spark, sf_dir))
+    fixed = views.atoms(spark, sf_dir).where("not movable").select("x", "y")
+    hit = joins.segments_near(s, fixed, ["trajectory", "seq"], 1.5)
+    return s.select("trajectory", "seq").join(hit.withColumn("hit", F.lit(True)), ["trajectory", "seq"], "left").groupBy("trajectory").agg(F.count("hit").alias("n_touching"), (F.count("hit") == 0).alias("clear"))
+
+
+CONFLICTS = with_views("waypoints") + SEGMENTS + f""", q AS (SELECT a.trajectory AS a_id, b.trajectory AS b_id, a.seq, 2e0 + 5e-1 * ((a.trajectory % 3) / 1e1 + (b.trajectory % 3) / 1e1) AS safe, a.x AS ax, a.y AS ay, a.x_end AS bx, a.y_end AS by_, b.x AS cx, b.y AS cy, b.x_end AS dx, b.y_end AS dy FROM s a JOIN s b ON a.instrument = b.instrument AND a.seq = b.seq AND b.trajectory > a.trajectory),
+    k AS (SELECT *, CASE WHEN sqrt((ax - cx) ** 2 + (ay - cy) ** 2) < safe - 1e-9 THEN 'vertex' WHEN sqrt((ax - dx) ** 2 + (ay - dy) ** 2) < safe - 1e-9 AND sqrt((bx - cx) ** 2 + (by_ - cy) ** 2) < safe - 1e-9 THEN 'edge' WHEN {_between('ax, ay', 'bx, by_', 'cx, cy', 'dx, dy')} < safe - 1e-9 THEN 'near-edge' END AS kind FROM q),
+    f AS (SELECT a_id, b_id, min(seq) AS tick, arg_min(kind, seq) AS kind FROM k WHERE kind IS NOT NULL GROUP BY a_id, b_id)"""
+
+
+def _conflicts(spark, sf_dir):
+    s = joins.segments(views.waypoints(spark, sf_dir)).withColumn("sigma", (F.col("trajectory") % 3) / lit(10))
+    return joins.conflicts(s, minimum=1.5, margin=0.5, sigmas=0.5)
+
+
+@query(CONFLICTS + " SELECT a_id, b_id, tick, kind FROM f")
+def join_12_conflict_kinds(spark, sf_dir):
+    """First tick at which two paths of a plane come nearer than their safe separation, and how: at a
+    vertex, by changing places, or between."""
+    return _conflicts(spark, sf_dir)
+
+
+@query("WITH RECURSIVE " + CONFLICTS.removeprefix("WITH ") + ", g AS (SELECT a_id, b_id FROM f WHERE kind = 'vertex'), e AS (SELECT a_id AS p, b_id AS q FROM g UNION SELECT b_id, a_id FROM g), reach AS (SELECT p, p AS q FROM e UNION SELECT r.p, e.q FROM reach r JOIN e ON r.q = e.p), l AS (SELECT p, min(q) AS component FROM reach GROUP BY p) SELECT component, count(*) AS n_paths FROM l GROUP BY component")
+def gen_05_conflict_components(spark, sf_dir):
+    """Connected components of paths that conflict at a vertex."""
+    found = graphs.components(_conflicts(spark, sf_dir).where("kind = 'vertex'"), "a_id", "b_id")
+    return found.groupBy("component").agg(F.count("*").alias("n_paths"))
+
+
+@query(with_views("waypoints") + SEGMENTS + ", l AS (SELECT trajectory, seq, sqrt((x_end - x) ** 2 + (y_end - y) ** 2) AS d FROM s) SELECT trajectory, seq, " + R("max(1875e-3 * d / 1e3) OVER w") + " AS speed, " + R("max(5774e-3 * d / 1e6) OVER w") + " AS acceleration, " + R("max(60e0 * d / 1e9) OVER w") + " AS jerk, " + R("d * 1875e-3 / 2e1") + " AS step_bound FROM l WINDOW w AS (PARTITION BY trajectory ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+def agg_18_motion_maxima(spark, sf_dir):
+    """Running maxima of speed, acceleration and jerk along a path; a bound of the step in a frame."""
+    s = joins.segments(views.waypoints(spark, sf_dir))
+    d = geometry.distance((F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end")))
+    so_far = W.partitionBy("trajectory").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    top = lambda peak, power: r6(F.max(lit(peak) * d / lit(1000.0**power)).over(so_far))
+    return s.select("trajectory", "seq", top(motion.PEAK_SPEED, 1).alias("speed"), top(motion.PEAK_ACCELERATION, 2).alias("acceleration"), top(motion.PEAK_JERK, 3).alias("jerk"), r6(d * lit(motion.PEAK_SPEED) / lit(20)).alias("step_bound"))
+
+
+@query(with_views("waypoints") + SEGMENTS + ", l AS (SELECT trajectory, seq, sqrt((x_end - x) ** 2 + (y_end - y) ** 2) AS d FROM s), k AS (SELECT trajectory, seq, d, i / 8e0 AS t0, (i + 1) / 8e0 AS t1 FROM l, (SELECT unnest(range(0, 8)) AS i)) SELECT trajectory, seq, " + R("max(d * (t1 * t1 * t1 * (1e1 + t1 * (-15e0 + 6e0 * t1)) - t0 * t0 * t0 * (1e1 + t0 * (-15e0 + 6e0 * t0))))") + " AS largest FROM k GROUP BY trajectory, seq")
+def agg_20_frame_steps(spark, sf_dir):
+    """The largest step of a segment between two of its frames."""
+    s = joins.segments(views.waypoints(spark, sf_dir))
+    d = geometry.distance((F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end")))
+    return s.select("trajectory", "seq", r6(motion.largest_step(d, F.lit(8))).alias("largest"))
+
+
+@query(with_views("waypoints") + ", e AS (SELECT instrument, max(arrival) AS final FROM waypoints GROUP BY instrument), l AS (SELECT trajectory, any_value(instrument) AS instrument, max(arrival) AS arrival, arg_max(x, seq) AS x, arg_max(y, seq) AS y, max(seq) AS seq FROM waypoints GROUP BY trajectory) SELECT trajectory, CAST(seq + 1 AS INTEGER) AS seq, " + R("x") + " AS x, " + R("y") + " AS y, final AS arrival FROM l JOIN e USING (instrument) WHERE arrival < final")
+def win_09_common_end(spark, sf_dir):
+    """The waypoint that brings every path of a plane to the plane's last time."""
+    way = views.waypoints(spark, sf_dir)
+    return joins.common_end(way, "instrument").select("trajectory", "seq", r6("x").alias("x"), r6("y").alias("y"), "arrival")
+
+
+@query(with_views("points") + ", xs AS (SELECT DISTINCT floor(x / 1e2) * 1e2 AS gx FROM points), ys AS (SELECT DISTINCT floor(y / 5e0) * 5e0 AS gy FROM points), b AS (SELECT DISTINCT gx, gy FROM xs, ys, points p WHERE (p.x - gx) ** 2 + (p.y - gy) ** 2 < 1e0) SELECT gx, gy FROM xs, ys EXCEPT SELECT gx, gy FROM b")
+def gen_04_lattice(spark, sf_dir):
+    """The nodes of a lattice on the points' coordinates that no point blocks."""
+    p = views.points(spark, sf_dir)
+    xs, ys = p.select((F.floor(F.col("x") / lit(100)) * lit(100)).alias("gx")).distinct(), p.select((F.floor(F.col("y") / lit(5)) * lit(5)).alias("gy")).distinct()
+    nodes = xs.crossJoin(F.broadcast(ys)).select("gx", "gy", F.col("gx").alias("x"), F.col("gy").alias("y"), F.concat_ws(":", "gx", "gy").alias("node"))
+    blocked = joins.near_pairs(nodes, p, "node", "point_id", 1.0).select(F.col("a_id").alias("node")).distinct()
+    return nodes.join(blocked, "node", "left_anti").select("gx", "gy")
+
+
+@query(with_views("points", "atoms") + f", n AS (SELECT * FROM points WHERE y < 6e0), e AS (SELECT a.point_id AS a_id, b.point_id AS b_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM n a JOIN n b ON a.point_id < b.point_id AND abs(a.x - b.x) < 45e-1 AND abs(a.y - b.y) < 45e-1 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 45e-1) SELECT a_id, b_id FROM e WHERE NOT EXISTS (SELECT 1 FROM atoms t WHERE NOT t.movable AND {_to_segment('t.x', 't.y', 'ax', 'ay', 'bx', 'by_')} < 5e-1 - 1e-9)")
+def join_28_roadmap(spark, sf_dir):
+    """Edges between near nodes of a roadmap that keep clear of static atoms."""
+    nodes = views.points(spark, sf_dir).where(F.col("y") < 6)
+    fixed = views.atoms(spark, sf_dir).where("not movable").select("x", "y")
+    ends = lambda s, x, y: nodes.select(F.col("point_id").alias(f"{s}_id"), F.col("x").alias(x), F.col("y").alias(y))
+    edges = joins.near_pairs(nodes, nodes, "point_id", "point_id", 4.5, same=True).select("a_id", "b_id").join(ends("a", "x", "y"), "a_id").join(ends("b", "x_end", "y_end"), "b_id")
+    return edges.join(joins.segments_near(edges, fixed, ["a_id", "b_id"], 0.5), ["a_id", "b_id"], "left_anti").select("a_id", "b_id")
+
+
+@query(with_views("atoms", "targets") + ", b AS (SELECT min(x) - 2e0 AS x0, max(x) + 2e0 AS x1, min(y) - 2e0 AS y0, max(y) + 2e0 AS y1 FROM atoms), o AS (SELECT 0 AS k, x0 AS x, y0 AS y FROM b UNION ALL SELECT 1, x0, y1 FROM b UNION ALL SELECT 2, x1, y0 FROM b UNION ALL SELECT 3, x1, y1 FROM b UNION ALL SELECT 4, (x0 + x1) / 2, y0 FROM b UNION ALL SELECT 5, (x0 + x1) / 2, y1 FROM b), c AS (SELECT a.atom_id, o.k, sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2) + sqrt((o.x - t.x) ** 2 + (o.y - t.y) ** 2) AS length FROM atoms a JOIN targets t ON a.atom_id = t.site_id, o) SELECT atom_id, CAST(k AS INTEGER) AS k, " + R("length") + " AS length, CAST(row_number() OVER (PARTITION BY atom_id ORDER BY length, k) AS INTEGER) AS place FROM c")
+def srt_09_detours(spark, sf_dir):
+    """Detour points of a move, ordered by the length of the way through them."""
+    atoms, sites = views.atoms(spark, sf_dir), views.targets(spark, sf_dir)
+    moves = atoms.select("atom_id", "x", "y").join(sites.select(F.col("site_id").alias("atom_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), "atom_id")
+    b = atoms.agg((F.min("x") - 2).alias("x0"), (F.max("x") + 2).alias("x1"), (F.min("y") - 2).alias("y0"), (F.max("y") + 2).alias("y1"))
+    middle = (F.col("x0") + F.col("x1")) / 2
+    places = [("x0", "y0"), ("x0", "y1"), ("x1", "y0"), ("x1", "y1"), (middle, "y0"), (middle, "y1")]
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(x) if isinstance(x, str) else x).alias("ox"), F.col(y).alias("oy")) for k, (x, y) in enumerate(places)])
+    c = moves.crossJoin(F.broadcast(b)).select("*", F.explode(spots).alias("o"))
+    at = (F.col("o.ox"), F.col("o.oy"))
+    length = geometry.distance((F.col("x"), F.col("y")), at) + geometry.distance(at, (F.col("tx"), F.col("ty")))
+    ranked = c.select("atom_id", "o.k", length.alias("length"))
+    return ranked.select("atom_id", "k", r6("length").alias("length"), F.row_number().over(W.partitionBy("atom_id").orderBy("length", "k")).alias("place"))
+
+
+@query()
+def win_06_resampled(spark, sf_dir):
+    """Paths as points at equal travelled distance."""
+    return paths.resampled(views.waypoints(spark, sf_dir), "trajectory", 25.0)
+
+
+@query()
+def srt_04_resolvable(spark, sf_dir):
+    """Of each plane's points the strongest that keep a least distance from all stronger ones kept."""
+    way = views.waypoints(spark, sf_dir)
+    strength = F.col("x") + F.col("y")
+    return paths.greedy(way.select("instrument", "trajectory", "seq", "x", "y", strength.alias("strength")), "instrument", [F.desc("strength"), F.col("trajectory"), F.col("seq")], 6.0, 9.0)
+
+
+@query()
+def join_19_proven_clearance(spark, sf_dir):
+    """Pairs of paths of a plane proven clear of each other over time, or the least distance met."""
+    return paths.clearance(joins.segments(views.waypoints(spark, sf_dir)), "instrument", safe=0.2)
