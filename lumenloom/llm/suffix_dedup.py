@@ -8,7 +8,9 @@ same anchor is a context. Which strings are equal is decided by the external ind
    pre-aggregated: the one of the smallest document speaks, those of larger ones are covered.
 2. Route: buckets of anchors tell which lie in different documents; all others can't repeat.
 3. Sort: the bytes of all contexts of these anchors go to shards, and each shard is a text on disk that
-   the external sorter orders; runs of suffixes with a common prefix of `width` are equal strings.
+   the external sorter orders; runs of suffixes with a common prefix of `width` are equal strings. A
+   context that several rows have stands in the text once and belongs to all of them; each of them
+   loses the strings of the runs that a smaller document has a part in.
 4. Report: documents meet their covered runs and report or drop them.
 
 An anchor with very many contexts would be one hot key: such anchors are counted beforehand on a
@@ -152,21 +154,41 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndar
     return equal
 
 
+def _context_hash(data: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of the strings of `length` (8 or more) bytes at these places."""
+    view = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    found = _mix(length.astype(np.uint64) * C1)
+    for k in range(0, int(length.max(initial=0)), 8):
+        found = _mix(found ^ view[place + np.minimum(k, length - 8)] * C1)
+    return found
+
+
+def _alike(data: np.ndarray, width: int, key: np.ndarray, place: np.ndarray, times: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and where a record differs from the one before it in its bytes or columns."""
+    order = np.argsort(key)
+    place, times = place[order], times[order]
+    same = (times[1:] == times[:-1]) & (key[order][1:] == key[order][:-1])
+    for c in columns:
+        same &= c[order][1:] == c[order][:-1]
+    twin = np.flatnonzero(same) + 1
+    head = np.ones(len(order), bool)
+    head[twin] = ~_equal_bytes(data, place[twin - 1], place[twin], times[twin].astype(np.int64) + width - 1)
+    return order, head
+
+
 def _collapse(data, width, anchor, context, number, key, at, place, times):
     """Records without the covered ones, and the covered ones: of contexts with equal bytes only those
     of the smallest number stay. place: where the context begins in data."""
-    order = np.lexsort((at, number, context, anchor))
-    anchor, context, number, key, at, place, times = (c[order] for c in (anchor, context, number, key, at, place, times))
-    twin = np.flatnonzero((anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]) & (times[1:] == times[:-1])) + 1
-    same = np.zeros(len(anchor), bool)
-    same[twin] = _equal_bytes(data, place[twin - 1], place[twin], times[twin].astype(np.int64) + width - 1)
-    least = number[~same][np.cumsum(~same) - 1] if len(order) else number
+    order, head = _alike(data, width, anchor ^ context, place, times, anchor)
+    anchor, number, key, at, times = (c[order] for c in (anchor, number, key, at, times))
+    first = np.flatnonzero(head)
+    least = np.minimum.reduceat(number, first)[np.cumsum(head) - 1] if len(order) else number
     known = number > least
     return [c[~known] for c in (anchor, number, key, at, times)], [c[known] for c in (key, at, times)]
 
 
 def _spread(kind: int, where: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(where, kind="stable")
+    order = np.argsort(where.astype(np.uint16) if len(where) and int(where.max()) < 1 << 16 else where, kind="stable")
     where = where[order]
     columns = [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(where)) + 1
@@ -210,7 +232,7 @@ def _contexts_in(data: np.ndarray, spans: list[tuple[int, int]], width: int) ->
         yield found()
 
 
-def _batched(batch: pa.RecordBatch, width: int, amount: int = 16 * SEGMENT):
+def _batched(batch: pa.RecordBatch, width: int, amount: int = 64 * SEGMENT):
     """(data, columns of _contexts_in) for about `amount` bytes of the texts of a batch at a time."""
     data, offsets = _texts(batch.column(batch.schema.get_field_index("text")))
     ends = offsets[1:]
@@ -278,40 +300,56 @@ def _resolving(buckets: int):
 CUT = pa.schema([("shard", pa.int32()), ("number", pa.int64()), ("key", pa.int64()), ("at", pa.binary()), ("bytes", pa.binary())])
 
 
-def _cutting(shards: int, width: int):
+def _slices(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A binary column of neighbouring slices of data."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _cutting(shards: int, width: int, most: int = 64 << 20):
+    def pieces(data: np.ndarray, anchor, number, key, at, begin, length) -> pa.Table:
+        """One row for each context of a row of documents, with all places where that has it."""
+        order, head = _alike(data, width, _mix(_context_hash(data, begin, length) ^ key.astype(np.uint64) * C3), begin, (length - width + 1), key, anchor)
+        first = np.flatnonzero(head)
+        pick = order[first]
+        ends = np.append(first[1:], len(order))
+        text = np.cumsum(length[pick]) - length[pick]
+        flat = data[np.arange(int(length[pick].sum())) + np.repeat(begin[pick] - text, length[pick])]
+        shard = (_mix(anchor[pick]) >> np.uint64(33)).astype(np.int64) % shards
+        columns = [pa.array(shard.astype(np.int32)), pa.array(number[pick]), pa.array(key[pick]), _slices(np.append(0, ends) * 8, at[order].view(np.uint8)), _slices(np.append(text, len(flat)), flat)]
+        return pa.Table.from_arrays(columns, schema=CUT)
+
     def run(docs: pa.Table, asks: pa.Table) -> pa.Table:
-        """The bytes of the open contexts; contexts of one row with the same bytes travel once."""
+        """The bytes of the open contexts, and of every string of the hot ones by itself."""
         give_back()
         mark, number, key, at, times = _unpack_all(asks["payload"].to_pylist(), *ASKS)
         keys = docs["key"].to_numpy()
-        pieces: dict[tuple[int, int, int, bytes], list[int]] = {}
-        if len(mark) and len(keys):
-            data, offsets = _texts(docs["text"])
-            sort = np.argsort(keys)
-            begin = offsets[sort[np.searchsorted(keys[sort], key)]] + at
-            length = times.astype(np.int64) + width - 1
-            raw = memoryview(data)
-            shard = (_mix(mark >> np.uint64(1)) >> np.uint64(33)).astype(np.int64) % shards
-            for s, d, k, p, i, n, m in zip(shard.tolist(), number.tolist(), key.tolist(), at.tolist(), begin.tolist(), length.tolist(), (mark & np.uint64(1)).tolist(), strict=True):
-                if not m:
-                    pieces.setdefault((s, d, k, bytes(raw[i : i + n])), []).append(p)
-                    continue
-                for step in range(n - width + 1):
-                    string = bytes(raw[i + step : i + step + width])
-                    to = int.from_bytes(hashlib.blake2b(string, digest_size=4).digest(), "little") % shards
-                    pieces.setdefault((to, d, k, string), []).append(p + step)
-        rows = [(*name[:3], np.array(starts, np.int64).tobytes(), name[3]) for name, starts in pieces.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(CUT)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, CUT.types, strict=True)], schema=CUT)
+        if not len(mark) or not len(keys):
+            return CUT.empty_table()
+        data, offsets = _texts(docs["text"])
+        sort = np.argsort(keys)
+        begin = offsets[sort[np.searchsorted(keys[sort], key)]] + at
+        length = times.astype(np.int64) + width - 1
+        hot = mark & np.uint64(1) == 1
+        found = [pieces(data, *(c[~hot] for c in (mark >> np.uint64(1), number, key, at, begin, length)))] if not hot.all() else []
+        rows = np.flatnonzero(hot)
+        for part in np.array_split(rows, max(1, int(length[rows].sum()) * width // most + 1)):
+            count = times[part].astype(np.int64)
+            of, step = np.repeat(part, count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            if len(of):
+                size = np.full(len(of), width)
+                found.append(pieces(data, _context_hash(data, begin[of] + step, size), number[of], key[of], at[of] + step, begin[of] + step, size))
+        return pa.concat_tables(found)
 
     return run
 
 
-def equal_strings(number, starts, text: Text, width: int, scratch: Scratch, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(piece, offset) of every string of `width` bytes that also starts in a piece of a smaller number.
+def equal_strings(least_of, several, starts, text: Text, width: int, scratch: Scratch, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(piece, offset, least) of every string of `width` bytes that starts in several pieces, or in one of
+    several owners: the least number that has it.
 
-    starts: where the pieces begin in text. The order is read once as it is made, keeping the strings
-    that have an equal one and the least number of each run, and once more to compare.
+    starts: where the pieces begin in text; least_of, several: the least number of a piece's owners, and
+    whether others own it too. The order is read once as it is made, keeping these strings and the least
+    number of each run, and once more to tell it to all strings of the run.
     """
     kept = Log(scratch, [("at", np.int64), ("piece", np.int64), ("head", np.bool_)])
     least = Log(scratch, [("number", np.int64)])
@@ -320,14 +358,16 @@ def equal_strings(number, starts, text: Text, width: int, scratch: Scratch, memo
         goes_on = common >= width
         head = ~np.append(follows, goes_on[:-1])
         follows = bool(goes_on[-1])
-        several = goes_on | ~head
-        if not several.any():
+        piece = np.searchsorted(starts, at, side="right") - 1
+        ends = starts[np.minimum(piece + 1, len(starts) - 1)]
+        room = np.where(piece + 1 < len(starts), ends, text.n) - 1 - at
+        wanted = goes_on | ~head | (several[piece] & (room >= width))
+        if not wanted.any():
             continue
-        rows = np.empty(int(several.sum()), kept.kind)
-        rows["at"], rows["head"] = at[several], head[several]
-        rows["piece"] = np.searchsorted(starts, rows["at"], side="right") - 1
+        rows = np.empty(int(wanted.sum()), kept.kind)
+        rows["at"], rows["head"], rows["piece"] = at[wanted], head[wanted], piece[wanted]
         kept.add(rows)
-        own = number[rows["piece"]]
+        own = least_of[rows["piece"]]
         first = np.flatnonzero(rows["head"])
         edges = first if len(first) and not first[0] else np.append(0, first)
         low = np.minimum.reduceat(own, edges)
@@ -346,19 +386,98 @@ def equal_strings(number, starts, text: Text, width: int, scratch: Scratch, memo
         of = run + np.cumsum(rows["head"])
         low = least.read(int(of[0]), int(of[-1]) + 1)["number"][of - of[0]]
         run = int(of[-1])
-        covered = number[rows["piece"]] > low
-        if covered.any():
-            piece = rows["piece"][covered]
-            yield piece, rows["at"][covered] - starts[piece]
+        yield rows["piece"], rows["at"] - starts[rows["piece"]], low
+
+
+FOUND = pa.schema([("home", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
+
+
+def _runs_of(where: np.ndarray, start: np.ndarray, most: int = 60_000) -> np.ndarray:
+    """Where runs of neighbouring starts of one row begin; none is longer than `most`."""
+    new = np.append(True, (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1))
+    at = np.arange(len(where))
+    return new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0)
+
+
+class Shard:
+    """The different pieces of a shard, one behind the other in files, and their owners: symbols are
+    bytes + 1, 0 ends a piece. Rows come in the order of their bytes, so equal ones stand together."""
+
+    def __init__(self, memory: int, width: int):
+        self.scratch, self.width, self.last = Scratch(memory), width, None
+        self.symbols = Log(self.scratch, ">u2")
+        self.starts = Log(self.scratch, np.int64)
+        self.owners = Log(self.scratch, [("piece", np.int64), ("number", np.int64), ("key", np.int64), ("at", np.int64)])
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        data, offsets = _texts(batch.column(4))
+        ats, at_offsets = _texts(batch.column(3))
+        lengths = np.diff(offsets)
+        new = np.ones(len(lengths), bool)
+        twin = np.flatnonzero(lengths[1:] == lengths[:-1]) + 1
+        new[twin] = ~_equal_bytes(data, offsets[twin - 1], offsets[twin], lengths[twin])
+        new[0] = data[offsets[0] : offsets[1]].tobytes() != self.last
+        self.last = data[offsets[-2] : offsets[-1]].tobytes()
+        piece = len(self.starts) - 1 + np.cumsum(new)
+        pick = np.flatnonzero(new)
+        size = lengths[pick]
+        text = np.cumsum(size) - size
+        symbols = np.zeros(int(size.sum()) + len(size), ">u2")
+        of = np.repeat(np.arange(len(size)), size)
+        symbols[np.arange(len(of)) + of] = data[np.arange(len(of)) + np.repeat(offsets[pick] - text, size)].astype(np.uint16) + 1
+        self.starts.add(len(self.symbols) + text + np.arange(len(size)))
+        self.symbols.add(symbols)
+        times = np.diff(at_offsets) // 8
+        rows = np.empty(int(times.sum()), self.owners.kind)
+        for name, values in (("piece", piece), ("number", batch.column(1).to_numpy()), ("key", batch.column(2).to_numpy())):
+            rows[name] = np.repeat(values, times)
+        rows["at"] = ats[at_offsets[0] : at_offsets[-1]].copy().view(np.int64)
+        self.owners.add(rows)
+
+    def covered(self, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(key, start) of every string that a smaller number has."""
+        n, pieces = len(self.symbols), len(self.starts)
+        symbols = Text.room(self.scratch, n, 256)
+        starts = self.scratch.array(pieces, np.int64)
+        for target, log in ((symbols, self.symbols), (starts, self.starts)):
+            at = 0
+            for block in log.blocks():
+                target[at : at + len(block)] = block
+                at += len(block)
+        least, several, first = self.scratch.array(pieces, np.int64), self.scratch.array(pieces, np.bool_), self.scratch.array(pieces + 1, np.int64)
+        owner = {c: self.scratch.array(len(self.owners), np.int64) for c in ("number", "key", "at")}
+        at, before = 0, -1
+        for rows in self.owners.blocks():
+            for c, values in owner.items():
+                values[at : at + len(rows)] = rows[c]
+            head = np.flatnonzero(np.append(rows["piece"][0] != before, np.diff(rows["piece"]) != 0))
+            edges = head if len(head) and not head[0] else np.append(0, head)
+            low, high, of = np.minimum.reduceat(rows["number"], edges), np.maximum.reduceat(rows["number"], edges), rows["piece"][edges]
+            if len(edges) > len(head):
+                several[of[0]] |= (low[0] != least[of[0]]) | (high[0] != least[of[0]])
+                low[0] = min(low[0], least[of[0]])
+            several[of] |= low != high
+            least[of] = low
+            first[rows["piece"][head]] = at + head
+            at, before = at + len(rows), int(rows["piece"][-1])
+        first[pieces] = at
+        for piece, offset, low in equal_strings(least, several, starts, Text(symbols, n), self.width, self.scratch, memory):
+            lo, count = first[piece], first[piece + 1] - first[piece]
+            cuts = np.unique(np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, 1 << 20)))
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(piece)], strict=True):
+                times = count[i:j]
+                if not times.sum():
+                    continue
+                of = np.repeat(np.arange(i, j), times)
+                pick = np.arange(len(of)) + np.repeat(lo[i:j] - (np.cumsum(times) - times), times)
+                gone = owner["number"][pick] > low[of]
+                if gone.any():
+                    yield owner["key"][pick[gone]], owner["at"][pick[gone]] + offset[of][gone]
 
 
 def _sorting(buckets: int, width: int, memory: int):
     def sort(shard: Shard) -> Iterator[pa.RecordBatch]:
-        text, number, key, starts, first_at, ats = shard.closed()
-        for piece, offset in equal_strings(number, starts, text, width, shard.scratch, memory):
-            lo, count = first_at[piece], first_at[piece + 1] - first_at[piece]
-            pick = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
-            where, start = np.repeat(key[piece], count), ats[pick] + np.repeat(offset, count)
+        for where, start in shard.covered(memory):
             order = np.lexsort((start, where))
             where, start = where[order], start[order]
             new = np.flatnonzero(_runs_of(where, start))
@@ -391,63 +510,6 @@ def _sorting(buckets: int, width: int, memory: int):
     return run
 
 
-FOUND = pa.schema([("home", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
-
-
-def _runs_of(where: np.ndarray, start: np.ndarray, most: int = 60_000) -> np.ndarray:
-    """Where runs of neighbouring starts of one row begin; none is longer than `most`."""
-    new = np.append(True, (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1))
-    at = np.arange(len(where))
-    return new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0)
-
-
-class Shard:
-    """The pieces of a shard, one behind the other in files: symbols are bytes + 1, 0 ends a piece."""
-
-    def __init__(self, memory: int, width: int):
-        self.scratch = Scratch(memory)
-        self.symbols = Log(self.scratch, ">u2")
-        self.pieces = Log(self.scratch, [("number", np.int64), ("key", np.int64), ("start", np.int64), ("first", np.int64)])
-        self.ats = Log(self.scratch, np.int64)
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        data, offsets = _texts(batch.column(4))
-        ats, at_offsets = _texts(batch.column(3))
-        lengths = np.diff(offsets)
-        symbols = np.zeros(int(lengths.sum()) + len(lengths), ">u2")
-        piece = np.repeat(np.arange(len(lengths)), lengths)
-        symbols[np.arange(len(piece)) + piece] = data[offsets[0] : offsets[-1]].astype(np.uint16) + 1
-        rows = np.empty(len(lengths), self.pieces.kind)
-        rows["number"], rows["key"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        rows["start"] = len(self.symbols) + offsets[:-1] - offsets[0] + np.arange(len(lengths))
-        rows["first"] = len(self.ats) + (at_offsets[:-1] - at_offsets[0]) // 8
-        self.symbols.add(symbols)
-        self.pieces.add(rows)
-        self.ats.add(ats[at_offsets[0] : at_offsets[-1]].copy().view(np.int64))
-
-    def closed(self):
-        n = len(self.symbols)
-        symbols = Text.room(self.scratch, n, 256)
-        at = 0
-        for block in self.symbols.blocks():
-            symbols[at : at + len(block)] = block
-            at += len(block)
-        columns = [self.scratch.array(len(self.pieces) + 1, np.int64) for _ in range(4)]
-        at = 0
-        for block in self.pieces.blocks():
-            for column, name in zip(columns, ("number", "key", "start", "first")):
-                column[at : at + len(block)] = block[name]
-            at += len(block)
-        number, key, starts, first = columns
-        first[at] = len(self.ats)
-        ats = self.scratch.array(len(self.ats), np.int64)
-        at = 0
-        for block in self.ats.blocks():
-            ats[at : at + len(block)] = block
-            at += len(block)
-        return Text(symbols, n), number, key, starts[:-1], first, ats
-
-
 DONE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
@@ -521,7 +583,7 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
     at_home = rows.select("key", "doc_id", "text", _home_column(F.col("key"), buckets).alias("home")).groupBy("home")
     asked = resolved.where(F.col("kind") == OPEN).groupBy("home")
     cut = at_home.cogroup(asked).applyInArrow(_cutting(buckets, width), "shard int, number long, key long, at binary, bytes binary")
-    dealt = cut.repartition(buckets, "shard").sortWithinPartitions("shard")
+    dealt = cut.repartition(buckets, "shard").sortWithinPartitions("shard", "bytes")
     ordered = dealt.mapInArrow(_sorting(buckets, width, memory), sent)
     covered = resolved.where(F.col("kind") == COVERED).unionAll(ordered).groupBy("home")
     done = "row_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
