@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenloom.llm.common import give_back, materialize
 
 FANOUT = 16
-PAGE = 128
+PAGE = 1024
 NO_ID = (1 << 63) - 1
 
 
@@ -243,7 +243,7 @@ def _pivots(rows: DataFrame, n: int, dim: int, shards: int) -> pd.DataFrame:
     return mine.orderBy(drawn, "row_key").limit(shards).select("ints").toPandas()["ints"]
 
 
-def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, shard_rows: int = 4096, most_shards: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, shard_rows: int = 8192, most_shards: int = 1024) -> DataFrame:
     """The k best other rows of every row whose id is divisible by `every`: query_id, rank, vec_id, score.
 
     Vectors of each length have one pivot for about shard_rows of them, at most most_shards: pivots,
