@@ -50,9 +50,9 @@ def ramp_duration(change: Column, most: Column, period: Column, minimum: Column)
 
 def intensity(t: Column, begin: Column, end: Column, initial: Column, moving: Column, final: Column, rise: Column, settle: Column, release: Column | None = None) -> Column:
     """Initial level, smooth rise before the motion, moving level, smooth settling behind it to the final
-    level; with `release`, that level then fades in so long a time."""
+    level; with a `release` above 0, that level then fades in so long a time."""
     up = initial + (moving - initial) * smoothstep5((t - (begin - rise)) / rise)
-    down = moving + (final - moving) * smoothstep5((t - end) / settle)
+    down = moving + (final - moving) * F.when(settle > 0, smoothstep5((t - end) / settle)).otherwise(lit(1))
     if release is not None:
-        down = down * (lit(1) - F.coalesce(smoothstep5((t - (end + settle)) / release), lit(0)))
+        down = down * (lit(1) - F.when(release > 0, smoothstep5((t - (end + settle)) / release)).otherwise(lit(0)))
     return F.when(t < begin - rise, initial).when(t < begin, up).when(t <= end, moving).otherwise(down)

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenloom.functions import motion
 from lumenloom.functions.numeric import angular_distance, lit, safe_ratio
 from lumenloom.functions.optics import dirichlet, gaussian_overlap
+from lumenloom.operators.joins import last_before
 from lumenloom.operators.lineage import cut
 from lumenloom.operators.order import previous, running
 
@@ -152,3 +154,52 @@ def mode_overlap(frames: DataFrame, *, scale: float, active: int, extent: int, l
     first = F.max(F.struct("overlap", (-F.col("a_id")).alias("a"), (-F.col("b_id")).alias("b"))).alias("m")
     found = near.unionByName(rest).groupBy("frame").agg(first, F.count_if(F.col("overlap") >= lit(limit)).alias("n_close"))
     return found.select("frame", F.col("m.overlap").alias("worst"), (-F.col("m.a")).alias("a_id"), (-F.col("m.b")).alias("b_id"), "n_close")
+
+
+def midpoints(frames: DataFrame) -> DataFrame:
+    """Per trap of a frame its state halfway to the next frame; a trap that the next frame lacks keeps
+    its state and is `gone`."""
+    later = frames.select((F.col("frame") - 1).alias("frame"), "trap_id", *[F.col(c).alias(f"{c}_2") for c in ("x", "y", "intensity", "phase")])
+    both = frames.join(later, ["frame", "trap_id"], "left")
+    return both.select("frame", "trap_id", F.col("x_2").isNull().alias("gone"), *[((F.col(c) + F.coalesce(f"{c}_2", c)) / 2).alias(c) for c in ("x", "y", "intensity", "phase")])
+
+
+#: Flags of a trap in a frame.
+MOVING, RELEASED, STATIC_ATOM = 1, 2, 4
+
+
+def sampled(waypoints: DataFrame, plans: DataFrame, fixed: DataFrame, *, period: int, initial: float, moving: float, change: float) -> DataFrame:
+    """frame, trap_id, atom_id, x, y, intensity, flags of every trap in every frame of its plane.
+
+    plans: trajectory, final, released. Frames go on until the last trap of a plane has settled or has
+    been released. A released trap holds no atom. fixed: instrument, trap_id, atom_id, x, y, intensity.
+    """
+    ramp = lambda much: motion.ramp_duration(much, lit(change), lit(period), lit(0))
+    ends = waypoints.groupBy("trajectory", "instrument").agg(F.min("arrival").alias("begin"), F.max("arrival").alias("end"), (F.count("*") > 1).alias("moving")).join(plans, "trajectory")
+    settle, release = ramp(F.col("final") - lit(moving)), F.when(F.col("released"), ramp(F.col("final"))).otherwise(lit(0))
+    settle = F.when(F.col("final") == lit(moving), lit(0)).otherwise(settle)
+    ends = ends.withColumn("settle", settle).withColumn("release", release)
+    totals = ends.groupBy("instrument").agg((F.ceil(F.max(F.col("end") + F.col("settle") + F.col("release")) / period) * period).cast("long").alias("total"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total"), F.lit(period).cast("long"))).alias("t")
+    times = ends.join(totals, "instrument").select("trajectory", every)
+    placed = _last_place(waypoints, times).join(ends, "trajectory")
+    t = F.col("t")
+    level = motion.intensity(t, F.col("begin"), F.col("end"), lit(initial), lit(moving), F.col("final"), ramp(lit(moving - initial)), F.col("settle"), F.col("release"))
+    traps = placed.withColumn("intensity", F.greatest(lit(0), level))
+    gone = F.col("intensity") <= lit(1e-9)
+    flags = F.when(gone, RELEASED).when(F.col("moving"), MOVING).otherwise(0)
+    dynamic = traps.select((t / period).cast("long").alias("frame"), F.col("trajectory").alias("trap_id"), F.when(~gone, F.col("trajectory")).alias("atom_id"), "x", "y", "intensity", flags.alias("flags"))
+    still = fixed.join(totals, "instrument").select("trap_id", "atom_id", "x", "y", "intensity", every)
+    return dynamic.unionByName(still.select((t / period).cast("long").alias("frame"), "trap_id", "atom_id", "x", "y", "intensity", F.when(F.col("atom_id").isNotNull(), STATIC_ATOM).otherwise(0).alias("flags")))
+
+
+def _last_place(waypoints: DataFrame, times: DataFrame) -> DataFrame:
+    """trajectory, t, x, y by minimum-jerk motion; the first place before the start, the last behind the end."""
+    order = W.partitionBy("trajectory").orderBy("seq")
+    parts = waypoints.select("trajectory", "seq", "x", "y", "arrival", *[F.lead(c).over(order).alias(f"{c}_end") for c in ("x", "y", "arrival")])
+    columns = ["seq", "x", "y", "arrival", "x_end", "y_end", "arrival_end"]
+    first = parts.groupBy("trajectory").agg(F.min_by(F.struct(*columns), "seq").alias("first"))
+    found = last_before(parts, times, "t", columns, inclusive=False).join(first, "trajectory").select("trajectory", "t", F.coalesce("part", "first").alias("p")).select("trajectory", "t", "p.*")
+    share = F.when(F.col("arrival_end").isNull() | (F.col("t") <= F.col("arrival")), lit(0)).otherwise(F.try_divide(F.col("t") - F.col("arrival"), F.col("arrival_end") - F.col("arrival")))
+    q = motion.progress(share)
+    return found.select("trajectory", "t", *[(F.col(c) + F.coalesce(F.col(f"{c}_end") - F.col(c), lit(0)) * q).alias(c) for c in ("x", "y")])

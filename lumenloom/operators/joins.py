@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenloom.functions.geometry import distance, distance_squared, point_to_segment, segment_to_segment, segments_cross
+from lumenloom.functions.geometry import Point, distance, distance_squared, point_to_segment, segment_to_segment, segments_cross
 from lumenloom.functions.numeric import lerp, lit
 from lumenloom.functions import motion
 from lumenloom.operators.lineage import cut
@@ -109,7 +111,7 @@ def crossings(parts: DataFrame, plane: str = "instrument", cell: float = 10.0) -
     return pairs.groupBy(F.col("trajectory").alias("a_id"), F.col("o_trajectory").alias("b_id")).agg(F.min("seq").alias("first_conflict"), F.count("*").alias("n_conflicts"))
 
 
-def _last_before(parts: DataFrame, times: DataFrame, time: str, columns: list[str], inclusive: bool) -> DataFrame:
+def last_before(parts: DataFrame, times: DataFrame, time: str, columns: list[str], inclusive: bool) -> DataFrame:
     """(trajectory, time, part): the last of the parts that begin before each time, or at it."""
     given = parts.select("trajectory", F.col("arrival").alias("_t"), F.lit(0 if inclusive else 1).alias("_rank"), F.struct(*columns).alias("part"))
     asked = times.select("trajectory", F.col(time).alias("_t"), F.lit(1 if inclusive else 0).alias("_rank"), F.lit(None).cast(given.schema["part"].dataType).alias("part"))
@@ -125,7 +127,7 @@ def sample_at(waypoints: DataFrame, times: DataFrame, time: str = "t") -> DataFr
     columns trajectory and `time`. Segments and times are one ordered stream for each trajectory.
     """
     columns = ["seq", "x", "y", "arrival", "x_end", "y_end", "arrival_end"]
-    found = _last_before(segments(waypoints), times, time, columns, inclusive=False).select("trajectory", time, "part.*").where(F.col(time) <= F.col("arrival_end"))
+    found = last_before(segments(waypoints), times, time, columns, inclusive=False).select("trajectory", time, "part.*").where(F.col(time) <= F.col("arrival_end"))
     q = motion.progress((F.col(time) - F.col("arrival")) / (F.col("arrival_end") - F.col("arrival")))
     return found.select("trajectory", time, lerp(F.col("x"), F.col("x_end"), q).alias("x"), lerp(F.col("y"), F.col("y_end"), q).alias("y"))
 
@@ -157,7 +159,7 @@ def step_at(waypoints: DataFrame, times: DataFrame, time: str = "t") -> DataFram
     parts = waypoints.select("*", *ends)
     columns = ["seq", "x", "y", "arrival", "x_end", "y_end", "arrival_end"]
     first = parts.groupBy("trajectory").agg(F.min_by(F.struct(*columns), "seq").alias("first"))
-    found = _last_before(parts, times, time, columns, inclusive=True).join(first, "trajectory").select("trajectory", time, F.coalesce("part", "first").alias("part")).select("trajectory", time, "part.*")
+    found = last_before(parts, times, time, columns, inclusive=True).join(first, "trajectory").select("trajectory", time, F.coalesce("part", "first").alias("part")).select("trajectory", time, "part.*")
     share = F.when(F.col("arrival_end").isNull() | (F.col(time) < F.col("arrival")), lit(0)).otherwise(F.try_divide(F.col(time) - F.col("arrival"), F.col("arrival_end") - F.col("arrival")))
     at = [F.when(F.col(f"{c}_end").isNull(), F.col(c)).otherwise(lerp(F.col(c), F.col(f"{c}_end"), share)).alias(c) for c in ("x", "y")]
     return found.select("trajectory", time, "seq", *at)
@@ -207,3 +209,40 @@ def common_end(waypoints: DataFrame, plane: str) -> DataFrame:
     last = waypoints.groupBy("trajectory", plane).agg(F.max(F.struct("seq", "x", "y", "arrival")).alias("l"))
     final = waypoints.groupBy(plane).agg(F.max("arrival").alias("final"))
     return last.join(final, plane).where("l.arrival < final").select("trajectory", (F.col("l.seq") + 1).alias("seq"), "l.x", "l.y", F.col("final").alias("arrival"))
+
+
+#: Fixed value: the cost of an edge that is not allowed.
+FORBIDDEN = 1e30
+
+
+def edge_costs(atoms: DataFrame, sites: DataFrame, fixed: DataFrame, penalties: DataFrame, blocked: Callable[[Point, Point], Column], *, stay: float = 0.25, obstacle: float = 1000.0, static: float = 100.0, mismatch: float = 1000.0) -> DataFrame:
+    """(atom_id, site_id, feasible, cost) of all edges.
+
+    sites: site_id, x, y, required_atom and required_group (-1: any), forbid (a wrong group is not
+    allowed rather than dear). blocked: whether a straight way meets an obstacle. Ways near a fixed
+    point meet it on grid cells; penalties (atom_id, site_id, penalty) join by key. Forbidden edges
+    cost 1e30. A little of both ids keeps the order of equal costs.
+    """
+    wanted = sites.select("site_id", F.col("x").alias("x_end"), F.col("y").alias("y_end"), "required_atom", "required_group", "forbid")
+    few = wanted.limit(10_001).count() <= 10_000
+    e = atoms.select("atom_id", "x", "y", "grp").crossJoin(F.broadcast(wanted) if few else wanted)
+    hit = segments_near(e, fixed, ["atom_id", "site_id"], stay).withColumn("hit", F.lit(True))
+    e = e.join(hit, ["atom_id", "site_id"], "left").join(penalties, ["atom_id", "site_id"], "left")
+    a, b = (F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end"))
+    other = (F.col("required_group") != -1) & (F.col("required_group") != F.col("grp"))
+    feasible = ~((F.col("required_atom") != -1) & (F.col("required_atom") != F.col("atom_id"))) & ~(other & F.col("forbid"))
+    extra = lambda when, much: F.when(when, lit(much)).otherwise(lit(0))
+    cost = distance_squared(a, b) + extra(blocked(a, b), obstacle) + extra(F.col("hit").isNotNull(), static) + extra(other, mismatch)
+    cost = cost * F.when(distance(a, b) <= lit(stay), lit(0.001)).otherwise(lit(1)) + F.coalesce("penalty", lit(0))
+    cost = cost + F.col("atom_id") * lit(1e-12) + F.col("site_id") * lit(1e-15)
+    return e.select("atom_id", "site_id", feasible.alias("feasible"), F.when(feasible, cost).otherwise(lit(FORBIDDEN)).alias("cost"))
+
+
+def destinations(atoms: DataFrame, assigned: DataFrame, sites: DataFrame, parking: list[tuple[float, float]]) -> DataFrame:
+    """atom_id, x, y, site_id, disposition, to_x, to_y: the site's place, else the parking site numbered
+    k, else the atom's own place. assigned: atom_id, site_id, disposition, k."""
+    goal = sites.select("site_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    spots = F.array(*[F.struct(lit(x).alias("x"), lit(y).alias("y")) for x, y in parking])
+    d = atoms.select("atom_id", "x", "y").join(assigned, "atom_id").join(goal, "site_id", "left")
+    spot = F.when(F.col("disposition") == "PARK", F.get(spots, F.col("k")))
+    return d.select("atom_id", "x", "y", "site_id", "disposition", F.coalesce("tx", spot["x"], "x").alias("to_x"), F.coalesce("ty", spot["y"], "y").alias("to_y"))

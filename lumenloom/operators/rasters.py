@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +70,14 @@ def even_subsample(df: DataFrame, order: list[str], k: int) -> DataFrame:
 def image_moments(raster: DataFrame) -> DataFrame:
     """Bounds, total and correlation of level with place for a whole image."""
     return raster.agg(F.min("px").alias("x_low"), F.max("px").alias("x_high"), F.min("py").alias("y_low"), F.max("py").alias("y_high"), F.sum("level").alias("total"), F.coalesce(F.nanvl(F.corr("px", "level"), lit(0)), lit(0)).alias("tilt"))
+
+
+def adaptive_bins(pixels: DataFrame, spacing: int, most: int, least: int = 1) -> DataFrame:
+    """bins of the smallest tried spacing that gives at most `most` of them, with `spacing`: it grows by
+    the root of the excess, at least by one."""
+    while True:
+        found = cut(bins(pixels, spacing, least))
+        n = found.count()
+        if n <= most:
+            return found.withColumn("spacing", F.lit(spacing))
+        spacing = max(spacing + 1, math.ceil(spacing * math.sqrt(n / most)))

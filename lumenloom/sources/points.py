@@ -47,3 +47,17 @@ def code_table(df: DataFrame, key: str, text: str) -> DataFrame:
     rises = F.element_at("values", -1) >= F.element_at("values", 1)
     monotone = F.when(F.size("values") < 2, F.lit(False)).otherwise(F.when(rises, F.forall(steps, lambda s: s >= 0)).otherwise(F.forall(steps, lambda s: s <= 0)))
     return rows.select(key, "values", F.coalesce(monotone, F.lit(False)).alias("monotone"))
+
+
+def tweezers(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, x, y, phase, intensity, ok): entries are [x, y, phase, intensity] or objects, the phase
+    under one of three names; intensity is 1 by default and must be above 0; ids default to the place."""
+    rows = df.select(key, F.posexplode(_items(F.col(text))).alias("pos", "item"))
+    listed, pair = F.ltrim("item").startswith("["), F.from_json("item", "array<double>")
+    named = F.from_json("item", "id bigint, xUm double, yUm double, x double, y double, phaseRad double, targetPhaseRad double, phase double, intensity double")
+    pick = lambda k, *names: F.when(listed, F.get(pair, F.lit(k))).otherwise(F.coalesce(*[named[n] for n in names]))
+    x, y, phase = pick(0, "xUm", "x"), pick(1, "yUm", "y"), pick(2, "phaseRad", "targetPhaseRad", "phase")
+    light = F.coalesce(pick(3, "intensity"), lit(1))
+    sound = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < lit(float("inf")))
+    ok = F.coalesce(sound(x) & sound(y) & sound(phase) & sound(light) & (light > 0), F.lit(False))
+    return rows.select(key, F.coalesce(F.when(~listed, named["id"]), F.col("pos") + 1).cast("long").alias("id"), x.alias("x"), y.alias("y"), phase.alias("phase"), light.alias("intensity"), ok.alias("ok"))
