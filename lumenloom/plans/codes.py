@@ -159,3 +159,17 @@ def snk_08_bundles(spark, sf_dir):
 @query(with_views("points") + " SELECT CAST(max(point_id) + 1 AS BIGINT) AS next_id FROM points")
 def sca_65_next_id(spark, sf_dir):
     return views.points(spark, sf_dir).agg(F.coalesce(F.max("point_id") + 1, F.lit(1).cast("long")).alias("next_id"))
+
+
+@query("WITH c AS (SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(floor(least(greatest(CAST(embedding[i + 1] AS DOUBLE), -1e0), 1e0) * 127e0 + 128e0) AS BIGINT) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS i)) SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(floor(2126e-4 * v + 7152e-4 * (v * 3 % 256) + 722e-4 * (v * 7 % 256) + 5e-1) AS INTEGER) AS level FROM c")
+def src_09_bitmaps(spark, sf_dir):
+    """Images of 24 bits, every other one with its rows top-down, decoded to luma."""
+    little = lambda n, size: F.lit(int(n).to_bytes(size, "little", signed=n < 0).hex().upper())
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    down = F.col("vec_id") % 2 == 1
+    code = lambda v: F.floor(F.least(F.greatest(v.cast("double"), lit(-1)), lit(1)) * lit(127) + lit(128)).cast("long")
+    line = lambda y: F.transform(F.slice("codes", y * 8 + 1, F.lit(8)), lambda v: F.concat(byte(v * 7 % 256), byte(v * 3 % 256), byte(v)))
+    body = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: line(F.when(down, k).otherwise(7 - k))))
+    head = F.concat(F.lit("424D"), little(54 + 192, 4), little(0, 4), little(54, 4), little(40, 4), little(8, 4), F.when(down, little(-8, 4)).otherwise(little(8, 4)), little(1, 2), little(24, 2), little(0, 24))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", code).alias("codes"))
+    return packed.pixels(rows.select("vec_id", F.unhex(F.concat(head, F.array_join(body, ""))).alias("bytes")), "vec_id")

@@ -90,13 +90,20 @@ def bitmaps(codes: DataFrame, key: str) -> DataFrame:
 
 
 def pixels(df: DataFrame, key: str, content: str = "bytes") -> DataFrame:
-    """(key, y, x, level) of 8-bit bitmaps written here, by column functions on the bytes alone."""
+    """(key, y, x, level) of uncompressed bitmaps of 8 (with palette), 24 or 32 bits, rows bottom-up or, with
+    a negative height, top-down; level is the luma by the weights 0.2126, 0.7152, 0.0722 (fixed values).
+    Column functions on the bytes alone; other bitmaps give no rows."""
     byte = lambda at: F.conv(F.hex(F.substring(F.col(content), at + F.lit(1), F.lit(1))), 16, 10).cast("int")
-    little = lambda at: sum((byte(F.lit(at + k)) * (1 << (8 * k)) for k in range(4)), F.lit(0))
-    sized = df.select(key, content, little(10).alias("begin"), little(18).alias("w"), little(22).alias("h"))
-    rows = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    at = F.col("begin") + (F.col("h") - 1 - F.col("y")) * (F.ceil(F.col("w") / 4) * 4).cast("int") + F.col("x")
-    return rows.select(key, "y", "x", byte(at).alias("level"))
+    little = lambda at, n=4: sum((byte(F.lit(at + k)).cast("long") * (1 << (8 * k)) for k in range(n)), F.lit(0).cast("long"))
+    signed = F.when(little(22) >= 1 << 31, little(22) - (1 << 32)).otherwise(little(22))
+    head = df.select(key, content, little(10).alias("begin"), little(14).alias("head"), little(18).alias("w"), F.abs(signed).alias("h"), (signed < 0).alias("down"), little(28, 2).alias("bits"), little(30).alias("packing"))
+    sized = head.where(F.col("bits").isin(8, 24, 32) & (F.col("packing") == 0) & (F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") * F.col("h") <= 1 << 24))
+    rows = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)).alias("x"))
+    line = F.when(F.col("down"), F.col("y")).otherwise(F.col("h") - 1 - F.col("y"))
+    at = (F.col("begin") + line * F.ceil(F.col("w") * F.col("bits") / 32) * 4 + F.col("x") * (F.col("bits") / 8)).cast("int")
+    colour = F.when(F.col("bits") == 8, (14 + F.col("head") + 4 * byte(at)).cast("int")).otherwise(at)
+    luma = F.floor(byte(colour + 2) * 0.2126 + byte(colour + 1) * 0.7152 + byte(colour) * 0.0722 + 0.5)
+    return rows.select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), luma.cast("int").alias("level"))
 
 
 #: Magic, version and little-endian layout of the header of a sample, and its size.

@@ -168,3 +168,148 @@ def test_code_tables_of_whole_vectors(spark, tmp_path):
     spark.createDataFrame([(1, rise), (2, rise[:20] + rise[:44]), (3, rise[::-1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: (r.n, r.monotone) for r in registry.src_05_code_tables(spark, str(tmp_path)).collect()}
     assert got == {1: (64, True), 2: (64, False), 3: (64, True)}
+
+
+# --- hashes, streams, payloads, tables ----------------------------------------------------------
+
+
+def test_known_hashes_and_streams(spark):
+    row = spark.range(1).select(hashing.hex32(hashing.fnv1a32(F.lit(""))).alias("a"), hashing.hex32(hashing.fnv1a32(F.lit("a"))).alias("b"), hashing.hex32(hashing.fnv1a32(F.lit("foobar"))).alias("c"), hashing.fnv1a32(F.lit("\U0001f600")).alias("d")).first()
+    wide = 2166136261
+    for unit in (0xD83D, 0xDE00):
+        wide = (wide ^ unit) * 16777619 % (1 << 32)
+    assert tuple(row) == ("811c9dc5", "e40c292c", "bf9cf968", wide)
+    got = [r.v for r in spark.range(8).orderBy("id").select(hashing.stream32(F.lit(0x12345678).cast("long"), F.col("id")).alias("v")).collect()]
+    assert got == [455919406, 4042750857, 4036713555, 1004527575, 3885174651, 3342903291, 1200158424, 1464636653]
+
+
+def test_broken_payloads_name_their_error(spark):
+    import struct
+
+    rows = spark.createDataFrame([(7, 3, 2, 2, [(1.0, 2.0, 0.5, 4)], [1, 2, 3, 4], '{"a":1}')], "sample_id long, seed long, width int, height int, traps array<struct<x:float,y:float,phase:float,trap_id:long>>, codes array<int>, metrics string")
+    whole = bytes(packed.pack_samples(rows).first().bytes)
+    assert len(whole) == 64 + 8 + 4 + 4 + 4 + 7
+    cases = {"ok": whole, "SHORT": whole[:20], "HEADER": b"X" + whole[1:], "LENGTH": whole + b" ", "CRC32": whole[:80] + b"\x09" + whole[81:], "METRICS": whole[:52] + struct.pack("<I", 13) + whole[56:84] + b'{"a":1,"a":2}', "SECTIONS": whole[:16] + struct.pack("<I", 2) + whole[20:]}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "name string, bytes binary")
+    for name in cases:
+        got = packed.unpack_samples(df.where(F.col("name") == name)).first()
+        assert got.error == (None if name == "ok" else name)
+    assert packed.unpack_samples(df.where("name = 'ok'")).first().sample_id == 7
+
+
+STRICT = {
+    "[0, 1, 6]": ([0, 1, 6], None), '{"phases": [3, 2, 2]}': ([3, 2, 2], None), "\ufeff0 1\n2 3\n": ([0, 1, 2, 3], None), "# c\n0.5;1.5;2\n": ([0.5, 1.5, 2], None),
+    "Measured_Phase\n1\n2\n": ([1, 2], None), "": (None, "EMPTY"), "0,x": (None, "INVALID"), '{"values": [0, 1], "phases": [0, 1]}': (None, "INVALID"), "note,other\n1,2\n": (None, "INVALID"),
+    "0,0\n254,1\n": (None, "INVALID"), "0,0\n255,1\n300,2\n": (None, "INVALID"), "5": ([5], "LENGTH"), "1 1 1": ([1, 1, 1], "ZERO_SPAN"), "0 2 1 3": ([0, 2, 1, 3], "REVERSES"), "0 1 Infinity": ([0, 1, float("inf")], "NOT_FINITE"),
+}
+
+
+def test_strict_tables(spark):
+    from lumenloom.sources import tables
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(STRICT)], "k long, t string")
+    got = {r.k: (r["values"], r.error) for r in tables.strict_tables(df, "k", "t").collect()}
+    assert [got[k] for k in range(len(STRICT))] == [tuple(v) for v in STRICT.values()]
+
+
+def test_bitmaps_of_other_depths(spark):
+    head = lambda bits, h: b"BM" + bytes(8) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") + h.to_bytes(4, "little", signed=True) + b"\1\0" + bytes([bits, 0]) + bytes(24)
+    rows = [(1, bytearray(head(24, 2) + bytes([0, 0, 255, 0, 255, 0, 0, 0]))), (2, bytearray(head(32, -2) + bytes([0, 0, 255, 0, 255, 0, 0, 0]))), (3, bytearray(head(16, 2) + bytes(8)))]
+    got = {tuple(r) for r in packed.pixels(spark.createDataFrame(rows, "k long, bytes binary"), "k").collect()}
+    assert got == {(1, 1, 0, 54), (1, 0, 0, 18), (2, 0, 0, 54), (2, 1, 0, 18)}
+
+
+# --- order-dependent work -----------------------------------------------------------------------
+
+
+def test_total_of_assignments_is_least(spark, sf_dir):
+    """Each region's total against all choices of atoms for its sites."""
+    edges = {}
+    sites = {r.site_id: r.grp for r in views.targets(spark, sf_dir).where("required").collect()}
+    for r in registry._matrix(spark, sf_dir).collect():
+        edges[r.site_id, r.atom_id] = r.cost
+    atoms = sorted({a for _, a in edges})
+    solved = registry.gen_12_assignment(spark, sf_dir).collect()
+    for problem in {r.problem for r in solved}:
+        mine = sorted(s for s, g in sites.items() if g == problem)
+        best = min(sum(edges[s, a] for s, a in zip(mine, choice)) for choice in itertools.permutations(atoms, len(mine)))
+        assert abs(sum(r.cost for r in solved if r.problem == problem) - best) < 1e-4
+
+
+def test_dispositions(spark, sf_dir):
+    rows = registry.QUERIES["gen_13_dispositions"](spark, sf_dir).collect()
+    atoms = {r.atom_id: r.movable for r in views.atoms(spark, sf_dir).collect()}
+    assert len(rows) == len(atoms) and len({r.atom_id for r in rows}) == len(rows)
+    assert all((r.disposition in ("MOVE_TO_TARGET", "STAY")) if r.site_id is not None else r.disposition == ("KEEP" if atoms[r.atom_id] else "STAY") for r in rows)
+    assert len({r.site_id for r in rows if r.site_id is not None}) == sum(r.site_id is not None for r in rows)
+
+
+def test_resampling_of_a_known_path(spark):
+    from lumenloom.operators import paths
+
+    way = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 3.0, 0.0), (1, 3, 3.0, 4.0), (2, 1, 5.0, 5.0)], "k long, seq int, x double, y double")
+    got = [(r.k, r.x, r.y) for r in paths.resampled(way, "k", 2.5).orderBy("k", "n").collect()]
+    assert got == [(1, 0.0, 0.0), (1, 2.5, 0.0), (1, 3.0, 2.0), (2, 5.0, 5.0)]
+
+
+def test_greedy_selection(spark):
+    from lumenloom.operators import paths
+
+    rng = np.random.default_rng(2)
+    rows = [(k % 2, k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 10, (120, 2)))]
+    df = spark.createDataFrame(rows, "plane long, id long, x double, y double")
+    got = {(r.plane, r.id) for r in paths.greedy(df, "plane", [F.col("id")], 1.5, 0.8).collect()}
+    for plane in (0, 1):
+        kept = []
+        for _, k, x, y in (r for r in rows if r[0] == plane):
+            if all(((x - a) / 1.5) ** 2 + ((y - b) / 0.8) ** 2 >= 1 for _, a, b in kept):
+                kept.append((k, x, y))
+        assert {k for p, k in got if p == plane} == {k for k, _, _ in kept}
+
+
+def test_proven_clearance(spark):
+    from lumenloom.operators import paths
+
+    rng = np.random.default_rng(3)
+    rows = [(k, 0, 1, *map(float, rng.uniform(0, 10, 4))) for k in range(30)]
+    df = spark.createDataFrame(rows, "trajectory long, instrument long, seq int, x double, y double, x_end double, y_end double")
+    q = paths._quintic(np.linspace(0, 1, 4001))[:, None]
+    at = {r[0]: np.array(r[3:5]) + (np.array(r[5:7]) - np.array(r[3:5])) * q for r in rows}
+    found = paths.clearance(df, "instrument", safe=0.5).collect()
+    assert len(found) == 30 * 29 // 2
+    for r in found:
+        least = np.hypot(*(at[r.a_id] - at[r.b_id]).T).min()
+        assert r.least >= least - 1e-3
+        assert not r.proven or least > 0.5 - 1e-3
+        assert r.proven or least < 0.5 + 0.05
+
+
+def test_adaptive_bins(spark, sf_dir):
+    found = registry.QUERIES["srt_03_adaptive_bins"](spark, sf_dir).collect()
+    assert len(found) <= 60 and len({r.spacing for r in found}) == 1
+
+
+def test_components_of_links(spark):
+    from lumenloom.operators import graphs
+
+    links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (7, 9)], "a long, b long")
+    assert {tuple(r) for r in graphs.components(links, "a", "b").collect()} == {(3, 3), (4, 3), (5, 3), (7, 7), (8, 7), (9, 7)}
+
+
+def test_running_sums(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 5).alias("v"))
+    values = {r.k: r.v for r in df.collect()}
+    for r in order.running(df, ["k"], "v", "before").collect():
+        assert r.before == sum(values[k] for k in range(r.k))
+    assert {r.k: r.was for r in order.previous(df, "k", "v", "was").collect()} == {k: values.get(k - 1) for k in values}
+
+
+def test_every_sample_is_appended_once(spark, tmp_path):
+    src, out = tmp_path / "src", tmp_path / "out"
+    schema = "sample_id long, ts timestamp"
+    write = lambda ids: spark.createDataFrame([(k,) for k in ids], "sample_id long").withColumn("ts", F.timestamp_seconds(F.lit(1000) + F.col("sample_id"))).write.mode("append").parquet(str(src))
+    for ids in ((1, 2, 2, 3), (2, 3, 4)):
+        write(ids)
+        stream = sequence.once(spark.readStream.schema(schema).parquet(str(src)))
+        stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.sample_id for r in spark.read.parquet(str(out)).collect()) == [1, 2, 3, 4]
