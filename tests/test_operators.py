@@ -199,7 +199,7 @@ def test_broken_payloads_name_their_error(spark):
 
 STRICT = {
     "[0, 1, 6]": ([0, 1, 6], None), '{"phases": [3, 2, 2]}': ([3, 2, 2], None), "\ufeff0 1\n2 3\n": ([0, 1, 2, 3], None), "# c\n0.5;1.5;2\n": ([0.5, 1.5, 2], None),
-    "Measured_Phase\n1\n2\n": ([1, 2], None), "": (None, "EMPTY"), "0,x": (None, "INVALID"), '{"values": [0, 1], "phases": [0, 1]}': (None, "INVALID"), "note,other\n1,2\n": (None, "INVALID"),
+    "Measured_Phase,note\n1,a\n2,b\n": ([1, 2], None), "Measured_Phase\n1\n2\n": (None, "INVALID"), "": (None, "EMPTY"), "0,x": (None, "INVALID"), '{"values": [0, 1], "phases": [0, 1]}': (None, "INVALID"), "note,other\n1,2\n": (None, "INVALID"),
     "0,0\n254,1\n": (None, "INVALID"), "0,0\n255,1\n300,2\n": (None, "INVALID"), "5": ([5], "LENGTH"), "1 1 1": ([1, 1, 1], "ZERO_SPAN"), "0 2 1 3": ([0, 2, 1, 3], "REVERSES"), "0 1 Infinity": ([0, 1, float("inf")], "NOT_FINITE"),
 }
 
