@@ -257,6 +257,15 @@ def num_08_adjoint(spark, sf_dir):
     return back.select("field_id", "y", "x", r6("re").alias("re"), r6("im").alias("im"))
 
 
+@query(with_views("fields") + SAMPLED + f", g AS (SELECT unnest(range(0, 8)) AS g), b AS (SELECT field_id, CAST(gy.g AS INTEGER) AS y, CAST(gx.g AS INTEGER) AS x, sum(re * cos(2e0 * pi() * (u * gx.g / 8e0 + v * gy.g / 8e0)) - im * sin(2e0 * pi() * (u * gx.g / 8e0 + v * gy.g / 8e0))) AS re, sum(re * sin(2e0 * pi() * (u * gx.g / 8e0 + v * gy.g / 8e0)) + im * cos(2e0 * pi() * (u * gx.g / 8e0 + v * gy.g / 8e0))) AS im FROM n, g AS gx, g AS gy GROUP BY 1, 2, 3) SELECT field_id, y, x, {R('CASE WHEN sqrt(re * re + im * im) < 5e-1 THEN (x - y) / 8e0 ELSE atan2(im, re) END')} AS phase, sqrt(re * re + im * im) < 5e-1 AS kept FROM b")
+def num_08_phases(spark, sf_dir):
+    """Phase of the back-projected samples; where they cancel, the phase that the pixel had is kept."""
+    back = fields.adjoint_phase(fields.sample(views.fields(spark, sf_dir), AT), AT)
+    kept = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) < lit(0.5)
+    phase = F.when(kept, (F.col("x") - F.col("y")) / lit(8)).otherwise(F.atan2("im", "re"))
+    return back.select("field_id", "y", "x", r6(phase).alias("phase"), kept.alias("kept"))
+
+
 @query(with_views("fields") + ", c AS (SELECT *, greatest(0e0, least(255e0, floor((greatest(-3e0, least(3e0, re * 1e1)) + pi()) / (2e0 * pi()) * 255e0 + 5e-1))) AS code FROM fields) SELECT field_id, y, x, CAST(code AS INTEGER) AS code, " + R("code / 255e0 * 2e0 * pi() - pi()") + " AS phase FROM c")
 def sca_41_quantize(spark, sf_dir):
     f = views.fields(spark, sf_dir)
@@ -401,6 +410,14 @@ def gen_12_assignment(spark, sf_dir):
     return assignment.solve(edges.select("problem", F.col("site_id").alias("row"), F.col("atom_id").alias("col"), "cost")).select("problem", "row", "col", r6("cost").alias("cost"))
 
 
+@query()
+def agg_02_assignment_cost(spark, sf_dir):
+    """Total cost of each region's assignment, infinite where none is feasible."""
+    solved = gen_12_assignment(spark, sf_dir)
+    total = F.when(F.bool_or(F.col("row").isNull()), lit(float("inf"))).otherwise(F.sum("cost"))
+    return solved.groupBy("problem").agg(total.alias("total"), F.count("row").alias("n_sites"))
+
+
 @query("SELECT event_id AS key, CAST(1 AS BIGINT) AS id, CAST(json_extract(props, '$.k') AS DOUBLE) AS x, CAST(event_id % 100 AS DOUBLE) AS y, TRUE AS ok FROM events UNION ALL SELECT event_id, 7, -15e-1, CAST(json_extract(props, '$.k') AS DOUBLE), TRUE FROM events")
 def src_02_point_lists(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
