@@ -61,3 +61,9 @@ def tweezers(df: DataFrame, key: str, text: str) -> DataFrame:
     sound = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < lit(float("inf")))
     ok = F.coalesce(sound(x) & sound(y) & sound(phase) & sound(light) & (light > 0), F.lit(False))
     return rows.select(key, F.coalesce(F.when(~listed, named["id"]), F.col("pos") + 1).cast("long").alias("id"), x.alias("x"), y.alias("y"), phase.alias("phase"), light.alias("intensity"), ok.alias("ok"))
+
+
+def single_frame(found: DataFrame, key: str) -> DataFrame:
+    """The good tweezers of each list as traps of frame 0 at time 0: no atoms, no flags."""
+    zero = F.lit(0).cast("long")
+    return found.where("ok").select(key, zero.alias("frame"), zero.alias("time"), F.col("id").alias("trap_id"), F.lit(None).cast("long").alias("atom_id"), "x", "y", "intensity", "phase", F.lit(0).alias("flags"))

@@ -313,3 +313,13 @@ def test_every_sample_is_appended_once(spark, tmp_path):
         stream = sequence.once(spark.readStream.schema(schema).parquet(str(src)))
         stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.sample_id for r in spark.read.parquet(str(out)).collect()) == [1, 2, 3, 4]
+
+
+def test_shards_are_written_and_resumed(spark, tmp_path):
+    from lumenloom.sources import shards
+
+    samples = spark.range(10).select((F.col("id") * 3).alias("sample_id"), F.lit("x").alias("body"))
+    listed = shards.write(samples.where("sample_id < 21"), "sample_id", 3, f"{tmp_path}/data")
+    assert [(r.n, r.first_id, r.full_shard) for r in listed.orderBy("shard").collect()] == [(3, 0, True), (3, 9, True), (1, 18, False)]
+    left = shards.missing(spark.read.parquet(f"{tmp_path}/data/samples"), samples, "sample_id")
+    assert sorted(r.sample_id for r in left.collect()) == [21, 24, 27]
