@@ -26,6 +26,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PREFIX_WORDS = 3
 BUCKETS = 128
+#: Rows of 64 slots of the filter of windows, and keys that a frequent window is spread over.
+FILTER_ROWS, SALTS = 1 << 18, 16
 
 
 def words_of(text: Column) -> Column:
@@ -78,17 +80,38 @@ def _hits_by_set(found: DataFrame, windows: list) -> DataFrame:
     return found.withColumn("hits", F.filter(F.concat(*parts), lambda h: h["items"].isNotNull()))
 
 
+def _filter_of(windows: DataFrame) -> Column:
+    """64 slots a row of hashed windows as one constant of FILTER_ROWS numbers (2 MB), whatever their number."""
+    slot = F.pmod(F.xxhash64("window"), F.lit(64 * FILTER_ROWS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    bits = [0] * FILTER_ROWS
+    for r in windows.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        bits[r["word"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+
 def _hits_by_join(found: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """As _hits_by_set, for benchmarks of any size: windows meet by an equi-join."""
+    """As _hits_by_set, for benchmarks of any size: windows meet by an equi-join.
+
+    Only positions that pass a filter of fixed size become rows. A frequent window (an item of one
+    common word) is spread by a salt over SALTS keys.
+    """
     rows = materialize(found.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    words = F.col("words")
+    words, bits = F.col("words"), _filter_of(windows)
+
+    def passes(window: Column) -> Column:
+        slot = F.pmod(F.xxhash64(window), F.lit(64 * FILTER_ROWS))
+        held = F.get(bits, F.shiftright(slot, 6).cast("int"))
+        return F.call_function("shiftright", held, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     def windows_of(n: int) -> Column:
-        return F.transform(_starts(words, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("window")))
+        every = F.transform(_starts(words, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("window")))
+        return F.filter(every, lambda w: passes(w["window"]))
 
     every = F.concat(F.array().cast("array<struct<start:int,n:int,window:string>>"), *[windows_of(n) for n in lengths])
-    at = rows.select("row_key", F.explode(every).alias("at")).select("row_key", "at.*")
-    hits = at.join(windows.select("window", "items"), "window").groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "items")).alias("hits"))
+    at = rows.select("row_key", F.explode(every).alias("at")).select("row_key", "at.*").withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
+    given = windows.select("window", "items", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = at.join(given, ["window", "salt"]).groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "items")).alias("hits"))
     empty = F.array().cast("array<struct<start:int,n:int,items:array<string>>>")
     return rows.join(hits, "row_key", "left").withColumn("hits", F.coalesce("hits", empty)).drop("row_key")
 
