@@ -52,28 +52,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+RAW, SAME, RISING = 0, 1, 2
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length as byte planes, which compress well; read by unpack. A column equal to the
-    one before it takes no space."""
-    same = [k > 0 and c.dtype == columns[k - 1].dtype and np.array_equal(c, columns[k - 1]) for k, c in enumerate(columns)]
-    parts = [np.int64(len(columns[0])).tobytes(), np.array(same, np.uint8).tobytes()]
+    """Columns of one length as compressed byte planes; read by unpack. A column equal to the one before
+    it takes no space, one that mostly rises is stored by its steps."""
+    kinds, planes = [], []
     for k, column in enumerate(columns):
-        if not same[k]:
-            parts.append(column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes())
-    return b"".join(parts)
+        if k and column.dtype == columns[k - 1].dtype and np.array_equal(column, columns[k - 1]):
+            kinds.append(SAME)
+            continue
+        rising = column.dtype == np.int64 and (column[1:] >= column[:-1]).mean() > 0.9 if len(column) > 1 else False
+        kinds.append(RISING if rising else RAW)
+        stored = np.diff(column, prepend=np.int64(0)) if rising else column
+        planes.append(np.ascontiguousarray(stored).view(np.uint8).reshape(len(column), column.itemsize).T.tobytes())
+    body = b"".join(planes)
+    return np.array([len(columns[0]), len(body)], np.int64).tobytes() + bytes(kinds) + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, *types) -> list[np.ndarray]:
-    n, found = int(np.frombuffer(blob, np.int64, 1)[0]), []
-    same = np.frombuffer(blob, np.uint8, len(types), 8)
-    at = 8 + len(types)
-    for k, kind in enumerate(types):
-        if same[k]:
+    n, size = np.frombuffer(blob, np.int64, 2).tolist()
+    kinds = blob[16 : 16 + len(types)]
+    body, at, found = pa.decompress(blob[16 + len(types) :], decompressed_size=size, codec="zstd", asbytes=True), 0, []
+    for stored, kind in zip(kinds, types, strict=True):
+        if stored == SAME:
             found.append(found[-1])
             continue
-        size = np.dtype(kind).itemsize
-        found.append(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n))
-        at += n * size
+        width = np.dtype(kind).itemsize
+        column = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).reshape(n)
+        found.append(np.cumsum(column) if stored == RISING else column)
+        at += n * width
     return found
 
 
@@ -113,7 +122,7 @@ def contexts_of(data: np.ndarray, pieces: list[tuple[int, int]], width: int) ->
     buf = np.concatenate([data[i:j] for i, j in pieces] + [np.zeros(width + 40, np.uint8)])
     n = int(lengths.sum())
     view = np.ndarray((n + width + 24,), "<u8", buf, 0, (1,))
-    grams = _mix(_mix(view[: n + width] * C1) ^ (view[8 : n + width + 8] * C3 + C2))
+    grams = _mix(_mix(view[: n + width] * C1) ^ (view[GRAM - 8 : n + width + GRAM - 8] * C3 + C2))
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     reach, size = width - GRAM + 1, 1
     while size * 2 <= reach:
@@ -180,10 +189,10 @@ def _collapse(data, width, anchor, context, number, key, at, place, times):
     """Records without the covered ones, and the covered ones: of contexts with equal bytes only those
     of the smallest number stay. place: where the context begins in data."""
     order, head = _alike(data, width, anchor ^ context, place, times, anchor)
-    anchor, number, key, at, times = (c[order] for c in (anchor, number, key, at, times))
-    first = np.flatnonzero(head)
-    least = np.minimum.reduceat(number, first)[np.cumsum(head) - 1] if len(order) else number
-    known = number > least
+    known = np.zeros(len(order), bool)
+    if len(order):
+        least = np.minimum.reduceat(number[order], np.flatnonzero(head))[np.cumsum(head) - 1]
+        known[order] = number[order] > least
     return [c[~known] for c in (anchor, number, key, at, times)], [c[known] for c in (key, at, times)]
 
 
@@ -289,7 +298,7 @@ def _resolving(buckets: int):
         if len(anchor):
             head = np.flatnonzero(_first_of_equal(anchor))
             shared = np.minimum.reduceat(number, head) != np.maximum.reduceat(number, head)
-            pick = order[np.repeat(shared, np.diff(np.append(head, len(anchor))))]
+            pick = np.sort(order[np.repeat(shared, np.diff(np.append(head, len(anchor))))])
             found = [c[pick] for c in columns]
             rows += _spread(OPEN, home(found[2], buckets), found)
         return pd.DataFrame(rows, columns=["home", "kind", "payload"])
@@ -544,15 +553,14 @@ def _reporting(width: int, keep_bytes: bool):
 
 
 def _hot_anchors(rows: DataFrame, size: int, width: int) -> np.ndarray:
-    """Anchors with very many contexts, by a count on a share of the documents (all of a small table).
+    """Anchors with very many contexts, by a count on a share of the documents.
 
     The threshold grows with the corpus, so that at most some 2^21 anchors can pass.
     """
-    share = HOT_SHARE if size > HOT_SHARE << 20 else 1
     most = max(HOT_CONTEXTS, size // (width - GRAM) >> 20)
-    part = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(share)) == 0).select("key", "text")
+    part = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(HOT_SHARE)) == 0).select("key", "text")
     counts = part.mapInArrow(_counting(width), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") >= max(1, most // share)).select("anchor").toPandas()["anchor"].to_numpy(np.int64)
+    found = counts.where(F.col("n") >= max(1, most // HOT_SHARE)).select("anchor").toPandas()["anchor"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
 
 

@@ -110,6 +110,7 @@ def test_repeats_of_planted_passages(spark, monkeypatch):
     wanted = dict(enumerate(brute_repeats([(k, t.encode()) for k, t in rows], 50)))
     assert repeats(df) == wanted
     assert repeats(df, bucket_bytes=1 << 10, memory=1 << 11) == wanted
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 1)
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 1)  # the strings of all anchors are routed one by one
     assert repeats(df) == wanted
 
