@@ -28,6 +28,7 @@ from lumenloom.llm.common import give_back, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 SALTS = 8
+FEW = 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -255,7 +256,8 @@ def _cut(text: str, marks: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All documents, every span of the text replaced by its kind, as in [EMAIL]; other columns stay.
 
-    Seed spans are found again in the row itself; only discovered ones are joined, if there are any.
+    Seed spans are found again in the row itself; only discovered ones are joined, if there are any, and
+    are broadcast if there are at most FEW of them (some 10 MB).
     """
     found = _found(docs, doc_id, text)
     extra = materialize(discovered(found, **options), "discovered")
@@ -276,6 +278,8 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opt
 
     places = found.join(extra, "row_key").select(F.col(doc_id).alias("place_of"), F.col("text_hash").alias("place_text"), "kind", "start", "end").distinct()
     places = places.groupBy("place_of", "place_text").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    if extra.limit(FEW + 1).count() <= FEW:
+        places = F.broadcast(places)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("of"), column.alias("body"))
     joined = rows.join(places, F.col("of").eqNullSafe(F.col("place_of")) & (F.xxhash64("body") == F.col("place_text")), "left")
     return joined.select(F.col("row").withField(f"`{text}`", with_extra(F.col("body"), F.col("more"))).alias("row")).select("row.*")
