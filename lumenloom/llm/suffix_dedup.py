@@ -43,6 +43,7 @@ BUCKET_BYTES = 4 << 20
 #: Contexts of an anchor from which its strings are routed one by one; the share of documents counted.
 HOT_CONTEXTS = 1 << 17
 HOT_SHARE = 64
+PIECES = 1 << 14
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 COVERED, OPEN, ASK = 0, 1, 2
 
@@ -241,7 +242,7 @@ def _contexts_in(data: np.ndarray, spans: list[tuple[int, int]], width: int) ->
         yield found()
 
 
-def _batched(batch: pa.RecordBatch, width: int, amount: int = 64 * SEGMENT):
+def _batched(batch: pa.RecordBatch, width: int, amount: int = 48 * SEGMENT):
     """(data, columns of _contexts_in) for about `amount` bytes of the texts of a batch at a time."""
     data, offsets = _texts(batch.column(batch.schema.get_field_index("text")))
     ends = offsets[1:]
@@ -322,7 +323,12 @@ def _cutting(shards: int, width: int, most: int = 64 << 20):
         pick = order[first]
         ends = np.append(first[1:], len(order))
         text = np.cumsum(length[pick]) - length[pick]
-        flat = data[np.arange(int(length[pick].sum())) + np.repeat(begin[pick] - text, length[pick])]
+        flat = np.empty(int(length[pick].sum()), np.uint8)
+        for i in range(0, len(pick), PIECES):
+            # Places of bytes take eight times the bytes, so only some pieces are gathered at once.
+            some, at_text = pick[i : i + PIECES], text[i : i + PIECES]
+            place = np.arange(int(length[some].sum())) + np.repeat(begin[some] - (at_text - at_text[0]), length[some])
+            flat[at_text[0] : at_text[0] + len(place)] = data[place]
         shard = (_mix(anchor[pick]) >> np.uint64(33)).astype(np.int64) % shards
         columns = [pa.array(shard.astype(np.int32)), pa.array(number[pick]), pa.array(key[pick]), _slices(np.append(0, ends) * 8, at[order].view(np.uint8)), _slices(np.append(text, len(flat)), flat)]
         return pa.Table.from_arrays(columns, schema=CUT)
@@ -472,7 +478,7 @@ class Shard:
         first[pieces] = at
         for piece, offset, low in equal_strings(least, several, starts, Text(symbols, n), self.width, self.scratch, memory):
             lo, count = first[piece], first[piece + 1] - first[piece]
-            cuts = np.unique(np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, 1 << 20)))
+            cuts = np.unique(np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, 1 << 19)))
             for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(piece)], strict=True):
                 times = count[i:j]
                 if not times.sum():
