@@ -37,6 +37,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than this share of the rows, so there are fewer hot keys than its inverse.
+HOT_SHARE, HOT_LEAST = 1e-4, 1 << 16
+
+
+def meet(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows joined with named, which has one row for each key of rows. Hot keys, fewer than 1 / HOT_SHARE
+    by definition, are broadcast, so that no task receives all rows of one of them. rows: a written table."""
+    sizes = rows.groupBy(key).count().where(F.col("count") > HOT_LEAST)
+    if not sizes.limit(1).count():
+        return rows.join(named, key)
+    hot = materialize(sizes.where(F.col("count") > F.lit(rows.count() * HOT_SHARE)).select(key), "hot")
+    known = named.join(F.broadcast(hot), key, "left_semi")
+    often, seldom = rows.join(F.broadcast(known), key), rows.join(F.broadcast(hot), key, "left_anti")
+    return often.unionByName(seldom.join(named, key))
+
+
 def give_back() -> None:
     """In a Python worker: large arrays go back to the system when freed, instead of growing a heap
     that the worker keeps over all its tasks."""

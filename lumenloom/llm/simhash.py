@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from lumenloom.llm.common import give_back, materialize
+from lumenloom.llm.common import give_back, materialize, meet
 from lumenloom.llm.components import connected_components, local_components
 
 SEED = 42
@@ -194,7 +194,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radi
     known = prints.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(known.join(lowest, "component").select("fp", "component_id"), "classes")
-    return rows.join(named, "fp")
+    return meet(rows, named, "fp")
 
 
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
@@ -203,29 +203,38 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radiu
     return found.select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id, columns unchanged.
-    Rows without a doc_id can't be told apart and all stay.
-
-    The ids that go are broadcast as sets of 64 slots a row if that has at most SET_ROWS rows (4 MB,
-    whole numbers only); otherwise they meet the rows in a shuffle.
-    """
-    found = classes(docs, doc_id=doc_id, text=text, radius=radius)
-    gone = materialize(found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gone")).distinct(), "gone")
-    ids = found.where(F.col(doc_id).isNotNull()).select(doc_id)
-    repeated = ids.groupBy(doc_id).count().where("count > 1").limit(1).count()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    row = docs.select(F.struct(*columns).alias("row")).select("row", F.col(f"row.`{doc_id}`").alias("of"))
-    kept = None
-    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+def _without(row: DataFrame, gone: DataFrame, whole: bool) -> DataFrame:
+    """The rows (row, of) whose id isn't among `gone`. Few ids are broadcast as sets of 64 slots a row, if
+    they are whole numbers and fill at most SET_ROWS rows (4 MB); otherwise they meet in a shuffle."""
+    if whole:
         slot = F.col("gone").cast("long")
         sets = gone.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
         if sets.count() <= SET_ROWS:
             of = F.col("of").cast("long")
             bit = F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), of.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-            kept = row.join(F.broadcast(sets), F.shiftright(of, 6) == F.col("word"), "left").where(F.col("of").isNull() | (bit == 0)).select("row", "of")
-    if kept is None:
-        kept = row.join(gone, F.col("of") == F.col("gone"), "left_anti")
-    if repeated:
-        kept = kept.where("of is not null").dropDuplicates(["of"]).unionByName(kept.where("of is null"))
-    return kept.select("row.*")
+            return row.join(F.broadcast(sets), F.shiftright(of, 6) == F.col("word"), "left").where(F.col("of").isNull() | (bit == 0)).select("row", "of")
+    return row.join(gone, F.col("of") == F.col("gone"), "left_anti")
+
+
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+    """One document of each component stays: that with the smallest doc_id, columns unchanged.
+
+    Rows are decided one by one: rows that repeat a doc_id with unlike texts are in components of their
+    own. Where several rows of a component share its smallest doc_id, that of the least fingerprint, then
+    of the least hash of the text stays. Rows without a doc_id can't be told apart and all stay.
+    """
+    found = materialize(classes(docs, doc_id=doc_id, text=text, radius=radius).where(F.col(doc_id).isNotNull()), "found")
+    repeated = materialize(found.groupBy(doc_id).count().where("count > 1").select(doc_id), "repeated")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col(f"row.`{doc_id}`").alias("of"))
+    leaving = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gone"))
+    several = repeated.limit(1).count() > 0
+    gone = leaving.union(repeated.select(F.col(doc_id).alias("gone"))) if several else leaving
+    kept = _without(row, materialize(gone.distinct(), "gone"), isinstance(docs.schema[doc_id].dataType, IntegralType))
+    if not several:
+        return kept.select("row.*")
+    # Of ids that stand more than once every row is looked at again, by its fingerprint.
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).alias("of"), "fp")).alias("first")).select("first.of", "first.fp")
+    first = materialize(first.join(repeated.select(F.col(doc_id).alias("of")), "of", "left_semi"), "first")
+    again = row.join(first.select("of").distinct(), "of", "left_semi").withColumn("fp", fingerprints(F.col(f"row.`{text}`")))
+    one = again.join(first, ["of", "fp"], "left_semi").groupBy("of", "fp").agg(F.min_by("row", F.xxhash64(f"row.`{text}`")).alias("row"))
+    return kept.select("row").unionByName(one.select("row")).select("row.*")

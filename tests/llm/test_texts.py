@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenloom.llm import infill, periodic, quality, queries
-from lumenloom.llm.common import table
+from lumenloom.llm import common, infill, periodic, quality, queries, simhash
+from lumenloom.llm.common import materialize, table
 from tests.llm import cases
 from tests.oracle import same
 
@@ -209,3 +209,27 @@ def test_one_host_and_equal_hosts(spark):
 def test_quality_rules_run_without_python(spark, sf_dir):
     plan = quality.flag(table(spark, sf_dir, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- near-duplicates by row -----------------------------------------------------------------
+
+
+def test_unlike_rows_of_one_id_are_not_lost(spark):
+    a, b, c = ("one two three four five six seven " * 4, "alpha beta gamma delta epsilon zeta eta theta " * 4, "lorem ipsum dolor sit amet consectetur " * 4)
+    rows = [(3, a, "a3"), (7, a, "a7"), (7, b, "b7"), (9, c, "c9"), (9, c, "c9"), (11, b, "b11"), (12, c, "c12"), (None, a, "a0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    kept = sorted(r.tag for r in simhash.keep_first(docs).collect())
+    assert kept == ["a0", "a3", "b7", "c9"]
+    named = simhash.keep_first(docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 3, "0"))))
+    assert sorted(r.tag for r in named.collect()) == kept
+
+
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    rows = materialize(spark.range(4000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id"), "rows")
+    named = rows.select("k").distinct().withColumn("name", F.col("k") * 2)
+    want = {(r.id, r.k * 2) for r in rows.collect()}
+    monkeypatch.setattr(common, "HOT_LEAST", 100)
+    for share in (1e-4, 0.9):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = common.meet(rows, named, "k").collect()
+        assert len(got) == 4000 and {(r.id, r["name"]) for r in got} == want
