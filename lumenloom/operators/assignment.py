@@ -71,14 +71,3 @@ def solve(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"problem": problem, "row": rows, "col": cols[match], "cost": cost[np.arange(len(rows)), match]})
 
     return near.groupBy("problem").applyInPandas(one, "problem long, row long, col long, cost double")
-
-
-def dispositions(atoms: DataFrame, sites: DataFrame, solved: DataFrame, *, stay: float) -> DataFrame:
-    """atom_id, site_id, disposition, cost: STAY for fixed atoms and those already in place, MOVE_TO_TARGET
-    for other assigned ones, KEEP for the rest. solved: row (site), col (atom), cost."""
-    got = solved.select(F.col("col").alias("atom_id"), F.col("row").alias("site_id"), "cost")
-    goal = sites.select("site_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    both = atoms.select("atom_id", "x", "y", "movable").join(got.join(goal, "site_id"), "atom_id", "left")
-    off = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    name = F.when(~F.col("movable"), "STAY").when(F.col("site_id").isNull(), "KEEP").when(off <= stay, "STAY").otherwise("MOVE_TO_TARGET")
-    return both.select("atom_id", "site_id", name.alias("disposition"), F.coalesce("cost", F.lit(0.0)).alias("cost"))

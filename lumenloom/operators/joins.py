@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenloom.functions.geometry import Point, distance, distance_squared, point_to_segment, segment_to_segment, segments_cross
+from lumenloom.functions.geometry import Point, distance, distance_squared, point_to_segment, segments_cross
 from lumenloom.functions.numeric import lerp, lit
 from lumenloom.functions import motion
 from lumenloom.operators.lineage import cut
@@ -91,9 +91,9 @@ def segments(waypoints: DataFrame) -> DataFrame:
     return waypoints.select("*", *ends).where("arrival_end is not null")
 
 
-def crossings(parts: DataFrame, plane: str = "instrument", cell: float = 10.0) -> DataFrame:
-    """(a_id, b_id, first_conflict, n_conflicts) of all pairs of trajectories of one plane with segments
-    of the same seq that share a point; parts: trajectory, plane, seq, x, y, x_end, y_end.
+def crossings(parts: DataFrame, cell: float = 10.0) -> DataFrame:
+    """(a_id, b_id, first_conflict, n_conflicts) of all pairs of trajectories with segments of the same seq
+    that share a point; parts: trajectory, seq, x, y, x_end, y_end.
 
     Segments meet in the grid cells that their bounding boxes have in common, and a pair is taken
     in the lowest of these only, so that it comes once.
@@ -101,13 +101,13 @@ def crossings(parts: DataFrame, plane: str = "instrument", cell: float = 10.0) -
     edge = lambda pick, c, more: F.floor((pick(c, f"{c}_end") + lit(more)) / lit(cell)).cast("long")
     low = {c: edge(F.least, c, -1e-9) for c in "xy"}
     high = {c: edge(F.greatest, c, 1e-9) for c in "xy"}
-    s = parts.select("trajectory", plane, "seq", "x", "y", "x_end", "y_end", low["x"].alias("lx"), low["y"].alias("ly"), F.explode(F.sequence(low["x"], high["x"])).alias("cx"), F.sequence(low["y"], high["y"]).alias("cys"))
+    s = parts.select("trajectory", "seq", "x", "y", "x_end", "y_end", low["x"].alias("lx"), low["y"].alias("ly"), F.explode(F.sequence(low["x"], high["x"])).alias("cx"), F.sequence(low["y"], high["y"]).alias("cys"))
     s = s.select("*", F.explode("cys").alias("cy")).drop("cys")
-    o = s.select(plane, "seq", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end", "lx", "ly")])
+    o = s.select("seq", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end", "lx", "ly")])
     lowest = (F.col("cx") == F.greatest("lx", "o_lx")) & (F.col("cy") == F.greatest("ly", "o_ly"))
     at = lambda p, e="": (F.col(f"{p}x{e}"), F.col(f"{p}y{e}"))
     hit = segments_cross(at(""), at("", "_end"), at("o_"), at("o_", "_end"))
-    pairs = s.join(o, [plane, "seq", "cx", "cy"]).where((F.col("trajectory") < F.col("o_trajectory")) & lowest).where(hit)
+    pairs = s.join(o, ["seq", "cx", "cy"]).where((F.col("trajectory") < F.col("o_trajectory")) & lowest).where(hit)
     return pairs.groupBy(F.col("trajectory").alias("a_id"), F.col("o_trajectory").alias("b_id")).agg(F.min("seq").alias("first_conflict"), F.count("*").alias("n_conflicts"))
 
 
@@ -188,22 +188,6 @@ def segments_near(parts: DataFrame, points: DataFrame, key: list[str], reach: fl
     return s.join(p, ["cx", "cy"]).where(d < lit(reach - 1e-9)).select(*key).distinct()
 
 
-def conflicts(parts: DataFrame, *, plane: str = "instrument", minimum: float, margin: float, sigmas: float) -> DataFrame:
-    """(a_id, b_id, tick, kind): the first tick at which two paths of a plane are nearer than minimum +
-    margin + sigmas * (both sigma), and how: vertex, edge (they change places), near-edge.
-
-    A plane holds the few paths of one instrument, so pairs come from an equi-join on plane and tick.
-    """
-    side = {s: parts.select(plane, "seq", *[F.col(c).alias(f"{s}_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end", "sigma")]) for s in "ab"}
-    pairs = side["a"].join(side["b"], [plane, "seq"]).where("a_trajectory < b_trajectory")
-    at = lambda s, e="": (F.col(f"{s}_x{e}"), F.col(f"{s}_y{e}"))
-    limit = lit(minimum) + lit(margin) + lit(sigmas) * (F.col("a_sigma") + F.col("b_sigma")) - lit(1e-9)
-    swapped = (distance(at("a"), at("b", "_end")) < limit) & (distance(at("a", "_end"), at("b")) < limit)
-    kind = F.when(distance(at("a"), at("b")) < limit, "vertex").when(swapped, "edge").when(segment_to_segment(at("a"), at("a", "_end"), at("b"), at("b", "_end")) < limit, "near-edge")
-    met = pairs.select(F.col("a_trajectory").alias("a_id"), F.col("b_trajectory").alias("b_id"), F.struct(F.col("seq").alias("tick"), kind.alias("kind")).alias("m")).where("m.kind is not null")
-    return met.groupBy("a_id", "b_id").agg(F.min("m").alias("m")).select("a_id", "b_id", "m.tick", "m.kind")
-
-
 def common_end(waypoints: DataFrame, plane: str) -> DataFrame:
     """(trajectory, seq, x, y, arrival): one more waypoint for each path that ends before its plane."""
     last = waypoints.groupBy("trajectory", plane).agg(F.max(F.struct("seq", "x", "y", "arrival")).alias("l"))

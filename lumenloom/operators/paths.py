@@ -1,61 +1,69 @@
-"""Order-dependent work along one path or plane, one small group each."""
+"""Order-dependent work along paths, many at a time."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def resampled(waypoints: DataFrame, key: str, spacing: float) -> DataFrame:
-    """(key, n, x, y): points at equal travelled distance along each path, the first one included.
+def _on_segments(x: np.ndarray, y: np.ndarray, key: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, x, y) of the samples of many paths, rows sorted by key and order.
 
-    A sample is rounded to six digits and the way goes on from the rounded place, so a path is walked
-    in order; paths are groups of their own and hold their waypoints only.
+    A sample lies `spacing` of travelled way behind the one before it, so on one segment samples stand
+    at the carried distance and every spacing after it: floor((length - carried) / spacing) + 1 of them.
+    As each is rounded to six digits and the way goes on from there, the rounding is carried as a
+    correction of the distance that is left: the segments with the same number of their path go
+    together, and among them the samples with the same number.
     """
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        corners = group.sort_values("seq")[["x", "y"]].to_numpy(float)
-        out, left = [np.round(corners[0], 6)], spacing
-        for begin, end in zip(corners, corners[1:]):
-            length = float(np.hypot(*(end - begin)))
-            while length > 0 and length + np.finfo(float).eps >= left:
-                begin = np.round(begin + (end - begin) * (left / length), 6)
-                out.append(begin)
-                length, left = float(np.hypot(*(end - begin))), spacing
-            left -= length
-            if left <= spacing * 1e-12:
-                left = spacing
-        return pd.DataFrame({key: group[key].iloc[0], "n": range(len(out)), "x": [p[0] for p in out], "y": [p[1] for p in out]})
-
-    return waypoints.select(key, "seq", "x", "y").groupBy(key).applyInPandas(walk, f"{key} long, n int, x double, y double")
+    first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    begin = np.flatnonzero(first)
+    number = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+    out = [(key[begin], np.zeros(len(begin), np.int64), np.round(x[begin], 6), np.round(y[begin], 6))]
+    carried = np.full(len(begin), spacing)
+    count = np.zeros(len(begin), np.int64)
+    path = np.cumsum(first) - 1
+    for n in range(1, int(number.max(initial=0)) + 1):
+        end = np.flatnonzero(number == n)
+        at = np.stack([x[end - 1], y[end - 1]], axis=1)
+        to = np.stack([x[end], y[end]], axis=1)
+        length = np.hypot(*(to - at).T)
+        on = np.arange(len(end))
+        # Only paths with a sample left on this segment go on; all of them take one each time.
+        while len(on := on[(length[on] > 0) & (length[on] - carried[path[end[on]]] >= -np.finfo(float).eps)]):
+            p = path[end[on]]
+            at[on] = np.round(at[on] + (to[on] - at[on]) * (carried[p] / length[on])[:, None], 6)
+            count[p] += 1
+            out.append((key[end[on]], count[p].copy(), at[on, 0].copy(), at[on, 1].copy()))
+            length[on] = np.hypot(*(to[on] - at[on]).T)
+            carried[p] = spacing
+        rest = carried[path[end]] - length
+        carried[path[end]] = np.where(rest > spacing * 1e-12, rest, spacing)
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def greedy(points: DataFrame, key: str, order: list[Column], dx: float, dy: float) -> DataFrame:
-    """The points of each plane that, taken in order, lie at least a unit of (dx, dy) from all taken
-    before: columns of points and `place` in the order.
-
-    Taken points stand on cells of that unit, so a point looks at nine cells, each with few taken ones.
-    """
-    columns = points.columns
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        keep = []
-        for x, y in zip(group["x"], group["y"]):
-            u, v = x / dx, y / dy
-            cx, cy = int(np.floor(u)), int(np.floor(v))
-            near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in cells.get((cx + i, cy + j), ()))
-            keep.append(all((u - a) ** 2 + (v - b) ** 2 >= 1 for a, b in near))
-            if keep[-1]:
-                cells.setdefault((cx, cy), []).append((u, v))
-        return group[np.array(keep, bool)]
-
-    placed = points.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    return placed.groupBy(key).applyInPandas(pick, placed.select(*columns, "place").schema)
+def resampled(waypoints: DataFrame, key: str, spacing: float) -> DataFrame:
+    """(key, n, x, y): points at equal travelled distance along each path, the first one included, rounded
+    to six digits. Paths are dealt out by their key and walked side by side in batches of whole paths."""
+
+    def walk(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None or not len(held) else pd.concat([held, frame], ignore_index=True)
+            done = held[key] != held[key].iloc[-1] if len(held) else pd.Series([], dtype=bool)
+            if done.any():
+                yield sampled(held[done])
+                held = held[~done].reset_index(drop=True)
+        if held is not None and len(held):
+            yield sampled(held)
+
+    def sampled(rows: pd.DataFrame) -> pd.DataFrame:
+        found = _on_segments(rows["x"].to_numpy(float), rows["y"].to_numpy(float), rows[key].to_numpy(), spacing)
+        return pd.DataFrame(dict(zip((key, "n", "x", "y"), found)))
+
+    ways = waypoints.select(key, "seq", "x", "y").repartition(key).sortWithinPartitions(key, "seq")
+    return ways.select(key, "x", "y").mapInPandas(walk, f"{key} long, n int, x double, y double")
 
 
 def _quintic(t: np.ndarray) -> np.ndarray:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry
 from lumenloom.functions.numeric import lit
-from lumenloom.operators import assignment, frames, joins, order, paths, rasters
+from lumenloom.operators.lineage import cut
+from lumenloom.operators import auction, frames, joins, order, rasters
 from lumenloom.plans import views
 from lumenloom.plans.catalog import R, query, r6
 from lumenloom.plans.routes import _to_segment
@@ -47,12 +51,14 @@ def join_03_parking_costs(spark, sf_dir):
 
 @query()
 def gen_13_dispositions(spark, sf_dir):
-    """What becomes of every atom: fixed ones stay, assigned ones move or stay, the others are kept. Each
-    region draws on its own fifth of the atoms."""
+    """What becomes of every atom, by the policy for those without a site: kept, released in place, or
+    parked. All sites and atoms are one problem for each kind of cost."""
     atoms, sites = views.atoms(spark, sf_dir), views.targets(spark, sf_dir)
-    edges = _edges(spark, sf_dir).where("feasible").join(sites.select("site_id", F.col("grp").cast("long").alias("problem")), "site_id").where(F.col("atom_id") % 5 == F.col("problem"))
-    solved = assignment.solve(edges.select("problem", F.col("site_id").alias("row"), F.col("atom_id").alias("col"), "cost"))
-    return assignment.dispositions(atoms, sites, solved.where("row is not null"), stay=0.25)
+    edges, movable = cut(_edges(spark, sf_dir).where("feasible")), atoms.where("movable").select("atom_id", "x", "y")
+    parking = spark.createDataFrame([(0, 6.0, 12.0)], "spot long, x double, y double")
+    still, parked = auction.fill_sites(edges, movable), auction.fill_sites(edges, movable, parking=parking)
+    found = [auction.dispositions(atoms, sites, parked if "PARK" in policy else still, policy=policy, stay=0.25).select(F.lit(policy).alias("policy"), "*") for policy in auction.EXTRA]
+    return reduce(DataFrame.unionByName, found).withColumn("cost", r6("cost"))
 
 
 ASSIGNED = ", z AS (SELECT atom_id, CASE WHEN movable AND atom_id IN (SELECT site_id FROM targets) THEN atom_id END AS site_id, CASE WHEN NOT movable THEN 'STAY' WHEN atom_id IN (SELECT site_id FROM targets) THEN 'MOVE_TO_TARGET' WHEN atom_id % 3 = 0 THEN 'PARK' ELSE 'KEEP' END AS disposition FROM atoms), d AS (SELECT a.atom_id, a.x, a.y, z.site_id, disposition, coalesce(t.x, CASE WHEN disposition = 'PARK' THEN (a.atom_id % 4) * 6e0 END, a.x) AS to_x, coalesce(t.y, CASE WHEN disposition = 'PARK' THEN 12e0 END, a.y) AS to_y FROM atoms a JOIN z USING (atom_id) LEFT JOIN targets t ON t.site_id = z.site_id)"
@@ -164,13 +170,6 @@ def srt_10_canonical_order(spark, sf_dir):
     return placed.select("point_id", (F.col("number") + 1).alias("trap_id"))
 
 
-@query()
-def srt_06_merged_points(spark, sf_dir):
-    """Of points within a tolerance the first stays, plane by plane."""
-    p = views.points(spark, sf_dir).select(F.floor(F.col("point_id") / 512).cast("long").alias("plane"), "point_id", "x", "y")
-    return paths.greedy(p, "plane", [F.col("point_id")], 3.2, 3.2).select("plane", "point_id")
-
-
 @query(with_views("raster") + ", b AS (SELECT raster.* FROM raster, (SELECT floor(avg(level)) + 3 AS t FROM raster) WHERE level >= t) SELECT CAST(greatest(0, min(px) - 2) AS INTEGER) AS x_low, CAST(least(63, max(px) + 2) AS INTEGER) AS x_high, CAST(greatest(0, min(py) - 2) AS INTEGER) AS y_low, CAST(least(63, max(py) + 2) AS INTEGER) AS y_high FROM b")
 def agg_08_padded_bounds(spark, sf_dir):
     """Bounds of the bright pixels with two pixels around, inside the image; nulls without any."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry, hashing, motion, numeric, optics
 from lumenloom.functions.numeric import lit
-from lumenloom.operators import assignment, fields, frames, joins, order, rasters, validate
+from lumenloom.operators import auction, fields, frames, joins, order, rasters, validate
 from lumenloom.plans import views
 from lumenloom.plans.catalog import FLAGSHIP, ORACLES, QUERIES, R, WRAP, query, r6, r9  # noqa: F401
 from lumenloom.sources import packed, points
@@ -160,10 +160,10 @@ def win_07_time_shift(spark, sf_dir):
     return moved.unionByName(added)
 
 
-@query(with_views("waypoints") + SEGMENTS + ", q AS (SELECT a.trajectory AS a_id, b.trajectory AS b_id, a.seq, a.x AS ax, a.y AS ay, a.x_end AS bx, a.y_end AS by_, b.x AS cx, b.y AS cy, b.x_end AS dx, b.y_end AS dy FROM s a JOIN s b ON a.instrument = b.instrument AND a.seq = b.seq AND b.trajectory > a.trajectory), o AS (SELECT *, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS o1, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS o3, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS o4 FROM q), c AS (SELECT *, (o1 * o2 < 0 AND o3 * o4 < 0) OR (abs(o1) <= 1e-10 AND cx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND cy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o2) <= 1e-10 AND dx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND dy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o3) <= 1e-10 AND ax BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND ay BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) OR (abs(o4) <= 1e-10 AND bx BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND by_ BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) AS hit FROM o) SELECT a_id, b_id, min(seq) AS first_conflict, count(*) AS n_conflicts FROM c WHERE hit GROUP BY a_id, b_id")
+@query(with_views("waypoints", "ways") + SEGMENTS.replace("FROM waypoints", "FROM ways") + ", q AS (SELECT a.trajectory AS a_id, b.trajectory AS b_id, a.seq, a.x AS ax, a.y AS ay, a.x_end AS bx, a.y_end AS by_, b.x AS cx, b.y AS cy, b.x_end AS dx, b.y_end AS dy FROM s a JOIN s b ON a.seq = b.seq AND b.trajectory > a.trajectory), o AS (SELECT *, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS o1, (bx-ax)*(dy-ay)-(by_-ay)*(dx-ax) AS o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) AS o3, (dx-cx)*(by_-cy)-(dy-cy)*(bx-cx) AS o4 FROM q), c AS (SELECT *, (o1 * o2 < 0 AND o3 * o4 < 0) OR (abs(o1) <= 1e-10 AND cx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND cy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o2) <= 1e-10 AND dx BETWEEN least(ax,bx)-1e-10 AND greatest(ax,bx)+1e-10 AND dy BETWEEN least(ay,by_)-1e-10 AND greatest(ay,by_)+1e-10) OR (abs(o3) <= 1e-10 AND ax BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND ay BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) OR (abs(o4) <= 1e-10 AND bx BETWEEN least(cx,dx)-1e-10 AND greatest(cx,dx)+1e-10 AND by_ BETWEEN least(cy,dy)-1e-10 AND greatest(cy,dy)+1e-10) AS hit FROM o) SELECT a_id, b_id, min(seq) AS first_conflict, count(*) AS n_conflicts FROM c WHERE hit GROUP BY a_id, b_id")
 def join_12_path_conflicts(spark, sf_dir):
-    """First and number of crossings of simultaneous segments, for all pairs of trajectories of a plane."""
-    return joins.crossings(joins.segments(views.waypoints(spark, sf_dir)))
+    """First and number of crossings of simultaneous segments, for all pairs of trajectories."""
+    return joins.crossings(joins.segments(views.ways(spark, sf_dir)))
 
 
 # --- frames ---------------------------------------------------------------------------------
@@ -404,18 +404,16 @@ def sca_61_checksums(spark, sf_dir):
 
 @query()
 def gen_12_assignment(spark, sf_dir):
-    """Every region's sites get atoms at least cost: as many problems as regions."""
-    sites = views.targets(spark, sf_dir).select("site_id", F.col("grp").cast("long").alias("problem"))
-    edges = _matrix(spark, sf_dir).join(sites, "site_id")
-    return assignment.solve(edges.select("problem", F.col("site_id").alias("row"), F.col("atom_id").alias("col"), "cost")).select("problem", "row", "col", r6("cost").alias("cost"))
+    """All required sites get movable atoms at least total cost, in one problem; no atom stands twice."""
+    movable = views.atoms(spark, sf_dir).where("movable").select("atom_id", "x", "y")
+    found = auction.fill_sites(_matrix(spark, sf_dir), movable)
+    return found.where("site_id is not null").select("site_id", "atom_id", r6("cost").alias("cost"))
 
 
 @query()
 def agg_02_assignment_cost(spark, sf_dir):
-    """Total cost of each region's assignment, infinite where none is feasible."""
-    solved = gen_12_assignment(spark, sf_dir)
-    total = F.when(F.bool_or(F.col("row").isNull()), lit(float("inf"))).otherwise(F.sum("cost"))
-    return solved.groupBy("problem").agg(total.alias("total"), F.count("row").alias("n_sites"))
+    """Total cost of the assignment and the number of its sites."""
+    return gen_12_assignment(spark, sf_dir).agg(F.sum("cost").alias("total"), F.count("*").alias("n_sites"))
 
 
 @query("SELECT event_id AS key, CAST(1 AS BIGINT) AS id, CAST(json_extract(props, '$.k') AS DOUBLE) AS x, CAST(event_id % 100 AS DOUBLE) AS y, TRUE AS ok FROM events UNION ALL SELECT event_id, 7, -15e-1, CAST(json_extract(props, '$.k') AS DOUBLE), TRUE FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry, motion
 from lumenloom.functions.numeric import lit
-from lumenloom.operators import graphs, joins, paths
+from lumenloom.operators import conflicts, graphs, joins, paths, selection
 from lumenloom.plans import views
 from lumenloom.plans.catalog import R, query, r6
 from lumenloom.plans.views import table, with_views
@@ -91,27 +91,31 @@ def join_14_static_clearance(spark, sf_dir):
     return s.select("trajectory", "seq").join(hit.withColumn("hit", F.lit(True)), ["trajectory", "seq"], "left").groupBy("trajectory").agg(F.count("hit").alias("n_touching"), (F.count("hit") == 0).alias("clear"))
 
 
-CONFLICTS = with_views("waypoints") + SEGMENTS + f""", q AS (SELECT a.trajectory AS a_id, b.trajectory AS b_id, a.seq, 2e0 + 5e-1 * ((a.trajectory % 3) / 1e1 + (b.trajectory % 3) / 1e1) AS safe, a.x AS ax, a.y AS ay, a.x_end AS bx, a.y_end AS by_, b.x AS cx, b.y AS cy, b.x_end AS dx, b.y_end AS dy FROM s a JOIN s b ON a.instrument = b.instrument AND a.seq = b.seq AND b.trajectory > a.trajectory),
+#: Every path at every tick, its last place kept to the end; all pairs whose boxes come near.
+CONFLICTS = with_views("waypoints", "ways") + f""", m AS (SELECT greatest(1, max(tick)) AS top FROM ways), n AS (SELECT trajectory, max(tick) AS last FROM ways GROUP BY trajectory),
+    g AS (SELECT trajectory, last, unnest(range(0, CAST(top AS BIGINT))) AS t FROM n, m),
+    s AS (SELECT g.trajectory, g.t, a.sigma, a.x, a.y, b.x AS x_end, b.y AS y_end FROM g JOIN ways a ON a.trajectory = g.trajectory AND a.tick = least(g.t, g.last) JOIN ways b ON b.trajectory = g.trajectory AND b.tick = least(g.t + 1, g.last)),
+    q AS (SELECT a.trajectory AS a_id, b.trajectory AS b_id, a.t, 2e0 + 5e-1 * (a.sigma + b.sigma) AS safe, a.x AS ax, a.y AS ay, a.x_end AS bx, a.y_end AS by_, b.x AS cx, b.y AS cy, b.x_end AS dx, b.y_end AS dy FROM s a JOIN s b ON a.t = b.t AND b.trajectory > a.trajectory
+        AND greatest(a.x, a.x_end) + 3 > least(b.x, b.x_end) AND greatest(b.x, b.x_end) + 3 > least(a.x, a.x_end) AND greatest(a.y, a.y_end) + 3 > least(b.y, b.y_end) AND greatest(b.y, b.y_end) + 3 > least(a.y, a.y_end)),
     k AS (SELECT *, CASE WHEN sqrt((ax - cx) ** 2 + (ay - cy) ** 2) < safe - 1e-9 THEN 'vertex' WHEN sqrt((ax - dx) ** 2 + (ay - dy) ** 2) < safe - 1e-9 AND sqrt((bx - cx) ** 2 + (by_ - cy) ** 2) < safe - 1e-9 THEN 'edge' WHEN {_between('ax, ay', 'bx, by_', 'cx, cy', 'dx, dy')} < safe - 1e-9 THEN 'near-edge' END AS kind FROM q),
-    f AS (SELECT a_id, b_id, min(seq) AS tick, arg_min(kind, seq) AS kind FROM k WHERE kind IS NOT NULL GROUP BY a_id, b_id)"""
+    f AS (SELECT a_id, b_id, CAST(min(t) AS INTEGER) AS tick, arg_min(kind, t) AS kind FROM k WHERE kind IS NOT NULL GROUP BY a_id, b_id)"""
 
 
 def _conflicts(spark, sf_dir):
-    s = joins.segments(views.waypoints(spark, sf_dir)).withColumn("sigma", (F.col("trajectory") % 3) / lit(10))
-    return joins.conflicts(s, minimum=1.5, margin=0.5, sigmas=0.5)
+    return conflicts.conflicts(views.ways(spark, sf_dir), minimum=1.5, margin=0.5, sigmas=0.5)
 
 
 @query(CONFLICTS + " SELECT a_id, b_id, tick, kind FROM f")
 def join_12_conflict_kinds(spark, sf_dir):
-    """First tick at which two paths of a plane come nearer than their safe separation, and how: at a
-    vertex, by changing places, or between."""
+    """First tick at which two paths come nearer than their safe separation, and how: at a vertex, by
+    changing places, or between."""
     return _conflicts(spark, sf_dir)
 
 
-@query("WITH RECURSIVE " + CONFLICTS.removeprefix("WITH ") + ", g AS (SELECT a_id, b_id FROM f WHERE kind = 'vertex'), e AS (SELECT a_id AS p, b_id AS q FROM g UNION SELECT b_id, a_id FROM g), reach AS (SELECT p, p AS q FROM e UNION SELECT r.p, e.q FROM reach r JOIN e ON r.q = e.p), l AS (SELECT p, min(q) AS component FROM reach GROUP BY p) SELECT component, count(*) AS n_paths FROM l GROUP BY component")
+@query("WITH RECURSIVE " + CONFLICTS.removeprefix("WITH ") + ", e AS (SELECT a_id AS p, b_id AS q FROM f UNION SELECT b_id, a_id FROM f), reach AS (SELECT p, p AS q FROM e UNION SELECT r.p, e.q FROM reach r JOIN e ON r.q = e.p), l AS (SELECT p, min(q) AS component FROM reach GROUP BY p) SELECT component, count(*) AS n_paths FROM l GROUP BY component")
 def gen_05_conflict_components(spark, sf_dir):
-    """Connected components of paths that conflict at a vertex."""
-    found = graphs.components(_conflicts(spark, sf_dir).where("kind = 'vertex'"), "a_id", "b_id")
+    """Connected components of paths that conflict."""
+    found = graphs.components(_conflicts(spark, sf_dir), "a_id", "b_id")
     return found.groupBy("component").agg(F.count("*").alias("n_paths"))
 
 
@@ -184,10 +188,26 @@ def win_06_resampled(spark, sf_dir):
 
 @query()
 def srt_04_resolvable(spark, sf_dir):
-    """Of each plane's points the strongest that keep a least distance from all stronger ones kept."""
-    way = views.waypoints(spark, sf_dir)
-    strength = F.col("x") + F.col("y")
-    return paths.greedy(way.select("instrument", "trajectory", "seq", "x", "y", strength.alias("strength")), "instrument", [F.desc("strength"), F.col("trajectory"), F.col("seq")], 6.0, 9.0)
+    """Of all waypoints of the plane the strongest that keep a least distance from all stronger ones kept."""
+    way = views.ways(spark, sf_dir).withColumn("strength", F.pmod(F.xxhash64("trajectory", "seq"), F.lit(1000)))
+    found = selection.apart(way.select("trajectory", "seq", "x", "y", "strength"), [F.desc("strength"), F.col("trajectory"), F.col("seq")], 2.0, 3.0)
+    return found.select("trajectory", "seq", "strength", "place")
+
+
+@query()
+def srt_05_appended_points(spark, sf_dir):
+    """Points appended in order to the fixed atoms, rounded, while they keep apart and there are few enough."""
+    fixed = views.atoms(spark, sf_dir).where("not movable").select("x", "y")
+    found = selection.apart(views.points(spark, sf_dir), [F.crc32(F.col("point_id").cast("string").cast("binary")), F.col("point_id")], 4.0, 4.0, digits=6, existing=fixed, at_most=2000)
+    return found.select("point_id", "x", "y", "place")
+
+
+@query()
+def srt_06_merged_points(spark, sf_dir):
+    """Of points within a tolerance the first stays; they come in the order of a hash of their ids."""
+    p = views.points(spark, sf_dir)
+    found = selection.apart(p, [F.crc32(F.col("point_id").cast("string").cast("binary")), F.col("point_id")], 3.2, 3.2, inclusive=True)
+    return found.select("point_id", "place")
 
 
 @query()

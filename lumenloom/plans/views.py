@@ -49,6 +49,14 @@ def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trajectory"), F.floor(F.col("o_custkey") / 64).cast("long").alias("instrument"), F.row_number().over(order).alias("seq"), ((_cents("o_totalprice") % 1000) / lit(10)).alias("x"), ((F.col("o_orderkey") * 7919 % 1000) / lit(10)).alias("y")).withColumn("arrival", F.col("seq") * F.lit(1000).cast("long"))
 
 
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The waypoints about a home for each customer: homes are 6 apart on a lattice of the one plane, and an
+    atom moves within 10 of its home, so paths cross those of their neighbours whatever their ids."""
+    key = F.col("trajectory")
+    near = waypoints(spark, sf_dir).select("trajectory", "seq", (lit(6) * (key % 32) + F.col("x") / lit(10)).alias("x"), (lit(6) * F.floor(key / 32) + F.col("y") / lit(10)).alias("y"), "arrival")
+    return near.withColumn("sigma", (key % 3) / lit(10)).withColumn("tick", F.col("seq") - 1)
+
+
 def trap_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each frame of six hours and trap: that of the highest event."""
     frame = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(21600000000)).cast("long")
@@ -79,6 +87,7 @@ SQL = {
     "points": """points AS (SELECT c_custkey AS point_id, 3e0 * (c_custkey % 256) + j AS x, 3e0 * floor(c_custkey / 256e0) + j AS y
         FROM (SELECT *, ((CAST(floor(c_acctbal * 1e2 + 5e-1) AS BIGINT) % 100 + 100) % 100) / 2e2 AS j FROM customer))""",
     "waypoints": """waypoints AS (SELECT *, CAST(seq * 1000 AS BIGINT) AS arrival FROM (SELECT o_custkey AS trajectory, o_custkey // 64 AS instrument, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS seq, (CAST(floor(o_totalprice * 1e2 + 5e-1) AS BIGINT) % 1000) / 1e1 AS x, (o_orderkey * 7919 % 1000) / 1e1 AS y FROM orders))""",
+    "ways": """ways AS (SELECT trajectory, seq, seq - 1 AS tick, (trajectory % 3) / 1e1 AS sigma, 6e0 * (trajectory % 32) + x / 1e1 AS x, 6e0 * floor(trajectory / 32e0) + y / 1e1 AS y, arrival FROM waypoints)""",
     "frames": """frames AS (SELECT frame, trap_id, event_id, intensity, (event_id % 628) / 1e2 - 3e0 AS phase, (event_id * 31 % 1000) / 1e1 AS x, (event_id * 17 % 1000) / 1e1 AS y FROM (
         SELECT user_id AS trap_id, CAST(floor(epoch_us(ts) / 216e8) AS BIGINT) AS frame, event_id, abs(value) AS intensity, row_number() OVER (PARTITION BY user_id, floor(epoch_us(ts) / 216e8) ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)""",
     "fields": """fields AS (SELECT vec_id AS field_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS re FROM embeddings, (SELECT unnest(range(0, 64)) AS i))""",

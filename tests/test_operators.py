@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry, hashing, numeric
 from lumenloom.functions.numeric import lit
-from lumenloom.operators import assignment, frames, joins, order, rasters, validate
+from lumenloom.operators import assignment, auction, conflicts, frames, joins, order, rasters, selection, validate
 from lumenloom.plans import registry, views
 from lumenloom.sources import packed, points
 from lumenloom.streaming import sequence
@@ -153,16 +153,24 @@ def test_separation_of_all_traps_of_the_tables(spark, sf_dir):
 
 
 def test_crossings_of_all_paths(spark, sf_dir):
-    s = joins.segments(views.waypoints(spark, sf_dir)).select("trajectory", "instrument", "seq", "x", "y", "x_end", "y_end")
-    o = s.toDF("o_trajectory", "instrument", "seq", "o_x", "o_y", "o_x_end", "o_y_end")
+    s = joins.segments(views.ways(spark, sf_dir)).select("trajectory", "seq", "x", "y", "x_end", "y_end")
+    o = s.toDF("o_trajectory", "seq", "o_x", "o_y", "o_x_end", "o_y_end")
     at = lambda p, e="": (F.col(f"{p}x{e}"), F.col(f"{p}y{e}"))
     hit = geometry.segments_cross(at(""), at("", "_end"), at("o_"), at("o_", "_end"))
-    every = s.join(o, ["instrument", "seq"]).where("trajectory < o_trajectory").where(hit).groupBy("trajectory", "o_trajectory").agg(F.min("seq"), F.count("*"))
+    every = s.join(o, ["seq"]).where("trajectory < o_trajectory").where(hit).groupBy("trajectory", "o_trajectory").agg(F.min("seq"), F.count("*"))
     wanted = {tuple(r) for r in every.collect()}
     assert {tuple(r) for r in registry.join_12_path_conflicts(spark, sf_dir).collect()} == wanted
     assert any(b > a + 3 for a, b, *_ in wanted)
 
 
+def test_conflicts_know_paths_at_rest(spark):
+    """1 and 2 change places; 3 has come to rest in the way of 4, which passes it later; 5 and 6 stay put."""
+    rows = [(1, 0, 0, 0), (1, 1, 4, 0), (2, 0, 4, 0), (2, 1, 0, 0), (3, 0, 20, 9), (3, 1, 20, 0), (4, 0, 30, 0), (4, 1, 30, 0), (4, 2, 26, 0), (4, 3, 14, 0), (5, 0, 50, 50), (6, 0, 50.5, 50), (7, 0, 60, 50)]
+    ways = spark.createDataFrame([(a, b, float(c), float(d), 0.0) for a, b, c, d in rows], "trajectory long, tick int, x double, y double, sigma double")
+    got = {tuple(r) for r in conflicts.conflicts(ways, minimum=1.0, margin=0.0, sigmas=1.0).collect()}
+    assert got == {(1, 2, 0, "edge"), (3, 4, 2, "near-edge"), (5, 6, 0, "vertex")}
+
+
 def test_code_tables_of_whole_vectors(spark, tmp_path):
     rise = [float(k) for k in range(64)]
     spark.createDataFrame([(1, rise), (2, rise[:20] + rise[:44]), (3, rise[::-1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
@@ -222,26 +230,72 @@ def test_bitmaps_of_other_depths(spark):
 # --- order-dependent work -----------------------------------------------------------------------
 
 
-def test_total_of_assignments_is_least(spark, sf_dir):
-    """Each region's total against all choices of atoms for its sites."""
-    edges = {}
-    sites = {r.site_id: r.grp for r in views.targets(spark, sf_dir).where("required").collect()}
-    for r in registry._matrix(spark, sf_dir).collect():
-        edges[r.site_id, r.atom_id] = r.cost
-    atoms = sorted({a for _, a in edges})
+def matrix_of(edges, atom="atom_id", site="site_id"):
+    rows = edges.collect()
+    sites, atoms = sorted({r[site] for r in rows}), sorted({r[atom] for r in rows})
+    cost = np.full((len(sites), len(atoms)), 1e30)
+    for r in rows:
+        cost[sites.index(r[site]), atoms.index(r[atom])] = r.cost
+    return cost
+
+
+def test_total_of_the_assignment_is_least(spark, sf_dir):
+    cost = matrix_of(registry._matrix(spark, sf_dir))
+    best = cost[np.arange(len(cost)), assignment.least_cost(cost)].sum()
     solved = registry.gen_12_assignment(spark, sf_dir).collect()
-    for problem in {r.problem for r in solved}:
-        mine = sorted(s for s, g in sites.items() if g == problem)
-        best = min(sum(edges[s, a] for s, a in zip(mine, choice)) for choice in itertools.permutations(atoms, len(mine)))
-        assert abs(sum(r.cost for r in solved if r.problem == problem) - best) < 1e-4
+    assert len({r.atom_id for r in solved}) == len({r.site_id for r in solved}) == len(solved) == len(cost)
+    assert abs(sum(r.cost for r in solved) - best) < 1e-4
+    total = registry.QUERIES["agg_02_assignment_cost"](spark, sf_dir).first()
+    assert abs(total.total - best) < 1e-4 and total.n_sites == len(cost)
+
+
+@pytest.mark.parametrize("patience", [0, 3, 12])
+def test_sites_that_compete_for_few_atoms(spark, patience):
+    rng = np.random.default_rng(5 + patience)
+    cost = np.round(rng.uniform(0, 4, (5, 8))) + (np.arange(8) > 2) * 50
+    cost[rng.random((5, 8)) < 0.15] = 1e30
+    edges = spark.createDataFrame([(j, i, float(cost[i, j])) for i in range(5) for j in range(8) if cost[i, j] < 1e29], "atom_id long, site_id long, cost double")
+    atoms = spark.createDataFrame([(j, 0.0, 0.0) for j in range(8)], "atom_id long, x double, y double")
+    got = auction.fill_sites(edges, atoms, patience=patience).collect()
+    best = cost[np.arange(5), assignment.least_cost(cost)].sum()
+    filled = [r for r in got if r.site_id is not None]
+    assert len(got) == 8 and len({r.atom_id for r in filled}) == len(filled) == 5 and sum(r.cost for r in filled) == best
+
+
+def test_parking_places_have_room_for_their_share(spark, monkeypatch):
+    """Two sites, five atoms, two parking places: three atoms park, two of them at the first place."""
+    at = [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (9.0, 0.0), (10.0, 0.0)]
+    atoms = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "atom_id long, x double, y double")
+    parking = spark.createDataFrame([(0, 1.0, 1.0), (1, 9.0, 2.0)], "spot long, x double, y double")
+    sites = [(0.0, 1.0), (5.0, 0.0)]
+    gap = lambda p, q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2
+    edges = spark.createDataFrame([(a, s, gap(p, q)) for a, p in enumerate(at) for s, q in enumerate(sites)], "atom_id long, site_id long, cost double")
+    places = [*sites, (1.0, 1.0), (1.0, 1.0), (9.0, 2.0)]
+    best = min(sum(gap(at[a], places[k]) for k, a in enumerate(choice)) for choice in itertools.permutations(range(5)))
+    for rows in (auction.WINDOW_ROWS, 0):
+        monkeypatch.setattr(auction, "WINDOW_ROWS", rows)
+        got = auction.fill_sites(edges, atoms, parking=parking, resolution=1.0).collect()
+        assert sum(r.cost for r in got) == best and sorted(r.spot for r in got if r.spot is not None) == [0, 0, 1]
+
+
+def test_infeasible_assignments(spark):
+    atoms = spark.createDataFrame([(j, 0.0, 0.0) for j in range(3)], "atom_id long, x double, y double")
+    few = spark.createDataFrame([(0, s, 1.0 + s) for s in range(2)], "atom_id long, site_id long, cost double")
+    with pytest.raises(auction.Infeasible):
+        auction.fill_sites(few, atoms, patience=2)
+    with pytest.raises(auction.Infeasible):
+        auction.fill_sites(few, atoms.limit(1))
 
 
 def test_dispositions(spark, sf_dir):
     rows = registry.QUERIES["gen_13_dispositions"](spark, sf_dir).collect()
     atoms = {r.atom_id: r.movable for r in views.atoms(spark, sf_dir).collect()}
-    assert len(rows) == len(atoms) and len({r.atom_id for r in rows}) == len(rows)
-    assert all((r.disposition in ("MOVE_TO_TARGET", "STAY")) if r.site_id is not None else r.disposition == ("KEEP" if atoms[r.atom_id] else "STAY") for r in rows)
-    assert len({r.site_id for r in rows if r.site_id is not None}) == sum(r.site_id is not None for r in rows)
+    left = {"KEEP": "KEEP", "RELEASE_IN_PLACE": "RELEASE", "PARK": "PARK", "PARK_AND_RELEASE": "PARK"}
+    for policy, name in left.items():
+        mine = [r for r in rows if r.policy == policy]
+        assert [r.atom_id for r in sorted(mine, key=lambda r: r.source_index)] == sorted(atoms)
+        assert all(r.disposition in ("MOVE_TO_TARGET", "STAY") if r.site_id is not None else r.disposition == (name if atoms[r.atom_id] else "STAY") for r in mine)
+        assert len({r.site_id for r in mine if r.site_id is not None}) == sum(r.site_id is not None for r in mine) > 0
 
 
 def test_resampling_of_a_known_path(spark):
@@ -252,19 +306,63 @@ def test_resampling_of_a_known_path(spark):
     assert got == [(1, 0.0, 0.0), (1, 2.5, 0.0), (1, 3.0, 2.0), (2, 5.0, 5.0)]
 
 
-def test_greedy_selection(spark):
+def test_resampling_of_random_paths(spark):
+    """Against a walk in decimal steps: every sample lies on the path, a spacing of way behind the last."""
     from lumenloom.operators import paths
 
+    rng = np.random.default_rng(4)
+    rows = [(k, n, float(x), float(y)) for k in range(40) for n, (x, y) in enumerate(np.round(rng.uniform(0, 20, (int(rng.integers(1, 9)), 2)), 3))]
+    rows += [(k, n, x, y) for k, n, x, y in [(50, 0, 1.0, 1.0), (50, 1, 1.0, 1.0), (50, 2, 1.0, 9.0), (50, 3, 1.0, 1.0)]]
+    way = spark.createDataFrame(rows, "k long, seq int, x double, y double")
+    got = {}
+    for r in paths.resampled(way, "k", 2.5).orderBy("k", "n").collect():
+        got.setdefault(r.k, []).append((r.n, r.x, r.y))
+    for k in {r[0] for r in rows}:
+        corners = np.array([r[2:] for r in rows if r[0] == k])
+        lengths = np.hypot(*np.diff(corners, axis=0).T)
+        far = np.concatenate(([0], np.cumsum(lengths)))
+        assert [n for n, *_ in got[k]] == list(range(len(got[k]))) and abs(len(got[k]) - 1 - far[-1] / 2.5) <= 1 + 1e-6
+        for n, x, y in got[k]:
+            assert abs(x - np.interp(2.5 * n, far, corners[:, 0])) < 1e-4 and abs(y - np.interp(2.5 * n, far, corners[:, 1])) < 1e-4
+
+
+def in_order(rows, dx, dy, inclusive=False, digits=None, existing=(), at_most=None):
+    kept, out = [tuple(round(v, digits) if digits else v for v in e) for e in existing], []
+    for k, x, y in rows:
+        if at_most is not None and len(kept) >= at_most:
+            break
+        gaps = [np.hypot((x - a) / dx, (y - b) / dy) for a, b in kept]
+        if all(g > 1 if inclusive else g >= 1 for g in gaps):
+            kept.append((round(x, digits), round(y, digits)) if digits else (x, y))
+            out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"inclusive": True}, {"digits": 1, "existing": [(5.0, 5.04), (5.0, 5.0)], "at_most": 40}])
+def test_greedy_selection(spark, options):
     rng = np.random.default_rng(2)
-    rows = [(k % 2, k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 10, (120, 2)))]
-    df = spark.createDataFrame(rows, "plane long, id long, x double, y double")
-    got = {(r.plane, r.id) for r in paths.greedy(df, "plane", [F.col("id")], 1.5, 0.8).collect()}
-    for plane in (0, 1):
-        kept = []
-        for _, k, x, y in (r for r in rows if r[0] == plane):
-            if all(((x - a) / 1.5) ** 2 + ((y - b) / 0.8) ** 2 >= 1 for _, a, b in kept):
-                kept.append((k, x, y))
-        assert {k for p, k in got if p == plane} == {k for k, _, _ in kept}
+    rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.round(rng.uniform(0, 10, (160, 2)), 2))]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    more = dict(options)
+    if "existing" in more:
+        more["existing"] = spark.createDataFrame(more["existing"], "x double, y double")
+    got = selection.apart(df, [F.col("id")], 1.5, 0.8, **more).orderBy("place").collect()
+    assert [r.id for r in got] == in_order(rows, 1.5, 0.8, **options)
+    assert selection.apart(df.where("false"), [F.col("id")], 1.5, 0.8).count() == 0
+
+
+def test_selections_over_whole_tables(spark, sf_dir):
+    at = views.points(spark, sf_dir).collect()
+    hashed = sorted(((r.point_id, r.x, r.y) for r in at), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    got = [r.point_id for r in registry.QUERIES["srt_06_merged_points"](spark, sf_dir).orderBy("place").collect()]
+    assert got == in_order(hashed, 3.2, 3.2, inclusive=True) and len(got) < len(at)
+    found = registry.QUERIES["srt_04_resolvable"](spark, sf_dir).collect()
+    way = views.ways(spark, sf_dir).withColumn("s", F.pmod(F.xxhash64("trajectory", "seq"), F.lit(1000))).collect()
+    rows = [((r.trajectory, r.seq), r.x, r.y) for r in sorted(way, key=lambda r: (-r.s, r.trajectory, r.seq))]
+    assert {(r.trajectory, r.seq) for r in found} == set(in_order(rows, 2.0, 3.0))
+    fixed = [(r.x, r.y) for r in views.atoms(spark, sf_dir).where("not movable").collect()]
+    got = [r.point_id for r in registry.QUERIES["srt_05_appended_points"](spark, sf_dir).orderBy("place").collect()]
+    assert got == in_order(hashed, 4.0, 4.0, digits=6, existing=fixed, at_most=2000)
 
 
 def test_proven_clearance(spark):
