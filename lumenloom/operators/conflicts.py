@@ -10,7 +10,7 @@ from lumenloom.functions.geometry import distance, segment_to_segment
 from lumenloom.functions.numeric import lit
 
 
-def _boxed(df: DataFrame, around: float, cell: float) -> DataFrame:
+def boxed(df: DataFrame, around: float, cell: float) -> DataFrame:
     """df in every cell that its segment's bounding box, widened by `around`, has a part of; lx, ly: the
     lowest of them."""
     low = {c: F.floor((F.least(c, f"{c}_end") - lit(around)) / lit(cell)).cast("long") for c in "xy"}
@@ -35,8 +35,8 @@ def conflicts(ways: DataFrame, *, minimum: float, margin: float, sigmas: float,
     facts = ways.agg(F.max("sigma").alias("sigma"), F.greatest(F.lit(1), F.max("tick")).alias("top")).first()
     widest = minimum + margin + 2 * sigmas * float(facts["sigma"] or 0.0)
     size = max(cell or 4 * widest, 1e-9)
-    moving = _boxed(legs.where("x_end is not null"), widest / 2, size)
-    rest = _boxed(legs.where("x_end is null").withColumn("x_end", F.col("x")).withColumn("y_end", F.col("y")), widest / 2, size)
+    moving = boxed(legs.where("x_end is not null"), widest / 2, size)
+    rest = boxed(legs.where("x_end is null").withColumn("x_end", F.col("x")).withColumn("y_end", F.col("y")), widest / 2, size)
     named = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("trajectory", "tick", "x", "y", "x_end", "y_end", "sigma", "lx", "ly")], "cx", "cy", F.col("tick").alias(f"{s}_at"))
     p, q = named(moving, "p"), named(moving, "q")
     p_rest, q_rest = named(rest, "p"), named(rest, "q")
