@@ -46,13 +46,16 @@ def sca_37_code_tables(spark, sf_dir):
     )
 
 
-@query(f"""WITH s AS (SELECT p_partkey, [p_size * -1e-1, 0e0, p_size * 5e-2 + 1e0] AS t FROM part), i AS (SELECT unnest(range(0, 4096, 256)) AS i), e AS (SELECT p_partkey, t, i, i / 4095e0 * 2e0 * pi() - pi() AS phase FROM s, i)
-    SELECT p_partkey, CAST(i AS INTEGER) AS entry, CAST(list_sort(list_transform(range(0, 3), lambda k: [abs(t[k + 1] - phase), k]))[1][2] AS INTEGER) AS code FROM e""")
+@query("""WITH s AS (SELECT p_partkey, [p_size * -1e-1, 0e0, p_size * 5e-2 + 1e0] AS t FROM part), e AS (SELECT p_partkey, t, i, i / 4095e0 * 2e0 * pi() - pi() AS phase FROM s, (SELECT unnest(range(0, 4096)) AS i)),
+    d AS (SELECT p_partkey, i, abs(t[1] - phase) AS a, abs(t[2] - phase) AS b, abs(t[3] - phase) AS c FROM e), n AS (SELECT p_partkey, i, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS code FROM d)
+    SELECT p_partkey, code, count(*) AS n_entries, CAST(min(i) AS INTEGER) AS first_entry, CAST(max(i) AS INTEGER) AS last_entry, CAST(sum(i) AS BIGINT) AS entry_sum FROM n GROUP BY p_partkey, code""")
 def sca_40_inverse_tables(spark, sf_dir):
-    """An inverse table over a turn: for every phase the first entry of least distance."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size") * lit(-0.1), lit(0), F.col("p_size") * lit(0.05) + lit(1)).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(4095), F.lit(256))).alias("entry"))
+    """Inverse tables of 4096 entries over a turn: for every phase the first code of least distance, and
+    which entries each code has."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size") * lit(-0.1), lit(0), F.col("p_size") * lit(0.05) + lit(1)).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("entry"))
     phase = F.col("entry") / lit(4095) * lit(2 * math.pi) - F.pi()
-    return rows.select("p_partkey", "entry", optics.nearest_entry(phase, F.col("t")).alias("code"))
+    coded = rows.select("p_partkey", "entry", optics.nearest_entry(phase, F.col("t")).cast("int").alias("code"))
+    return coded.groupBy("p_partkey", "code").agg(F.count("*").alias("n_entries"), F.min("entry").alias("first_entry"), F.max("entry").alias("last_entry"), F.sum("entry").alias("entry_sum"))
 
 
 @query(f"""SELECT p_partkey, {R('p_retailprice * (p_size + 1) / (p_size + 2e0)')} AS field_size, {R('greatest(2e0, 3e0 / (p_size % 5 + 1) * 125e-2)')} AS um_per_pixel, {R('p_size / 5e1 * 2e1 - 1e1')} AS view_x, {R('6e0 - least(1e0, p_size / 25e0) * 12e0')} AS view_y,

@@ -154,10 +154,10 @@ def gen_04_lattice(spark, sf_dir):
     return nodes.join(blocked, "node", "left_anti").select("gx", "gy")
 
 
-@query(with_views("points", "atoms") + f", n AS (SELECT * FROM points WHERE y < 6e0), e AS (SELECT a.point_id AS a_id, b.point_id AS b_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM n a JOIN n b ON a.point_id < b.point_id AND abs(a.x - b.x) < 45e-1 AND abs(a.y - b.y) < 45e-1 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 45e-1) SELECT a_id, b_id FROM e WHERE NOT EXISTS (SELECT 1 FROM atoms t WHERE NOT t.movable AND {_to_segment('t.x', 't.y', 'ax', 'ay', 'bx', 'by_')} < 5e-1 - 1e-9)")
+@query(with_views("points", "atoms") + f", n AS (SELECT * FROM points), e AS (SELECT a.point_id AS a_id, b.point_id AS b_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM n a JOIN n b ON a.point_id < b.point_id AND abs(a.x - b.x) < 45e-1 AND abs(a.y - b.y) < 45e-1 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 45e-1) SELECT a_id, b_id FROM e WHERE NOT EXISTS (SELECT 1 FROM atoms t WHERE NOT t.movable AND {_to_segment('t.x', 't.y', 'ax', 'ay', 'bx', 'by_')} < 5e-1 - 1e-9)")
 def join_28_roadmap(spark, sf_dir):
-    """Edges between near nodes of a roadmap that keep clear of static atoms."""
-    nodes = views.points(spark, sf_dir).where(F.col("y") < 6)
+    """Edges between all near nodes of a roadmap that keep clear of static atoms."""
+    nodes = views.points(spark, sf_dir)
     fixed = views.atoms(spark, sf_dir).where("not movable").select("x", "y")
     ends = lambda s, x, y: nodes.select(F.col("point_id").alias(f"{s}_id"), F.col("x").alias(x), F.col("y").alias(y))
     edges = joins.near_pairs(nodes, nodes, "point_id", "point_id", 4.5, same=True).select("a_id", "b_id").join(ends("a", "x", "y"), "a_id").join(ends("b", "x_end", "y_end"), "b_id")
