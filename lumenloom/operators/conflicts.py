@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,11 +10,12 @@ from lumenloom.functions.geometry import distance, segment_to_segment
 from lumenloom.functions.numeric import lit
 
 
-def boxed(df: DataFrame, around: float, cell: float) -> DataFrame:
+def boxed(df: DataFrame, around: float | Column, cell: float) -> DataFrame:
     """df in every cell that its segment's bounding box, widened by `around`, has a part of; lx, ly: the
     lowest of them."""
-    low = {c: F.floor((F.least(c, f"{c}_end") - lit(around)) / lit(cell)).cast("long") for c in "xy"}
-    high = {c: F.floor((F.greatest(c, f"{c}_end") + lit(around)) / lit(cell)).cast("long") for c in "xy"}
+    around = around if isinstance(around, Column) else lit(around)
+    low = {c: F.floor((F.least(c, f"{c}_end") - around) / lit(cell)).cast("long") for c in "xy"}
+    high = {c: F.floor((F.greatest(c, f"{c}_end") + around) / lit(cell)).cast("long") for c in "xy"}
     wide = df.select("*", low["x"].alias("lx"), low["y"].alias("ly"), F.explode(F.sequence(low["x"], high["x"])).alias("cx"), F.sequence(low["y"], high["y"]).alias("_ys"))
     return wide.select("*", F.explode("_ys").alias("cy")).drop("_ys")
 

@@ -64,45 +64,3 @@ def resampled(waypoints: DataFrame, key: str, spacing: float) -> DataFrame:
 
     ways = waypoints.select(key, "seq", "x", "y").repartition(key).sortWithinPartitions(key, "seq")
     return ways.select(key, "x", "y").mapInPandas(walk, f"{key} long, n int, x double, y double")
-
-
-def _quintic(t: np.ndarray) -> np.ndarray:
-    return t**3 * (10 + t * (-15 + 6 * t))
-
-
-def clearance(segments: DataFrame, plane: str, safe: float, depth: int = 12) -> DataFrame:
-    """(a_id, b_id, seq, proven, least): simultaneous segments of two paths of a plane, each moving with
-    minimum jerk. Proven: over halves of the time, the distance in the middle exceeds safe and what
-    both can move in half of it. least: the smallest distance met on the way.
-
-    Pairs come from an equi-join on plane and seq and are proven batch by batch, all intervals of a
-    depth at once.
-    """
-    a = segments.select(plane, "seq", *[F.col(c).alias(f"a_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end")])
-    b = segments.select(plane, "seq", *[F.col(c).alias(f"b_{c}") for c in ("trajectory", "x", "y", "x_end", "y_end")])
-    pairs = a.join(b, [plane, "seq"]).where("a_trajectory < b_trajectory").drop(plane)
-
-    def prove(frames):
-        for f in frames:
-            n = len(f)
-            start = np.stack([f["a_x"] - f["b_x"], f["a_y"] - f["b_y"]], axis=1)
-            end = np.stack([f["a_x_end"] - f["b_x_end"], f["a_y_end"] - f["b_y_end"]], axis=1)
-            speed = 1.875 * np.hypot(*(end - start).T)
-            proven, least = np.ones(n, bool), np.full(n, np.inf)
-            row, lo, hi = np.arange(n), np.zeros(n), np.ones(n)
-            for level in range(depth + 1):
-                if not len(row):
-                    break
-                middle = (lo + hi) / 2
-                q = _quintic(middle)[:, None]
-                d = np.hypot(*(start[row] + (end[row] - start[row]) * q).T)
-                np.minimum.at(least, row, d)
-                proven[row[d < safe]] = False
-                open_ = (d <= safe + speed[row] * (hi - lo) / 2 + 1e-9) & proven[row]
-                if level == depth:
-                    proven[row[open_]] = False
-                row, lo, hi, middle = row[open_], lo[open_], hi[open_], middle[open_]
-                row, lo, hi = np.concatenate((row, row)), np.concatenate((lo, middle)), np.concatenate((middle, hi))
-            yield pd.DataFrame({"a_id": f["a_trajectory"], "b_id": f["b_trajectory"], "seq": f["seq"], "proven": proven, "least": least})
-
-    return pairs.mapInPandas(prove, "a_id long, b_id long, seq int, proven boolean, least double")

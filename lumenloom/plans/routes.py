@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry, motion
 from lumenloom.functions.numeric import lit
-from lumenloom.operators import conflicts, graphs, joins, paths, selection
+from lumenloom.operators import clearances, conflicts, graphs, joins, paths, selection
 from lumenloom.plans import views
 from lumenloom.plans.catalog import R, query, r6
 from lumenloom.plans.views import table, with_views
@@ -210,7 +210,46 @@ def srt_06_merged_points(spark, sf_dir):
     return found.select("point_id", "place")
 
 
-@query()
+def _timed(way):
+    """Waypoints that each path reaches at times of its own."""
+    return way.withColumn("arrival", (F.col("seq") * 1000 + F.pmod(F.col("trajectory") * 7919 + F.col("seq") * 104729, F.lit(900))).cast("long"))
+
+
+def _between_paths(t: str) -> str:
+    """Distance of the two paths of a pair at time t, in SQL."""
+    q = lambda s: f"((({t}) - {s}_start) / ({s}_stop - {s}_start))"
+    at = lambda s, c: f"({s}_{c} + ({s}_{c}_end - {s}_{c}) * {q(s)} ** 3 * (10e0 + {q(s)} * (6e0 * {q(s)} - 15e0)))"
+    return f"sqrt(({at('a', 'x')} - {at('b', 'x')}) ** 2 + ({at('a', 'y')} - {at('b', 'y')}) ** 2)"
+
+
+PROOFS = (
+    with_views("waypoints", "ways").replace("WITH", "WITH RECURSIVE", 1)
+    + """, w AS (SELECT trajectory, seq, x, y, sigma, CAST(seq * 1000 + (trajectory * 7919 + seq * 104729) % 900 AS DOUBLE) AS start FROM ways),
+    l AS (SELECT *, lead(start) OVER o AS stop, lead(x) OVER o AS x_end, lead(y) OVER o AS y_end, row_number() OVER o AS r FROM w WINDOW o AS (PARTITION BY trajectory ORDER BY seq)),
+    m AS (SELECT *, max(start) OVER () AS top FROM l),
+    s AS (SELECT *, 1875e-3 * sqrt((x_end - x) ** 2 + (y_end - y) ** 2) / (stop - start) AS speed FROM (SELECT trajectory, start, coalesce(stop, top) AS stop, x, y, coalesce(x_end, x) AS x_end, coalesce(y_end, y) AS y_end, sigma FROM m UNION ALL SELECT trajectory, 0e0, start, x, y, x, y, sigma FROM m WHERE r = 1) WHERE start < stop),
+    p AS (SELECT """
+    + ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in ("trajectory", "start", "stop", "x", "y", "x_end", "y_end"))
+    + """, greatest(a.start, b.start) AS t0, least(a.stop, b.stop) AS t1, 6e-1 + 2e0 * (a.sigma + b.sigma) AS safe, a.speed + b.speed AS v FROM s a JOIN s b ON a.trajectory < b.trajectory AND a.start < b.stop AND b.start < a.stop
+        AND greatest(a.x, a.x_end) + 3e0 > least(b.x, b.x_end) AND greatest(b.x, b.x_end) + 3e0 > least(a.x, a.x_end) AND greatest(a.y, a.y_end) + 3e0 > least(b.y, b.y_end) AND greatest(b.y, b.y_end) + 3e0 > least(a.y, a.y_end)),
+    n AS (SELECT *, """
+    + f"{_between_paths('lo')} AS d0, {_between_paths('(lo + hi) / 2e0')} AS d1, {_between_paths('hi')} AS d2"
+    + """ FROM (SELECT *, t0 AS lo, t1 AS hi, 0 AS level FROM p) UNION ALL SELECT *, """
+    + f"{_between_paths('lo')}, {_between_paths('(lo + hi) / 2e0')}, {_between_paths('hi')}"
+    + """ FROM (SELECT n.* EXCLUDE (lo, hi, level, d0, d1, d2), CASE h WHEN 0 THEN lo ELSE (lo + hi) / 2e0 END AS lo, CASE h WHEN 0 THEN (lo + hi) / 2e0 ELSE hi END AS hi, level + 1 AS level FROM n, (VALUES (0), (1)) AS halves(h) WHERE least(d0, d1, d2) >= safe - 1e-9 AND hi - lo > 1e-9 AND d1 <= safe + v * (hi - lo) / 2e0 + 1e-9 AND level < 12)),
+    f AS (SELECT a_trajectory, b_trajectory, t0, min(lo) AS bad FROM n WHERE least(d0, d1, d2) < safe - 1e-9 OR level = 12 AND hi - lo > 1e-9 AND d1 <= safe + v * (hi - lo) / 2e0 + 1e-9 GROUP BY 1, 2, 3),
+    g AS (SELECT a_trajectory, b_trajectory, min(t0) AS t0, min_by(bad, t0) AS bad FROM f GROUP BY 1, 2)
+    SELECT a_trajectory AS a_id, b_trajectory AS b_id, t0 AS start, any_value(t1) AS stop, """
+    + R("min(least(d0, d1, d2))")
+    + " AS least, "
+    + R("any_value(safe)")
+    + " AS safe FROM n JOIN g USING (a_trajectory, b_trajectory, t0) WHERE lo <= bad GROUP BY 1, 2, 3"
+)
+
+
+@query(PROOFS)
 def join_19_proven_clearance(spark, sf_dir):
-    """Pairs of paths of a plane proven clear of each other over time, or the least distance met."""
-    return paths.clearance(joins.segments(views.waypoints(spark, sf_dir)), "instrument", safe=0.2)
+    """Pairs of paths of the plane that are not proven clear over time, with the first interval between
+    breakpoints of both that isn't and the smallest distance met in it."""
+    found = clearances.unproven(_timed(views.ways(spark, sf_dir)), minimum=0.5, margin=0.1, sigmas=2.0)
+    return found.select("a_id", "b_id", "start", "stop", r6("least").alias("least"), r6("safe").alias("safe"))

@@ -365,21 +365,69 @@ def test_selections_over_whole_tables(spark, sf_dir):
     assert got == in_order(hashed, 4.0, 4.0, digits=6, existing=fixed, at_most=2000)
 
 
-def test_proven_clearance(spark):
-    from lumenloom.operators import paths
+def first_unproven(paths, safe, depth):
+    """The intervals between breakpoints of each pair, searched one by one from left to right."""
+    top = max(p[-1][0] for p in paths.values())
+
+    def at(way, t):
+        if t <= way[0][0]:
+            return np.array(way[0][1:])
+        for (t0, *a), (t1, *b) in zip(way, way[1:]):
+            if t <= t1:
+                u = (t - t0) / (t1 - t0)
+                return np.array(a) + (np.array(b) - np.array(a)) * (10 * u**3 - 15 * u**4 + 6 * u**5)
+        return np.array(way[-1][1:])
+
+    def speed(way, lo, hi):
+        return next((1.875 * np.hypot(b[1] - a[1], b[2] - a[2]) / (b[0] - a[0]) for a, b in zip(way, way[1:]) if a[0] <= lo and hi <= b[0]), 0.0)
+
+    found = {}
+    for a in sorted(paths):
+        for b in sorted(k for k in paths if k > a):
+            cuts = sorted({0.0, top, *[w[0] for k in (a, b) for w in paths[k]]})
+            for lo, hi in zip(cuts, cuts[1:]):
+                met = []
+
+                def clear(lo, hi, level):
+                    gaps = [np.hypot(*(at(paths[a], t) - at(paths[b], t))) for t in (lo, (lo + hi) / 2, hi)]
+                    met.append(min(gaps))
+                    if min(met) < safe - 1e-9:
+                        return False
+                    if gaps[1] > safe + (speed(paths[a], lo, hi) + speed(paths[b], lo, hi)) * (hi - lo) / 2 + 1e-9:
+                        return True
+                    return level < depth and clear(lo, (lo + hi) / 2, level + 1) and clear((lo + hi) / 2, hi, level + 1)
+
+                if not clear(lo, hi, 0):
+                    found[a, b] = (lo, hi, round(min(met), 6))
+                    break
+    return found
+
+
+def test_clearance_over_merged_breakpoints(spark):
+    from lumenloom.operators import clearances
 
     rng = np.random.default_rng(3)
-    rows = [(k, 0, 1, *map(float, rng.uniform(0, 10, 4))) for k in range(30)]
-    df = spark.createDataFrame(rows, "trajectory long, instrument long, seq int, x double, y double, x_end double, y_end double")
-    q = paths._quintic(np.linspace(0, 1, 4001))[:, None]
-    at = {r[0]: np.array(r[3:5]) + (np.array(r[5:7]) - np.array(r[3:5])) * q for r in rows}
-    found = paths.clearance(df, "instrument", safe=0.5).collect()
-    assert len(found) == 30 * 29 // 2
-    for r in found:
-        least = np.hypot(*(at[r.a_id] - at[r.b_id]).T).min()
-        assert r.least >= least - 1e-3
-        assert not r.proven or least > 0.5 - 1e-3
-        assert r.proven or least < 0.5 + 0.05
+    paths = {k: list(zip(np.cumsum(rng.uniform(1, 40, n)).tolist(), rng.uniform(0, 14, n).tolist(), rng.uniform(0, 14, n).tolist())) for k, n in enumerate(rng.integers(1, 6, 24))}
+    # One that starts at once and then stays for very long, next to one that passes late.
+    paths[100] = [(0.0, 3.0, 3.0), (2.0, 4.0, 3.0)]
+    paths[101] = [(9000.0, 0.0, 3.1), (9040.0, 9.0, 3.1)]
+    rows = [(k, n, x, y, t, 0.05) for k, w in paths.items() for n, (t, x, y) in enumerate(w)] + [(7, 99, None, 1.0, 5.0, 0.0)]
+    way = spark.createDataFrame(rows, "trajectory long, seq int, x double, y double, arrival double, sigma double")
+    for depth in (3, 12):
+        found = clearances.unproven(way, minimum=0.3, margin=0.1, sigmas=1.0, depth=depth).collect()
+        assert {(r.a_id, r.b_id): (r.start, r.stop, round(r.least, 6)) for r in found} == first_unproven(paths, 0.5, depth)
+    assert (100, 101) in {(r.a_id, r.b_id) for r in found}
+
+
+def test_a_swap_between_waypoints_is_found(spark):
+    from lumenloom.operators import clearances
+
+    schema = "trajectory long, seq int, x double, y double, arrival long, sigma double"
+    swap = [(1, 0, 0.0, 0.0, 0, 0.0), (1, 1, 8.0, 0.0, 100, 0.0), (2, 0, 8.0, 0.0, 0, 0.0), (2, 1, 0.0, 0.0, 140, 0.0)]
+    apart = [(r[0], r[1], r[2], r[3] + (5.0 if r[0] == 2 else 0.0), *r[4:]) for r in swap]
+    run = lambda rows: clearances.unproven(spark.createDataFrame(rows, schema), minimum=1.0, margin=0.0, sigmas=0.0).collect()
+    assert [(r.a_id, r.b_id, r.start, r.stop) for r in run(swap)] == [(1, 2, 0.0, 100.0)]
+    assert run(apart) == [] and run(swap[:1]) == [] and run([]) == []
 
 
 def test_adaptive_bins(spark, sf_dir):
