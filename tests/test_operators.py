@@ -430,6 +430,33 @@ def test_a_swap_between_waypoints_is_found(spark):
     assert run(apart) == [] and run(swap[:1]) == [] and run([]) == []
 
 
+def test_issues_of_a_sequence(spark):
+    from lumenloom.operators import sequences
+
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    way = t([(1, 1, 0, 0.0, 0.0, 0, 0.0), (1, 1, 1, 5.0, 0.0, 100, 0.0), (2, 2, 0, 5.0, 9.0, 0, 0.0), (3, 3, 0, 5.0, 9.5, 0, 0.0)], "trajectory long, trap_id long, seq int, x double, y double, arrival long, sigma double")
+    sites = t([(10, 5.0, 0.0, True, None), (11, 5.0, 9.0, True, 0.5), (12, 0.0, 30.0, True, 1.0), (13, 0.0, 40.0, None, 1.0)], "site_id long, x double, y double, required boolean, final_intensity double")
+    assigned = t([(1, 10), (2, 11), (3, 11), (4, 99), (5, None)], "atom_id long, site_id long")
+    frames = t([(0, 1, 1, 1.0), (1, 1, 1, 1.0), (1, 2, 2, 0.5), (1, 3, None, 0.5)], "frame long, trap_id long, atom_id long, intensity double")
+    shown = t([(0,), (1,), (1,), (2,)], "frame long")
+    metrics = t([(0, True, True, True), (1, True, True, None), (2, True, None, True)], "frame long, valid boolean, accepted boolean, converged boolean")
+    limits = dict(minimum=1.0, margin=0.0, sigmas=0.0)
+    found = {tuple(r) for r in sequences.issues(assigned, sites, way, frames, shown, metrics, **limits).collect()}
+    assert found == {
+        ("error", "ASSIGNMENT_INFEASIBLE", None, None, 11, None, 2.0),
+        ("error", "ASSIGNMENT_INFEASIBLE", None, None, 12, None, 0.0),
+        ("error", "FRAME_COUNT_MISMATCH", None, None, None, 1, 2.0),
+        ("error", "FRAME_COUNT_MISMATCH", None, None, None, 2, 1.0),
+        ("error", "FINAL_POSITION_MISMATCH", 3, None, 11, None, 0.5),
+        ("error", "ILLEGAL_LIFECYCLE", 3, None, 11, None, 0.5),
+        ("warning", "WGS_NOT_CONVERGED", None, None, None, 1, None),
+        ("error", "FRAME_QUALITY_REJECTED", None, None, None, 2, None),
+        ("error", "COLLISION_VALIDATION_FAILED", 2, 3, None, None, 0.5),
+    }
+    none = [d.limit(0) for d in (assigned, sites, way, frames, shown, metrics)]
+    assert sequences.issues(*none, **limits).collect() == []
+
+
 def test_adaptive_bins(spark, sf_dir):
     found = registry.QUERIES["srt_03_adaptive_bins"](spark, sf_dir).collect()
     assert len(found) <= 60 and len({r.spacing for r in found}) == 1
