@@ -11,7 +11,7 @@ from lumenloom.operators.lineage import shared
 from lumenloom.plans import views
 from lumenloom.plans.catalog import R, query, r6
 from lumenloom.plans.views import table, with_views
-from lumenloom.sources import commits, packages
+from lumenloom.sources import commits, frame_files, packages
 
 
 @query("SELECT CAST(vec_id % 3 AS BIGINT) AS commit, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id, 'ok' AS status FROM embeddings GROUP BY 1")
@@ -68,3 +68,13 @@ def ext_07_sequence_issues(spark, sf_dir):
     found = sequences.unassigned(assigned, sites).unionByName(sequences.misplaced(assigned, sites, way, 1e-3)).unionByName(sequences.released(assigned, sites, way, shown, 1.0))
     found = found.unionByName(sequences.rejected_frames(metrics)).unionByName(sequences.unmatched_frames(shown, described, metrics))
     return found.select("level", "code", "atom_id", "site_id", "frame", r6("measured").alias("measured"))
+
+
+@query(with_views("frames") + " SELECT frame, CAST(frame * 21600 AS BIGINT) AS time, trap_id, CASE WHEN event_id % 4 <> 0 THEN event_id END AS atom_id, " + R("x") + " AS x, " + R("y") + " AS y, " + R("intensity") + " AS intensity, " + R("phase") + " AS phase, CAST(event_id % 8 AS BIGINT) AS flags FROM frames")
+def src_10_frame_files(spark, sf_dir):
+    """All frames written as files of packed frames and read again in parts."""
+    path, seen = shared(spark), views.trap_frames(spark, sf_dir)
+    e = F.col("event_id")
+    frame_files.save(seen.select("frame", (F.col("frame") * 21600).alias("time"), "trap_id", F.when(e % 4 != 0, e).alias("atom_id"), "x", "y", "intensity", "phase", (e % 8).alias("flags")), path)
+    found = frame_files.load(spark, path, 1 << 20)
+    return found.select("frame", "time", "trap_id", "atom_id", *[r6(c).alias(c) for c in ("x", "y", "intensity", "phase")], "flags")

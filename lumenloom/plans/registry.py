@@ -152,6 +152,17 @@ def sca_07_durations(spark, sf_dir):
     return s.select("trajectory", "seq", motion.segment_duration(length, lit(0.1), lit(1e-3), lit(1e-5), lit(100)).alias("duration"))
 
 
+@query(with_views("waypoints") + SEGMENTS + f", l AS (SELECT trajectory, seq, sqrt((x_end-x)*(x_end-x)+(y_end-y)*(y_end-y)) AS d, (trajectory * 31 + seq * 17) % 65 / 64e0 AS t FROM s) SELECT trajectory, seq, t, {R('30e0 * d * (t * (1e0 - t)) ** 2')} AS speed, {R('60e0 * d * t * (1e0 - t) * (1e0 - 2e0 * t)')} AS acceleration, {R('60e0 * d * (1e0 - 6e0 * t * (1e0 - t))')} AS jerk FROM l")
+def sca_67_motion_profile(spark, sf_dir):
+    """Speed, acceleration and jerk of minimum-jerk motion at a place in time of each segment, in units of
+    its duration."""
+    s = joins.segments(views.waypoints(spark, sf_dir))
+    d = geometry.distance((F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end")))
+    s = s.select("trajectory", "seq", d.alias("d"), ((F.col("trajectory") * 31 + F.col("seq") * 17) % 65 / lit(64)).alias("t"))
+    t = F.col("t")
+    return s.select("trajectory", "seq", "t", r6(F.col("d") * motion.speed(t)).alias("speed"), r6(F.col("d") * motion.acceleration(t)).alias("acceleration"), r6(F.col("d") * motion.jerk(t)).alias("jerk"))
+
+
 @query(with_views("waypoints") + ", p AS (SELECT trajectory, seq, arrival, CASE WHEN arrival >= 3000 THEN arrival + 100 ELSE arrival END AS arrival_new FROM waypoints) SELECT trajectory, seq, arrival_new FROM p UNION ALL SELECT trajectory, 0, 3000 FROM p GROUP BY trajectory HAVING max(arrival) >= 3000")
 def win_07_time_shift(spark, sf_dir):
     way = views.waypoints(spark, sf_dir)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lumenloom.sources import commits, packages
+from lumenloom.sources import commits, frame_files, packages, packed
 
 SCHEMA = "sample_id long, body string"
 
@@ -100,3 +100,47 @@ def test_a_changed_byte_of_a_package_is_named(spark, tmp_path):
         packages.read(spark, path, "frames")
     with pytest.raises(ValueError):
         packages.write({"manifest": spark.range(1)}, f"{path}2")
+
+
+def traps(spark, frames, count, shift=0):
+    rows = spark.range(frames * count).select(F.floor(F.col("id") / count).alias("frame"), (F.col("id") % count).alias("trap_id"))
+    return rows.select("frame", (F.col("frame") * 10).alias("time"), "trap_id", F.when(F.col("trap_id") % 3 != 0, F.col("trap_id") + shift).alias("atom_id"), (F.col("trap_id") / 7).alias("x"), F.col("frame").cast("double").alias("y"), F.lit(0.5).alias("intensity"), F.lit(-1.25).alias("phase"), F.lit(3).cast("long").alias("flags"))
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_frame_files_are_split_at_frame_borders(spark, tmp_path):
+    path, want = str(tmp_path / "frames"), traps(spark, 40, 25)
+    frame_files.save(want, path)
+    for split in (300, 5_000, 1 << 20):
+        got = frame_files.load(spark, path, split)
+        assert rows_of(got) == rows_of(want)
+    assert frame_files.load(spark, path, 5_000).rdd.getNumPartitions() >= 40 * 25 * 50 // 5_000
+    for name in os.listdir(path):
+        if name.endswith(".index"):
+            os.remove(f"{path}/{name}")
+    assert rows_of(frame_files.load(spark, path, 5_000)) == rows_of(want)
+    # The layout is that of the packed column.
+    blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.frames").load(path)
+    assert rows_of(packed.unpack_frames(blobs, "content").drop("error")) == rows_of(want)
+
+
+def test_failed_writes_of_frames_are_not_seen(spark, tmp_path):
+    path = str(tmp_path / "frames")
+    frame_files.save(traps(spark, 3, 4), path)
+    bad = traps(spark, 30, 4).withColumn("flags", F.when(F.col("frame") != 29, F.col("flags")))
+    with pytest.raises(Exception):
+        frame_files.save(bad, path)
+    (tmp_path / "frames" / "left-behind.frames").write_bytes(b"half")
+    assert rows_of(frame_files.load(spark, path)) == rows_of(traps(spark, 3, 4))
+    frame_files.save(traps(spark, 2, 5, shift=9).withColumn("frame", F.col("frame") + 50), path)
+    assert frame_files.load(spark, path).count() == 22
+    frame_files.save(traps(spark, 0, 4), path, mode="overwrite")
+    assert frame_files.load(spark, path).count() == 0
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "a.bin").write_bytes(b"\1" * 20)
+    with pytest.raises(Exception, match="STORAGE_ERROR"):
+        frame_files.load(spark, str(plain)).collect()
