@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions import geometry
 from lumenloom.functions.numeric import lit
 from lumenloom.operators.lineage import cut
-from lumenloom.operators import auction, frames, joins, order, rasters
+from lumenloom.operators import auction, frames, joins, order, rasters, repair
 from lumenloom.plans import views
 from lumenloom.plans.catalog import R, query, r6
 from lumenloom.plans.routes import _to_segment
@@ -61,6 +61,16 @@ def gen_13_dispositions(spark, sf_dir):
     return reduce(DataFrame.unionByName, found).withColumn("cost", r6("cost"))
 
 
+@query()
+def stm_03_repaired_assignment(spark, sf_dir):
+    """All sites served by atoms whose straight ways are clear of all others, or the last attempt with the
+    number of its conflicts."""
+    atoms, sites = views.atoms(spark, sf_dir), views.targets(spark, sf_dir)
+    plan = repair.direct_ways(atoms, sites, minimum=0.3, margin=0.0, sigmas=1.0)
+    found = repair.repaired(cut(_edges(spark, sf_dir).where("feasible")), plan, retries=3, penalty=50.0)
+    return found.withColumn("cost", r6("cost"))
+
+
 ASSIGNED = ", z AS (SELECT atom_id, CASE WHEN movable AND atom_id IN (SELECT site_id FROM targets) THEN atom_id END AS site_id, CASE WHEN NOT movable THEN 'STAY' WHEN atom_id IN (SELECT site_id FROM targets) THEN 'MOVE_TO_TARGET' WHEN atom_id % 3 = 0 THEN 'PARK' ELSE 'KEEP' END AS disposition FROM atoms), d AS (SELECT a.atom_id, a.x, a.y, z.site_id, disposition, coalesce(t.x, CASE WHEN disposition = 'PARK' THEN (a.atom_id % 4) * 6e0 END, a.x) AS to_x, coalesce(t.y, CASE WHEN disposition = 'PARK' THEN 12e0 END, a.y) AS to_y FROM atoms a JOIN z USING (atom_id) LEFT JOIN targets t ON t.site_id = z.site_id)"
 
 

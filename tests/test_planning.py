@@ -99,3 +99,66 @@ def test_ways_over_whole_tables(spark, sf_dir):
     assert spacetime.grid_conflicts(found, nodes, 1.0).count() == 0
     assert all((w[0], w[-1]) == given[a] and len(w) >= len(alone[a]) for a, w in ways.items())
     assert len(ways) == len(given) and any(len(w) > len(alone[a]) or w != alone[a] for a, w in ways.items())
+
+
+def test_repair_makes_used_edges_dearer_until_a_plan_is_clear(spark):
+    from itertools import permutations
+
+    from lumenloom.operators import repair
+
+    rng = np.random.default_rng(11)
+    for at, goals, retries in (
+        # Both straight ways cross a resting atom; the dearer choice goes around it.
+        ([(0.0, 0.0), (10.0, 0.3), (5.0, 0.2), (9.0, 9.0)], [(10.0, 0.0), (0.0, 0.1)], 4),
+        (rng.uniform(0, 8, (6, 2)).tolist(), rng.uniform(0, 8, (3, 2)).tolist(), 3),
+        # Sites nearer than atoms may stand: no attempt can be clear.
+        ([(0.0, 0.0), (5.0, 0.0), (0.0, 9.0)], [(2.0, 2.0), (2.0, 2.1)], 2),
+    ):
+        atoms = spark.createDataFrame([(k, *map(float, p), 0.0) for k, p in enumerate(at)], "atom_id long, x double, y double, sigma double")
+        sites = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(goals)], "site_id long, x double, y double")
+        cost = {(a, s): (p[0] - g[0]) ** 2 + (p[1] - g[1]) ** 2 + 1e-3 * a for a, p in enumerate(at) for s, g in enumerate(goals)}
+        edges = spark.createDataFrame([(a, s, c) for (a, s), c in cost.items()], "atom_id long, site_id long, cost double")
+        plan = repair.direct_ways(atoms, sites, minimum=1.0, margin=0.0, sigmas=0.0)
+        found = repair.repaired(edges, plan, retries=retries, penalty=20.0).collect()
+
+        def met(chosen):
+            """Pairs whose straight ways, or places, come nearer than 1."""
+            legs = {a: (p, goals[chosen.index(a)] if a in chosen else p) for a, p in enumerate(at)}
+            t = np.linspace(0, 1, 2001)[:, None]
+            line = {a: np.array(p) + (np.array(q) - np.array(p)) * t for a, (p, q) in legs.items()}
+            least = lambda a, b: min(np.hypot(*(line[a] - q).T).min() for q in line[b][::4])
+            return sum(least(a, b) < 1 for a in legs for b in legs if a < b)
+
+        extra = dict.fromkeys(cost, 0.0)
+        for attempt in range(1, retries + 2):
+            chosen = min(permutations(range(len(at)), len(goals)), key=lambda c: sum(cost[a, s] + extra[a, s] for s, a in enumerate(c)))
+            want = {(a, s, round(cost[a, s] + extra[a, s], 6)) for s, a in enumerate(chosen)}
+            if not met(chosen) or attempt > retries:
+                break
+            for s, a in enumerate(chosen):
+                extra[a, s] += 20.0
+        assert {(r.atom_id, r.site_id, round(r.cost, 6)) for r in found} == want
+        assert {(r.attempt, r.conflicts) for r in found} == {(attempt, met(chosen))}
+
+
+def test_repaired_assignment_of_the_tables(spark, sf_dir):
+    from itertools import permutations
+
+    from lumenloom.operators import repair
+    from lumenloom.plans import assembly, views
+
+    cost = {(r.atom_id, r.site_id): r.cost for r in assembly._edges(spark, sf_dir).where("feasible").collect()}
+    atoms, sites = sorted({a for a, _ in cost}), sorted({s for _, s in cost})
+    plan = repair.direct_ways(views.atoms(spark, sf_dir), views.targets(spark, sf_dir), minimum=0.3, margin=0.0, sigmas=1.0)
+    extra = dict.fromkeys(cost, 0.0)
+    for attempt in range(1, 5):
+        chosen = min((c for c in permutations(atoms, len(sites)) if all(e in cost for e in zip(c, sites))), key=lambda c: sum(cost[e] + extra[e] for e in zip(c, sites)))
+        met = plan(spark.createDataFrame(list(zip(chosen, sites)), "atom_id long, site_id long")).count()
+        if not met or attempt == 4:
+            break
+        for e in zip(chosen, sites):
+            extra[e] += 50.0
+    found = registry.QUERIES["stm_03_repaired_assignment"](spark, sf_dir).collect()
+    assert {(r.atom_id, r.site_id) for r in found} == set(zip(chosen, sites))
+    assert {(r.attempt, r.conflicts) for r in found} == {(attempt, met)}
+    assert sum(r.cost for r in found) == pytest.approx(sum(cost[e] + extra[e] for e in zip(chosen, sites)), abs=1e-4)

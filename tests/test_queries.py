@@ -11,7 +11,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 #: Their rows are compared with plain computations in other tests; building them alone takes rounds.
-COMPARED = {"gen_07_shortest_ways", "gen_08_nodes_of_ways", "gen_09_clear_ways", "join_13_grid_conflicts", "gen_12_assignment", "gen_13_dispositions", "agg_02_assignment_cost", "srt_04_resolvable", "srt_05_appended_points", "srt_06_merged_points"}
+COMPARED = {"gen_07_shortest_ways", "gen_08_nodes_of_ways", "gen_09_clear_ways", "join_13_grid_conflicts", "gen_12_assignment", "gen_13_dispositions", "agg_02_assignment_cost", "srt_04_resolvable", "srt_05_appended_points", "srt_06_merged_points", "stm_03_repaired_assignment"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - COMPARED))
