@@ -130,14 +130,41 @@ def continuous_metrics(both: DataFrame, bright: float = 0.1, accept: float = 0.2
     return found.select("field_id", "rmse", "correlation", efficiency.alias("efficiency"), outside.alias("outside"), speckle.alias("speckle"), (F.col("rmse") <= lit(accept)).alias("accepted"))
 
 
-def bilinear(points: DataFrame, key: str, raster: DataFrame, size: int) -> DataFrame:
-    """(key, value): a raster (py, px, level) at fractional places fx, fy, clamped to its edges. The four
-    neighbours meet their pixels by an equi-join."""
-    fx, fy = (F.least(lit(size - 1), F.greatest(lit(0), F.col(c))) for c in ("fx", "fy"))
+def bilinear(points: DataFrame, key: list[str], raster: DataFrame, width: int, height: int, image: list[str] | None = None) -> DataFrame:
+    """(*key, value): rasters (*image, py, px, level) at fractional places fx, fy, clamped to their edges;
+    missing pixels are 0. The four neighbours meet their pixels by an equi-join, so an image may be as
+    large as a table."""
+    image = image or []
+    fx, fy = (F.least(lit(size - 1), F.greatest(lit(0), F.col(c))) for c, size in (("fx", width), ("fy", height)))
     x0, y0 = F.floor(fx).cast("int"), F.floor(fy).cast("int")
-    corners = F.array(*[F.struct(F.least(F.lit(size - 1), x0 + i).alias("px"), F.least(F.lit(size - 1), y0 + j).alias("py"), ((fx - x0 if i else lit(1) - (fx - x0)) * (fy - y0 if j else lit(1) - (fy - y0))).alias("w")) for i in (0, 1) for j in (0, 1)])
-    near = points.select(key, F.explode(corners).alias("c")).select(key, "c.*").join(raster, ["py", "px"], "left")
-    return near.groupBy(key).agg(F.sum(F.col("w") * F.coalesce("level", F.lit(0))).alias("value"))
+    corners = F.array(*[F.struct(F.least(F.lit(width - 1), x0 + i).alias("px"), F.least(F.lit(height - 1), y0 + j).alias("py"), ((fx - x0 if i else lit(1) - (fx - x0)) * (fy - y0 if j else lit(1) - (fy - y0))).alias("w")) for i in (0, 1) for j in (0, 1)])
+    kept = list(dict.fromkeys(key + image))
+    near = points.select(*kept, F.explode(corners).alias("c")).where("c.w > 0").select(*kept, "c.*").join(raster, [*image, "py", "px"], "left")
+    return near.groupBy(*key).agg(F.sum(F.col("w") * F.coalesce("level", F.lit(0))).alias("value"))
+
+
+def target_grid(images: DataFrame, size: tuple[int, int], grid: tuple[int, int], view: float, extent: tuple[float, float], middle: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """The wanted light of every image on a transform's grid: one row for each place of its region, the
+    mask of the signal. Sizes are (width, height).
+
+    images: (image_id, py, px, level), missing pixels are dark. An image of `extent` about `middle` (y up)
+    in a view of `view` covers the nearest whole number of places, at least one; their centres are read
+    bilinearly. `sy`, `sx` have the zero order in the middle, `y`, `x` in the corner; `value` is the level
+    over the peak of its image, `amplitude` its root. An image that is dark everywhere has no target and
+    is left out; a region that leaves the grid is an error.
+    """
+    places = [max(1, min(n, math.floor(e / view * n + 0.5))) for n, e in zip(grid, extent)]
+    centre = (grid[0] / 2 + middle[0] / view * grid[0], grid[1] / 2 - middle[1] / view * grid[1])
+    corner = [math.floor(c - n / 2 + 0.5) for c, n in zip(centre, places)]
+    if any(c < 0 or c + p > n for c, p, n in zip(corner, places, grid)):
+        raise ValueError("the image extends beyond the grid")
+    found = images.groupBy("image_id").agg(F.max("level").alias("top")).where("top > 0")
+    at = lambda c, k: (F.col(c) + lit(0.5)) / lit(places[k]) * lit(size[k]) - lit(0.5)
+    region = found.withColumn("ly", F.explode(F.sequence(F.lit(0), F.lit(places[1] - 1)))).withColumn("lx", F.explode(F.sequence(F.lit(0), F.lit(places[0] - 1))))
+    read = bilinear(region.withColumn("fx", at("lx", 0)).withColumn("fy", at("ly", 1)), ["image_id", "top", "ly", "lx"], images, *size, image=["image_id"])
+    value = F.col("value") / F.col("top").cast("double")
+    sy, sx = F.col("ly") + corner[1], F.col("lx") + corner[0]
+    return read.select("image_id", sy.alias("sy"), sx.alias("sx"), ((sy + grid[1] // 2) % grid[1]).alias("y"), ((sx + grid[0] // 2) % grid[0]).alias("x"), value.alias("value"), F.sqrt(value).alias("amplitude"))
 
 
 def adjoint_scatter(points: DataFrame, value: str) -> DataFrame:

@@ -141,7 +141,7 @@ def num_12_bilinear(spark, sf_dir):
     """A raster at fractional places, edges clamped; missing pixels are 0."""
     key = F.col("point_id")
     p = views.points(spark, sf_dir).select("point_id", ((key * 37 % 700) / lit(10) - lit(2)).alias("fx"), ((key * 53 % 700) / lit(10) - lit(2)).alias("fy"))
-    return fields.bilinear(p, "point_id", views.raster(spark, sf_dir), 64).select("point_id", r6("value").alias("value"))
+    return fields.bilinear(p, ["point_id"], views.raster(spark, sf_dir), 64, 64).select("point_id", r6("value").alias("value"))
 
 
 @query(with_views("points") + """, c AS (SELECT CAST(floor(y) AS BIGINT) + j AS cy, CAST(floor(x) AS BIGINT) + i AS cx, point_id % 10 + 1 AS v, (CASE WHEN i = 1 THEN x - floor(x) ELSE 1e0 - (x - floor(x)) END) * (CASE WHEN j = 1 THEN y - floor(y) ELSE 1e0 - (y - floor(y)) END) AS w, point_id FROM points, (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j)), s AS (SELECT point_id, sum(w * w) AS square FROM c GROUP BY point_id)
@@ -152,16 +152,17 @@ def num_14_adjoint_scatter(spark, sf_dir):
     return fields.adjoint_scatter(p, "v").select("cy", "cx", (F.floor(F.col("total") * lit(1e5) + lit(0.5001)) / lit(1e5)).alias("total"))
 
 
-@query(with_views("raster") + """, g AS (SELECT CAST(i // 16 AS INTEGER) AS gy, CAST(i % 16 AS INTEGER) AS gx FROM (SELECT unnest(range(0, 256)) AS i)), m AS (SELECT max(level) AS top FROM raster)
-    SELECT gy, gx, CASE WHEN gy BETWEEN 4 AND 11 AND gx BETWEEN 2 AND 13 THEN """ + R("coalesce(level, 0) / CAST(top AS DOUBLE)") + " ELSE 0e0 END AS wanted FROM g CROSS JOIN m LEFT JOIN raster ON py = 4 * gy AND px = 4 * gx")
+@query(f"""WITH images AS (SELECT l_suppkey // 64 AS image_id, CAST(l_suppkey % 64 AS INTEGER) AS py, CAST(l_partkey % 64 AS INTEGER) AS px, count(*) AS level FROM lineitem GROUP BY 1, 2, 3), m AS (SELECT image_id, max(level) AS top FROM images GROUP BY image_id),
+    g AS (SELECT image_id, top, CAST(i // 150 AS INTEGER) AS ly, CAST(i % 150 AS INTEGER) AS lx FROM m, (SELECT unnest(range(0, 15000)) AS i)), p AS (SELECT *, greatest(0e0, least(63e0, (lx + 5e-1) / 15e1 * 64e0 - 5e-1)) AS fx, greatest(0e0, least(63e0, (ly + 5e-1) / 1e2 * 64e0 - 5e-1)) AS fy FROM g),
+    q AS (SELECT *, CAST(floor(fx) AS INTEGER) AS x0, CAST(floor(fy) AS INTEGER) AS y0 FROM p),
+    v AS (SELECT q.*, (coalesce(a.level, 0) * (1 - fx + x0) + coalesce(b.level, 0) * (fx - x0)) * (1 - fy + y0) + (coalesce(c.level, 0) * (1 - fx + x0) + coalesce(d.level, 0) * (fx - x0)) * (fy - y0) AS sampled FROM q
+        LEFT JOIN images a ON a.image_id = q.image_id AND a.px = x0 AND a.py = y0 LEFT JOIN images b ON b.image_id = q.image_id AND b.px = x0 + 1 AND b.py = y0
+        LEFT JOIN images c ON c.image_id = q.image_id AND c.px = x0 AND c.py = y0 + 1 LEFT JOIN images d ON d.image_id = q.image_id AND d.px = x0 + 1 AND d.py = y0 + 1)
+    SELECT image_id, ly + 68 AS sy, lx + 69 AS sx, (ly + 196) % 256 AS y, (lx + 197) % 256 AS x, {R('sampled / top')} AS value, {R('sqrt(sampled / top)')} AS amplitude FROM v""")
 def num_29_target_grid(spark, sf_dir):
-    """The wanted intensity on a transform's grid: the raster over its peak in a window, 0 outside."""
-    image = views.raster(spark, sf_dir)
-    top = image.agg(F.max("level").alias("top"))
-    g = spark.range(256).select(F.floor(F.col("id") / 16).cast("int").alias("gy"), (F.col("id") % 16).cast("int").alias("gx"))
-    near = g.join(image, (F.col("py") == F.col("gy") * 4) & (F.col("px") == F.col("gx") * 4), "left").crossJoin(F.broadcast(top))
-    inside = F.col("gy").between(4, 11) & F.col("gx").between(2, 13)
-    return near.select("gy", "gx", F.when(inside, r6(F.coalesce("level", F.lit(0)) / F.col("top").cast("double"))).otherwise(lit(0)).alias("wanted"))
+    """The wanted light of images of 64 suppliers by 64 parts on a grid of 256 x 256, every place of it."""
+    found = fields.target_grid(views.images(spark, sf_dir), (64, 64), (256, 256), 256.0, (150.0, 100.0), (16.0, 10.0))
+    return found.select("image_id", "sy", "sx", "y", "x", r6("value").alias("value"), r6("amplitude").alias("amplitude"))
 
 
 @query(with_views("frames") + f""", g AS (SELECT frame, count(*) AS n, avg(intensity) AS mean, min(intensity) AS lo, max(abs({WRAP('phase - 25e-1 * intensity')})) AS phase_error, sum(intensity) / (sum(intensity) + count(*)) AS efficiency, max(CASE WHEN trap_id % 3 = 0 THEN intensity END) AS ghost FROM frames GROUP BY frame), l AS (SELECT *, lag(CASE WHEN mean > 0 THEN lo / mean ELSE 0 END) OVER (ORDER BY frame) AS before, CASE WHEN mean > 0 THEN lo / mean ELSE 0 END AS now FROM g)

@@ -537,4 +537,4 @@ def gen_15_schedule(spark, sf_dir):
     return s.select("sample_id", "stratum", F.floor(lit(10) + lit(40) * F.col("stratum") / F.col("top") + lit(0.5)).cast("long").alias("even_count"), F.floor(F.exp(F.ln(lit(2000)) * F.col("stratum") / F.col("top")) + lit(0.5)).cast("long").alias("log_count"))
 
 
-from lumenloom.plans import assembly, checks, codes, light, outputs, packaging, planning, routes  # noqa: E402, F401
+from lumenloom.plans import assembly, checks, codes, light, outputs, packaging, planning, routes, spectra  # noqa: E402, F401

@@ -74,6 +74,17 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 64).cast("int").alias("py"), (F.col("l_partkey") % 64).cast("int").alias("px")).agg(F.count("*").alias("level"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by part and supplier as images, one for 64 suppliers each."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_suppkey") / 64).alias("image_id"), (F.col("l_suppkey") % 64).cast("int").alias("py"), (F.col("l_partkey") % 64).cast("int").alias("px")).agg(F.count("*").alias("level"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of 64 users each as a picture of 1272 x 1024 places: field_id, line, at, re."""
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 64).cast("long").alias("field_id"), (k * 17 % 1024).alias("line"), (k * 31 % 1272).alias("at"), (k % 7 + 1).alias("re"))
+
+
 def json_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "props")
 
