@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenloom.functions import geometry
+from lumenloom.functions.numeric import lit
+
 
 def _on_segments(x: np.ndarray, y: np.ndarray, key: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, x, y) of the samples of many paths, rows sorted by key and order.
@@ -64,3 +68,24 @@ def resampled(waypoints: DataFrame, key: str, spacing: float) -> DataFrame:
 
     ways = waypoints.select(key, "seq", "x", "y").repartition(key).sortWithinPartitions(key, "seq")
     return ways.select(key, "x", "y").mapInPandas(walk, f"{key} long, n int, x double, y double")
+
+
+def detours(moves: DataFrame, key: str, around: DataFrame, separation: float, margin: float) -> DataFrame:
+    """Places to go by when the straight way of a move is taken: (key, k, ox, oy, length, place).
+
+    moves: (key, x, y, tx, ty); around: (x, y) of whatever stands there and of parking places. Four corners
+    and four middles of the sides of the box about all of it and the move, wider by four separations and the
+    margin, and the two places beside the middle of the way. `place` counts from the shortest way on, lengths
+    to six digits, equal ones by k. Without anything around, the box is about the move.
+    """
+    wide = lit(4 * separation + margin)
+    box = around.agg(F.min("x").alias("w0"), F.max("x").alias("w1"), F.min("y").alias("v0"), F.max("y").alias("v1"))
+    b = moves.crossJoin(F.broadcast(box)).withColumns({"x0": F.least("w0", "x", "tx") - wide, "x1": F.greatest("w1", "x", "tx") + wide, "y0": F.least("v0", "y", "ty") - wide, "y1": F.greatest("v1", "y", "ty") + wide})
+    half = lambda p, q: (F.col(p) + F.col(q)) / 2
+    sides, along, beside = [(x, y) for x in ("x0", "x1") for y in ("y0", "y1")], half("x", "tx"), lit(2 * separation)
+    spots = [(F.col(x), F.col(y)) for x, y in sides] + [(half("x0", "x1"), F.col(y)) for y in ("y0", "y1")] + [(F.col(x), half("y0", "y1")) for x in ("x0", "x1")] + [(along, half("y", "ty") + beside), (along, half("y", "ty") - beside)]
+    rows = b.select(key, "x", "y", "tx", "ty", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("ox"), y.alias("oy")) for k, (x, y) in enumerate(spots)])).alias("o")).select(key, "x", "y", "tx", "ty", "o.*")
+    spot = (F.col("ox"), F.col("oy"))
+    way = geometry.distance((F.col("x"), F.col("y")), spot) + geometry.distance(spot, (F.col("tx"), F.col("ty")))
+    measured = rows.select(key, "k", "ox", "oy", (F.floor(way * lit(1e6) + lit(0.5)) / lit(1e6)).alias("length"))
+    return measured.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("length", "k")))

@@ -146,14 +146,17 @@ def src_08_code_axis(spark, sf_dir):
     return rows.select("p_partkey", F.posexplode(spread).alias("code", "phase")).select("p_partkey", "code", r6("phase").alias("phase"))
 
 
-@query(with_views("frames") + " SELECT frame, CAST(24 + count(*) * 8 AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS n FROM frames GROUP BY frame")
+CODES = "array_to_string(list_transform(embedding, lambda v: printf('%02x', CAST(floor(least(greatest(CAST(v AS DOUBLE), -1e0), 1e0) * 127e0 + 128e0) AS BIGINT))), '')"
+
+
+@query(f"""WITH f AS (SELECT vec_id // 10 AS file, vec_id % 10 AS k, {CODES} AS hex FROM embeddings), h AS (SELECT file, '534c4d46' || '0100' || '0800' || '0800' || '08' || '00' || printf('%02x', count(*)) || '000000' || '40000000' || 'e8030000' AS head FROM f GROUP BY file)
+    SELECT file, CAST(k // 4 AS BIGINT) AS part, CAST(CASE WHEN k // 4 = 0 THEN 0 ELSE 24 + k // 4 * 256 END AS BIGINT) AS begin, CAST(CASE WHEN k // 4 = 0 THEN 24 ELSE 0 END + 64 * count(*) AS BIGINT) AS bytes, sha256(unhex(CASE WHEN k // 4 = 0 THEN any_value(head) ELSE '' END || string_agg(hex, '' ORDER BY k))) AS digest FROM f JOIN h USING (file) GROUP BY file, k // 4""")
 def snk_08_bundles(spark, sf_dir):
-    """The codes of a frame's traps, 8 bytes each, behind one header of 24 bytes."""
-    f = views.trap_frames(spark, sf_dir)
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("trap_id")), lambda t: F.lpad(F.hex(t), 16, "0")), "")
-    head = F.concat(F.hex(F.lit("SLMF").cast("binary")), F.lpad(F.hex(F.lit(1)), 4, "0"), F.lpad(F.hex(F.count("*")), 36, "0"))
-    whole = f.groupBy("frame").agg(F.unhex(F.concat(head, ids)).alias("content"), F.count("*").alias("n"))
-    return whole.select("frame", F.length("content").cast("long").alias("bytes"), "n")
+    """The coded frames of each sequence of ten as one bundle with its header, in parts of four frames."""
+    code = lambda v: F.lpad(F.hex(F.floor(F.least(F.greatest(v.cast("double"), lit(-1)), lit(1)) * lit(127) + lit(128)).cast("long")), 2, "0")
+    frames = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("file"), (F.col("vec_id") % 10).alias("index"), F.unhex(F.array_join(F.transform("embedding", code), "")).alias("bytes"))
+    parts = packed.bundles(frames, "file", 8, 8, 8, 1000, frames_a_part=4)
+    return parts.select("file", "part", "begin", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
 @query(with_views("points") + " SELECT CAST(max(point_id) + 1 AS BIGINT) AS next_id FROM points")

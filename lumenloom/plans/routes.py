@@ -164,20 +164,17 @@ def join_28_roadmap(spark, sf_dir):
     return edges.join(joins.segments_near(edges, fixed, ["a_id", "b_id"], 0.5), ["a_id", "b_id"], "left_anti").select("a_id", "b_id")
 
 
-@query(with_views("atoms", "targets") + ", b AS (SELECT min(x) - 2e0 AS x0, max(x) + 2e0 AS x1, min(y) - 2e0 AS y0, max(y) + 2e0 AS y1 FROM atoms), o AS (SELECT 0 AS k, x0 AS x, y0 AS y FROM b UNION ALL SELECT 1, x0, y1 FROM b UNION ALL SELECT 2, x1, y0 FROM b UNION ALL SELECT 3, x1, y1 FROM b UNION ALL SELECT 4, (x0 + x1) / 2, y0 FROM b UNION ALL SELECT 5, (x0 + x1) / 2, y1 FROM b), c AS (SELECT a.atom_id, o.k, sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2) + sqrt((o.x - t.x) ** 2 + (o.y - t.y) ** 2) AS length FROM atoms a JOIN targets t ON a.atom_id = t.site_id, o) SELECT atom_id, CAST(k AS INTEGER) AS k, " + R("length") + " AS length, CAST(row_number() OVER (PARTITION BY atom_id ORDER BY length, k) AS INTEGER) AS place FROM c")
+@query(with_views("atoms", "targets") + f""", m AS (SELECT a.atom_id, a.x, a.y, t.x AS tx, t.y AS ty FROM atoms a JOIN targets t ON a.atom_id = t.site_id), w AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM atoms),
+    b AS (SELECT m.*, least(x0, x, tx) - 85e-1 AS l, greatest(x1, x, tx) + 85e-1 AS r, least(y0, y, ty) - 85e-1 AS d, greatest(y1, y, ty) + 85e-1 AS u FROM m, w),
+    c AS (SELECT *, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS k, unnest([l, l, r, r, (l + r) / 2, (l + r) / 2, l, r, (x + tx) / 2, (x + tx) / 2]) AS ox, unnest([d, u, d, u, d, u, (d + u) / 2, (d + u) / 2, (y + ty) / 2 + 4e0, (y + ty) / 2 - 4e0]) AS oy FROM b),
+    n AS (SELECT *, {R('sqrt((x - ox) ** 2 + (y - oy) ** 2) + sqrt((ox - tx) ** 2 + (oy - ty) ** 2)')} AS length FROM c)
+    SELECT atom_id, CAST(k AS INTEGER) AS k, {R('ox')} AS ox, {R('oy')} AS oy, length, CAST(row_number() OVER (PARTITION BY atom_id ORDER BY length, k) AS INTEGER) AS place FROM n""")
 def srt_09_detours(spark, sf_dir):
-    """Detour points of a move, ordered by the length of the way through them."""
+    """All ten detour points of a move, ordered by the length of the way through them."""
     atoms, sites = views.atoms(spark, sf_dir), views.targets(spark, sf_dir)
     moves = atoms.select("atom_id", "x", "y").join(sites.select(F.col("site_id").alias("atom_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), "atom_id")
-    b = atoms.agg((F.min("x") - 2).alias("x0"), (F.max("x") + 2).alias("x1"), (F.min("y") - 2).alias("y0"), (F.max("y") + 2).alias("y1"))
-    middle = (F.col("x0") + F.col("x1")) / 2
-    places = [("x0", "y0"), ("x0", "y1"), ("x1", "y0"), ("x1", "y1"), (middle, "y0"), (middle, "y1")]
-    spots = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(x) if isinstance(x, str) else x).alias("ox"), F.col(y).alias("oy")) for k, (x, y) in enumerate(places)])
-    c = moves.crossJoin(F.broadcast(b)).select("*", F.explode(spots).alias("o"))
-    at = (F.col("o.ox"), F.col("o.oy"))
-    length = geometry.distance((F.col("x"), F.col("y")), at) + geometry.distance(at, (F.col("tx"), F.col("ty")))
-    ranked = c.select("atom_id", "o.k", length.alias("length"))
-    return ranked.select("atom_id", "k", r6("length").alias("length"), F.row_number().over(W.partitionBy("atom_id").orderBy("length", "k")).alias("place"))
+    found = paths.detours(moves, "atom_id", atoms, separation=2.0, margin=0.5)
+    return found.select("atom_id", "k", r6("ox").alias("ox"), r6("oy").alias("oy"), "length", "place")
 
 
 @query()

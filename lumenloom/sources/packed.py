@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The little-endian layouts of a frame header and of a trap record.
@@ -169,3 +169,32 @@ def unpack_samples(df: DataFrame, content: str = "bytes") -> DataFrame:
             yield rows
 
     return df.select(content).mapInPandas(read, SAMPLE)
+
+
+def _little(value: Column, n: int) -> Column:
+    """A whole number as the hex of n little-endian bytes."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(n)])
+
+
+def bundles(frames: DataFrame, key: str, width: int, height: int, bits: int, period: int, frames_a_part: int = 64) -> DataFrame:
+    """(key, part, begin, content): the frames of each sequence as one file, cut into parts that follow each
+    other from byte `begin` on; the first has the header of 24 bytes.
+
+    frames: (key, index, bytes), index from 0. A sequence whose frames have gaps, repetitions, nulls or another
+    size than its header says is an error. No group holds more than the frames of a part, so a sequence may
+    be of any length.
+    """
+    size = width * height * bits // 8
+    found = frames.groupBy(key).agg(F.count("*").alias("n"), F.min("index").alias("low"), F.max("index").alias("high"), F.count_if(F.coalesce(F.length("bytes"), F.lit(-1)) != size).alias("odd"))
+    whole = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("odd") == 0)
+    # fixed values: magic, version, and the order and widths of the fields
+    head = F.concat(F.lit("SLMF".encode().hex()), *[_little(F.lit(v), n) for v, n in ((1, 2), (width, 2), (height, 2), (bits, 1), (0, 1))], _little(F.col("n"), 4), *[_little(F.lit(v), 4) for v in (size, period)])
+    heads = found.select(key, F.when(F.coalesce(whole, F.lit(False)), head).otherwise(F.raise_error(F.lit(f"a sequence isn't whole: frames from 0 on, of {size} bytes"))).alias("head"))
+    part = F.floor(F.col("index") / frames_a_part).cast("long")
+    parts = frames.groupBy(key, part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("index", F.hex("bytes").alias("hex")))).alias("f"))
+    joined = parts.join(heads, F.equal_null(parts[key], heads[key])).drop(heads[key])
+    repeated = F.size(F.array_distinct(F.transform("f", lambda f: f["index"]))) != F.size("f")
+    body = F.array_join(F.transform("f", lambda f: f["hex"]), "")
+    checked = F.when(repeated, F.raise_error(F.lit("a sequence isn't whole: a frame is there twice"))).otherwise(F.concat(F.when(F.col("part") == 0, F.col("head")).otherwise(F.when(F.col("head").isNull(), F.lit(None)).otherwise(F.lit(""))), body))
+    begin = F.when(F.col("part") == 0, F.lit(0).cast("long")).otherwise(F.lit(24) + F.col("part") * frames_a_part * size)
+    return joined.select(key, "part", begin.alias("begin"), F.unhex(checked).alias("content"))

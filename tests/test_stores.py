@@ -1,6 +1,7 @@
 """Stores of samples through crashes, packages through changes."""
 
 import os
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,18 @@ def test_failed_writes_of_frames_are_not_seen(spark, tmp_path):
     (plain / "a.bin").write_bytes(b"\1" * 20)
     with pytest.raises(Exception, match="STORAGE_ERROR"):
         frame_files.load(spark, str(plain)).collect()
+
+
+def test_bundles_have_their_header_and_all_frames(spark):
+    frames = [(k, i, bytes([10 * k + i] * 8)) for k in (1, 2) for i in range(5)]
+    schema = "file long, index long, bytes binary"
+    found = packed.bundles(spark.createDataFrame(frames, schema), "file", 2, 2, 16, 70000, frames_a_part=2).orderBy("file", "part").collect()
+    assert [(r["file"], r["part"], r["begin"]) for r in found] == [(k, p, 0 if p == 0 else 24 + 32 * p // 2) for k in (1, 2) for p in (0, 1, 2)]
+    for k in (1, 2):
+        whole = b"".join(r["content"] for r in found if r["file"] == k)
+        assert whole[:24] == struct.pack("<4sHHHBxIII", b"SLMF", 1, 2, 2, 16, 5, 8, 70000)
+        assert whole[24:] == b"".join(b for f, _, b in frames if f == k)
+    for wrong in (frames[1:], [*frames, frames[0]], [*frames, (1, 5, b"1")], [*frames, (1, 5, None)], [*frames, (1, None, b"12345678")]):
+        with pytest.raises(Exception, match="whole"):
+            packed.bundles(spark.createDataFrame(wrong, schema), "file", 2, 2, 16, 70000, frames_a_part=2).collect()
+    assert packed.bundles(spark.createDataFrame([], schema), "file", 2, 2, 16, 70000).collect() == []
