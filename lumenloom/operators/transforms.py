@@ -24,6 +24,8 @@ from lumenloom.functions.numeric import lit
 CELLS = 1 << 18
 #: Longest line; a signal may be its square long.
 LONGEST = 1 << 20
+#: Places of the largest field that one task correlates by itself, some 100 MB at work.
+WHOLE = 1 << 21
 LINES = "field_id long, line long, at array<int>, re array<double>, im array<double>"
 PIECES = "field_id long, block long, line long, re array<double>, im array<double>"
 
@@ -112,10 +114,42 @@ def power(spectrum: DataFrame) -> DataFrame:
     return spectrum.select("field_id", "line", "at", squares.alias("re"), F.transform("im", lambda _: lit(0)).alias("im"))
 
 
-def correlation(given: DataFrame, width: int, height: int) -> DataFrame:
+def correlation(given: DataFrame, width: int, height: int, least: float | None = None) -> DataFrame:
     """The periodic correlation of each field with itself, by the power of its spectrum: full lines, lag
-    (line, place). Real for real fields."""
-    return transform(power(transform(given, width, height)), height, width, inverse=True)
+    (line, place). Real for real fields. With `least` only lags of at least so much, `at` telling which.
+
+    A field of at most WHOLE places is transformed there and back in one task, so that only its given
+    lines cross the network; a larger one goes by blocks.
+    """
+    if width * height > WHOLE:
+        found = transform(power(transform(given, width, height)), height, width, inverse=True)
+        if least is None:
+            return found
+        kept = F.filter(F.transform(F.arrays_zip("re", "im"), lambda v, i: F.struct(i.alias("at"), v["re"].alias("re"), v["im"].alias("im"))), lambda v: v["re"] >= lit(least))
+        return found.select("field_id", "line", kept.alias("v")).select("field_id", "line", F.col("v.at").alias("at"), F.col("v.re").alias("re"), F.col("v.im").alias("im"))
+
+    def whole(key: tuple, held: pa.Table) -> pa.Table:
+        line = held.column("line").to_numpy()
+        if line.min() < 0 or line.max() >= height:
+            raise ValueError(f"a line lies outside a field of {height}")
+        a = np.zeros((height, width), complex)
+        for part, at in zip(batches := held.to_batches(), np.cumsum([0] + [b.num_rows for b in batches])):
+            np.add.at(a, line[at : at + part.num_rows], _full(part, width))
+        if a.imag.any():
+            spectrum = np.fft.fft2(a)
+            found = np.fft.ifft2(spectrum.real**2 + spectrum.imag**2)
+        else:
+            spectrum = np.fft.rfft2(a.real)
+            found = np.fft.irfft2(spectrum.real**2 + spectrum.imag**2, s=(height, width))
+        field = lambda n: pa.array([key[0].as_py()] * n, pa.int64())
+        if least is None:
+            return pa.table({"field_id": field(height), "line": np.arange(height), "at": pa.nulls(height, pa.list_(pa.int32())), "re": _lists(found.real), "im": _lists(found.imag)})
+        on, at = np.nonzero(found.real >= least)
+        ends = pa.array(np.searchsorted(on, np.arange(height + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at.astype(np.int32), found.real[on, at], found.imag[on, at])]
+        return pa.table({"field_id": field(height), "line": np.arange(height), "at": lists[0], "re": lists[1], "im": lists[2]})
+
+    return given.select("field_id", "line", "at", "re", "im").groupBy("field_id").applyInArrow(whole, LINES)
 
 
 def _laid_out(n: int, longest: int) -> tuple[int, int] | None:

@@ -33,8 +33,8 @@ def num_01_signal_transform(spark, sf_dir):
 def num_02_frame_correlation(spark, sf_dir):
     """Periodic correlation of pictures on the grid of 2048 x 1024, by a transform there and back; what each
     line of lags holds. The SQL multiplies pairs of places instead."""
-    found = transforms.correlation(transforms.lines(views.pictures(spark, sf_dir)), WIDTH, HEIGHT)
-    lags = F.filter(F.transform("re", lambda v: F.floor(v + lit(0.5))), lambda v: v > 0)
+    found = transforms.correlation(transforms.lines(views.pictures(spark, sf_dir)), WIDTH, HEIGHT, least=0.5)
+    lags = F.transform("re", lambda v: F.floor(v + lit(0.5)))
     some = found.select("field_id", F.col("line").alias("dy"), lags.alias("lags")).where(F.size("lags") > 0)
     return some.select("field_id", "dy", F.size("lags").cast("long").alias("n_lags"), F.aggregate("lags", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("lags").alias("top"))
 

@@ -100,3 +100,20 @@ def test_targets_on_a_grid(spark):
     with pytest.raises(ValueError, match="beyond"):
         fields.target_grid(images, (2, 2), (8, 8), 8.0, (4.0, 3.0), (3.0, 0.0))
     assert images.where(F.lit(False)).transform(lambda d: fields.target_grid(d, (2, 2), (8, 8), 8.0, (4.0, 3.0))).collect() == []
+
+
+@pytest.mark.parametrize("turned", (False, True))
+def test_correlation_in_one_task_is_that_by_blocks(spark, monkeypatch, turned):
+    rows = [(f, (7 * i * i) % 6, (5 * i) % 10, float(i % 4 + 1), float(turned * (i % 3))) for f in (1, 2, None) for i in range(9)]
+    given = transforms.lines(spark.createDataFrame(rows, "field_id long, line long, at int, re double, im double"))
+
+    def found(least=None):
+        lags = transforms.correlation(given, 16, 8, least)
+        return {(r.field_id, r.line, r["at"][k] if r["at"] is not None else k): round(r.re[k], 6) for r in lags.collect() for k in range(len(r.re))}
+
+    whole, some = found(), found(0.5)
+    assert some == {k: v for k, v in whole.items() if v >= 0.5} and 0 < len(some) < len(whole)
+    plan = transforms.correlation(given, 16, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1, "the full spectrum must not cross the network"
+    monkeypatch.setattr(transforms, "WHOLE", 0)
+    assert found() == whole and found(0.5) == some
