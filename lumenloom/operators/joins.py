@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -188,6 +189,36 @@ def segments_near(parts: DataFrame, points: DataFrame, key: list[str], reach: fl
     return s.join(p, ["cx", "cy"]).where(d < lit(reach - 1e-9)).select(*key).distinct()
 
 
+def fans_near(parts: DataFrame, ends: DataFrame, points: DataFrame, key: list[str], end: str, reach: float) -> DataFrame:
+    """As segments_near, for segments of any length that lead to a few common ends (`end`, x_end, y_end).
+
+    Seen from its end, a point nearer than reach to a segment lies at most reach beyond its start, and in
+    its direction by an angle whose sine is reach over the point's distance. So points stand in rings about
+    each end, each four times as wide as the one within, and in the sectors of their ring that their angle
+    touches; a segment asks one sector of every ring up to its start. A sector is about reach wide, whatever
+    the length, and the first point found near ends the search of a segment in a ring.
+    """
+    inner = 16 * max(reach, 1e-9)
+    ring = lambda d: F.greatest(F.lit(0), F.ceil(F.log(F.greatest(d, lit(inner)) / lit(inner)) / lit(math.log(4)))).cast("int")
+    # Ring 0 has one sector; ring k begins at inner * 4^(k - 1), where a point's angle is widest.
+    count = lambda k: F.when(k == 0, lit(1)).otherwise(F.floor(lit(math.pi * inner / (4 * max(reach, 1e-9))) * F.pow(lit(4), k)))
+    turn = lambda dx, dy: (F.atan2(dy, dx) + lit(math.pi)) / lit(2 * math.pi)
+    dx, dy = F.col("px") - F.col("x_end"), F.col("py") - F.col("y_end")
+    far = F.hypot(dx, dy)
+    seen = points.select(F.col("x").alias("px"), F.col("y").alias("py")).where("px is not null and py is not null").crossJoin(F.broadcast(ends.select(end, "x_end", "y_end")))
+    seen = seen.select(F.col(end).alias("o"), "px", "py", far.alias("far"), turn(dx, dy).alias("at")).withColumn("ring", ring(F.col("far") * lit(1 - 1e-9))).withColumn("n", count(F.col("ring")))
+    wide = F.asin(F.least(lit(1), lit(reach) / F.greatest("far", lit(1e-9)))) / lit(2 * math.pi) + lit(1e-9)
+    sectors = F.sequence(F.floor((F.col("at") - wide) * F.col("n")).cast("long"), F.floor((F.col("at") + wide) * F.col("n")).cast("long"))
+    sectors = F.when(F.col("ring") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform(sectors, lambda v: F.pmod(v, F.col("n").cast("long")))))
+    seen = seen.select("o", "px", "py", "ring", F.explode(sectors).alias("sector"))
+    start = F.hypot(F.col("x") - F.col("x_end"), F.col("y") - F.col("y_end")) + lit(reach)
+    asked = parts.select(*key, F.col(end).alias("o"), "x", "y", "x_end", "y_end", turn(F.col("x") - F.col("x_end"), F.col("y") - F.col("y_end")).alias("at"), F.explode(F.sequence(F.lit(0), ring(start * lit(1 + 1e-9)))).alias("ring"))
+    asked = asked.withColumn("sector", F.pmod(F.floor(F.col("at") * count(F.col("ring"))), count(F.col("ring"))).cast("long"))
+    d = point_to_segment((F.col("px"), F.col("py")), (F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end")))
+    same = [asked[c] == seen[c] for c in ("o", "ring", "sector")]
+    return asked.join(seen, [*same, d < lit(reach - 1e-9)], "left_semi").select(*key).distinct()
+
+
 def common_end(waypoints: DataFrame, plane: str) -> DataFrame:
     """(trajectory, seq, x, y, arrival): one more waypoint for each path that ends before its plane."""
     last = waypoints.groupBy("trajectory", plane).agg(F.max(F.struct("seq", "x", "y", "arrival")).alias("l"))
@@ -204,13 +235,13 @@ def edge_costs(atoms: DataFrame, sites: DataFrame, fixed: DataFrame, penalties:
 
     sites: site_id, x, y, required_atom and required_group (-1: any), forbid (a wrong group is not
     allowed rather than dear). blocked: whether a straight way meets an obstacle. Ways near a fixed
-    point meet it on grid cells; penalties (atom_id, site_id, penalty) join by key. Forbidden edges
+    point meet it in sectors about their site; penalties (atom_id, site_id, penalty) join by key. Forbidden edges
     cost 1e30. A little of both ids keeps the order of equal costs.
     """
     wanted = sites.select("site_id", F.col("x").alias("x_end"), F.col("y").alias("y_end"), "required_atom", "required_group", "forbid")
     few = wanted.limit(10_001).count() <= 10_000
     e = atoms.select("atom_id", "x", "y", "grp").crossJoin(F.broadcast(wanted) if few else wanted)
-    hit = segments_near(e, fixed, ["atom_id", "site_id"], stay).withColumn("hit", F.lit(True))
+    hit = (fans_near(e, wanted, fixed, ["atom_id", "site_id"], "site_id", stay) if few else segments_near(e, fixed, ["atom_id", "site_id"], stay)).withColumn("hit", F.lit(True))
     e = e.join(hit, ["atom_id", "site_id"], "left").join(penalties, ["atom_id", "site_id"], "left")
     a, b = (F.col("x"), F.col("y")), (F.col("x_end"), F.col("y_end"))
     other = (F.col("required_group") != -1) & (F.col("required_group") != F.col("grp"))

@@ -1,4 +1,6 @@
 import itertools
+import math
+import random
 import zlib
 
 import numpy as np
@@ -496,3 +498,43 @@ def test_shards_are_written_and_resumed(spark, tmp_path):
     assert [(r.n, r.first_id, r.full_shard) for r in listed.orderBy("shard").collect()] == [(3, 0, True), (3, 9, True), (1, 18, False)]
     left = shards.missing(spark.read.parquet(f"{tmp_path}/data/samples"), samples, "sample_id")
     assert sorted(r.sample_id for r in left.collect()) == [21, 24, 27]
+
+
+def test_fans_of_long_segments(spark):
+    draw = random.Random(5)
+    starts = [(i, draw.uniform(-40, 40), draw.uniform(-40, 3000) if i % 2 else draw.uniform(-40, 40)) for i in range(300)] + [(900, 5.0, 5.0), (901, 5.1, 5.0)]
+    ends = [(1, 5.0, 5.0), (2, -20.0, 0.0), (3, 5.0, 40.0)]
+    stops = [(draw.uniform(-40, 40), draw.uniform(-40, 3000) if i % 2 else draw.uniform(-40, 40)) for i in range(250)] + [(-30.0, 0.0), (-1000.0, 0.0), (5.0, 39.8), (None, 1.0)]
+    e = spark.createDataFrame(ends, "site_id long, x_end double, y_end double")
+    parts = spark.createDataFrame(starts, "atom_id long, x double, y double").crossJoin(e)
+    fans = joins.fans_near(parts, e, spark.createDataFrame(stops, "x double, y double"), ["atom_id", "site_id"], "site_id", 0.4)
+    cells, rows = 0, fans.collect()
+
+    def gap(p, a, b):
+        size = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / size)) if size else 0.0
+        return math.hypot(p[0] - a[0] - (b[0] - a[0]) * t, p[1] - a[1] - (b[1] - a[1]) * t)
+
+    assert {(r.atom_id, r.site_id) for r in rows} == {(i, k) for i, *a in starts for k, *b in ends if any(p[0] is not None and gap(p, a, b) < 0.4 for p in stops)}
+    assert 100 < len(rows) == len(set(rows)) < len(starts) * len(ends)
+
+
+def test_edges_over_a_long_plane(spark):
+    """By the cells of their boxes, these two segments alone would stand in some 10^10."""
+    atoms = spark.createDataFrame([(1, 1e5, 1e5, 0), (2, 1e5, 0.0, 0)], "atom_id long, x double, y double, grp int")
+    sites = spark.createDataFrame([(7, 0.0, 0.0, -1, -1, False)], "site_id long, x double, y double, required_atom int, required_group int, forbid boolean")
+    none = spark.createDataFrame([], "atom_id long, site_id long, penalty double")
+    found = joins.edge_costs(atoms, sites, spark.createDataFrame([(5e4, 5e4)], "x double, y double"), none, lambda a, b: F.lit(False))
+    assert {r.atom_id: r.cost for r in found.collect()} == pytest.approx({1: 2e10 + 100, 2: 1e10})
+
+
+def test_cover_keeps_few_edges(spark):
+    draw = random.Random(2)
+    rows = [(p, o, float(draw.randrange(40))) for p in range(4) for o in range(300)]
+    edges = spark.createDataFrame(rows, "person long, object long, cost double")
+    few = auction._cheapest(edges.withColumnRenamed("cost", "units"), 5)
+    assert {(r.person, r.object) for r in few.collect()} == {(p, o) for p in range(4) for _, o in sorted((c, o) for q, o, c in rows if q == p)[:5]}
+    cost = {(p, o): c for p, o, c in rows}
+    near = [sorted((cost[p, o], o) for o in range(300))[:5] for p in range(4)]
+    least = min(sum(c for c, _ in pick) for pick in itertools.product(*near) if len({o for _, o in pick}) == 4)
+    assert sum(cost[r.person, r.object] for r in auction.cover(edges).collect()) == least
