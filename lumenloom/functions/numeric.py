@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +54,9 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 
 def safe_ratio(a: Column, b: Column, default: Column) -> Column:
     return F.when(b != 0, F.try_divide(a, b)).otherwise(default)
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often it stands there: lambdas evaluate what they name
+    anew for every element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))

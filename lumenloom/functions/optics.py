@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenloom.functions.numeric import clamp, lit
+from lumenloom.functions.numeric import clamp, let, lit
 
 
 def field_of_view(wavelength: Column, focal: Column, pitch: Column) -> Column:
@@ -75,6 +76,29 @@ def nearest_entry(v: Column, entries: Column) -> Column:
     return F.array_min(apart)["i"]
 
 
+def nearest_spans(entries: Column, at: Callable[[Column], Column], size: int) -> Column:
+    """Which of the values at(0) .. at(size - 1), rising and evenly apart, have which array entry nearest (the
+    lowest index of equal ones), without looking at all of them: structs (index, first, last) of the entries
+    that have any. Between neighbouring entries the border is estimated and its four places compared."""
+    sorted_ = F.array_sort(F.transform(entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"))))
+    step = (at(F.lit(size - 1)) - at(F.lit(0))) / (size - 1)
+
+    def below(a: Column, b: Column) -> Column:
+        """How many values are nearer to a than to the next higher b."""
+        estimate = F.floor(((a["e"] + b["e"]) / 2 - at(F.lit(0))) / step).cast("long") - 1
+        first = lambda k: F.when(a["i"] < b["i"], F.abs(a["e"] - at(k)) <= F.abs(b["e"] - at(k))).otherwise(F.abs(a["e"] - at(k)) < F.abs(b["e"] - at(k)))
+        return let(estimate, lambda near: F.greatest(F.lit(0).cast("long"), F.least(F.lit(size).cast("long"), near + sum((first(near + k).cast("long") for k in range(4)), F.lit(0)))))
+
+    def spans(v: Column) -> Column:
+        begin = F.transform(v, lambda e, k: F.when(k == 0, F.lit(0).cast("long")).otherwise(let(F.get(v, F.greatest(k - 1, F.lit(0))), lambda a: below(a, e))))
+        ends = lambda first: F.transform(v, lambda e, k: F.struct(e["i"].alias("index"), F.get(first, k).alias("first"), (F.coalesce(F.get(first, k + 1), F.lit(size).cast("long")) - 1).alias("last")))
+        return F.filter(let(begin, ends), lambda e: e["first"] <= e["last"])
+
+    # Of equal entries the lowest index has all.
+    single = lambda v: F.filter(v, lambda e, k: (k == 0) | (e["e"] != F.get(v, F.greatest(k - 1, F.lit(0)))["e"]))
+    return let(let(sorted_, single), spans)
+
+
 def phase_tolerance(tolerance: Column, codes: int) -> Column:
     """The phase error that a number of codes allows: a step and a half, at least 0.001."""
     return F.greatest(tolerance, lit(1e-3), lit(3 * math.pi / codes))

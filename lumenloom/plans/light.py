@@ -52,10 +52,11 @@ def sca_37_code_tables(spark, sf_dir):
 def sca_40_inverse_tables(spark, sf_dir):
     """Inverse tables of 4096 entries over a turn: for every phase the first code of least distance, and
     which entries each code has."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size") * lit(-0.1), lit(0), F.col("p_size") * lit(0.05) + lit(1)).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("entry"))
-    phase = F.col("entry") / lit(4095) * lit(2 * math.pi) - F.pi()
-    coded = rows.select("p_partkey", "entry", optics.nearest_entry(phase, F.col("t")).cast("int").alias("code"))
-    return coded.groupBy("p_partkey", "code").agg(F.count("*").alias("n_entries"), F.min("entry").alias("first_entry"), F.max("entry").alias("last_entry"), F.sum("entry").alias("entry_sum"))
+    table_of = F.array(F.col("p_size") * lit(-0.1), lit(0), F.col("p_size") * lit(0.05) + lit(1))
+    spans = optics.nearest_spans(table_of, lambda entry: entry / lit(4095) * lit(2 * math.pi) - F.pi(), 4096)
+    coded = table(spark, sf_dir, "part").select("p_partkey", F.inline(spans))
+    n, first, last = F.col("last") - F.col("first") + 1, F.col("first"), F.col("last")
+    return coded.select("p_partkey", F.col("index").cast("int").alias("code"), n.alias("n_entries"), first.cast("int").alias("first_entry"), last.cast("int").alias("last_entry"), F.expr("(first + last) * (last - first + 1) div 2").alias("entry_sum"))
 
 
 @query(f"""SELECT p_partkey, {R('p_retailprice * (p_size + 1) / (p_size + 2e0)')} AS field_size, {R('greatest(2e0, 3e0 / (p_size % 5 + 1) * 125e-2)')} AS um_per_pixel, {R('p_size / 5e1 * 2e1 - 1e1')} AS view_x, {R('6e0 - least(1e0, p_size / 25e0) * 12e0')} AS view_y,
