@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.functions.numeric import lit
+from lumenloom.functions.numeric import let, lit
 
 
 def canonical(fields: dict[str, Column]) -> Column:
@@ -30,17 +30,23 @@ def descriptor_errors(stored: DataFrame, told: DataFrame, key: str = "doc_id") -
 
 def code_axis(codes: Column, phases: Column) -> Column:
     """256 phases from rising whole codes that hold 0 and 255; null where they don't."""
-    n = F.size(codes)
-    steps = F.sequence(F.lit(1), n - 1)
-    fits = (n >= 2) & (n == F.size(phases)) & (F.get(codes, F.lit(0)) == 0) & (F.get(codes, n - 1) == 255)
-    rising = F.forall(steps, lambda i: F.get(codes, i) > F.get(codes, i - 1)) & F.forall(codes, lambda c: c == F.floor(c))
 
-    def at(code: Column) -> Column:
-        high = F.greatest(F.lit(1), F.size(F.filter(codes, lambda c: c < code)))
-        share = (code - F.get(codes, high - 1)) / (F.get(codes, high) - F.get(codes, high - 1))
-        return F.get(phases, high - 1) + (F.get(phases, high) - F.get(phases, high - 1)) * share
-
-    return F.when(fits & rising, F.transform(F.sequence(F.lit(0), F.lit(255)), at))
+    def spread(given: Column) -> Column:
+        c, p = given["codes"], given["phases"]
+        n = F.size(c)
+        steps = F.sequence(F.lit(1), n - 1)
+        fits = (n >= 2) & (n == F.size(p)) & (F.get(c, F.lit(0)) == 0) & (F.get(c, n - 1) == 255)
+        rising = F.forall(steps, lambda i: F.get(c, i) > F.get(c, i - 1)) & F.forall(c, lambda v: v == F.floor(v))
+        ends = lambda i: F.struct(F.get(c, i - 1).alias("low"), F.get(c, i).alias("high"), F.get(p, i - 1).alias("start"), F.get(p, i).alias("end"))
+        return F.when(fits & rising, F.flatten(F.transform(steps, lambda i: let(ends(i), between))))
+
+    def between(e: Column) -> Column:
+        """The phases of the codes behind one row up to the next, with code 0 before the first."""
+        begin = F.when(e["low"] == 0, F.lit(0)).otherwise(e["low"].cast("int") + 1)
+        return F.transform(F.sequence(begin, e["high"].cast("int")), lambda v: e["start"] + (e["end"] - e["start"]) * ((v - e["low"]) / (e["high"] - e["low"])))
+
+    # Each stretch between two rows is spread by itself: the work is that of 256 codes, whatever the rows.
+    return let(F.struct(codes.alias("codes"), phases.alias("phases")), spread)
 
 
 #: Names of phase and code columns, without spaces and underscores, and of held lists.
