@@ -16,22 +16,22 @@ from lumenloom.operators.lineage import cut
 from lumenloom.operators.order import numbered
 
 
-def _cells(df: DataFrame, reach: float, spread: bool) -> DataFrame:
-    cx, cy = F.floor(F.col("x") / lit(reach)).cast("long"), F.floor(F.col("y") / lit(reach)).cast("long")
-    if not spread:
-        return df.withColumn("cx", cx).withColumn("cy", cy)
-    around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.select("*", F.explode(around).alias("cell")).select(*df.columns, "cell.cx", "cell.cy")
+#: A cell is so many reaches wide.
+CELL = 4
 
 
 def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, *, same: bool = False) -> DataFrame:
     """(left_id, right_id, distance) of all pairs closer than reach, by an equi-join on grid cells.
 
-    Each right point stands in the 3 x 3 cells around its own, each left point in one; no pair is
-    formed beyond neighbouring cells. same: both sides are one set, pairs come once, ids ascending.
+    Each left point stands in its own cell, each right point in the cells within reach of it: mostly its
+    own alone, as cells are wider than the reach, and some two on average. No pair is formed beyond
+    neighbouring cells. same: both sides are one set, pairs come once, ids ascending.
     """
-    a = _cells(left.select(F.col(left_id).alias("a_id"), "x", "y"), reach, False).withColumnsRenamed({"x": "ax", "y": "ay"})
-    b = _cells(right.select(F.col(right_id).alias("b_id"), "x", "y"), reach, True).withColumnsRenamed({"x": "bx", "y": "by"})
+    cell = lambda c, more=0.0: F.floor((F.col(c) + lit(more)) / lit(CELL * reach)).cast("long")
+    wide = reach * (1 + 1e-9)
+    a = left.select(F.col(left_id).alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    spread = lambda c: F.sequence(cell(c, -wide), cell(c, wide))
+    b = right.select(F.col(right_id).alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(spread("x")).alias("cx"), spread("y").alias("_ys")).select("b_id", "bx", "by", "cx", F.explode("_ys").alias("cy"))
     on = [a["cx"] == b["cx"], a["cy"] == b["cy"]] + ([a["a_id"] < b["b_id"]] if same else [])
     d = distance((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")))
     return a.join(b, on).select(F.col("a_id"), F.col("b_id"), d.alias("distance")).where(F.col("distance") < lit(reach))

@@ -149,9 +149,11 @@ def gen_04_lattice(spark, sf_dir):
     """The nodes of a lattice on the points' coordinates that no point blocks."""
     p = views.points(spark, sf_dir)
     xs, ys = p.select((F.floor(F.col("x") / lit(100)) * lit(100)).alias("gx")).distinct(), p.select((F.floor(F.col("y") / lit(5)) * lit(5)).alias("gy")).distinct()
-    nodes = xs.crossJoin(F.broadcast(ys)).select("gx", "gy", F.col("gx").alias("x"), F.col("gy").alias("y"), F.concat_ws(":", "gx", "gy").alias("node"))
-    blocked = joins.near_pairs(nodes, p, "node", "point_id", 1.0).select(F.col("a_id").alias("node")).distinct()
-    return nodes.join(blocked, "node", "left_anti").select("gx", "gy")
+    # Nodes lie farther apart than twice the clearance, so a point can block the nearest one alone.
+    nearest = lambda c, step: F.floor(F.col(c) / lit(step) + lit(0.5)) * lit(step)
+    near = p.select("x", "y", nearest("x", 100).alias("gx"), nearest("y", 5).alias("gy"))
+    blocked = near.where(geometry.distance((F.col("x"), F.col("y")), (F.col("gx"), F.col("gy"))) < lit(1)).select("gx", "gy").distinct()
+    return xs.crossJoin(F.broadcast(ys)).join(blocked, ["gx", "gy"], "left_anti")
 
 
 @query(with_views("points", "atoms") + f", n AS (SELECT * FROM points), e AS (SELECT a.point_id AS a_id, b.point_id AS b_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM n a JOIN n b ON a.point_id < b.point_id AND abs(a.x - b.x) < 45e-1 AND abs(a.y - b.y) < 45e-1 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 45e-1) SELECT a_id, b_id FROM e WHERE NOT EXISTS (SELECT 1 FROM atoms t WHERE NOT t.movable AND {_to_segment('t.x', 't.y', 'ax', 'ay', 'bx', 'by_')} < 5e-1 - 1e-9)")

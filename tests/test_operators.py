@@ -569,3 +569,13 @@ def test_many_traps_in_one_place(spark):
     found = {r.frame: r for r in frames.mode_overlap(many.unionByName(some), scale=10.0, active=8, extent=64).collect()}
     assert (found[1].worst, found[1].a_id, found[1].b_id, found[1].n_close) == (1.0, 5, 6, 60_000 * 59_999 // 2 + 60_000 + 1)
     assert (found[2].a_id, found[2].b_id, found[2].n_close) == (8, 9, 1) and found[3].n_close == 0
+
+
+def test_near_pairs_copies_few_points(spark, sf_dir):
+    draw = random.Random(8)
+    rows = [(i, draw.randrange(-40, 40) / 2, draw.randrange(-40, 40) / 2) for i in range(200)] + [(500, None, 1.0)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    pairs = joins.near_pairs(p, p, "id", "id", 1.5, same=True)
+    assert sorted((r.a_id, r.b_id) for r in pairs.collect()) == sorted((a[0], b[0]) for a, b in itertools.combinations(rows[:-1], 2) if math.dist(a[1:], b[1:]) < 1.5)
+    assert "sequence(" in pairs._jdf.queryExecution().optimizedPlan().toString(), "a point stands only in cells within reach"
+    assert "Generate" not in registry.QUERIES["gen_04_lattice"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
