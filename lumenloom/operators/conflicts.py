@@ -49,12 +49,15 @@ def conflicts(ways: DataFrame, *, minimum: float, margin: float, sigmas: float,
     ]
     lowest = (F.col("cx") == F.greatest("p_lx", "q_lx")) & (F.col("cy") == F.greatest("p_ly", "q_ly"))
     at = lambda s, e="": (F.col(f"{s}_x{e}"), F.col(f"{s}_y{e}"))
+    # Boxes farther apart than any separation are told by four comparisons, before distances are measured.
+    apart = lambda c: F.greatest(*[F.least(f"{s}_{c}", f"{s}_{c}_end") for s in "pq"]) - F.least(*[F.greatest(f"{s}_{c}", f"{s}_{c}_end") for s in "pq"])
+    near = (apart("x") < lit(widest + 1e-9)) & (apart("y") < lit(widest + 1e-9))
     limit = lit(minimum + margin) + lit(sigmas) * (F.col("p_sigma") + F.col("q_sigma")) - lit(1e-9)
     swapped = (distance(at("p"), at("q", "_end")) < limit) & (distance(at("p", "_end"), at("q")) < limit)
     between = segment_to_segment(at("p"), at("p", "_end"), at("q"), at("q", "_end")) < limit
     kind = F.when(distance(at("p"), at("q")) < limit, "vertex").when(swapped, "edge").when(between, "near-edge")
     met = None
     for found in pairs:
-        one = found.where(lowest).select(F.least("p_trajectory", "q_trajectory").alias("a_id"), F.greatest("p_trajectory", "q_trajectory").alias("b_id"), "tick", kind.alias("kind")).where("kind is not null")
+        one = found.where(lowest).where(near).select(F.least("p_trajectory", "q_trajectory").alias("a_id"), F.greatest("p_trajectory", "q_trajectory").alias("b_id"), "tick", kind.alias("kind")).where("kind is not null")
         met = one if met is None else met.unionByName(one)
     return met.groupBy("a_id", "b_id").agg(F.min(F.struct("tick", "kind")).alias("m")).select("a_id", "b_id", "m.tick", "m.kind")

@@ -579,3 +579,10 @@ def test_near_pairs_copies_few_points(spark, sf_dir):
     assert sorted((r.a_id, r.b_id) for r in pairs.collect()) == sorted((a[0], b[0]) for a, b in itertools.combinations(rows[:-1], 2) if math.dist(a[1:], b[1:]) < 1.5)
     assert "sequence(" in pairs._jdf.queryExecution().optimizedPlan().toString(), "a point stands only in cells within reach"
     assert "Generate" not in registry.QUERIES["gen_04_lattice"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conflicts_compare_boxes_first(spark):
+    ways = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 9.0, 0.0, 0.0), (2, 0, 0.0, 1.0, 0.0), (2, 1, 9.0, 1.0, 0.0), (3, 0, 0.0, 2.0, 0.0), (3, 1, 9.0, 2.0, 0.0)], "trajectory long, tick int, x double, y double, sigma double")
+    found = conflicts.conflicts(ways, minimum=1.5, margin=0.0, sigmas=0.0)
+    assert sorted((r.a_id, r.b_id, r.tick, r.kind) for r in found.collect()) == [(1, 2, 0, "vertex"), (2, 3, 0, "vertex")]
+    assert "greatest(least(p_x" in found._jdf.queryExecution().optimizedPlan().toString(), "boxes apart are told without distances"
