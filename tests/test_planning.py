@@ -162,3 +162,32 @@ def test_repaired_assignment_of_the_tables(spark, sf_dir):
     assert {(r.atom_id, r.site_id) for r in found} == set(zip(chosen, sites))
     assert {(r.attempt, r.conflicts) for r in found} == {(attempt, met)}
     assert sum(r.cost for r in found) == pytest.approx(sum(cost[e] + extra[e] for e in zip(chosen, sites)), abs=1e-4)
+
+
+def test_a_search_writes_ways_and_not_states(spark, monkeypatch):
+    """On an open lattice a way needs no more than the nodes between its ends, whatever the slack."""
+    at, links = lattice(10, 10)
+    agents = [(k, 100 * (k % 10), 100 * (k % 10) + k // 10 + 6) for k in range(30)]
+    written = []
+
+    def counted(df):
+        out = cut(df)
+        if "agent" in df.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(spacetime, "cut", counted)
+    found = ways_of(spacetime.shortest(spark.createDataFrame(agents, "agent long, start long, goal long"), *tables(spark, at, links)))
+    assert {a: len(w) - 1 for a, w in found.items()} == {a: goal % 100 for a, _, goal in agents}
+    assert sum(written) <= len(agents) + sum(map(len, found.values()))
+
+
+def test_gaps_are_those_of_the_column_expression(spark):
+    from pyspark.sql import functions as F
+
+    from lumenloom.functions.geometry import segment_to_segment
+
+    p = np.random.default_rng(4).integers(0, 6, (8, 3000)).astype(float)
+    rows = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(p.T)], "k int, " + ", ".join(f"c{i} double" for i in range(8)))
+    want = [r.d for r in rows.select("k", segment_to_segment(*[(F.col(f"c{i}"), F.col(f"c{i + 1}")) for i in range(0, 8, 2)]).alias("d")).orderBy("k").collect()]
+    assert spacetime._gap(*[p[i : i + 2] for i in range(0, 8, 2)]) == pytest.approx(want, abs=1e-9)
