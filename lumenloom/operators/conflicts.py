@@ -29,7 +29,8 @@ def conflicts(ways: DataFrame, *, minimum: float, margin: float, sigmas: float,
     stays there, in the way of others, until the last tick of all. Moving parts meet moving parts by
     tick and cell, and those that have come to rest by cell. A part stands in the cells of its bounding
     box, widened by half of the largest separation, and a pair is taken in the lowest cell that both
-    have, so no pair is formed beyond neighbouring cells and each but once.
+    have, so no pair is formed beyond neighbouring cells and each but once. Sides grow with the table
+    alike, so they are merged and none passes through the driver.
     """
     order = W.partitionBy("trajectory").orderBy("tick")
     legs = ways.select("trajectory", "tick", "x", "y", "sigma", *[F.lead(c).over(order).alias(f"{c}_end") for c in ("x", "y")])
@@ -40,10 +41,10 @@ def conflicts(ways: DataFrame, *, minimum: float, margin: float, sigmas: float,
     rest = boxed(legs.where("x_end is null").withColumn("x_end", F.col("x")).withColumn("y_end", F.col("y")), widest / 2, size)
     named = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("trajectory", "tick", "x", "y", "x_end", "y_end", "sigma", "lx", "ly")], "cx", "cy", F.col("tick").alias(f"{s}_at"))
     p, q = named(moving, "p"), named(moving, "q")
-    p_rest, q_rest = named(rest, "p"), named(rest, "q")
+    p_rest, q_rest = named(rest, "p"), named(rest, "q").hint("merge")
     ahead = F.col("p_trajectory") < F.col("q_trajectory")
     pairs = [
-        p.withColumnRenamed("p_at", "tick").join(q.withColumnRenamed("q_at", "tick"), ["tick", "cx", "cy"]).where(ahead),
+        p.withColumnRenamed("p_at", "tick").join(q.withColumnRenamed("q_at", "tick").hint("merge"), ["tick", "cx", "cy"]).where(ahead),
         p.join(q_rest, ["cx", "cy"]).where((F.col("q_tick") <= F.col("p_tick")) & (F.col("p_trajectory") != F.col("q_trajectory"))).withColumn("tick", F.col("p_tick")),
         p_rest.join(q_rest, ["cx", "cy"]).where(ahead).withColumn("tick", F.greatest("p_tick", "q_tick")).where(F.col("tick") < F.lit(facts["top"] or 1)),
     ]

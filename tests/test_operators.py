@@ -586,3 +586,19 @@ def test_conflicts_compare_boxes_first(spark):
     found = conflicts.conflicts(ways, minimum=1.5, margin=0.0, sigmas=0.0)
     assert sorted((r.a_id, r.b_id, r.tick, r.kind) for r in found.collect()) == [(1, 2, 0, "vertex"), (2, 3, 0, "vertex")]
     assert "greatest(least(p_x" in found._jdf.queryExecution().optimizedPlan().toString(), "boxes apart are told without distances"
+
+
+def test_components_send_no_side_through_the_driver(spark, monkeypatch):
+    from lumenloom.operators import graphs
+    from lumenloom.operators.lineage import cut
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graphs, "cut", seen)
+    links = spark.createDataFrame([(3, 4), (4, 5), (7, 8), (9, 8), (5, 1)], "a long, b long")
+    assert {tuple(r) for r in graphs.components(cut(links), "a", "b").collect()} == {(1, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
