@@ -12,11 +12,12 @@ from lumenloom.operators.order import numbered
 
 def _too_near(earlier: DataFrame, later: DataFrame, dx: float, dy: float, inclusive: bool) -> DataFrame:
     """Pairs (e, l) of places with less than one unit of (dx, dy) between them (or one, if inclusive), e
-    before l. Points meet on cells a little wider than a unit."""
-    cx, cy = (F.floor(F.col(c) / lit(d * (1 + 1e-9))).cast("long") for c, d in (("x", dx), ("y", dy)))
-    around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = earlier.select(F.col("place").alias("e"), F.col("x").alias("ex"), F.col("y").alias("ey"), cx.alias("cx"), cy.alias("cy"))
-    b = later.select(F.col("place").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(around).alias("c")).select("l", "lx", "ly", "c.cx", "c.cy")
+    before l. Earlier places stand in their own cell, later ones in the cells within a unit of them: mostly
+    one or two, as cells are four units wide."""
+    cell = lambda c, d, more=0.0: F.floor(F.col(c) / lit(4 * d) + lit(more)).cast("long")
+    spread = lambda c, d: F.sequence(cell(c, d, -0.25 * (1 + 1e-9)), cell(c, d, 0.25 * (1 + 1e-9)))
+    a = earlier.select(F.col("place").alias("e"), F.col("x").alias("ex"), F.col("y").alias("ey"), cell("x", dx).alias("cx"), cell("y", dy).alias("cy"))
+    b = later.select(F.col("place").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(spread("x", dx)).alias("cx"), spread("y", dy).alias("_ys")).select("l", "lx", "ly", "cx", F.explode("_ys").alias("cy"))
     gap = F.hypot((F.col("ex") - F.col("lx")) / lit(dx), (F.col("ey") - F.col("ly")) / lit(dy))
     return a.join(b, ["cx", "cy"]).where(F.col("e") < F.col("l")).where(gap <= 1 if inclusive else gap < 1).select("e", "l")
 

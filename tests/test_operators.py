@@ -602,3 +602,15 @@ def test_components_send_no_side_through_the_driver(spark, monkeypatch):
     links = spark.createDataFrame([(3, 4), (4, 5), (7, 8), (9, 8), (5, 1)], "a long, b long")
     assert {tuple(r) for r in graphs.components(cut(links), "a", "b").collect()} == {(1, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)}
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_points_that_keep_apart_stand_in_few_cells(spark):
+    """A later point met earlier ones in nine cells each."""
+    p = spark.range(4000).select(F.col("id").alias("place"), (F.rand(3) * 200).alias("x"), (F.rand(5) * 200).alias("y")).collect()
+    df = spark.createDataFrame(p)
+    pairs = selection._too_near(df, df, 2.0, 3.0, False)
+    at = np.array([(r.x / 2, r.y / 3) for r in p])
+    near = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) < 1
+    assert {tuple(r) for r in pairs.collect()} == {(int(i), int(j)) for i, j in np.argwhere(near) if i < j}
+    whole = selection._too_near(df.limit(0), df, 2.0, 3.0, False)
+    assert "explode(array(" not in whole._jdf.queryExecution().analyzed().toString()
