@@ -28,12 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Spark removes the shuffle files of a query at its end instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, keep_shuffle: bool = True) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it again: lineage ends here,
-    and a lost executor costs no recomputation of what stands above."""
+    and a lost executor costs no recomputation of what stands above. keep_shuffle=False: the files of
+    its shuffles go once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenloom-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    try:
+        spark.conf.set(CLEANUP, str(not keep_shuffle or before == "true").lower())
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,10 @@ same anchor is a context. Which strings are equal is decided by the external ind
 
 1. List: each batch of documents lists its contexts. Contexts of a batch with the same bytes are
    pre-aggregated: the one of the smallest document speaks, those of larger ones are covered.
-2. Route: buckets of anchors tell which lie in different documents; all others can't repeat.
-3. Sort: the bytes of all contexts of these anchors go to shards, and each shard is a text on disk that
+2. Route: buckets of anchors do the same for contexts of all batches, by a digest of their bytes, and
+   tell which of the others may share a string with another document: it has the anchor and, as a string
+   holds `width` - GRAM bytes beside that, half of them before or half of them behind it. No other can.
+3. Sort: the bytes of all contexts left go to shards, and each shard is a text on disk that
    the external sorter orders; runs of suffixes with a common prefix of `width` are equal strings. A
    context that several rows have stands in the text once and belongs to all of them; each of them
    loses the strings of the runs that a smaller document has a part in.
@@ -95,6 +97,7 @@ def _unpack_all(blobs, *types) -> list[np.ndarray]:
 #: A row is addressed by its key and compared by its number (the doc_id): equal columns as a rule.
 RUNS = (np.int64, np.int64, np.uint16)  # key, first start, number of starts
 ASKS = (np.uint64, np.int64, np.int64, np.int64, np.uint16)  # anchor, number, key, first start, number of starts
+LISTED = (*ASKS, np.uint64, np.uint32, np.uint16, np.uint16)  # and the digest in two parts, marks of both sides
 
 
 def home(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -116,8 +119,19 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
+def _marks(view: np.ndarray, place: np.ndarray, size: int, known: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of the `size` bytes at these places; 0 where they are not known."""
+    found = np.full(len(place), size, np.uint64)
+    for k in range(0, size, 8):
+        found = _mix(found ^ (view[place + k] & np.uint64((1 << 8 * min(8, size - k)) - 1)) * C1)
+    return np.where(known, found % np.uint64(0xFFFF) + np.uint64(1), 0).astype(np.uint16)
+
+
 def contexts_of(data: np.ndarray, pieces: list[tuple[int, int]], width: int) -> tuple[np.ndarray, ...]:
-    """(anchor, context hash, first start, number of starts) of the contexts in these byte ranges."""
+    """(anchor, context hash, first start, number of starts, marks) of the contexts in these byte ranges.
+
+    The marks name the bytes before and behind the anchor, on each side half of what a string has
+    besides it: an equal string of another context has at least one of the halves whole, too."""
     lengths = np.array([j - i for i, j in pieces])
     starts = np.cumsum(lengths) - lengths
     buf = np.concatenate([data[i:j] for i, j in pieces] + [np.zeros(width + 40, np.uint8)])
@@ -141,7 +155,10 @@ def contexts_of(data: np.ndarray, pieces: list[tuple[int, int]], width: int) ->
     context = _mix(length.astype(np.uint64) * C1)
     for k in range(0, int(length.max(initial=0)), 8):
         context = _mix(context ^ view[begin + np.minimum(k, length - 8)] * C1)
-    return grams[anchor[first]] >> np.uint64(16) << np.uint64(1), context, begin, times
+    gram, half = anchor[first], (width - GRAM + 1) // 2
+    left = _marks(view, np.maximum(gram - half, 0), half, gram - begin >= half)
+    right = _marks(view, gram + GRAM, half, begin + length - gram - GRAM >= half)
+    return grams[gram] >> np.uint64(16) << np.uint64(1), context, begin, times, left, right
 
 
 def _first_of_equal(*columns: np.ndarray) -> np.ndarray:
@@ -186,7 +203,19 @@ def _alike(data: np.ndarray, width: int, key: np.ndarray, place: np.ndarray, tim
     return order, head
 
 
-def _collapse(data, width, anchor, context, number, key, at, place, times):
+def _digests(data: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of BLAKE2 of the strings at these places."""
+    raw, digest = memoryview(data), hashlib.blake2b
+    high, low = np.empty(len(place), np.uint64), np.empty(len(place), np.uint32)
+    for lo in range(0, len(place), PIECES):
+        begin, end = place[lo : lo + PIECES], place[lo : lo + PIECES] + length[lo : lo + PIECES]
+        found = b"".join([digest(raw[i:j], digest_size=12).digest() for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
+        parts = np.frombuffer(found, [("high", "<u8"), ("low", "<u4")])
+        high[lo : lo + PIECES], low[lo : lo + PIECES] = parts["high"], parts["low"]
+    return high, low
+
+
+def _collapse(data, width, anchor, context, number, key, at, place, times, *more):
     """Records without the covered ones, and the covered ones: of contexts with equal bytes only those
     of the smallest number stay. place: where the context begins in data."""
     order, head = _alike(data, width, anchor ^ context, place, times, anchor)
@@ -194,7 +223,7 @@ def _collapse(data, width, anchor, context, number, key, at, place, times):
     if len(order):
         least = np.minimum.reduceat(number[order], np.flatnonzero(head))[np.cumsum(head) - 1]
         known[order] = number[order] > least
-    return [c[~known] for c in (anchor, number, key, at, times)], [c[known] for c in (key, at, times)]
+    return [c[~known] for c in (anchor, number, key, at, times, place, *more)], [c[known] for c in (key, at, times)]
 
 
 def _spread(kind: int, where: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
@@ -217,16 +246,16 @@ def _sent(rows) -> pa.RecordBatch:
 
 def _contexts_in(data: np.ndarray, spans: list[tuple[int, int]], width: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(text of the list, anchor, context hash, first start in its text, place in data, number of
-    starts) of some texts at a time; long texts come in overlapping pieces."""
+    starts, marks) of some texts at a time; long texts come in overlapping pieces."""
     pieces, of, shift, filled = [], [], [], 0
 
     def found() -> tuple[np.ndarray, ...]:
-        anchor, context, begin, times = contexts_of(data, pieces, width)
+        anchor, context, begin, times, *marks = contexts_of(data, pieces, width)
         lengths = np.array([j - i for i, j in pieces])
         starts = np.cumsum(lengths) - lengths
         piece = np.searchsorted(starts, begin, side="right") - 1
         inside = begin - starts[piece]
-        return np.array(of)[piece], anchor, context, inside + np.array(shift)[piece], inside + np.array(pieces)[piece, 0], times.astype(np.uint16)
+        return np.array(of)[piece], anchor, context, inside + np.array(shift)[piece], inside + np.array(pieces)[piece, 0], times.astype(np.uint16), *marks
 
     for n, (i, j) in enumerate(spans):
         for begin in range(i, j - width + 1, SEGMENT):
@@ -242,7 +271,7 @@ def _contexts_in(data: np.ndarray, spans: list[tuple[int, int]], width: int) ->
         yield found()
 
 
-def _batched(batch: pa.RecordBatch, width: int, amount: int = 64 * SEGMENT):
+def _batched(batch: pa.RecordBatch, width: int, amount: int = 32 * SEGMENT):
     """(data, columns of _contexts_in) for about `amount` bytes of the texts of a batch at a time."""
     data, offsets = _texts(batch.column(batch.schema.get_field_index("text")))
     ends = offsets[1:]
@@ -275,32 +304,57 @@ def _listing(buckets: int, width: int, hot):
         give_back()
         for batch in batches:
             keys, numbers = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "number"))
-            for data, (row, anchor, context, at, place, times) in _batched(batch, width):
-                (anchor, number, key, at, times), covered = _collapse(data, width, anchor, context, numbers[row], keys[row], at, place, times)
+            for data, (row, anchor, context, at, place, times, *marks) in _batched(batch, width):
+                (anchor, number, key, at, times, place, *marks), covered = _collapse(data, width, anchor, context, numbers[row], keys[row], at, place, times, *marks)
                 rows = list(_spread(COVERED, home(covered[0], buckets), covered))
                 busy = np.isin(anchor, hot.value)
                 rows += _spread(OPEN, home(key[busy], buckets), [anchor[busy] | np.uint64(1), number[busy], key[busy], at[busy], times[busy]])
                 ask = ~busy
                 where = (anchor[ask] * C1 >> np.uint64(32)).astype(np.int64) % buckets
-                rows += _spread(ASK, where, [anchor[ask], number[ask], key[ask], at[ask], times[ask]])
+                digest = _digests(data, place[ask], times[ask].astype(np.int64) + width - 1)
+                rows += _spread(ASK, where, [*(c[ask] for c in (anchor, number, key, at, times)), *digest, *(c[ask] for c in marks)])
                 yield _sent(rows)
 
     return run
 
 
+def _in_several(name: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Whether several numbers have the name of a record."""
+    order = np.argsort(name)
+    head = np.flatnonzero(_first_of_equal(name[order]))
+    found = np.zeros(len(name), bool)
+    if len(head):
+        shared = np.minimum.reduceat(number[order], head) != np.maximum.reduceat(number[order], head)
+        found[order] = np.repeat(shared, np.diff(np.append(head, len(name))))
+    return found
+
+
 def _resolving(buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Rows of kind ASK are for this bucket, all others on their way to the home of the same number."""
+        """Rows of kind ASK are for this bucket, all others on their way to the home of the same number.
+
+        Of equal contexts those of the smallest number speak, those of larger ones are covered. Of the
+        others those are open whose anchor and one half beside it lie in several numbers."""
         give_back()
         rows = [(int(g), int(k), p) for g, k, p in zip(group["bucket"], group["kind"], group["payload"], strict=True) if k != ASK]
-        columns = _unpack_all(group.loc[group["kind"] == ASK, "payload"], *ASKS)
-        order = np.argsort(columns[0], kind="stable")
-        anchor, number = columns[0][order], columns[1][order]
-        if len(anchor):
-            head = np.flatnonzero(_first_of_equal(anchor))
-            shared = np.minimum.reduceat(number, head) != np.maximum.reduceat(number, head)
-            pick = np.sort(order[np.repeat(shared, np.diff(np.append(head, len(anchor))))])
-            found = [c[pick] for c in columns]
+        columns = _unpack_all(group.loc[group["kind"] == ASK, "payload"], *LISTED)
+        anchor, number, key, at, times, high, low, *_ = columns
+        order = np.argsort(high)
+        head = _first_of_equal(*(c[order] for c in (anchor, high, low, times)))
+        if len(order):
+            least = np.minimum.reduceat(number[order], np.flatnonzero(head))[np.cumsum(head) - 1]
+            copy = order[number[order] > least]
+            rows += _spread(COVERED, home(key[copy], buckets), [key[copy], at[copy], times[copy]])
+            alone = np.ones(len(order), bool)
+            alone[copy] = False
+            rest = np.flatnonzero(alone)
+            rest = rest[_in_several(anchor[rest], number[rest])]
+            anchor, number, *found, _, _, left, right = (c[rest] for c in columns)
+            open_ = np.zeros(len(rest), bool)
+            for mark in (left, right):
+                some = np.flatnonzero(mark)
+                open_[some] |= _in_several(anchor[some] >> np.uint64(1) | mark[some].astype(np.uint64) << np.uint64(48), number[some])
+            found = [c[open_] for c in (anchor, number, *found)]
             rows += _spread(OPEN, home(found[2], buckets), found)
         return pd.DataFrame(rows, columns=["home", "kind", "payload"])
 
@@ -593,7 +647,7 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
     hot = spark.sparkContext.broadcast(_hot_anchors(rows, size, width))
     listed = rows.select("key", "number", "text").mapInArrow(_listing(buckets, width, hot), "bucket int, kind byte, payload binary")
     sent = "home int, kind byte, payload binary"
-    resolved = materialize(listed.groupBy("bucket").applyInPandas(_resolving(buckets), sent), "resolved")
+    resolved = materialize(listed.groupBy("bucket").applyInPandas(_resolving(buckets), sent), "resolved", keep_shuffle=False)
     at_home = rows.select("key", "doc_id", "text", _home_column(F.col("key"), buckets).alias("home")).groupBy("home")
     asked = resolved.where(F.col("kind") == OPEN).groupBy("home")
     cut = at_home.cogroup(asked).applyInArrow(_cutting(buckets, width), "shard int, number long, key long, at binary, bytes binary")

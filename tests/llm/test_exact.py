@@ -2,16 +2,21 @@
 
 import hashlib
 import re
+import time
+from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenloom.llm import decontaminate, induced, licenses, mtree, pii, queries, resample, simhash, suffix_dedup
-from lumenloom.llm.common import materialize, table
+from lumenloom.llm.common import CLEANUP, materialize, table
 from lumenloom.llm.components import connected_components, local_components
 from tests.llm import cases
 from tests.oracle import same
@@ -115,6 +120,65 @@ def test_repeats_of_planted_passages(spark, monkeypatch):
     assert repeats(df) == wanted
 
 
+def test_only_contexts_that_may_share_a_string_reach_the_sorter():
+    """Copies in other batches, and anchors that texts share by chance, are told before bytes are sent."""
+    rng = np.random.default_rng(6)
+    own = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    passage, phrase = own(600), own(24)
+    texts = [own(90) + passage + own(90) for _ in range(12)] + [own(90) + phrase + own(90) for _ in range(40)]
+    hot = SimpleNamespace(value=np.zeros(0, np.uint64))
+    sent = []
+    for k, text in enumerate(texts):  # each in a batch by itself
+        batch = pa.RecordBatch.from_pydict({"key": pa.array([k]), "number": pa.array([k]), "text": pa.array([text])})
+        sent += [b.to_pandas() for b in suffix_dedup._listing(1, 50, hot)([batch])]
+    found = suffix_dedup._resolving(1)(pd.concat(sent))
+    _, number, _, at, times = suffix_dedup._unpack_all(found.loc[found["kind"] == suffix_dedup.OPEN, "payload"], *suffix_dedup.ASKS)
+    assert number.max() < 12, "a phrase of 24 bytes repeats no string"
+    inside = lambda at, times: (at >= 90) & (at + times.astype(np.int64) + 49 <= 690)
+    assert not inside(at, times)[number > 0].any(), "copies are sent for sorting"
+    key, at, times = suffix_dedup._unpack_all(found.loc[found["kind"] == suffix_dedup.COVERED, "payload"], *suffix_dedup.RUNS)
+    assert inside(at, times).all() and set(key.tolist()) == set(range(1, 12))
+
+
+def test_repeats_across_batches(spark):
+    """One row in a batch, so that equal contexts meet in the buckets of anchors alone; copies in part."""
+    rng = np.random.default_rng(8)
+    word = ["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(2, 9, 40)]
+    said = lambda n: " ".join(word[k] for k in rng.integers(0, 40, n))
+    passages = [said(40) for _ in range(4)]
+    rows = []
+    for k in rng.permutation(80).tolist():
+        passage = passages[k % 4]
+        i = int(rng.integers(0, 60))
+        rows.append((k, said(int(rng.integers(0, 20))) + (passage[i : i + int(rng.integers(45, 200))] if k % 3 else passage) + said(int(rng.integers(0, 20)))))
+    rows += [(None, passages[0]), (None, passages[0] + "!"), (7, passages[1])]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+        for width in (50, 17, 33):
+            wanted = brute_repeats([((1 << 63) - 1 if k is None else k, t.encode()) for k, t in rows], width)
+            got = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), width=width).collect()
+            assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = spark.conf.get(CLEANUP)
+    files = lambda: {p for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+    held = files()
+    kept = materialize(spark.range(1000).repartition(3, "id"), "kept")
+    assert files() - held
+    held = files()
+    gone = materialize(spark.range(1000).repartition(3, "id"), "gone", keep_shuffle=False)
+    for _ in range(50):
+        if not files() - held:
+            break
+        time.sleep(0.1)
+    assert not files() - held
+    assert kept.count() == gone.count() == 1000 and spark.conf.get(CLEANUP) == before
+
+
 def test_repeats_of_the_smallest_tables(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
