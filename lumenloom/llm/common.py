@@ -38,12 +38,14 @@ def materialize(df: DataFrame, label: str, keep_shuffle: bool = True) -> DataFra
     its shuffles go once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenloom-{uuid.uuid4().hex}/{label}"
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
+    if not keep_shuffle:
+        spark.conf.set(CLEANUP, "true")
     try:
-        spark.conf.set(CLEANUP, str(not keep_shuffle or before == "true").lower())
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        if not keep_shuffle:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ same anchor is a context. Which strings are equal is decided by the external ind
 
 1. List: each batch of documents lists its contexts. Contexts of a batch with the same bytes are
    pre-aggregated: the one of the smallest document speaks, those of larger ones are covered.
-2. Route: buckets of anchors do the same for contexts of all batches, by a digest of their bytes, and
+2. Route: buckets of anchors do the same for contexts of all batches, by a digest of 128 bits, and
    tell which of the others may share a string with another document: it has the anchor and, as a string
    holds `width` - GRAM bytes beside that, half of them before or half of them behind it. No other can.
 3. Sort: the bytes of all contexts left go to shards, and each shard is a text on disk that
@@ -97,7 +97,7 @@ def _unpack_all(blobs, *types) -> list[np.ndarray]:
 #: A row is addressed by its key and compared by its number (the doc_id): equal columns as a rule.
 RUNS = (np.int64, np.int64, np.uint16)  # key, first start, number of starts
 ASKS = (np.uint64, np.int64, np.int64, np.int64, np.uint16)  # anchor, number, key, first start, number of starts
-LISTED = (*ASKS, np.uint64, np.uint32, np.uint16, np.uint16)  # and the digest in two parts, marks of both sides
+LISTED = (*ASKS, np.uint64, np.uint64, np.uint16, np.uint16)  # and the digest in two parts, marks of both sides
 
 
 def home(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -204,13 +204,13 @@ def _alike(data: np.ndarray, width: int, key: np.ndarray, place: np.ndarray, tim
 
 
 def _digests(data: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of BLAKE2 of the strings at these places."""
+    """128 bits of BLAKE2 of the strings at these places."""
     raw, digest = memoryview(data), hashlib.blake2b
-    high, low = np.empty(len(place), np.uint64), np.empty(len(place), np.uint32)
+    high, low = np.empty(len(place), np.uint64), np.empty(len(place), np.uint64)
     for lo in range(0, len(place), PIECES):
         begin, end = place[lo : lo + PIECES], place[lo : lo + PIECES] + length[lo : lo + PIECES]
-        found = b"".join([digest(raw[i:j], digest_size=12).digest() for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
-        parts = np.frombuffer(found, [("high", "<u8"), ("low", "<u4")])
+        found = b"".join([digest(raw[i:j], digest_size=16).digest() for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
+        parts = np.frombuffer(found, [("high", "<u8"), ("low", "<u8")])
         high[lo : lo + PIECES], low[lo : lo + PIECES] = parts["high"], parts["low"]
     return high, low
 
